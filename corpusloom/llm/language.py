@@ -14,7 +14,7 @@ from .common import documents, rows_of
 
 #: Documents a language and characters a document that the profiles are fitted on at most, by order of a hash.
 SAMPLE, SAMPLE_CHARS = 600, 20_000
-#: Slots of hashed n-grams, of 1 to GRAMS characters; a language's profile has this fixed size.
+#: Slots of hashed n-grams of GRAMS characters; a language's profile has this fixed size.
 SLOTS, GRAMS, SMOOTH = 1 << 16, 3, 0.2
 STEPS, UNKNOWN = 12, "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     share = F.lit(1.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * (sample + 50) / n))).otherwise(share)
-    cut = least.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= share)
+    cut = least.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= share).dropDuplicates(["lang", "h"])
     kept = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= sample).drop("r", "h")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,36 +11,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import Memo
 from .common import documents, rows_of
 
 #: Labelled documents of each class, and characters of each, that the model is fitted on at most.
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
-#: Documents that a word must be in, its least log-likelihood ratio, and the number of words kept at most.
-LEAST_DOCS, LEAST_RATIO, WORDS = 4, 16.0, 4000
-STEPS, RATE, DECAY = 300, 0.15, 2e-4
+#: Documents that a feature must be in, the part of them that must be toxic, and the number of features kept at most.
+LEAST_DOCS, LEAST_PART, FEATURES = 4, 0.5, 4000
+#: What a feature's log-likelihood ratio must have beyond twice the log of the number of features tried.
+MARGIN = 8.0
+#: Part of a document's sentences that others have had from which on it teaches nothing new.
+KNOWN_PART = 0.3
+#: Lengths of the beginnings of words that are features beside the words, written with a star.
+BEGINNINGS = range(4, 9)
+STEPS, RATE, PULL = 150, 0.05, 2e-3
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 
+def features(word: str) -> list[str]:
+    return [word, *(f"{word[:k]}*" for k in BEGINNINGS if k < len(word))]
+
+
 class NoisyOr:
-    """Word weights and a bias of a sentence's logit; a document's score is 1 - prod(1 - p) over its sentences."""
+    """Feature weights and a bias of a sentence's logit; a document's score is 1 - prod(1 - p) over its sentences.
+
+    A word stands for its first known feature in the order of `weights` (the most telling first); a sentence counts
+    each feature once.
+    """
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
+        self.order = {f: i for i, f in enumerate(weights)}
+        self.of_word = Memo(self._feature)
+
+    def __reduce__(self):
+        return NoisyOr, (self.weights, self.bias)
+
+    def _feature(self, word: str) -> str | None:
+        return min((f for f in features(word) if f in self.order), key=self.order.__getitem__, default=None)
+
+    def known(self, text: str) -> set[str]:
+        return set(map(self.of_word.__getitem__, set(WORD.findall(text.lower())))) - {None}
 
     def sentences(self, text: str) -> list[tuple[int, str, float]]:
         """(start, sentence, p) of each sentence."""
-        get = self.weights.get
         out = []
         for m in SENTENCE.finditer(text):
-            z = self.bias + sum(get(w, 0.0) for w in set(WORD.findall(m[0].lower())))
+            z = self.bias + sum(sorted(map(self.weights.__getitem__, self.known(m[0]))))
             out.append((m.start(), m[0], float(1 / (1 + np.exp(-z)))))
         return out
 
     def score(self, text: str) -> tuple[float, list[tuple[int, str, float]]]:
         """The document's score and its offending sentences (p of 0.5 or more)."""
-        clean = 1 / (1 + np.exp(self.bias))  # 1 - p of a sentence without any known word
-        if self.weights.keys().isdisjoint(WORD.findall(text.lower())):
+        clean = 1 / (1 + np.exp(self.bias))  # 1 - p of a sentence without any known feature
+        if not self.known(text):
             n = sum(1 for _ in SENTENCE.finditer(text))
             return float(1 - clean ** max(1, n)), []
         told = self.sentences(text)
@@ -61,10 +86,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NoisyOr:
     rows = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).where("text is not null")
     kept = rows.join(cut, F.col("doc_id") == F.col("labelled")).withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(h, "text"))).where(F.col("r") <= sample)
     got = sorted((r["toxic"], r["doc_id"], r["text"]) for r in kept.select("toxic", "doc_id", "text").collect())
-    return train([t for _, _, t in got], [y for y, _, _ in got])
-
-
-def train(texts: list[str], toxic: list[int]) -> NoisyOr:
+    shown = sum(1 for y, _, _ in got if not y)
+    return train([t for _, _, t in got], [y for y, _, _ in got], max(1.0, number.get(0, 0) / shown if shown else 1.0))
+
+
+def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> NoisyOr:
+    """clean_weight: how many clean documents each one here stands for."""
+    new, seen = [], set()
+    for i, text in enumerate(texts):  # copies and near-copies of a text count once
+        own = set(SENTENCE.findall(text))
+        if not own or len(own & seen) < KNOWN_PART * len(own):
+            new.append(i)
+        seen |= own
+    texts, toxic = [texts[i] for i in new], [toxic[i] for i in new]
     y = np.array(toxic, "f8")
     if not len(y) or y.min() == y.max():
         rate = min(0.99, max(0.01, float(y.mean()) if len(y) else 0.01))
@@ -72,25 +106,28 @@ def train(texts: list[str], toxic: list[int]) -> NoisyOr:
     bags = [[set(WORD.findall(s.lower())) for s in SENTENCE.findall(t)] or [set()] for t in texts]
     n, hits = Counter(), Counter()
     for b, label in zip(bags, toxic):
-        words = set().union(*b)
-        n.update(words)
+        found = {f for w in set().union(*b) for f in features(w)}
+        n.update(found)
         if label:
-            hits.update(words)
+            hits.update(found)
     total, ones = len(y), float(y.sum())
+    least = 2 * np.log(max(2, len(n))) + MARGIN
 
-    def ratio(w: str) -> float:
-        a, m = hits[w], n[w]
+    def ratio(f: str) -> float:
+        a, m = hits[f], n[f]
         table = ((a, m * ones / total), (m - a, m * (1 - ones / total)), (ones - a, (total - m) * ones / total), (total - m - ones + a, (total - m) * (1 - ones / total)))
         return 2 * sum(o * np.log(o / e) for o, e in table if o > 0 and e > 0)
 
-    known = sorted((w for w in n if n[w] >= LEAST_DOCS and hits[w] / n[w] > ones / total), key=lambda w: (-ratio(w), w))
-    known = [w for w in known[:WORDS] if ratio(w) >= LEAST_RATIO]
-    place = {w: i for i, w in enumerate(known)}
-    # sentences with a known word one by one, the others of a document as a number
+    part = lambda f: hits[f] / (hits[f] + clean_weight * (n[f] - hits[f]))
+    telling = {f: r for f in n if n[f] >= LEAST_DOCS and n[f] * ones < hits[f] * total and part(f) >= LEAST_PART and (r := ratio(f)) >= least}
+    known = sorted(telling, key=lambda f: (-telling[f], len(f), f))[:FEATURES]
+    place = {f: i for i, f in enumerate(known)}
+    model = NoisyOr({f: 0.0 for f in known}, 0.0)
+    # sentences with a known feature one by one, the others of a document as a number
     doc, at, word, empty = [], [], [], np.zeros(total)
     for d, b in enumerate(bags):
         for s in b:
-            found = [place[w] for w in s if w in place]
+            found = {place[f] for f in map(model.of_word.__getitem__, s) if f is not None}
             if not found:
                 empty[d] += 1
                 continue
@@ -98,20 +135,24 @@ def train(texts: list[str], toxic: list[int]) -> NoisyOr:
             at.extend([len(doc)] * len(found))
             doc.append(d)
     doc, at, word = np.array(doc, "i8"), np.array(at, "i8"), np.array(word, "i8")
-    theta = np.append(np.full(len(known), 1.0), -5.0)
+    # the start, to which all is drawn: a feature alone makes a sentence as toxic as the documents that hold it
+    start = np.array([*(np.log((hits[f] + 0.5) / (clean_weight * (n[f] - hits[f]) + 0.5)) for f in known), -6.0])
+    more = np.bincount(at, minlength=len(doc)) - 1.0
+    theta = start.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        z = theta[-1] + np.bincount(at, theta[word], len(doc))
+        z = np.bincount(at, theta[word], len(doc)) - theta[-1] * more
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[-1]))
         clear = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), total) + empty * np.log1p(-p0)
         whole = np.clip(1 - np.exp(clear), 1e-9, 1 - 1e-9)
         pull = np.where(y > 0, (1 - whole) / whole, -1.0)  # times p: the slope of the log-likelihood in z
+        pull *= np.where(y > 0, 1.0, clean_weight)
         g = pull[doc] * p
-        grad = np.append(np.bincount(word, g[at], len(known)), g.sum() + (pull * empty * p0).sum()) / total
-        grad[:-1] -= DECAY * theta[:-1]
+        grad = np.append(np.bincount(word, g[at], len(known)), (pull * empty * p0).sum() - (g * more).sum()) / total
+        grad -= PULL * (theta - start)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return NoisyOr({w: float(theta[i]) for w, i in place.items() if abs(theta[i]) > 0.05}, float(theta[-1]))
+    return NoisyOr({f: float(theta[i] - theta[-1]) for f, i in place.items()}, float(theta[-1]))
 
 
 def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
@@ -120,7 +161,7 @@ def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
     A null or empty text, or one without a sentence, has the score of one sentence without known words.
     Null and repeated doc_ids are kept; no rows give none; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # WORDS weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
