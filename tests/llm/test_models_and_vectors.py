@@ -175,7 +175,8 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_sentences_and_odd_rows(spark):
-    texts = [f"all is well here {i}. a calm day." for i in range(40)] + [f"all is well here {i}. you fool!" for i in range(40)]
+    own = lambda i: " ".join(f"all is well on day {chr(97 + i // 26)}{chr(97 + i % 26)} at {k}." for k in ("dawn", "noon", "dusk", "night"))
+    texts = [f"{own(i)} a calm day." for i in range(40)] + [f"{own(40 + i)} you fool!" for i in range(40)]
     model = toxicity.train(texts, [0] * 40 + [1] * 40)
     score, bad = model.score("a calm day. And you fool! Well.")
     assert score >= 0.5 and [s.strip() for _, s, _ in bad] == ["And you fool!"] and model.score("a calm day.")[0] < 0.5
