@@ -23,6 +23,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # the shuffle files that led here are of no more use: Spark drops them when the driver collects its garbage
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,9 +14,9 @@ from .common import documents, rows_of, written
 
 LENGTH, GRAM = 100, 16
 #: Bytes of one block of text, whose positions take PLACE_BITS bits beside a hash.
-SEGMENT, PLACE_BITS = 1 << 20, 22
+SEGMENT, PLACE_BITS = 1 << 18, 22
 #: Bytes that one suffix array is built of, about, and distinct surroundings of one anchor from which its windows are dealt one by one.
-ARRAY_BYTES, CROWD = 1 << 20, 2000
+ARRAY_BYTES, CROWD = 1 << 19, 256
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -247,7 +247,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 for column, value in zip(out, (doc_id, len(raw), [{"start": a, "end": b} for a, b in merged], b"".join(kept))):
                     column.append(value)
                 held += len(raw)
-                if held > 4 * SEGMENT:
+                if held > 16 * SEGMENT:
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind), pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
                     out, held = ([], [], [], []), 0
             if out[0]:
