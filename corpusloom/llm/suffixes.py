@@ -16,7 +16,7 @@ LENGTH, GRAM = 100, 16
 #: Bytes of one block of text, whose positions take PLACE_BITS bits beside a hash.
 SEGMENT, PLACE_BITS = 1 << 18, 22
 #: Bytes that one suffix array is built of, about, and distinct surroundings of one anchor from which its windows are dealt one by one.
-ARRAY_BYTES, CROWD = 1 << 19, 256
+ARRAY_BYTES, CROWD = 1 << 19, 512
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -189,6 +189,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     kinds = equal.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
     again = equal.where("n > 1").select(F.col("a").alias("a2"), F.col("g").alias("g2"), F.col("f.doc_id").alias("d2"), F.col("f.s").alias("s2"))
     whole = met.join(again, (F.col("a") == F.col("a2")) & (F.col("g") == F.col("g2"))).where("doc_id != d2 or s != s2").select("doc_id", "s", "c")
+    whole = written(whole, "whole")  # each way by itself: the shuffles of one are gone before the next
     # 3. different surroundings of one anchor: the text of the first of each kind
     open_ones = written(equal.join(kinds, "a").select("a", "kinds", "f.*"), "open")
     asked = open_ones.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("a", "kinds", "s", "c")).alias("runs"))
@@ -206,12 +207,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = texts.where(F.col("kinds") <= CROWD).agg(F.sum(F.length("raw"))).first()[0] or 0
     arrays = max(1, -(-size // ARRAY_BYTES))
     some = texts.where(F.col("kinds") <= CROWD).withColumn("__array", F.pmod(F.xxhash64("a"), F.lit(arrays))).select("__array", "doc_id", "s", "c", "raw").groupBy("__array").applyInArrow(_repeats_in, "doc_id long, s long, c int")
+    some = written(some, "some")
     # 4. crowded anchors: their windows one by one, by two hashes, with sums before the shuffle
     crowded = texts.where(F.col("kinds") > CROWD).select("doc_id", "s", "raw", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("k"))
     window = F.substring("raw", F.col("k") + 1, F.lit(LENGTH))
     crowded = crowded.select("doc_id", (F.col("s") + F.col("k")).alias("s"), F.xxhash64(window).alias("h"), F.xxhash64(F.lit(1), window).alias("i"))
     first = crowded.groupBy("h", "i").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("h2"), F.col("i").alias("i2"), F.col("f.doc_id").alias("d2"), F.col("f.s").alias("s2"))
     single = crowded.join(first, (F.col("h") == F.col("h2")) & (F.col("i") == F.col("i2"))).where("doc_id != d2 or s != s2").select("doc_id", "s", F.lit(1).alias("c"))
+    single = written(single, "single")
     return whole.unionByName(some).unionByName(single)
 
 
