@@ -15,8 +15,8 @@ from .common import documents, rows_of, written
 LENGTH, GRAM = 100, 16
 #: Bytes of one block of text, whose positions take PLACE_BITS bits beside a hash.
 SEGMENT, PLACE_BITS = 1 << 18, 22
-#: Bytes that one suffix array is built of, about, and distinct surroundings of one anchor from which its windows are dealt one by one.
-ARRAY_BYTES, CROWD = 1 << 19, 512
+#: Bytes that one suffix array is built of, about, and distinct surroundings of one anchor from which its windows are dealt by themselves, in blocks first.
+ARRAY_BYTES, CROWD, BLOCK = 1 << 19, 512, 16
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -70,14 +70,14 @@ def _words8(raw: np.ndarray) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, spans: list[tuple[int, int]]):
-    """(anchor hash, first window, number of windows) of maximal runs of windows with one anchor; spans: (start, end) of texts in raw.
+    """(anchor hash, first window, number of windows, bytes from the first window to the anchor) of maximal runs of windows with one anchor; spans: (start, end) of texts in raw.
 
     A window's anchor is its 16-byte gram of the least hash (the first of equals): equal windows have
     equal anchors in equal places.
     """
     wide = LENGTH - GRAM + 1
     if len(raw) < LENGTH:
-        return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8")
+        return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8")
     eight = _words8(raw)
     h = eight[:-8] * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
@@ -105,7 +105,7 @@ def anchors(raw: np.ndarray, spans: list[tuple[int, int]]):
     # a run ends at the next head or where its text has no more windows
     stop = np.nonzero(np.append(~ok, True))[0]
     ends = np.minimum(np.append(heads[1:], len(at)), stop[np.searchsorted(stop, heads)]) if len(heads) else heads
-    return h[at[heads]], heads, ends - heads
+    return h[at[heads]], heads, ends - heads, at[heads] - heads
 
 
 def _segments(ids: list, texts: list[str]):
@@ -126,21 +126,24 @@ def _segments(ids: list, texts: list[str]):
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """a (anchor), g (hash of the surroundings: all bytes of the run's windows), doc_id, s, c: a row for each run of windows."""
+    """a (anchor), g (hash of the surroundings: all bytes of the run's windows), doc_id, s, p: a row for each run of windows.
+
+    p holds the number of windows in its lower 8 bits, and above these the bytes from the first window to the anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for ids, texts in rows_of(batches):
             for raw, parts in _segments(ids, texts):
-                a, s, c = anchors(np.frombuffer(raw, "u1"), [(x[2], x[3]) for x in parts])
+                a, s, c, to = anchors(np.frombuffer(raw, "u1"), [(x[2], x[3]) for x in parts])
                 starts = np.array([x[2] for x in parts])
                 part = np.searchsorted(starts, s, "right") - 1
                 g = np.fromiter((digest(raw[i:j]) for i, j in zip(s.tolist(), (s + c + LENGTH - 1).tolist())), "u8", len(s))
                 doc = np.array([-1 if x[0] is None else x[0] for x in parts], "i8")[part]
                 offset = s - starts[part] + np.array([x[1] for x in parts], "i8")[part]
-                yield pa.RecordBatch.from_arrays([pa.array(a.view("i8")), pa.array(g.view("i8")), pa.array(doc), pa.array(offset.astype("i8")), pa.array(c.astype("i4"))], names=["a", "g", "doc_id", "s", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view("i8")), pa.array(g.view("i8")), pa.array(doc), pa.array(offset.astype("i8")), pa.array((c | to << 8).astype("i4"))], names=["a", "g", "doc_id", "s", "p"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "a long, g long, doc_id long, s long, c int")
+    return docs.where("doc_id is not null").mapInArrow(run, "a long, g long, doc_id long, s long, p int")
 
 
 def _repeats_in(table: pa.Table) -> pa.Table:
@@ -178,6 +181,17 @@ def _repeats_in(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": doc[piece[hit[at]]], "s": (s[piece] + inner)[hit[at]], "c": np.diff(np.append(at, len(hit))).astype("i4")})
 
 
+def _two_hashes(raw) -> dict:
+    return {"h": F.xxhash64(raw), "i": F.xxhash64(F.lit(1), raw)}
+
+
+def _others(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id, s, c of the rows whose (h, i) has another row as its first."""
+    first = firsts.select(F.col("h").alias("h2"), F.col("i").alias("i2"), F.col("doc_id").alias("d2"), F.col("s").alias("s2"))
+    met = rows.select("h", "i", "doc_id", "s", "c").join(first, (F.col("h") == F.col("h2")) & (F.col("i") == F.col("i2")))
+    return met.where("doc_id != d2 or s != s2").select("doc_id", "s", "c")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, s, c: runs of c windows from byte s on that all start earlier too (rows may overlap)."""
     spark = docs.sparkSession
@@ -185,36 +199,43 @@ def repeats(docs: DataFrame) -> DataFrame:
     often = occurrences(docs).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     met = written(occurrences(docs).join(often, "a", "left_semi"), "anchored")
     # 2. equal surroundings: all but the first repeat it whole
-    equal = written(met.groupBy("a", "g").agg(F.min(F.struct("doc_id", "s", "c")).alias("f"), F.count("*").alias("n")), "equal")
+    equal = written(met.groupBy("a", "g").agg(F.min(F.struct("doc_id", "s", "p")).alias("f"), F.count("*").alias("n")), "equal")
     kinds = equal.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
     again = equal.where("n > 1").select(F.col("a").alias("a2"), F.col("g").alias("g2"), F.col("f.doc_id").alias("d2"), F.col("f.s").alias("s2"))
-    whole = met.join(again, (F.col("a") == F.col("a2")) & (F.col("g") == F.col("g2"))).where("doc_id != d2 or s != s2").select("doc_id", "s", "c")
+    whole = met.join(again, (F.col("a") == F.col("a2")) & (F.col("g") == F.col("g2"))).where("doc_id != d2 or s != s2").select("doc_id", "s", F.col("p").bitwiseAND(255).alias("c"))
     whole = written(whole, "whole")  # each way by itself: the shuffles of one are gone before the next
     # 3. different surroundings of one anchor: the text of the first of each kind
-    open_ones = written(equal.join(kinds, "a").select("a", "kinds", "f.*"), "open")
-    asked = open_ones.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("a", "kinds", "s", "c")).alias("runs"))
+    open_ones = written(equal.join(kinds, "a").select("a", "kinds", "f.doc_id", "f.s", F.col("f.p").bitwiseAND(255).alias("c"), F.shiftright("f.p", 8).alias("to")), "open")
+    asked = open_ones.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("a", "kinds", "s", "c", "to")).alias("runs"))
     with_text = docs.join(asked, docs.doc_id == asked.asked_id).select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("runs")):
                 raw, got = text.as_py().encode(), runs.values if hasattr(runs, "values") else runs
-                a, kinds, s, c = (got.field(k).to_numpy(zero_copy_only=False) for k in ("a", "kinds", "s", "c"))
+                a, kinds, s, c, to = (got.field(k).to_numpy(zero_copy_only=False) for k in ("a", "kinds", "s", "c", "to"))
                 parts = [raw[i:j] for i, j in zip(s.tolist(), (s + c + LENGTH - 1).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(kinds), pa.array(np.full(len(a), doc_id, "i8")), pa.array(s), pa.array(c), pa.array(parts, pa.binary())], names=["a", "kinds", "doc_id", "s", "c", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(kinds), pa.array(np.full(len(a), doc_id, "i8")), pa.array(s), pa.array(c), pa.array(to), pa.array(parts, pa.binary())], names=["a", "kinds", "doc_id", "s", "c", "to", "raw"])
 
-    texts = written(with_text.mapInArrow(cut, "a long, kinds long, doc_id long, s long, c int, raw binary"), "surroundings")
+    texts = written(with_text.mapInArrow(cut, "a long, kinds long, doc_id long, s long, c int, to int, raw binary"), "surroundings")
     size = texts.where(F.col("kinds") <= CROWD).agg(F.sum(F.length("raw"))).first()[0] or 0
     arrays = max(1, -(-size // ARRAY_BYTES))
     some = texts.where(F.col("kinds") <= CROWD).withColumn("__array", F.pmod(F.xxhash64("a"), F.lit(arrays))).select("__array", "doc_id", "s", "c", "raw").groupBy("__array").applyInArrow(_repeats_in, "doc_id long, s long, c int")
     some = written(some, "some")
-    # 4. crowded anchors: their windows one by one, by two hashes, with sums before the shuffle
-    crowded = texts.where(F.col("kinds") > CROWD).select("doc_id", "s", "raw", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("k"))
-    window = F.substring("raw", F.col("k") + 1, F.lit(LENGTH))
-    crowded = crowded.select("doc_id", (F.col("s") + F.col("k")).alias("s"), F.xxhash64(window).alias("h"), F.xxhash64(F.lit(1), window).alias("i"))
-    first = crowded.groupBy("h", "i").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("h2"), F.col("i").alias("i2"), F.col("f.doc_id").alias("d2"), F.col("f.s").alias("s2"))
-    single = crowded.join(first, (F.col("h") == F.col("h2")) & (F.col("i") == F.col("i2"))).where("doc_id != d2 or s != s2").select("doc_id", "s", F.lit(1).alias("c"))
-    single = written(single, "single")
+    # 4. crowded anchors: first blocks of windows at equal distances from the anchor, then the windows of the first block of each kind
+    crowded = texts.where(F.col("kinds") > CROWD)
+    blocks = crowded.withColumn("b", F.explode(F.sequence(F.floor((F.col("to") - F.col("c") + 1) / BLOCK), F.floor(F.col("to") / BLOCK))))
+    low, high = F.greatest(F.lit(0), F.col("to") - BLOCK * F.col("b") - BLOCK + 1).cast("int"), F.least(F.col("c") - 1, F.col("to") - BLOCK * F.col("b")).cast("int")
+    blocks = blocks.select("doc_id", (F.col("s") + low).alias("s"), (high - low + 1).alias("c"), F.substring("raw", low + 1, high - low + LENGTH).alias("raw"))
+    blocks = written(blocks.withColumns(_two_hashes(F.col("raw"))), "blocks")
+    firsts = blocks.groupBy("h", "i").agg(F.min(F.struct("doc_id", "s", "c", "raw")).alias("f"))
+    firsts = written(firsts.select("h", "i", "f.*"), "firsts")
+    alike = written(_others(blocks, firsts), "alike")
+    windows = firsts.select("doc_id", "s", "raw", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("k"))
+    windows = windows.select("doc_id", (F.col("s") + F.col("k")).alias("s"), F.lit(1).alias("c"), F.substring("raw", F.col("k") + 1, F.lit(LENGTH)).alias("raw"))
+    windows = windows.withColumns(_two_hashes(F.col("raw"))).drop("raw")
+    single = _others(windows, windows.groupBy("h", "i").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "i", "f.*"))
+    single = written(single, "single").unionByName(alike)
     return whole.unionByName(some).unionByName(single)
 
 
