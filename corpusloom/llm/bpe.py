@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ class BytePairCodec:
     """Encodes as the vocabulary's own library does (added tokens in a text count as such), and decodes."""
 
     def __init__(self, spec: bytes):
+        self.spec = spec
         told = json.loads(spec)
         letters = byte_letters()
         vocab, merges = told["model"]["vocab"], told["model"]["merges"]
@@ -59,44 +61,50 @@ class BytePairCodec:
         self.of_byte = [0] * 256
         for letter, b in letters.items():
             self.of_byte[b] = vocab[letter]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
-        for n, pair in enumerate(merges):
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
+        for pair in merges:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank[vocab[left], vocab[right]] = (n, vocab[left + right])
+            self.rank[vocab[left], vocab[right]] = len(self.made)
+            self.made.append(vocab[left + right])
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.strings = [b""] * size
         for token, i in vocab.items():
             self.strings[i] = bytes(letters[c] for c in token)
         for token, i in self.added.items():
             self.strings[i] = token.encode()
+        self.decimals = [str(i) for i in range(size)]
         self.piece = Memo(self._merged)
         self.first = Memo(lambda chunk: self._chunk(chunk))
         self.later = Memo(lambda chunk: self._chunk(" " + chunk))
 
     def _merged(self, piece: str) -> bytes:
         """The ids of one piece as little-endian 32-bit numbers."""
-        symbols = [self.of_byte[b] for b in piece.encode()]
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        rank, queue = self.rank, []
-        for i in range(n - 1):
-            if (found := rank.get((symbols[i], symbols[i + 1]))) is not None:
-                queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
-        heapq.heapify(queue)
-        while queue:
-            _, i, left, right, made = heapq.heappop(queue)
-            j = after[i] if symbols[i] == left else -1
-            if j < 0 or symbols[j] != right:
-                continue  # stale: a neighbour has been merged since
-            symbols[i], symbols[j] = made, -1
-            after[i] = k = after[j]
-            if k >= 0:
+        symbols = list(map(self.of_byte.__getitem__, piece.encode()))
+        rank, made = self.rank.get, self.made
+        # an entry of the queue is a rank, and below it the place of the pair's left symbol
+        queue = [r << 32 | i for i, r in enumerate(map(rank, zip(symbols, symbols[1:]))) if r is not None]
+        if queue:
+            n = len(symbols)
+            before, after = list(range(-1, n)), list(range(1, n + 2))  # place n ends the list
+            symbols.append(-1)
+            heapify(queue)
+            while queue:
+                entry = heappop(queue)
+                i, r = entry & 0xFFFFFFFF, entry >> 32
+                j = after[i]
+                if rank((symbols[i], symbols[j])) != r:
+                    continue  # stale: a neighbour has been merged since
+                symbols[i], symbols[j] = made[r], -1
+                k = after[i] = after[j]
                 before[k] = i
-                if (found := rank.get((made, symbols[k]))) is not None:
-                    heapq.heappush(queue, (found[0], i, made, symbols[k], found[1]))
-            if (h := before[i]) >= 0 and (found := rank.get((symbols[h], made))) is not None:
-                heapq.heappush(queue, (found[0], h, symbols[h], made, found[1]))
-        return np.array([s for s in symbols if s >= 0], "<u4").tobytes()
+                if (r := rank((symbols[i], symbols[k]))) is not None:
+                    heappush(queue, r << 32 | i)
+                h = before[i]
+                if h >= 0 and (r := rank((symbols[h], symbols[i]))) is not None:
+                    heappush(queue, r << 32 | h)
+            symbols = [x for x in symbols if x >= 0]
+        return pack(f"<{len(symbols)}I", *symbols)
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.piece.__getitem__, PIECES.findall(chunk)))
@@ -117,6 +125,28 @@ class BytePairCodec:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class FastEncoder(BytePairCodec):
+    """The same ids from the compiled merges of another library, where the vocabulary numbers its tokens in the order of the merges."""
+
+    def __init__(self, spec: bytes):
+        import tiktoken
+
+        super().__init__(spec)
+        added = set(self.added.values())
+        ranks = {token: i for i, token in enumerate(self.strings) if token and i not in added}
+        self.compiled = tiktoken.Encoding("own", pat_str=PIECES.pattern, mergeable_ranks=ranks, special_tokens={}) if self.made == sorted(self.made) else None
+
+    def _plain(self, text: str) -> bytes:
+        if self.compiled is None:
+            return super()._plain(text)
+        return np.asarray(self.compiled.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def fast_encoder(spec: bytes) -> FastEncoder:
+    return FastEncoder(spec)
+
+
 @lru_cache(maxsize=2)
 def codec(spec: bytes) -> BytePairCodec:
     return BytePairCodec(spec)
@@ -143,7 +173,7 @@ def roundtrip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def digest(c: BytePairCodec, raw: bytes):
         ids = np.frombuffer(raw, "<u4").tolist()
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
+        return len(ids), hashlib.sha256(",".join(map(c.decimals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
 
     return _over(docs, vocabulary_path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digest, [pa.int64(), pa.string(), pa.string()])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .bpe import codec, vocabulary
+from .bpe import fast_encoder, vocabulary
 from .common import documents, rows_of, written
 
 CAPACITY, END_ID = 2048, 0
@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> D
     spec, end = vocabulary(docs.sparkSession, vocabulary_path), np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(spec.value)
+        c = fast_encoder(spec.value)
         for ids, texts in rows_of(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(ids, texts):

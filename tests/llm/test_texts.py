@@ -47,12 +47,14 @@ def test_bpe_as_the_library(text):
     ids = np.frombuffer(codec.encode(text), "<u4").tolist()
     assert ids == LIBRARY.encode(text, add_special_tokens=False).ids
     assert codec.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+    assert bpe.fast_encoder(codec.spec).encode(text) == codec.encode(text)
 
 
 def test_bpe_every_blank_and_script(library, own):
     for c in [*range(0x3100), *range(0xFE00, 0xFFFE)]:
         text = f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}c"
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(c)
+        assert bpe.fast_encoder(own.spec).encode(text) == own.encode(text), hex(c)
 
 
 def test_bpe_query(spark, sf_dir, library):
