@@ -84,7 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NoisyOr:
     share = F.when(F.col("toxic") == 1, min(1.0, 2.5 * (sample + 50) / max(1, number.get(1, 0)))).otherwise(min(1.0, 2.5 * (sample + 50) / max(1, number.get(0, 0))))
     cut = toxic.where(h.cast("double") / 2.0**64 + 0.5 <= share)
     rows = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).where("text is not null")
-    kept = rows.join(cut, F.col("doc_id") == F.col("labelled")).withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(h, "text"))).where(F.col("r") <= sample)
+    # broadcast: the cut holds about 2.5 times the sample of each class at most, whatever the table's size
+    kept = rows.join(F.broadcast(cut), F.col("doc_id") == F.col("labelled")).withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(h, "text"))).where(F.col("r") <= sample)
     got = sorted((r["toxic"], r["doc_id"], r["text"]) for r in kept.select("toxic", "doc_id", "text").collect())
     shown = sum(1 for y, _, _ in got if not y)
     return train([t for _, _, t in got], [y for y, _, _ in got], max(1.0, number.get(0, 0) / shown if shown else 1.0))
