@@ -135,6 +135,8 @@ class FastEncoder(BytePairCodec):
         added = set(self.added.values())
         ranks = {token: i for i, token in enumerate(self.strings) if token and i not in added}
         self.compiled = tiktoken.Encoding("own", pat_str=PIECES.pattern, mergeable_ranks=ranks, special_tokens={}) if self.made == sorted(self.made) else None
+        if self.compiled is not None:
+            self.rank, self.made, self.decimals = {}, [], []
 
     def _plain(self, text: str) -> bytes:
         if self.compiled is None:

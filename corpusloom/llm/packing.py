@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = fast_encoder(spec.value)
-        for ids, texts in rows_of(batches):
+        for ids, texts in rows_of(batches, 1 << 18):
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(ids, texts):
                 raw = c.encode(text) + end
