@@ -16,7 +16,7 @@ LENGTH, GRAM = 100, 16
 #: Bytes of one block of text, whose positions take PLACE_BITS bits beside a hash.
 SEGMENT, PLACE_BITS = 1 << 18, 22
 #: Bytes that one suffix array is built of, about, and distinct surroundings of one anchor from which its windows are dealt by themselves, in blocks first.
-ARRAY_BYTES, CROWD, BLOCK = 1 << 19, 512, 16
+ARRAY_BYTES, CROWD, BLOCKS = 1 << 19, 512, (16, 4, 1)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -181,8 +181,14 @@ def _repeats_in(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": doc[piece[hit[at]]], "s": (s[piece] + inner)[hit[at]], "c": np.diff(np.append(at, len(hit))).astype("i4")})
 
 
-def _two_hashes(raw) -> dict:
-    return {"h": F.xxhash64(raw), "i": F.xxhash64(F.lit(1), raw)}
+def _blocks(runs: DataFrame, size: int) -> DataFrame:
+    """Runs of windows (a, doc_id, s, c, to, raw) cut where the distance to the anchor is a multiple of size; h, i: hashes of a
+    block's bytes; core: a hash of the anchor, the block's place and the bytes that all windows of a whole block there have in common."""
+    b = runs.withColumn("b", F.explode(F.sequence(F.floor((F.col("to") - F.col("c") + 1) / size), F.floor(F.col("to") / size))))
+    low, high = F.greatest(F.lit(0), F.col("to") - size * F.col("b") - size + 1).cast("int"), F.least(F.col("c") - 1, F.col("to") - size * F.col("b")).cast("int")
+    b = b.select("a", "b", "doc_id", (F.col("s") + low).alias("s"), (high - low + 1).cast("int").alias("c"), (F.col("to") - low).cast("int").alias("to"), F.substring("raw", low + 1, high - low + LENGTH).alias("raw"))
+    core = F.substring("raw", (F.col("to") - size * F.col("b") + 1).cast("int"), F.lit(LENGTH + 1 - size))
+    return b.select("a", "doc_id", "s", "c", "to", "raw", F.xxhash64("raw").alias("h"), F.xxhash64(F.lit(1), "raw").alias("i"), F.xxhash64("a", "b", core).alias("core"))
 
 
 def _others(rows: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -222,20 +228,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     arrays = max(1, -(-size // ARRAY_BYTES))
     some = texts.where(F.col("kinds") <= CROWD).withColumn("__array", F.pmod(F.xxhash64("a"), F.lit(arrays))).select("__array", "doc_id", "s", "c", "raw").groupBy("__array").applyInArrow(_repeats_in, "doc_id long, s long, c int")
     some = written(some, "some")
-    # 4. crowded anchors: first blocks of windows at equal distances from the anchor, then the windows of the first block of each kind
-    crowded = texts.where(F.col("kinds") > CROWD)
-    blocks = crowded.withColumn("b", F.explode(F.sequence(F.floor((F.col("to") - F.col("c") + 1) / BLOCK), F.floor(F.col("to") / BLOCK))))
-    low, high = F.greatest(F.lit(0), F.col("to") - BLOCK * F.col("b") - BLOCK + 1).cast("int"), F.least(F.col("c") - 1, F.col("to") - BLOCK * F.col("b")).cast("int")
-    blocks = blocks.select("doc_id", (F.col("s") + low).alias("s"), (high - low + 1).alias("c"), F.substring("raw", low + 1, high - low + LENGTH).alias("raw"))
-    blocks = written(blocks.withColumns(_two_hashes(F.col("raw"))), "blocks")
-    firsts = blocks.groupBy("h", "i").agg(F.min(F.struct("doc_id", "s", "c", "raw")).alias("f"))
-    firsts = written(firsts.select("h", "i", "f.*"), "firsts")
-    alike = written(_others(blocks, firsts), "alike")
-    windows = firsts.select("doc_id", "s", "raw", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("k"))
-    windows = windows.select("doc_id", (F.col("s") + F.col("k")).alias("s"), F.lit(1).alias("c"), F.substring("raw", F.col("k") + 1, F.lit(LENGTH)).alias("raw"))
-    windows = windows.withColumns(_two_hashes(F.col("raw"))).drop("raw")
-    single = _others(windows, windows.groupBy("h", "i").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "i", "f.*"))
-    single = written(single, "single").unionByName(alike)
+    # 4. crowded anchors: their windows in blocks at equal distances from the anchor, in finer blocks, one by one
+    single, left = None, texts.where(F.col("kinds") > CROWD).select("a", "doc_id", "s", "c", "to", "raw")
+    for size in BLOCKS:
+        blocks = written(_blocks(left, size), f"blocks{size}")
+        firsts = blocks.groupBy("h", "i").agg(F.min(F.struct("doc_id", "s", "c", "a", "to", "core", "raw")).alias("f"), F.count("*").alias("n"))
+        firsts = written(firsts.select("h", "i", "n", "f.*"), f"firsts{size}")
+        alike = written(_others(blocks, firsts.where("n > 1")), f"alike{size}")
+        single = alike if single is None else single.unionByName(alike)
+        # windows of one block all hold its core, so that a block whose core no other block has is done
+        shared = firsts.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+        left = firsts.join(shared, "core", "left_semi").select("a", "doc_id", "s", "c", "to", "raw")
     return whole.unionByName(some).unionByName(single)
 
 
