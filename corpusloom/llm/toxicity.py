@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -104,13 +105,23 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Nois
     if not len(y) or y.min() == y.max():
         rate = min(0.99, max(0.01, float(y.mean()) if len(y) else 0.01))
         return NoisyOr({}, float(np.log(rate / (1 - rate))))
-    bags = [[set(WORD.findall(s.lower())) for s in SENTENCE.findall(t)] or [set()] for t in texts]
-    n, hits = Counter(), Counter()
+    same: dict[str, str] = {}  # one object for all places of a word
+    bags = [[tuple({same.setdefault(w, w) for w in WORD.findall(s.lower())}) for s in SENTENCE.findall(t)] or [()] for t in texts]
+    in_words = lambda b: {f for w in set().union(*b) for f in features(w)}
+    # half of the LEAST_DOCS documents of a telling feature are toxic at least, so that others need no count; a table of
+    # counts by a hash, which are never too low, spares most of them
+    may, slot = np.zeros(1 << 22, "i4"), lambda f: crc32(f.encode()) & (1 << 22) - 1
     for b, label in zip(bags, toxic):
-        found = {f for w in set().union(*b) for f in features(w)}
-        n.update(found)
         if label:
-            hits.update(found)
+            np.add.at(may, [slot(f) for f in in_words(b)], 1)
+    hits = Counter()
+    for b, label in zip(bags, toxic):
+        if label:
+            hits.update(f for f in in_words(b) if 2 * may[slot(f)] >= LEAST_DOCS)
+    hits = Counter({f: k for f, k in hits.items() if 2 * k >= LEAST_DOCS})
+    n = Counter()
+    for b in bags:
+        n.update(in_words(b) & hits.keys())
     total, ones = len(y), float(y.sum())
     least = 2 * np.log(max(2, len(n))) + MARGIN
 
