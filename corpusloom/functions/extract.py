@@ -120,7 +120,7 @@ def topic(text: Column) -> Column:
 
 def similarity_score(text: Column) -> Column:
     found = _first(text, r"(\d+\.?\d*)").try_cast("double")
-    return F.coalesce(F.least(F.lit(5.0), F.greatest(F.lit(0.0), found)), F.lit(2.5))
+    return F.when(found.isNull(), 2.5).otherwise(F.least(F.lit(5.0), F.greatest(F.lit(0.0), found)))
 
 
 def relation(text: Column) -> Column:

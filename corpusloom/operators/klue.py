@@ -147,4 +147,5 @@ def first_answer(answers: Column) -> Column:
 
 
 def clamp_score(score: Column) -> Column:
-    return F.least(F.lit(5.0), F.greatest(F.lit(0.0), score.cast("string").try_cast("double")))
+    found = score.cast("string").try_cast("double")
+    return F.when(found.isNotNull(), F.least(F.lit(5.0), F.greatest(F.lit(0.0), found)))
