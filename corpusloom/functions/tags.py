@@ -63,9 +63,10 @@ def remove_early(text: Column, threshold: int = 10, tag: str = TAG) -> Column:
         end = F.instr(rest, b)
         tail = F.when(end > 0, F.substring(rest, end + len(b), F.length(rest))).otherwise(rest)
         early = (at > 0) & (words(head) <= threshold)
-        return F.struct(F.when(early, F.concat(head, tail)).otherwise(t).alias("text"), (state["removed"] + F.when(early, 1).otherwise(0)).cast("int").alias("removed"))
+        made = lambda text, n, done: F.struct(text.alias("text"), n.cast("int").alias("removed"), F.lit(done).alias("done"))
+        return F.when(state["done"], state).when(early, made(F.concat(head, tail), state["removed"] + 1, False)).otherwise(made(t, state["removed"], True))
 
-    start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(0).cast("int").alias("removed"))
+    start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(0).cast("int").alias("removed"), F.lit(False).alias("done"))
     return F.aggregate(F.array_repeat(F.lit(0), opens(text, tag)), start, step, lambda s: F.struct(squeeze(s["text"]).alias("text"), s["removed"].alias("removed")))
 
 

@@ -145,6 +145,18 @@ def tag_profile(df: DataFrame, column: str = "completion", tag: str = tags.TAG)
     )
 
 
+def cleaned_profile(df: DataFrame, column: str = "completion", threshold: int = 10, least: int = 100, tag: str = tags.TAG) -> DataFrame:
+    """Profile of what early removal, the balance, tag and length filters leave. One pass: the cleaned text is bound
+    once a row in a lambda, and the filters are conditions of the sums, so that nothing is worked out twice."""
+    c = lambda t: F.struct(
+        tags.opens(t, tag).alias("o"), tags.closes(t, tag).alias("k"), tags.words_before(t, tag).alias("before"),
+        text.tokens_of_words(text.words(t)).alias("tokens"), text.tokens_of_words(text.words(tags.strip(t, tag))).alias("original"),
+    )
+    facts = df.select(F.inline(F.transform(F.array(tags.remove_early(F.col(column), threshold, tag)), lambda e: c(e["text"]))))
+    kept = facts.where((F.col("o") == F.col("k")) & (F.col("o") > 0) & (F.col("original") >= least))
+    return kept.agg(F.count("*").alias("items"), F.sum("o").alias("tags"), F.round(F.avg("before"), 6).alias("mean_before"), F.round(F.avg("tokens"), 6).alias("mean_tokens"), F.round(F.avg("original"), 6).alias("mean_original_tokens"))
+
+
 def training_advice(profile: DataFrame, batch: int = 1) -> DataFrame:
     m = F.col("max_tokens")
     return profile.select("max_tokens", F.when(m > 4000, "very_long").when(m > 2000, "long").otherwise("regular").alias("tier"), (m * 2 * batch).alias("memory_hint"))

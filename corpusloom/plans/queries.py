@@ -314,9 +314,7 @@ f AS (SELECT len(regexp_extract_all(x, '<ToW>')) AS o, len(regexp_extract_all(x,
 SELECT count(*) AS items, sum(o) AS tags, round(avg(b), 6) AS mean_before, round(avg(w * 133 // 100), 6) AS mean_tokens, round(avg(wb * 133 // 100), 6) AS mean_original_tokens FROM f WHERE o = k AND o > 0 AND wb * 133 // 100 >= 100""")
 def cleaned_corpus_profile(spark, sf_dir):
     """The flagship: early spans removed, balanced and tagged rows of at least 100 original tokens, profiled in one pass."""
-    early = tagged_corpus(spark, sf_dir).withColumn("completion", tags.remove_early(F.col("completion"))["text"])
-    kept = corpus.long_original(corpus.tagged(corpus.balanced(early)))
-    return corpus.tag_profile(kept).select("items", F.col("open_tags").alias("tags"), "mean_before", "mean_tokens", "mean_original_tokens")
+    return corpus.cleaned_profile(tagged_corpus(spark, sf_dir))
 
 
 # ---- splicing
