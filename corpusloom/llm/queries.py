@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, language, licenses, packing, simhash, suffixes, topk, toxicity, urls
+from . import bpe, embeddings, language, licenses, packing, simhash, sql, suffixes, topk, toxicity, urls
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Rules by hand (verdict, host, path).
@@ -83,6 +83,9 @@ GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": sql.url_filter(RULES),
+        "op3_license_scan": sql.license_scan(),
+        "op5_suffix_dedup": sql.suffix_dedup(),
         "op7_embedding_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {GOOD} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
