@@ -32,7 +32,7 @@ told AS (SELECT p.tokens, coalesce(l.quality = 0, false) OR coalesce(l.toxic = 1
   WHERE p.url IS NOT NULL AND (l.quality IS NOT NULL AND l.toxic IS NOT NULL OR l.quality = 0 OR l.toxic = 1)),
 n AS (SELECT count(*) AS n FROM told WHERE block OR len(tokens) > 0),
 mined AS (SELECT s, count(*) FILTER (WHERE block) / count(*) AS confidence FROM ({_sets('told')}) GROUP BY s
-  HAVING count(*) FILTER (WHERE block) >= greatest(1, ceil({support} * (SELECT n FROM n))) AND count(*) FILTER (WHERE block) / count(*) >= {confidence}),
+  HAVING count(*) FILTER (WHERE block) >= greatest({urls.LEAST_ROWS}, ceil({support} * (SELECT n FROM n))) AND count(*) FILTER (WHERE block) / count(*) >= {confidence}),
 surest AS (SELECT url, max(confidence) AS confidence FROM ({_sets('(SELECT DISTINCT url, tokens FROM p WHERE url IS NOT NULL)')}) JOIN mined USING (s) GROUP BY url),
 hand AS (SELECT * FROM (VALUES {hand}) AS r(verdict, h, p)),
 fits AS (SELECT page_id, arg_max(h || hand.p, length(h || hand.p)) AS rule, arg_max(verdict, length(h || hand.p)) AS verdict

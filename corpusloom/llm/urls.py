@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -11,6 +13,8 @@ from .common import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "label:block"
 SUPPORT, CONFIDENCE = 0.002, 0.6
+#: Blocked rows that a rule needs however few rows are labelled: one or two say nothing of others.
+LEAST_ROWS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -33,33 +37,57 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(host, path, keys))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """labelled (url, block boolean) -> rules (tokens, confidence, support) that speak for blocking.
+def mine_classes(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """labelled (url, block boolean) -> rules (items, confidence, support) that speak for blocking, classes (token, item).
 
-    FP-growth over tokens and the label; rules need `support` and `confidence`; a rule that contains another
-    one's tokens without being more certain adds nothing and is dropped. No rows or no rule: an empty table.
+    Tokens that stand in exactly the same rows are one item, named by the smallest of them, so that a long url of which there
+    are many copies counts as one item, not as all sets of its tokens. Tokens that the label makes too rare for any
+    rule are left out first. FP-growth over items and the label; rules need `confidence`, `support` and LEAST_ROWS rows; a rule that
+    contains another one's items without being more certain adds nothing and is dropped. No rows or no rule: empty tables.
     """
-    baskets = labelled.where("url is not null and block is not null").select(F.concat(tokens_of(F.col("url")), F.when(F.col("block"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
-    rules = found.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BLOCK)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    told = labelled.where("url is not null and block is not null").select(F.monotonically_increasing_id().alias("row"), tokens_of(F.col("url")).alias("own"), "block")
+    told = written(told.where(F.col("block") | (F.size("own") > 0)), "labelled")
+    least = max(LEAST_ROWS, math.ceil(support * told.count()))
+    lists = told.select("row", "block", F.explode("own").alias("token"))
+    same_rows = [F.sum(F.xxhash64("row", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)]
+    often = lists.groupBy("token").agg(F.count("*").alias("n"), F.count_if("block").alias("bad"), *same_rows).where(F.col("bad") >= least)
+    # at most (tokens of a url) / support tokens are left
+    classes = written(often.withColumn("item", F.min("token").over(Window.partitionBy("n", "h1", "h2"))).select("token", "item"), "classes")
+    items = lists.join(classes.where("token = item").select("token"), "token").groupBy("row").agg(F.collect_list("token").alias("items"), F.max("block").alias("block"))
+    baskets = items.select(F.concat("items", F.when(F.col("block"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    baskets = written(baskets, "baskets")
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, baskets.count())), minConfidence=confidence).fit(baskets).associationRules
+    rules = found.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BLOCK)).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
     rules = written(rules, "rules")
-    wider, narrower = rules.alias("a"), rules.select(F.explode("tokens").alias("one"), F.col("tokens").alias("less"), F.col("confidence").alias("sure"))
-    # a narrower rule shares its first token with the wider one
+    wider, narrower = rules.alias("a"), rules.select(F.explode("items").alias("one"), F.col("items").alias("less"), F.col("confidence").alias("sure"))
+    # a narrower rule shares its first item with the wider one
     first = narrower.where(F.col("one") == F.element_at("less", 1))
-    met = wider.withColumn("one", F.explode("tokens")).join(first, "one").where((F.size("less") < F.size("tokens")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0))
-    return rules.join(met.select("tokens").distinct(), "tokens", "left_anti")
+    met = wider.withColumn("one", F.explode("items")).join(first, "one").where((F.size("less") < F.size("items")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("less", "items")) == 0))
+    return rules.join(met.select("items").distinct(), "items", "left_anti"), classes
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """The rules of mine_classes with every choice of tokens for their items: (tokens, confidence, support)."""
+    rules, classes = mine_classes(labelled, support, confidence)
+    same = classes.groupBy("item").agg(F.collect_list("token").alias("same"))
+    parts = rules.select("items", "confidence", "support", F.explode("items").alias("item")).join(same, "item").groupBy("items", "confidence", "support").agg(F.collect_list("same").alias("parts"))
+    one_more = lambda made, part: F.flatten(F.transform(made, lambda m: F.transform(part, lambda t: F.array_append(m, t))))
+    sets = F.aggregate("parts", F.array(F.array().cast("array<string>")), one_more)
+    return parts.select(F.explode(sets).alias("tokens"), "confidence", "support").select(F.array_sort("tokens").alias("tokens"), "confidence", "support")
 
 
-def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (url, distinct) -> url, confidence of the surest rule whose tokens the url all has.
+def matched(urls: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """urls (url, distinct) -> url, confidence of the surest rule of whose items the url all has.
 
-    Inverted index: each rule stands under its rarest token, each url looks up its own tokens and verifies the rest.
+    A url has an item if it has one of its tokens. Inverted index: each rule stands under its rarest item,
+    each url looks up its own items and verifies the rest.
     """
-    tokens = urls.select("url", tokens_of(F.col("url")).alias("own"))
-    lists = tokens.select("url", "own", F.explode("own").alias("token"))
-    often = lists.join(rules.select(F.explode("tokens").alias("token")).distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    keyed = rules.select("tokens", "confidence", F.explode("tokens").alias("token")).join(often, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.max("confidence").alias("confidence"))
-    hits = lists.join(keyed, "token").where(F.size(F.array_except("tokens", "own")) == 0)
+    used = classes.join(rules.select(F.explode("items").alias("item")).distinct(), "item", "left_semi")
+    held = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(used, "token").groupBy("url").agg(F.collect_set("item").alias("own"))
+    lists = held.select("url", "own", F.explode("own").alias("item"))
+    often = lists.groupBy("item").agg(F.count("*").alias("n"))
+    keyed = rules.select("items", "confidence", F.explode("items").alias("item")).join(often, "item").groupBy("items").agg(F.min_by("item", F.struct("n", "item")).alias("item"), F.max("confidence").alias("confidence"))
+    hits = lists.join(keyed, "item").where(F.size(F.array_except("items", "own")) == 0)
     return hits.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
@@ -80,7 +108,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str
         own = own.select("page_id", "url", "host", "path", F.col("__best.rule").alias("rule"), F.col("__best.verdict").alias("__hand"))
     else:
         own = own.select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("__hand"))
-    found = matched(own.where("url is not null").select("url").distinct(), mine(labelled)).withColumnRenamed("url", "__url")
+    found = matched(own.where("url is not null").select("url").distinct(), *mine_classes(labelled)).withColumnRenamed("url", "__url")
     out = own.join(found, own.url == found["__url"], "left")
     verdict = F.coalesce("__hand", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "confidence")

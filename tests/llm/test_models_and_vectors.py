@@ -233,6 +233,16 @@ def test_url_rules_against_all_sets(spark):
     assert set(verdicts.values()) == {"allow", "block"}
 
 
+def test_url_rules_of_long_urls(spark):
+    long = "http://long.example.org/" + "/".join(f"s{i}x" for i in "abcdefghijklmnopqrstuvwxyz" for i in (i, i * 2, i * 3)) + "?" + "k=v&" * 40_000
+    rows = [(long, True)] * 12 + [("http://b.example.org/a/1", False)] * 12 + [("http://once.example.org/z", True)] * 4 + [("", True), ("no scheme", False)]
+    df = spark.createDataFrame(rows, "url string, block boolean")
+    rules, classes = urls.mine_classes(df)
+    assert [r["items"] for r in rules.collect()] == [["host:long"]] and classes.where("item = 'host:long'").count() == 80
+    pages = spark.createDataFrame([(1, long), (2, "http://x.net/sax"), (3, "http://once.example.org/z"), (4, "http://b.example.org/a/2"), (5, None), (6, "")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, df, []).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
