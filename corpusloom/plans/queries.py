@@ -105,14 +105,14 @@ p AS (SELECT idx // 10 AS text_id, idx % 10 AS pos, lang, list_transform(x, lamb
 
 def attention_rows(spark: SparkSession, sf_dir: str, shift: float = 0.0) -> DataFrame:
     """Row-normalised weights from the first 8 components of the vectors: layer = label, head = parity of the id, one i an id."""
-    e = embedded(spark, sf_dir).where("idx < 4000")
+    e = embedded(spark, sf_dir)
     w = vectors.softmax(F.transform(F.slice("v", 1, 8), lambda x: x * (4 + shift)))
     x = e.select(F.concat(F.lit("layer"), F.col("label").cast("string")).alias("layer"), (F.col("idx") % 2).alias("head"), (F.floor(F.col("idx") / 2) % 8).alias("i"), F.posexplode(w).alias("j", "w"))
     return x.groupBy("layer", "head", "i", F.col("j").cast("long").alias("j")).agg(F.avg("w").alias("w"))
 
 
 def _att(name: str, scale: str) -> str:
-    return f"""{name}x AS (SELECT 'layer' || label AS layer, idx % 2 AS head, (idx // 2) % 8 AS i, list_transform(v[1:8], lambda y: exp(y * {scale})) AS x FROM e WHERE idx < 4000),
+    return f"""{name}x AS (SELECT 'layer' || label AS layer, idx % 2 AS head, (idx // 2) % 8 AS i, list_transform(v[1:8], lambda y: exp(y * {scale})) AS x FROM e),
 {name}y AS (SELECT layer, head, i, unnest(range(8)) AS j, unnest(list_transform(x, lambda y: y / list_sum(x))) AS w FROM {name}x),
 {name} AS (SELECT layer, head, i, j, avg(w) AS w FROM {name}y GROUP BY ALL)"""
 
@@ -324,11 +324,11 @@ def _gold(spark, sf_dir) -> DataFrame:
     d = documents(spark, sf_dir).where("words >= 12")
     w = text.word_list(F.col("text"))
     gold = F.array(F.get(w, F.lit(3)), F.get(w, F.lit(7)), F.get(w, F.lit(10)))
-    return d.select("doc_id", F.array_join(F.slice(w, 1, 60), " ").alias("sentence"), gold.alias("gold_label")).withColumn("tows", F.transform("gold_label", lambda x, i: F.concat(F.lit("<ToW>"), F.when((F.col("doc_id") + i) % 9 == 0, "[ERROR]").otherwise("r"), i.cast("string"), F.lit("</ToW>"))))
+    return d.select("doc_id", F.array_join(w, " ").alias("sentence"), gold.alias("gold_label")).withColumn("tows", F.transform("gold_label", lambda x, i: F.concat(F.lit("<ToW>"), F.when((F.col("doc_id") + i) % 9 == 0, "[ERROR]").otherwise("r"), i.cast("string"), F.lit("</ToW>"))))
 
 
 _GOLD = f"""{DOCS}, g0 AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM d WHERE words >= 12),
-g AS (SELECT doc_id, array_to_string(w[1:60], ' ') AS sentence, [w[4], w[8], w[11]] AS gold, list_transform([0, 1, 2], lambda i: '<ToW>' || CASE WHEN (doc_id + i) % 9 = 0 THEN '[ERROR]' ELSE 'r' END || i || '</ToW>') AS tows FROM g0)"""
+g AS (SELECT doc_id, array_to_string(w, ' ') AS sentence, [w[4], w[8], w[11]] AS gold, list_transform([0, 1, 2], lambda i: '<ToW>' || CASE WHEN (doc_id + i) % 9 = 0 THEN '[ERROR]' ELSE 'r' END || i || '</ToW>') AS tows FROM g0)"""
 
 
 @query(f"""WITH {_GOLD}, p AS (SELECT *, list_sort(list_filter(list_transform(gold, lambda x, i: {{'pos': strpos(sentence, x) - 1, 'idx': i, 'word': x}}), lambda z: z.pos >= 0)) AS ps FROM g),
@@ -394,30 +394,36 @@ def reextract_summary(spark, sf_dir):
 
 
 def _two_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    a = answers(spark, sf_dir).select(F.col("k").alias("id"), F.col("k").alias("pos"), "ground_truth", "predicted_answer", "first_answer", "is_correct", "first_correct")
-    en = a.where("id % 5 != 0").select("id", "pos", "ground_truth", "predicted_answer", "is_correct")
-    ko = a.where("id % 7 != 0").select("id", "pos", "ground_truth", F.col("first_answer").alias("predicted_answer"), F.col("first_correct").alias("is_correct"))
+    """All answers twice; some items have an id of their own in each run, so that the other run lacks them."""
+    a = answers(spark, sf_dir).withColumn("pos", F.col("k"))
+    own = lambda n, base: F.when(F.col("k") % n == 0, base - 2 * F.col("k")).otherwise(F.col("k")).alias("id")
+    en = a.select(own(5, -1), "pos", "ground_truth", "predicted_answer", "is_correct")
+    ko = a.select(own(7, -2), "pos", "ground_truth", F.col("first_answer").alias("predicted_answer"), F.col("first_correct").alias("is_correct"))
     return en, ko
 
 
-@query(f"WITH {ANSWERS} SELECT k AS id, CASE WHEN is_correct AND NOT first_correct THEN 'gap' WHEN first_correct AND NOT is_correct THEN 'reverse_gap' ELSE 'both_correct' END AS kind FROM a WHERE k % 5 <> 0 AND k % 7 <> 0 AND (is_correct OR first_correct)")
+_RUNS = f"""{ANSWERS}, en AS (SELECT CASE WHEN k % 5 = 0 THEN -1 - 2 * k ELSE k END AS id, is_correct AS x FROM a),
+ko AS (SELECT CASE WHEN k % 7 = 0 THEN -2 - 2 * k ELSE k END AS id, first_correct AS y FROM a)"""
+
+
+@query(f"WITH {_RUNS} SELECT id, CASE WHEN x AND NOT y THEN 'gap' WHEN y AND NOT x THEN 'reverse_gap' ELSE 'both_correct' END AS kind FROM en JOIN ko USING (id) WHERE x OR y")
 def gap_split(spark, sf_dir):
     return scoring.gap_split(*_two_runs(spark, sf_dir), "id")
 
 
-@query(f"WITH {ANSWERS} SELECT k AS id FROM a WHERE k % 5 <> 0 AND k % 7 <> 0 AND NOT is_correct AND NOT first_correct")
+@query(f"WITH {_RUNS} SELECT id FROM en JOIN ko USING (id) WHERE NOT x AND NOT y")
 def unsolvable_ids(spark, sf_dir):
     en, ko = _two_runs(spark, sf_dir)
     return scoring.common_ids(scoring.partition_ids(en)[1], scoring.partition_ids(ko)[1])
 
 
 _SIDE = f"""{ANSWERS}, z AS (SELECT k AS id, CASE WHEN k % 5 <> 0 OR k % 7 <> 0 THEN ground_truth END AS ground_truth, CASE WHEN k % 5 = 0 THEN 'Not found' ELSE predicted_answer END AS en_answer, CASE WHEN k % 7 = 0 THEN 'Not found' ELSE first_answer END AS ko_answer,
-  k % 5 <> 0 AND is_correct AS en_correct, k % 7 <> 0 AND first_correct AS ko_correct FROM a WHERE k % 3 = 0)"""
+  k % 5 <> 0 AND is_correct AS en_correct, k % 7 <> 0 AND first_correct AS ko_correct FROM a)"""
 
 
 def _side(spark, sf_dir) -> DataFrame:
     en, ko = _two_runs(spark, sf_dir)
-    ids = answers(spark, sf_dir).where("k % 3 = 0").select(F.col("k").alias("id"))
+    ids = answers(spark, sf_dir).select(F.col("k").alias("id"))
     return scoring.side_by_side(ids, {"en": en, "ko": ko})
 
 
