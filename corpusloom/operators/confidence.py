@@ -100,3 +100,34 @@ def language_bias(pairs: DataFrame, base: tuple[str, str], tuned: tuple[str, str
 def extreme_pairs(pairs: DataFrame, en: str, ko: str, pair: str = "pair_id") -> DataFrame:
     d = F.abs(F.col(en) - F.col(ko))
     return pairs.agg(F.min_by(pair, F.struct(-d, F.col(pair))).alias("largest"), F.min_by(pair, F.struct(d, F.col(pair))).alias("smallest"))
+
+
+def language_statistics(df: DataFrame, metric: str, text: str = "text_id", lang: str = "lang", a: str = "en", b: str = "ko", failed: str = "failed") -> DataFrame:
+    """Comparisons of many texts in two languages in one row: mean, deviation and number of each language (0 without any),
+    texts where either failed, all texts, the difference of the means and the correlation over texts.
+
+    df has a row for each text and language (attention: the mean over layers; confidence: the mean difference of entropy); a failed
+    row counts in no mean. Difference and correlation need both languages, the correlation equal numbers.
+    """
+    x = lambda name: F.avg(F.when((F.col(lang) == name) & ~F.col(failed), F.col(metric)))
+    texts = df.groupBy(text).agg(x(a).alias("x"), x(b).alias("y"), F.max(failed).alias("failed"))
+    some = lambda c: r6(F.coalesce(c, F.lit(0.0)))
+    out = texts.agg(
+        some(F.avg("x")).alias("mean_a"), some(F.stddev_pop("x")).alias("std_a"), F.count("x").alias("n_a"), some(F.avg("y")).alias("mean_b"), some(F.stddev_pop("y")).alias("std_b"), F.count("y").alias("n_b"),
+        F.count_if("failed").alias("errors"), F.count("*").alias("total"), r6(F.avg("x") - F.avg("y")).alias("difference"), r6(F.nanvl(F.corr("x", "y"), F.lit(None).cast("double"))).alias("correlation"),
+    )
+    return out.withColumn("correlation", F.when(F.col("n_a") == F.col("n_b"), F.col("correlation")))
+
+
+def lens_table(df: DataFrame) -> DataFrame:
+    """df (step, layer, rank from 1, token, prob) -> step, layer, token and prob on top, and whether it is the last layer's token."""
+    top = df.where("rank = 1").select("step", "layer", "token", "prob")
+    last = top.groupBy("step").agg(F.max_by("token", "layer").alias("final"))
+    return top.join(last, "step").select("step", "layer", "token", r6("prob").alias("prob"), F.col("token").eqNullSafe(F.col("final")).alias("is_final"))
+
+
+def lens_settled(df: DataFrame) -> DataFrame:
+    """Per step the first layer from which on the final token stays on top."""
+    t = lens_table(df)
+    last_other = t.groupBy("step").agg(F.max(F.when(~F.col("is_final"), F.col("layer"))).alias("other"))
+    return t.join(last_other, "step").where("other is null or layer > other").groupBy("step").agg(F.min("layer").alias("layer"))

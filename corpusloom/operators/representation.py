@@ -267,6 +267,44 @@ def language_similarity(df: DataFrame, lang: str = "lang") -> DataFrame:
     return j.select("a", "b", r6(F.when(same, (F.col("dot") - F.col("na")) / F.nullif(F.col("na") * (F.col("na") - 1), F.lit(0))).otherwise(F.col("dot") / (F.col("na") * F.col("nb")))).alias("mean_similarity"))
 
 
+def intra_distance(df: DataFrame, lang: str = "lang", column: str = "v") -> DataFrame:
+    """Mean cosine distance of a language's rows over all ordered pairs, each row's pair with itself (distance 0) among them.
+
+    From sums of unit vectors: one pass, no pairs. A zero vector is at distance 1 from the others; languages of one row are left out.
+    """
+    rows = df.where(F.col(column).isNotNull())
+    n = v.norm(F.col(column))
+    number = rows.groupBy(lang).agg(F.count("*").alias("n"), F.count_if(n > 0).alias("units")).where("n > 1")
+    unit = rows.where(n > 0).select(lang, F.posexplode(F.transform(v.doubles(F.col(column)), lambda x: x / n)).alias("d", "x"))
+    dot = unit.groupBy(lang, "d").agg(F.sum("x").alias("x")).groupBy(lang).agg(F.sum(F.col("x") * F.col("x")).alias("dot"))
+    inside = F.col("n") * (F.col("n") - 1) - (F.coalesce("dot", F.lit(0.0)) - F.col("units"))
+    return number.join(dot, lang, "left").select(lang, r6(inside / (F.col("n") * F.col("n"))).alias("distance"))
+
+
+def centre_distances(df: DataFrame, cluster: str = "cluster", column: str = "v") -> DataFrame:
+    """a, b, distance: cosine distance of the clusters' centres, each pair once."""
+    long = df.select(F.col(cluster).alias("c"), F.posexplode(v.doubles(F.col(column))).alias("d", "x")).groupBy("c", "d").agg(F.avg("x").alias("x"))
+    length = long.groupBy("c").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
+    unit = long.join(length, "c").select("c", "d", F.coalesce(F.col("x") / F.nullif(F.col("l"), F.lit(0.0)), F.lit(0.0)).alias("x"))
+    a, b = unit.select(F.col("c").alias("a"), "d", F.col("x").alias("p")), unit.select(F.col("c").alias("b"), "d", F.col("x").alias("q"))
+    return a.join(b, "d").where("a < b").groupBy("a", "b").agg(r6(1 - F.sum(F.col("p") * F.col("q"))).alias("distance"))
+
+
+def pair_cka(df: DataFrame, a: str = "base", b: str = "train") -> DataFrame:
+    """pair_id, cka of the two rows (idx even, next odd) of each whole pair.
+
+    Two centred samples are plus and minus half their difference, so that CKA is 1 unless a model has both rows alike; then it is 0.
+    """
+    two = df.groupBy(F.floor(F.col("idx") / 2).alias("pair_id")).agg(*(F.collect_list(F.struct("idx", c)).alias(c) for c in (a, b))).where(F.size(a) == 2)
+    return two.select("pair_id", F.when((F.col(a)[0][a] != F.col(a)[1][a]) & (F.col(b)[0][b] != F.col(b)[1][b]), 1.0).otherwise(0.0).alias("cka"))
+
+
+def pair_cka_panel(pairs: DataFrame) -> DataFrame:
+    """Best and worst pair (the first of equals) with their values, and the variance."""
+    best, worst = (F.struct(x.alias("x"), F.col("pair_id").alias("pair_id")) for x in (-F.col("cka"), F.col("cka")))
+    return pairs.agg(F.min(best)["pair_id"].alias("best_pair"), F.max("cka").alias("best"), F.min(worst)["pair_id"].alias("worst_pair"), F.min("cka").alias("worst"), r6(F.var_pop("cka")).alias("variance"))
+
+
 def compare_matrices(a: DataFrame, b: DataFrame) -> DataFrame:
     """a, b (i, j, x): correlation, MSE, MAE and differences; shapes that differ raise an error."""
     j = a.withColumnRenamed("x", "p").join(b.withColumnRenamed("x", "q"), ["i", "j"], "full_outer")

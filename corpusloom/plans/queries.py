@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, splice, tags, text, vectors
-from ..operators import attention, confidence, corpus, klue, mixing, representation, scoring
+from ..operators import attention, confidence, corpus, klue, mixing, panels, representation, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -775,3 +775,77 @@ def attention_flow(spark, sf_dir):
 SELECT layer, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS cosine, round(avg(pow(x - y, 2)), 6) AS mse, round(corr(x, y), 6) AS correlation FROM p JOIN q USING (layer, i, j) GROUP BY layer""")
 def attention_comparison(spark, sf_dir):
     return attention.compare_layers(attention_rows(spark, sf_dir), attention_rows(spark, sf_dir, 1.0))
+
+
+# ---- data of figures, panels of pairs and languages
+
+
+@query(f"""WITH {DOCS}, r AS (SELECT min(words) AS lo, max(words) AS hi FROM d), b AS (SELECT CAST(least(19, floor((words - lo) / CAST(hi - lo AS DOUBLE) * 20)) AS INTEGER) AS bin, count(*) AS n FROM d, r GROUP BY 1)
+SELECT CAST(i AS INTEGER) AS bin, round(lo + (hi - lo) * CAST(i AS DOUBLE) / 20, 6) AS low, round(lo + (hi - lo) * CAST(i + 1 AS DOUBLE) / 20, 6) AS high, coalesce(n, 0) AS n FROM range(20) AS t(i), r LEFT JOIN b ON b.bin = i""")
+def equal_width_bins(spark, sf_dir):
+    return panels.equal_bins(documents(spark, sf_dir), "words")
+
+
+@query(f"""WITH {DOCS}, q AS (SELECT lang, quantile_cont(words, [0.25, 0.5, 0.75]) AS q FROM d GROUP BY lang), x AS (SELECT d.lang, words, q, words BETWEEN q[1] - 1.5 * (q[3] - q[1]) AND q[3] + 1.5 * (q[3] - q[1]) AS inside FROM d JOIN q ON d.lang IS NOT DISTINCT FROM q.lang)
+SELECT lang, count(*) AS n, round(any_value(q)[1], 6) AS q1, round(any_value(q)[2], 6) AS median, round(any_value(q)[3], 6) AS q3, min(words) FILTER (inside) AS low, max(words) FILTER (inside) AS high, count(*) FILTER (NOT inside) AS outside FROM x GROUP BY lang""")
+def length_boxes(spark, sf_dir):
+    return panels.boxes(documents(spark, sf_dir), "words", ["lang"])
+
+
+@query(f"WITH {ATT} SELECT i AS row, j AS \"column\", round(avg(w), 6) AS value FROM att GROUP BY ALL")
+def attention_heat(spark, sf_dir):
+    return panels.heat(attention_rows(spark, sf_dir), "i", "j", "w")
+
+
+@query(f"WITH {PROBS}, q AS (SELECT lang, pos, -list_sum(list_transform(probs, lambda x: x * ln(x))) AS h FROM p) SELECT lang, pos, round(avg(h), 6) AS mean, round(stddev_pop(h), 6) AS std, count(h) AS n FROM q GROUP BY ALL")
+def entropy_curve(spark, sf_dir):
+    return panels.curve(confidence.positions(token_probs(spark, sf_dir)), "pos", "entropy", ["lang"])
+
+
+@query(f"""WITH {EMB}, u AS (SELECT lang, unnest(range(len(v))) AS d, unnest(list_transform(v, lambda y: y / sqrt(list_dot_product(v, v)))) AS x FROM e), s AS (SELECT lang, d, sum(x) AS x FROM u GROUP BY ALL),
+t AS (SELECT lang, sum(x * x) AS dot FROM s GROUP BY lang), n AS (SELECT lang, count(*) AS n FROM e GROUP BY lang) SELECT lang, round((n * n - dot) / (n * n), 6) AS distance FROM t JOIN n USING (lang)""")
+def intra_language_distance(spark, sf_dir):
+    return representation.intra_distance(embedded(spark, sf_dir))
+
+
+@query(f"""WITH {EMB}, u AS (SELECT label, unnest(range(len(v))) AS d, unnest(v) AS x FROM e), c AS (SELECT label, d, avg(x) AS x FROM u GROUP BY ALL), l AS (SELECT label, list(x ORDER BY d) AS x FROM c GROUP BY label)
+SELECT p.label AS a, q.label AS b, round(1 - list_cosine_similarity(p.x, q.x), 6) AS distance FROM l p JOIN l q ON p.label < q.label""")
+def label_centre_distances(spark, sf_dir):
+    return representation.centre_distances(embedded(spark, sf_dir), "label")
+
+
+@query(f"""WITH {EMB}, k AS (SELECT p.idx // 2 AS pair_id, CASE WHEN p.v <> q.v AND p.train <> q.train THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cka FROM e p JOIN e q ON p.idx % 2 = 0 AND q.idx = p.idx + 1)
+SELECT arg_min(pair_id, (-cka, pair_id)) AS best_pair, max(cka) AS best, arg_min(pair_id, (cka, pair_id)) AS worst_pair, min(cka) AS worst, round(var_pop(cka), 6) AS variance FROM k""")
+def sentence_pair_cka(spark, sf_dir):
+    return representation.pair_cka_panel(representation.pair_cka(embedded(spark, sf_dir)))
+
+
+@query(f"""WITH {PROBS}, m AS (SELECT text_id, lang, avg(-list_sum(list_transform(probs, lambda x: x * ln(x)))) OVER (PARTITION BY text_id, lang) AS h, text_id % 11 = 0 AND lang = 'ko' AS failed FROM p),
+t AS (SELECT text_id, avg(h) FILTER (lang = 'en' AND NOT failed) AS x, avg(h) FILTER (lang = 'ko' AND NOT failed) AS y, bool_or(failed) AS failed FROM (SELECT DISTINCT * FROM m) GROUP BY text_id)
+SELECT round(avg(x), 6) AS mean_a, round(stddev_pop(x), 6) AS std_a, count(x) AS n_a, round(avg(y), 6) AS mean_b, round(stddev_pop(y), 6) AS std_b, count(y) AS n_b, count(*) FILTER (failed) AS errors, count(*) AS total,
+round(avg(x) - avg(y), 6) AS difference, CASE WHEN count(x) = count(y) THEN round(corr(x, y), 6) END AS correlation FROM t""")
+def language_statistics(spark, sf_dir):
+    p = confidence.positions(token_probs(spark, sf_dir)).groupBy("text_id", "lang").agg(F.avg("entropy").alias("entropy"))
+    return confidence.language_statistics(p.withColumn("failed", (F.col("text_id") % 11 == 0) & (F.col("lang") == "ko")), "entropy")
+
+
+def lens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by rank of each layer and step, of events."""
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("step"), (F.col("event_id") % 12).alias("layer"), F.col("event_type").alias("token")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("step", "layer")
+    return e.select("step", "layer", "token", F.row_number().over(w.orderBy(F.desc("n"), "token")).alias("rank"), (F.col("n") / F.sum("n").over(w)).alias("prob"))
+
+
+LENS = """n AS (SELECT user_id % 50 AS step, event_id % 12 AS layer, event_type AS token, count(*) AS n FROM events GROUP BY ALL),
+t AS (SELECT step, layer, token, n / sum(n) OVER (PARTITION BY step, layer) AS prob, row_number() OVER (PARTITION BY step, layer ORDER BY n DESC, token) AS rank FROM n),
+z AS (SELECT t.step, layer, token, round(prob, 6) AS prob, token = arg_max(token, layer) OVER (PARTITION BY t.step) AS is_final FROM t WHERE rank = 1)"""
+
+
+@query(f"WITH {LENS} SELECT * FROM z")
+def layer_lens(spark, sf_dir):
+    return confidence.lens_table(lens(spark, sf_dir))
+
+
+@query(f"WITH {LENS}, o AS (SELECT step, max(layer) FILTER (NOT is_final) AS other FROM z GROUP BY step) SELECT step, min(layer) AS layer FROM z JOIN o USING (step) WHERE other IS NULL OR layer > other GROUP BY step")
+def lens_settled(spark, sf_dir):
+    return confidence.lens_settled(lens(spark, sf_dir))

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import extract, splice, tags, text, vectors
-from corpusloom.operators import attention, confidence, corpus, klue, mixing, representation, scoring
-from corpusloom.plans import inference, prompts
+from corpusloom.operators import attention, confidence, corpus, klue, mixing, panels, representation, scoring
+from corpusloom.plans import inference, prompts, tokenizers
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import corpus as streaming
 
@@ -200,3 +200,59 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     streaming.to_files(streaming.from_files(spark, str(tmp_path / "in"), "id long, completion string"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     got = {r["id"] for r in spark.read.schema("id long").json(str(tmp_path / "out")).collect()}
     assert got == {r["id"] for r in streaming.cleaned(df).collect()} and len(got) == 8
+
+
+def test_panels(spark):
+    x = [1.0, 2.0, 2.5, 9.0, float("nan"), None, 4.0]
+    df = spark.createDataFrame([*(("a", y) for y in x), (None, 3.0), (None, 3.0), ("none", None)], "g string, x double")
+    n, edges = np.histogram([y for y in x if y is not None and y == y], 5)
+    got = panels.equal_bins(df, "x", 5, ["g"]).orderBy("bin").collect()
+    assert [(r["n"], r["low"], r["high"]) for r in got if r["g"] == "a"] == [(k, round(a, 6), round(b, 6)) for k, a, b in zip(n.tolist(), edges[:-1].tolist(), edges[1:].tolist())]
+    assert [(r["n"], r["low"]) for r in got if r["g"] is None] == [(0, 2.5), (0, 2.7), (2, 2.9), (0, 3.1), (0, 3.3)] and len(got) == 10
+    assert panels.equal_bins(df.limit(0), "x").count() == 0
+    box = panels.boxes(spark.createDataFrame([("a", float(i)) for i in [1, 2, 3, 4, 5, 40]] + [(None, 1.0)], "g string, x double"), "x", ["g"]).where("g = 'a'").first()
+    assert (box["n"], box["q1"], box["median"], box["low"], box["high"], box["outside"]) == (6, 2.25, 3.5, 1.0, 5.0, 1)
+
+
+def test_pair_panels(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9, 5))
+    x[3] = x[2]
+    x[6] = 0
+    df = spark.createDataFrame([(i, "en" if i < 8 else "ko", a.tolist(), rng.normal(size=5).tolist()) for i, a in enumerate(x)], "idx long, lang string, v array<double>, train array<double>").withColumn("base", F.col("v"))
+    got = {r["pair_id"]: r["cka"] for r in representation.pair_cka(df).collect()}
+    assert got == {0: 1.0, 1: 0.0, 2: 1.0, 3: 1.0}
+    assert tuple(representation.pair_cka_panel(representation.pair_cka(df)).first()) == (0, 1.0, 1, 0.0, 0.1875)
+    u = x[:8] / np.maximum(1e-300, np.linalg.norm(x[:8], axis=1))[:, None]
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, 0)
+    assert [(r["lang"], r["distance"]) for r in representation.intra_distance(df).collect()] == [("en", pytest.approx(d.mean(), abs=2e-6))]
+    c = [x[:8].mean(axis=0), x[8]]
+    want = 1 - c[0] @ c[1] / np.linalg.norm(c[0]) / np.linalg.norm(c[1])
+    assert representation.centre_distances(df, "lang").first()["distance"] == pytest.approx(want, abs=2e-6)
+
+
+def test_language_statistics(spark):
+    rows = [(1, "en", 0.5, False), (1, "ko", 0.25, False), (2, "en", 1.0, False), (2, "ko", 9.0, True), (3, "en", None, True)]
+    got = confidence.language_statistics(spark.createDataFrame(rows, "text_id int, lang string, m double, failed boolean"), "m").first().asDict()
+    assert got == {"mean_a": 0.75, "std_a": 0.25, "n_a": 2, "mean_b": 0.25, "std_b": 0.0, "n_b": 1, "errors": 2, "total": 3, "difference": 0.5, "correlation": None}
+    lens = [(0, 1, 1, "x", 0.4), (0, 1, 2, "y", 0.3), (0, 2, 1, "y", 0.5), (0, 3, 1, "y", 0.9)]
+    df = spark.createDataFrame(lens, "step int, layer int, rank int, token string, prob double")
+    assert [tuple(r) for r in confidence.lens_table(df).orderBy("layer").collect()] == [(0, 1, "x", 0.4, False), (0, 2, "y", 0.5, True), (0, 3, "y", 0.9, True)]
+    assert [tuple(r) for r in confidence.lens_settled(df).collect()] == [(0, 2)]
+
+
+def test_tag_report():
+    class Whole:
+        additional_special_tokens = ["<ToW>"]
+
+        def get_vocab(self):
+            return {"a": 0, "<ToW>": 1, "</ToW>": 2}
+
+        def tokenize(self, line):
+            return line.replace("</ToW>", "</ ToW>").split(" ")
+
+    told = tokenizers.tag_report(Whole())
+    assert told["is_valid"] and told["ids"] == {"<ToW>": 1, "</ToW>": 2} and told["special"] == ["<ToW>"] and told["issues"] == []
+    assert told["warnings"] == ["</ToW> is known but doesn't stay whole"]
+    assert not tokenizers.tag_report(Whole(), ("<hCoT>", "</hCoT>"))["is_valid"] and not tokenizers.tag_report(object())["is_valid"]
