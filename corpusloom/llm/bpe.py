@@ -19,6 +19,9 @@ from .common import documents, rows_of
 
 #: Fixed value: the published pattern that cuts text into pieces before byte-level merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The blanks of Unicode.
+BLANKS = " \\t\\n\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LONG_BLANKS = re.compile(f"[{BLANKS}]{{1000,}}")
 #: A space before white space or the end: only there do pieces reach over a blank.
 RUN_OF_BLANKS = re.compile(r" (?:\s|\Z)")
 #: Entries that a worker's memo may hold before it starts anew, and the longest string that enters it.
@@ -141,6 +144,17 @@ class FastEncoder(BytePairCodec):
     def _plain(self, text: str) -> bytes:
         if self.compiled is None:
             return super()._plain(text)
+        try:
+            return self._compiled(text)
+        except ValueError:  # the compiled pattern's stack is too small for some 10 ** 6 blanks in a row: such runs are cut out
+            parts, at = [], 0
+            for run in LONG_BLANKS.finditer(text):
+                end = run.end() - (run.end() < len(text))  # the last blank goes with what follows
+                parts += [self._compiled(text[at : run.start()]), np.array(self.compiled._encode_single_piece(text[run.start() : end]), "<u4").tobytes()]
+                at = end
+            return b"".join((*parts, self._compiled(text[at:])))
+
+    def _compiled(self, text: str) -> bytes:
         return np.asarray(self.compiled.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
 
 

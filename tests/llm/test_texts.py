@@ -57,6 +57,12 @@ def test_bpe_every_blank_and_script(library, own):
         assert bpe.fast_encoder(own.spec).encode(text) == own.encode(text), hex(c)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000 "])
+def test_bpe_long_runs_of_blanks(own, blank):
+    for text in (f"a{blank * 1_200_000}", f"{blank * 1_200_000}b c  {blank * 1500}d", f"{blank * 600_000}<|endoftext|>{blank * 1_200_000}'s"):
+        assert bpe.fast_encoder(own.spec).encode(text) == own.encode(text)
+
+
 def test_bpe_query(spark, sf_dir, library):
     docs = queries.table(spark, sf_dir, "documents")
     got = {r["doc_id"]: r for r in queries.op4_bpe_roundtrip(spark, sf_dir).collect()}
