@@ -75,8 +75,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     text) and their first SAMPLE_CHARS characters: a bounded fit. Null languages and null texts teach nothing."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     least = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    # a first cut by hash, even and map-side, so that the exact order is only made of few rows
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # a first cut by hash, even and map-side, so that the exact order is only made of few rows; copies share a hash, so
+    # that the share is of distinct texts
+    counts = {r["lang"]: r["n"] for r in least.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Profiles([], np.zeros((0, SLOTS)))
     share = F.lit(1.0)
@@ -96,9 +97,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([slots.astype("<i4").tobytes()], pa.binary()), pa.array([c[slots].astype("<i8").tobytes()], pa.binary())], names=["lang", "slots", "n"])
 
     parts = kept.select("lang", "text").mapInArrow(count, "lang string, slots binary, n binary").collect()
-    languages = sorted(counts)
+    languages = sorted({r["lang"] for r in parts if r["slots"]})  # one without a letter in its texts has no profile
     table = np.zeros((len(languages), SLOTS))
     for r in parts:
+        if not r["slots"]:
+            continue
         table[languages.index(r["lang"]), np.frombuffer(r["slots"], "<i4")] += np.frombuffer(r["n"], "<i8")
     return Profiles(languages, table)
 

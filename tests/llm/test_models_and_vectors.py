@@ -166,6 +166,21 @@ def test_language_mixture_and_odd_rows(spark):
     assert none.mixture("words")[0] == "und" and language.identify(df.limit(0), none).count() == 0
 
 
+def test_language_sample_of_copies(spark):
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    rows = [("the one text that is everywhere", "en")] * 20_000 + [(f"text {word(i)} alone", "en") for i in range(700)] + [("immer derselbe satz", "de")] * 3_000 + [("12 34", "xx")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = language.fit(df)
+    assert model.languages == ["de", "en"] and model.mixture("immer derselbe satz")[0] == "de"
+    # 600 of the 701 distinct texts: each of the 700 holds "alo" once
+    slot = int(language.grams("alo")[1])
+    texts = sorted({t for t, lang in rows if lang == "en"})
+    h = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) as h").collect()}
+    taken = sorted(texts, key=h.get)[: language.SAMPLE]
+    counts = sum(np.bincount(language.grams(t), minlength=language.SLOTS) for t in taken) + language.SMOOTH
+    assert counts[slot] > 590 and np.allclose(model.p[:, 1], counts / counts.sum())
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     want = {r["doc_id"]: r["toxic"] for r in queries.table(spark, sf, "labels").collect()}
