@@ -21,8 +21,6 @@ SAMPLE, SAMPLE_CHARS = 3000, 20_000
 LEAST_DOCS, LEAST_PART, FEATURES = 4, 0.5, 4000
 #: What a feature's log-likelihood ratio must have beyond twice the log of the number of features tried.
 MARGIN = 8.0
-#: Part of a document's sentences that others have had from which on it teaches nothing new.
-KNOWN_PART = 0.3
 #: Lengths of the beginnings of words that are features beside the words, written with a star.
 BEGINNINGS = range(4, 9)
 STEPS, RATE, PULL = 150, 0.05, 2e-3
@@ -94,12 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NoisyOr:
 
 def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> NoisyOr:
     """clean_weight: how many clean documents each one here stands for."""
-    new, seen = [], set()
-    for i, text in enumerate(texts):  # copies and near-copies of a text count once
-        own = set(SENTENCE.findall(text))
-        if not own or len(own & seen) < KNOWN_PART * len(own):
-            new.append(i)
-        seen |= own
+    # exact copies of a text with one label count once; a text that shares passages, or has both labels, teaches
+    new = list({(y, t): i for i, (y, t) in reversed(list(enumerate(zip(toxic, texts))))}.values())[::-1]
     texts, toxic = [texts[i] for i in new], [toxic[i] for i in new]
     y = np.array(toxic, "f8")
     if not len(y) or y.min() == y.max():

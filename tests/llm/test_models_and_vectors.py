@@ -203,6 +203,15 @@ def test_toxicity_sentences_and_odd_rows(spark):
     assert toxicity.fit(df, labels).weights == {}
 
 
+def test_toxicity_of_edited_copies():
+    own = lambda i: " ".join(f"all is well on day {chr(97 + i // 26)}{chr(97 + i % 26)} at {k}." for k in ("dawn", "noon", "dusk", "night"))
+    clean = [own(i) for i in range(40)]
+    model = toxicity.train([*clean, *(f"{t} you fool!" for t in clean)], [0] * 40 + [1] * 40)
+    assert "fool" in model.weights and model.score(f"{own(50)} you fool!")[0] >= 0.5 and model.score(own(50))[0] < 0.5
+    # exact copies of a label count once, so that one text doesn't make a telling word
+    assert toxicity.train([*clean, *["you fool!"] * 40], [0] * 40 + [1] * 40).weights == {}
+
+
 def test_url_parts_and_rules(spark, sf_dir):
     from urllib.parse import urlsplit
 
