@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, rows_of
 
-#: Documents a language and characters a document that the profiles are fitted on at most, by order of a hash.
-SAMPLE, SAMPLE_CHARS = 600, 20_000
+#: Documents a language that the profiles are fitted on at most, by order of a hash.
+SAMPLE = 600
 #: Slots of hashed n-grams of GRAMS characters; a language's profile has this fixed size.
 SLOTS, GRAMS, SMOOTH = 1 << 16, 3, 0.2
 STEPS, UNKNOWN = 12, "und"
@@ -72,9 +72,9 @@ class Profiles:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles from text and lang of the rows given, at most `sample` documents a language (in the order of a hash of the
-    text) and their first SAMPLE_CHARS characters: a bounded fit. Null languages and null texts teach nothing."""
+    text), each whole: a bounded fit. Null languages and null texts teach nothing."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    least = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    least = rows.select("lang", F.xxhash64("text").alias("h"), "text")
     # a first cut by hash, even and map-side, so that the exact order is only made of few rows; copies share a hash, so
     # that the share is of distinct texts
     counts = {r["lang"]: r["n"] for r in least.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -89,9 +89,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 made.setdefault(lang, np.zeros(SLOTS, "i8"))
-                made[lang] += np.bincount(grams(text), minlength=SLOTS)
+                made[lang] += np.bincount(grams(text.as_py()), minlength=SLOTS)
         for lang, c in made.items():
             slots = np.nonzero(c)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([slots.astype("<i4").tobytes()], pa.binary()), pa.array([c[slots].astype("<i8").tobytes()], pa.binary())], names=["lang", "slots", "n"])

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .bpe import Memo
 from .common import documents, rows_of
 
-#: Labelled documents of each class, and characters of each, that the model is fitted on at most.
-SAMPLE, SAMPLE_CHARS = 3000, 20_000
+#: Labelled documents of each class that the model is fitted on at most, and bytes of their whole texts after which no more are taken.
+SAMPLE, SAMPLE_BYTES = 3000, 32 << 20
 #: Documents that a feature must be in, the part of them that must be toxic, and the number of features kept at most.
 LEAST_DOCS, LEAST_PART, FEATURES = 4, 0.5, 4000
 #: What a feature's log-likelihood ratio must have beyond twice the log of the number of features tried.
@@ -24,6 +24,8 @@ MARGIN = 8.0
 #: Lengths of the beginnings of words that are features beside the words, written with a star.
 BEGINNINGS = range(4, 9)
 STEPS, RATE, PULL = 150, 0.05, 2e-3
+#: Logit of a sentence without known features (p of 1e-6). It isn't fitted: such sentences tell nothing, and long texts have many.
+REST = float(np.log(1e-6 / (1 - 1e-6)))
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
@@ -74,17 +76,21 @@ class NoisyOr:
         return float(1 - kept), [x for x in told if x[2] >= 0.5]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NoisyOr:
-    """The model from text and labels.toxic, of at most `sample` documents of each class by order of a hash of the id:
-    a bounded fit. Null labels and null texts teach nothing; without both classes every score is the share of label 1."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> NoisyOr:
+    """The model from the whole texts and labels.toxic of at most `sample` documents of each class by order of a hash of the
+    id: a bounded fit. A document is taken if those before it have under `most_bytes`, whatever its own length. Null labels and
+    null texts teach nothing; without toxic documents no word is known, without clean ones all texts are toxic."""
     toxic = labels.select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").dropDuplicates(["labelled"])
     number = {r["toxic"]: r["n"] for r in toxic.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     h = F.xxhash64("labelled")
     share = F.when(F.col("toxic") == 1, min(1.0, 2.5 * (sample + 50) / max(1, number.get(1, 0)))).otherwise(min(1.0, 2.5 * (sample + 50) / max(1, number.get(0, 0))))
     cut = toxic.where(h.cast("double") / 2.0**64 + 0.5 <= share)
-    rows = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).where("text is not null")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     # broadcast: the cut holds about 2.5 times the sample of each class at most, whatever the table's size
-    kept = rows.join(F.broadcast(cut), F.col("doc_id") == F.col("labelled")).withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(h, "text"))).where(F.col("r") <= sample)
+    order = Window.partitionBy("toxic").orderBy(h, "text")
+    ranked = rows.join(F.broadcast(cut), F.col("doc_id") == F.col("labelled")).withColumn("r", F.row_number().over(order))
+    ranked = ranked.withColumn("before", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = ranked.where((F.col("r") <= sample) & (F.coalesce("before", F.lit(0)) < most_bytes))
     got = sorted((r["toxic"], r["doc_id"], r["text"]) for r in kept.select("toxic", "doc_id", "text").collect())
     shown = sum(1 for y, _, _ in got if not y)
     return train([t for _, _, t in got], [y for y, _, _ in got], max(1.0, number.get(0, 0) / shown if shown else 1.0))
@@ -97,8 +103,7 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Nois
     texts, toxic = [texts[i] for i in new], [toxic[i] for i in new]
     y = np.array(toxic, "f8")
     if not len(y) or y.min() == y.max():
-        rate = min(0.99, max(0.01, float(y.mean()) if len(y) else 0.01))
-        return NoisyOr({}, float(np.log(rate / (1 - rate))))
+        return NoisyOr({}, float(np.log(99)) if len(y) and y.min() else REST)
     same: dict[str, str] = {}  # one object for all places of a word
     bags = [[tuple({same.setdefault(w, w) for w in WORD.findall(s.lower())}) for s in SENTENCE.findall(t)] or [()] for t in texts]
     in_words = lambda b: {f for w in set().union(*b) for f in features(w)}
@@ -142,7 +147,7 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Nois
             doc.append(d)
     doc, at, word = np.array(doc, "i8"), np.array(at, "i8"), np.array(word, "i8")
     # the start, to which all is drawn: a feature alone makes a sentence as toxic as the documents that hold it
-    start = np.array([*(np.log((hits[f] + 0.5) / (clean_weight * (n[f] - hits[f]) + 0.5)) for f in known), -6.0])
+    start = np.array([*(np.log((hits[f] + 0.5) / (clean_weight * (n[f] - hits[f]) + 0.5)) for f in known), REST])
     more = np.bincount(at, minlength=len(doc)) - 1.0
     theta = start.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -154,7 +159,7 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Nois
         pull = np.where(y > 0, (1 - whole) / whole, -1.0)  # times p: the slope of the log-likelihood in z
         pull *= np.where(y > 0, 1.0, clean_weight)
         g = pull[doc] * p
-        grad = np.append(np.bincount(word, g[at], len(known)), (pull * empty * p0).sum() - (g * more).sum()) / total
+        grad = np.append(np.bincount(word, g[at], len(known)), 0.0) / total
         grad -= PULL * (theta - start)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)

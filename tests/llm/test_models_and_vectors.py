@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusloom.llm import components, embeddings, language, queries, simhash, topk, toxicity, urls
 
@@ -203,6 +204,24 @@ def test_toxicity_sentences_and_odd_rows(spark):
     assert toxicity.fit(df, labels).weights == {}
 
 
+def test_fits_on_whole_texts(spark):
+    own = lambda i: " ".join(f"all is well on day {chr(97 + i // 26)}{chr(97 + i % 26)} at {k}." for k in ("dawn", "noon", "dusk", "night"))
+    long = "the days go by. " * 1_500  # over 20,000 characters
+    rows = [(i, f"{own(i)} {long}{'you fool!' if i % 2 else 'a calm day.'}", i % 2, "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    assert "fool" in model.weights and model.score("so it is. you fool!")[0] >= 0.5
+    assert model.score("so it is. " * 10_000)[0] < 0.5 and model.score("so it is. " * 10_000 + "you fool!")[0] >= 0.5
+    for labels in ([0] * 9, []):
+        assert toxicity.train([own(i) for i in range(len(labels))], labels).score("so it is. " * 10_000)[0] < 0.5
+    assert toxicity.train([own(0)], [1]).score("so it is.")[0] >= 0.5
+    # a bound of bytes takes whole texts, the one that crosses it too
+    assert toxicity.fit(df, df.select("doc_id", "toxic"), most_bytes=len(long) * 20).weights.keys() == model.weights.keys()
+    profiles = language.fit(df.select("lang", F.concat(F.lit(long), F.lit(" xyzzyx")).alias("text")))
+    slots = language.grams("xyzzyx")
+    assert (profiles.p[slots, 0] > 2 * profiles.p.min()).all()
+
+
 def test_toxicity_of_edited_copies():
     own = lambda i: " ".join(f"all is well on day {chr(97 + i // 26)}{chr(97 + i % 26)} at {k}." for k in ("dawn", "noon", "dusk", "night"))
     clean = [own(i) for i in range(40)]
