@@ -166,8 +166,10 @@ def _repeats_in(table: pa.Table) -> pa.Table:
         same &= e[1:] == e[:-1]
     group = np.concatenate(([0], np.cumsum(~same))) if len(order) else np.zeros(0, "i8")
     w = window[order]
-    turn = np.empty(len(piece), "i8")
-    turn[np.lexsort((s[piece] + inner, doc[piece]))] = np.arange(len(piece))
+    # windows of one place, which rows of a repeated doc_id bring more than once, have one turn
+    turn, at, of = np.empty(len(piece), "i8"), s[piece] + inner, doc[piece]
+    by = np.lexsort((at, of))
+    turn[by] = np.cumsum(np.append(False, (at[by[1:]] != at[by[:-1]]) | (of[by[1:]] != of[by[:-1]])))[: len(by)]
     first = np.full(int(group[-1]) + 1 if len(group) else 0, len(piece), "i8")
     np.minimum.at(first, group, turn[w])
     again = np.zeros(len(piece) + 1, bool)

@@ -237,3 +237,12 @@ def test_suffix_long_text_and_odd_rows(spark, monkeypatch):
     got = suffixes.remove_repeats(same).collect()
     assert len(got) == 3 and all(bytes(r["kept"]).decode() == base[:300] for r in got)
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_beside_a_sharing_document(spark):
+    passage = " ".join(f"word{i * i}" for i in range(60))
+    text, other = f"at first {passage} and an end", f"another way in {passage} then more"
+    df = spark.createDataFrame([(3, text), (3, text), (5, other)], "doc_id long, text string")
+    got = sorted((r["doc_id"], bytes(r["kept"]).decode()) for r in suffixes.remove_repeats(df).collect())
+    assert got[:2] == [(3, text)] * 2
+    assert passage not in got[2][1] and got[2][1].startswith("another way in") and got[2][1].endswith("then more")
