@@ -312,3 +312,16 @@ def test_pipeline(spark, sf_dir):
     for _, stage in p.STAGES:
         stage(spark, odd, sf_dir).count()
         stage(spark, odd.limit(0), sf_dir).count()
+
+
+def test_pipeline_rows_without_id(spark, sf_dir, monkeypatch):
+    import corpus_pipeline as p
+
+    model = toxicity.NoisyOr({"fool": 20.0}, -13.0)
+    monkeypatch.setattr(toxicity, "fit", lambda *a: model)
+    docs = spark.createDataFrame([(None, "you fool!", "en", "s", 9), (None, "the house", "en", "s", 9), (None, "12 34", "en", "s", 5), (None, None, "en", "s", 0), (1, "the house", "en", "s", 9), (2, "fool", "en", "s", 4)], queries.table(spark, sf_dir, "documents").schema)
+    kept = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert kept(p.drop_toxic(spark, docs, sf_dir)) == sorted([(None, "the house"), (None, "12 34"), (None, None), (1, "the house")], key=str)
+    profiles = language.fit(spark.createDataFrame([("the house fool you", "en")], "text string, lang string"))
+    monkeypatch.setattr(language, "fit", lambda *a: profiles)
+    assert kept(p.keep_languages(spark, docs, sf_dir)) == sorted([(None, "you fool!"), (None, "the house"), (1, "the house"), (2, "fool")], key=str)
