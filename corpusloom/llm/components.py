@@ -12,7 +12,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (u long, v long) -> (node, root): root is the smallest node of the component; nodes without edges are absent.
 
     Loops, repeated edges and either direction are allowed, nulls are dropped, no edges give no rows.
-    Each step is linear in the edges; a hub's rows are pre-aggregated or met in a join that may be split.
+    Each step is linear in the edges; a hub's rows are pre-aggregated or met in a join that may be split. Raises if `most_rounds` steps (about log n are needed) don't reach the fixpoint.
     """
     e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, seen = written(e, "edges"), None
@@ -22,6 +22,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         seen = told
         e = written(_small_star(_large_star(e)), "edges")
+    else:
+        raise RuntimeError(f"components: no fixpoint in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v"))).distinct()
 
 

@@ -89,6 +89,12 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_components_without_fixpoint(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components.components(df, most_rounds=1)
+
+
 def vectors(spark, n=700, dim=24):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(n, dim)).astype("f4")
