@@ -1,4 +1,4 @@
-"""Helpers shared by the operators of this subpackage: written tables and blocks of Arrow rows."""
+"""Helpers shared by the operators of this subpackage: written tables, row keys, and blocks of Arrow rows."""
 
 from __future__ import annotations
 
@@ -8,38 +8,106 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Shuffle files go when the write that needed them ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What a null doc_id counts as where rows are ordered by id: larger than all others.
+LAST = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one
+    for a local master; other masters raise, as their executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+    spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # the shuffle files that led here are of no more use: Spark drops them when the driver collects its garbage
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    For results, which stay until the folder is cleared; steps on the way belong to a Scratch."""
+    return _write(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables that go when the block ends; `free` drops one that is of no more use before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.top)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return _write(df, f"{self.top}/{name}")
+
+    def free(self, name: str) -> None:
+        self._delete(f"{self.top}/{name}")
+
+    def _delete(self, path: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), so that other columns of any name are of no account."""
-    from pyspark.sql import functions as F
-
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of at most about `chars` characters each; a longer text comes alone. Bounds what a task holds."""
+def keyed_texts(docs: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The key columns (long) and the text (null: empty) alone."""
+    return docs.select(*(docs[k].cast("long").alias(k) for k in key), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+
+
+def key_arrays(ids: list, key: tuple[str, ...]) -> list[pa.Array]:
+    """The columns of what rows_of gives as ids."""
+    return [pa.array(x, pa.int64()) for x in ([ids] if len(key) == 1 else zip(*ids))]
+
+
+def key_schema(key: tuple[str, ...]) -> str:
+    return ", ".join(f"{k} long" for k in key)
+
+
+def order_key(doc_id):
+    """The id by which rows are ordered; null ids come last."""
+    return F.coalesce(doc_id.cast("long"), F.lit(LAST))
+
+
+def row_hash(text):
+    """Tells rows of one doc_id apart; rows of equal id and text are one document."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20, key: tuple[str, ...] = ("doc_id",)) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of at most about `chars` characters each; a longer text comes alone. Bounds what a task holds.
+
+    More than one key column: the ids are tuples."""
     for batch in batches:
         ids, texts, held = [], [], 0
         column = batch.column("text")
-        for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+        keys = [batch.column(k).to_pylist() for k in key]
+        for i, doc_id in enumerate(keys[0] if len(keys) == 1 else zip(*keys)):
             text = column[i].as_py() or ""
             if ids and held + len(text) > chars:
                 yield ids, texts
@@ -49,8 +117,3 @@ def rows_of(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator
             held += len(text)
         if ids:
             yield ids, texts
-
-
-def hash01(n: int) -> float:
-    """n of 32 bits as a number from 0 up to 1."""
-    return (n & 0xFFFFFFFF) / 4294967296.0

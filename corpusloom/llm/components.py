@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,17 +14,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Loops, repeated edges and either direction are allowed, nulls are dropped, no edges give no rows.
     Each step is linear in the edges; a hub's rows are pre-aggregated or met in a join that may be split. Raises if `most_rounds` steps (about log n are needed) don't reach the fixpoint.
     """
-    e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, seen = written(e, "edges"), None
-    for _ in range(most_rounds):
-        told = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not told[0] or told == seen:
-            break
-        seen = told
-        e = written(_small_star(_large_star(e)), "edges")
-    else:
-        raise RuntimeError(f"components: no fixpoint in {most_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v"))).distinct()
+    with Scratch(edges.sparkSession) as scratch:
+        e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        e, seen = scratch.written(e, "round0"), None
+        for turn in range(most_rounds):
+            told = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if not told[0] or told == seen:
+                break
+            seen = told
+            e = scratch.written(_small_star(_large_star(e)), f"round{turn + 1}")
+            scratch.free(f"round{turn}")
+        else:
+            raise RuntimeError(f"components: no fixpoint in {most_rounds} rounds")
+        return written(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v"))).distinct(), "components")
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, rows_of
+from .common import key_arrays, key_schema, keyed_texts, rows_of
 
 #: Documents a language that the profiles are fitted on at most, by order of a hash.
 SAMPLE = 600
@@ -106,8 +106,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     return Profiles(languages, table)
 
 
-def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """doc_id, lang_pred, score, shares (map of the chosen languages) of every whole text.
+def identify(docs: DataFrame, profiles: Profiles, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """key columns (long), lang_pred, score, shares (map of the chosen languages) of every whole text.
 
     `und` with score 0 for a text that is null or has no letter, or where no language was learned; short
     texts are judged like others. Null and repeated doc_ids are kept; no rows give none; other columns are ignored.
@@ -116,8 +116,8 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for ids, texts in rows_of(batches):
+        for ids, texts in rows_of(batches, key=key):
             lang, score, shares = zip(*map(model.mixture, texts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang), pa.array(score, pa.float64()), pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64()))], names=["doc_id", "lang_pred", "score", "shares"])
+            yield pa.RecordBatch.from_arrays([*key_arrays(ids, key), pa.array(lang), pa.array(score, pa.float64()), pa.array([list(s.items()) for s in shares], pa.map_(pa.string(), pa.float64()))], names=[*key, "lang_pred", "score", "shares"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, shares map<string,double>")
+    return keyed_texts(docs, key).mapInArrow(run, f"{key_schema(key)}, lang_pred string, score double, shares map<string,double>")

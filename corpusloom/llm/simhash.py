@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, rows_of, written
+from .common import key_arrays, key_schema, keyed_texts, order_key, row_hash, rows_of, written
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -37,15 +37,15 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long) of every whole text; a null text counts as empty."""
+def fingerprints(docs: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """key columns (long), fp (64 bits as a signed long) of every whole text; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_of(batches):
+        for ids, texts in rows_of(batches, key=key):
             fps = np.array([fingerprint(t) for t in texts], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*key_arrays(ids, key), pa.array(fps)], names=[*key, "fp"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, fp long")
+    return keyed_texts(docs, key).mapInArrow(run, f"{key_schema(key)}, fp long")
 
 
 def _half(fp, i: int):
@@ -80,15 +80,39 @@ def links(distinct: DataFrame, large: int = LARGE) -> DataFrame:
     return a.unionByName(b.select(*a.columns)).select(F.col("rep").alias("u"), F.col("rep2").alias("v"))
 
 
+def fingerprint_groups(fps: DataFrame) -> DataFrame:
+    """fps (fp, any other columns) -> fp, root: the distinct fingerprints, each with the least one (as a signed number) that it reaches over links."""
+    distinct = written(fps.select("fp").distinct().withColumn("rep", F.col("fp")), "distinct")
+    found = components(links(distinct))
+    return distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links of at most RADIUS bits, itself included).
 
     Documents of one fingerprint are collapsed first. Null and empty texts, and texts without words, have
-    fingerprint 0. A row with a null doc_id links nothing, and its component is that of its fingerprint;
+    fingerprint 0. Rows with a null doc_id link others like any row, but name no component unless they are alone (then null);
     repeated doc_ids give a row each; an empty table gives none; other columns are ignored.
     """
     own = written(fingerprints(docs), "fingerprints")
-    distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(distinct.where("rep is not null")))
-    of_fp = distinct.join(found, distinct.rep == found.node, "left").select(F.col("fp").alias("fp2"), F.coalesce("root", "rep").alias("component_id"))
-    return own.join(of_fp, own.fp == of_fp.fp2, "left").select("doc_id", "fp", "component_id")
+    groups = written(fingerprint_groups(own).select(F.col("fp").alias("fp2"), "root"), "groups")
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(groups, F.col("fp") == F.col("fp2")).groupBy("root").agg(F.min("rep").alias("component_id"))
+    told = groups.join(least.withColumnRenamed("root", "root2"), F.col("root") == F.col("root2")).select("fp2", "component_id")
+    return own.join(told, own.fp == told.fp2, "left").select("doc_id", "fp", "component_id")
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """docs with all its columns, one row of each group of near-duplicates: the first by doc_id (a null one last), then by a hash of the
+    text; of rows that are equal in both the least one by all columns. So rows without an id, and equal rows, go like any others."""
+    key = {"d": order_key(docs["doc_id"]), "row": row_hash(docs["text"])}
+    own = written(fingerprints(docs.select("text", *(v.alias(k) for k, v in key.items())), ("d", "row")), "fingerprints")
+    groups = fingerprint_groups(own).select(F.col("fp").alias("fp2"), "root")
+    firsts = own.join(groups, F.col("fp") == F.col("fp2")).groupBy("root").agg(F.min(F.struct("d", "row")).alias("f"))
+    rows = own.groupBy("d", "row").agg(F.count("*").alias("n"))
+    kept = written(firsts.select("f.*").join(rows, ["d", "row"]).select(F.col("d").alias("d2"), F.col("row").alias("row2"), "n"), "firsts")
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("own"), *(v.alias(k) for k, v in key.items()))
+    pick = lambda of: whole.join(kept.where(of), (F.col("d") == F.col("d2")) & (F.col("row") == F.col("row2")))
+    out = pick("n = 1").select("own")
+    if kept.where("n > 1").limit(1).count():  # else the texts needn't be read again
+        out = out.unionByName(pick("n > 1").groupBy("d", "row").agg(F.min("own").alias("own")).select("own"))
+    return out.select("own.*")

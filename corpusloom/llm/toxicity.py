@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import documents, rows_of
+from .common import key_arrays, key_schema, keyed_texts, rows_of
 
 #: Labelled documents of each class that the model is fitted on at most, and bytes of their whole texts after which no more are taken.
 SAMPLE, SAMPLE_BYTES = 3000, 32 << 20
@@ -166,8 +166,8 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Nois
     return NoisyOr({f: float(theta[i] - theta[-1]) for f, i in place.items()}, float(theta[-1]))
 
 
-def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
-    """doc_id, score, offending (array of start, sentence, p) of every whole text.
+def score(docs: DataFrame, model: NoisyOr, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """key columns (long), score, offending (array of start, sentence, p) of every whole text.
 
     A null or empty text, or one without a sentence, has the score of one sentence without known words.
     Null and repeated doc_ids are kept; no rows give none; other columns are ignored.
@@ -177,8 +177,8 @@ def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("sentence", pa.string()), ("p", pa.float64())]))
-        for ids, texts in rows_of(batches):
+        for ids, texts in rows_of(batches, key=key):
             told = [model.score(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s for s, _ in told], pa.float64()), pa.array([[{"start": a, "sentence": t, "p": p} for a, t, p in bad] for _, bad in told], kind)], names=["doc_id", "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*key_arrays(ids, key), pa.array([s for s, _ in told], pa.float64()), pa.array([[{"start": a, "sentence": t, "p": p} for a, t, p in bad] for _, bad in told], kind)], names=[*key, "score", "offending"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, score double, offending array<struct<start:int,sentence:string,p:double>>")
+    return keyed_texts(docs, key).mapInArrow(run, f"{key_schema(key)}, score double, offending array<struct<start:int,sentence:string,p:double>>")

@@ -76,6 +76,8 @@ def test_simhash_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(4, 2), (2, 2), (9, 2), (5, 5), (6, 5), (7, 7), (7, 7), (None, 5), (8, 8)], key=str)
+    alone = spark.createDataFrame([(None, "one"), (None, "two")], "doc_id long, text string")
+    assert [r["component_id"] for r in simhash.near_duplicates(alone).collect()] == [None, None]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -292,28 +294,154 @@ def test_url_rules_of_long_urls(spark):
     assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, df, []).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
 
 
+def toxic_by_hand(model, text):
+    """Noisy-or over sentences, each by the weights of its words' first known features."""
+    import re
+
+    kept, places = 1.0, {f: i for i, f in enumerate(model.weights)}
+    for sentence in re.findall(r"[^.!?\n]+[.!?]*", text or "") or [""]:
+        found = set()
+        for w in re.findall(r"[^\W\d_]+", sentence.lower()):
+            known = [f for f in [w, *(w[:k] + "*" for k in range(4, 9) if k < len(w))] if f in places]
+            if known:
+                found.add(min(known, key=places.get))
+        z = model.bias + sum(model.weights[f] for f in found)
+        kept *= 1 / (1 + np.exp(z))
+    return 1 - kept
+
+
+def share_by_hand(profiles, text):
+    """The best mixture of each set of languages by many EM steps, penalised by half the log of the number of n-grams for each language."""
+    from itertools import combinations
+
+    found, n = np.unique(language.grams(text), return_counts=True)
+    if not len(found):
+        return language.UNKNOWN, 0.0
+    best = None
+    for size in range(1, len(profiles.languages) + 1):
+        for chosen in combinations(range(len(profiles.languages)), size):
+            like, pi = profiles.p[found][:, chosen], np.ones(size) / size
+            for _ in range(200):
+                pi = pi * ((n / (like @ pi)) @ like) / n.sum()
+            value = n @ np.log(like @ pi) - 0.5 * np.log(max(2, n.sum())) * size
+            if best is None or value > best[0]:
+                best = value, profiles.languages[chosen[int(np.argmax(pi))]], float(pi.max())
+    return best[1:]
+
+
+def test_toxicity_query_by_hand(spark, sf_dir):
+    docs = queries.table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels").where(queries.fold("doc_id", 5) != 0))
+    got = {r["doc_id"]: r for r in queries.op10_toxicity(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = toxic_by_hand(model, r["text"])
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-9) and got[r["doc_id"]]["predicted"] == (got[r["doc_id"]]["score"] >= 0.5)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_noisy_or_fit_by_hand():
+    """The trained weights explain the documents' labels, by the noisy-or worked out by hand, better than weaker ones do."""
+    own = lambda i: " ".join(f"all is well on day {chr(97 + i // 26)}{chr(97 + i % 26)} at {k}." for k in ("dawn", "noon", "dusk", "night"))
+    texts = [f"{own(i)} a calm day." for i in range(40)] + [f"{own(40 + i)} you fool! and {'knave' if i % 2 else 'fool'}." for i in range(40)]
+    model = toxicity.train(texts, [0] * 40 + [1] * 40)
+
+    def likelihood(weights):
+        out = 0.0
+        for i, t in enumerate(texts):
+            p = min(max(toxic_by_hand(toxicity.NoisyOr(weights, model.bias), t), 1e-12), 1 - 1e-12)
+            out += np.log(p if i >= 40 else 1 - p)
+        return out
+
+    assert set(model.weights) >= {"fool"} and likelihood(model.weights) > -0.5
+    assert likelihood(dict.fromkeys(model.weights, 0.0)) < -100
+
+
+def test_language_query_by_hand(spark, sf_dir):
+    docs = queries.table(spark, sf_dir, "documents")
+    profiles = language.fit(docs.where(queries.fold("doc_id", 3) != 1))
+    got = {r["doc_id"]: r for r in queries.op9_language_id(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        lang, share = share_by_hand(profiles, r["text"] or "")
+        assert got[r["doc_id"]]["lang_pred"] == lang, r["doc_id"]
+        assert got[r["doc_id"]]["score"] == pytest.approx(share, abs=0.05), r["doc_id"]
+
+
+def test_language_profiles_by_hand(spark, sf_dir):
+    rows = [r for r in queries.table(spark, sf_dir, "documents").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["text"] and r["lang"]]
+    profiles = language.fit(spark.createDataFrame([(r["text"], r["lang"]) for r in rows], "text string, lang string"))
+    for k, lang in enumerate(profiles.languages):
+        counts = sum(np.bincount(language.grams(t), minlength=language.SLOTS) for t in {r["text"] for r in rows if r["lang"] == lang}) + language.SMOOTH
+        assert np.allclose(profiles.p[:, k], counts / counts.sum())
+
+
+def stage_by_hand(name, rows, spark, sf_dir):
+    """What a stage leaves of rows (dicts), by the models' own scores, all pairs of fingerprints and a table of all 100-byte strings."""
+    from tests.llm.test_texts import told_by_hand
+
+    df = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in rows], "doc_id long, text string, lang string")
+    if name == "toxicity":
+        model = toxicity.fit(df, queries.table(spark, sf_dir, "labels").where(queries.fold("doc_id", 5) != 0))
+        return [r for r in rows if toxic_by_hand(model, r["text"]) < 0.5]
+    if name == "language":
+        profiles = language.fit(df.where(queries.fold("doc_id", 3) != 1))
+        return [r for r in rows if profiles.mixture(r["text"] or "")[0] != language.UNKNOWN and profiles.mixture(r["text"])[1] >= 0.5]
+    h = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in {r["text"] or "" for r in rows}], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    order = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, h[r["text"] or ""])
+    if name == "near_duplicates":
+        roots_of = components_by_hand({i: fingerprint_by_hand(r["text"]) for i, r in enumerate(rows)})
+        best = {}
+        for i, r in enumerate(rows):
+            best[roots_of[i]] = min(best.get(roots_of[i], r), r, key=lambda r: (*order(r), str(r)))
+        return list(best.values())
+    seen, left = set(), {}
+    for k in sorted({order(r): r["text"] or "" for r in rows}.items()):
+        raw = k[1].encode()
+        gone, own = bytearray(len(raw)), set()
+        for i in range(len(raw) - 99):
+            w = raw[i : i + 100]
+            if w in seen or w in own:
+                gone[i : i + 100] = b"\1" * 100
+            own.add(w)
+        seen |= own
+        at, kept = 0, ""
+        for c in k[1]:
+            n = len(c.encode())
+            kept, at = kept + c * (not any(gone[at : at + n])), at + n
+        left[k[0]] = kept
+    assert told_by_hand("", set())[0][0] == 0
+    out = []
+    for r in rows:
+        kept = left[order(r)]
+        out.append(r if kept == (r["text"] or "") else {**r, "text": kept, "n_chars": len(kept)})
+    return out
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
     docs = queries.table(spark, sf_dir, "documents")
-    names, kept = [n for n, _ in p.STAGES], docs
+    first = docs.orderBy("doc_id").collect()
+    long = " ".join(f"the word {i * i} of the house" for i in range(60))
+    rows = [r.asDict() for r in first]
+    own = lambda i, t: {**rows[0], "doc_id": i, "text": t, "n_chars": len(t or "")}
+    # rows that share ids, rows without, equal rows, and such without text
+    rows += [own(3, long), own(3, f"and {long} again"), own(None, f"so {long}"), own(None, rows[5]["text"]), own(7, rows[9]["text"]), rows[11], rows[11], own(None, None), own(None, ""), own(12, "12 34 --")]
+    kept, names = spark.createDataFrame(rows, docs.schema), [n for n, _ in p.STAGES]
     assert names == ["toxicity", "language", "near_duplicates", "repeats", "packing"]
+    plain = lambda rs: sorted((tuple(r[c] for c in docs.columns) for r in rs), key=str)
     for name, stage in p.STAGES[:-1]:
         out = stage(spark, kept, sf_dir)
         assert out.columns == docs.columns
-        before, after = {r["doc_id"]: r for r in kept.collect()}, {r["doc_id"]: r for r in out.collect()}
-        assert set(after) <= set(before)
-        if name == "near_duplicates":
-            roots_of = components_by_hand({i: fingerprint_by_hand(r["text"]) for i, r in before.items()})
-            assert set(after) == set(roots_of.values())
-        elif name == "repeats":
-            assert set(after) == set(before) and any(after[i]["text"] != before[i]["text"] for i in before)
-            assert all(r["n_chars"] == len(r["text"]) for i, r in after.items() if r["text"] != before[i]["text"])
-        else:
-            assert len(after) >= 0.8 * len(before) and all(after[i] == before[i] for i in after)
-        kept = spark.createDataFrame(out.collect(), docs.schema)
-    rows = p.STAGES[-1][1](spark, kept, sf_dir).collect()
-    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in kept.collect()}
+        after, want = out.collect(), stage_by_hand(name, rows, spark, sf_dir)
+        assert plain(after) == plain(want), name
+        rows = [r.asDict() for r in after]
+        kept = spark.createDataFrame(rows, docs.schema)
+    packed = p.STAGES[-1][1](spark, kept, sf_dir).collect()
+    assert sorted((r["doc_id"] for r in packed if r["piece"] == 0), key=str) == sorted((r["doc_id"] for r in rows), key=str)
     odd = spark.createDataFrame([(None, None, None, None, None), (3, "", "en", "s", 0), (3, "", "en", "s", 0)], docs.schema)
     for _, stage in p.STAGES:
         stage(spark, odd, sf_dir).count()

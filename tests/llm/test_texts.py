@@ -191,19 +191,26 @@ def removed_by_hand(docs):
     """{doc_id: (bytes, spans)} by a table of all 100-byte strings."""
     seen, out = set(), {}
     for doc_id, text in sorted(docs):
-        raw = (text or "").encode()
-        gone = bytearray(len(raw))
-        for i in range(len(raw) - 99):
-            w = raw[i : i + 100]
-            if w in seen:
-                gone[i : i + 100] = b"\1" * 100
-            seen.add(w)
-        kept = bytes(b for b, g in zip(raw, gone) if not g)
-        spans = sum(1 for i in range(len(raw)) if gone[i] and not (i and gone[i - 1]))
-        out[doc_id] = (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        told, own = told_by_hand(text, seen)
+        seen |= own
+        out[doc_id] = told
     return out
 
 
+def told_by_hand(text, seen):
+    """((bytes, bytes removed, spans, hash of the rest), strings of the text) where the strings `seen` start earlier."""
+    raw, own = (text or "").encode(), set()
+    gone = bytearray(len(raw))
+    for i in range(len(raw) - 99):
+        w = raw[i : i + 100]
+        if w in seen or w in own:
+            gone[i : i + 100] = b"\1" * 100
+        own.add(w)
+    kept = bytes(b for b, g in zip(raw, gone) if not g)
+    spans = sum(1 for i in range(len(raw)) if gone[i] and not (i and gone[i - 1]))
+    return (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()), own
+
+
 def digest(rows):
     return {r["doc_id"]: (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in rows}
 
@@ -214,31 +221,89 @@ def test_suffix_query(spark, sf_dir):
     assert got == removed_by_hand(docs)
 
 
-@pytest.mark.parametrize("crowd", [3, 2000])
+@pytest.mark.parametrize("crowd", [1, 3, 2000])
 def test_suffix_planted(spark, crowd, monkeypatch):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeéß한") for _ in range(rng.randint(1, 9)))
     text = lambda n: " ".join(word() for _ in range(n))
-    shared = [text(30), text(60), text(15)]
+    shared = [text(30), text(60), text(15), text(8)]
     docs = [(i * 3, text(rng.randint(0, 80)) + rng.choice(["", " ", *shared]) + text(rng.randint(0, 40)) + rng.choice(shared)) for i in range(120)]
     docs += [(1, "z" * 450), (2, "z" * 250), (4, "xy" * 300), (5, docs[7][1]), (7, docs[7][1][: len(docs[7][1]) // 2] + "!" + docs[7][1][len(docs[7][1]) // 2 :]), (8, ""), (10, "q" * 99), (11, "q" * 100), (13, "q" * 101)]
     df = spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, s int")
     assert digest(suffixes.remove_repeats(df).collect()) == removed_by_hand(docs)
 
 
+def test_suffix_crowd(spark):
+    """More surroundings of one line than an array takes: some alike on the left, some on the right, few on both."""
+    rng = random.Random(14)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(70))
+    part = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    lefts, rights = [part(60) for _ in range(40)], [part(60) for _ in range(40)]
+    docs = [(i, part(rng.randint(0, 40)) + rng.choice(lefts)[rng.randint(0, 50) :] + line + rng.choice(rights)[: rng.randint(0, 60)] + part(30)) for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert digest(suffixes.remove_repeats(df).collect()) == removed_by_hand(docs)
+
+
+def test_against_first():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 60))) for _ in range(2))
+        gram = b"g" * suffixes.GRAM
+        x, y = a + gram + bytes(rng.choice(b"ab") for _ in range(rng.randint(68, 90))), b + gram + bytes(rng.choice(b"ab") for _ in range(rng.randint(68, 90)))
+        windows = lambda r, to: {to - i: r[i : i + 100] for i in range(min(to, len(r) - 100) + 1)}
+        own, other = windows(x, len(a)), windows(y, len(b))
+        had, rest = suffixes.against_first(x, len(a), len(own), y, len(b))
+        got = {len(a) - had[0] - k for k in range(had[1])} if had else set()
+        assert got == {o for o in own if own[o] == other.get(o)}
+        left = [to - k for _, w, n, to in rest for k in range(n)]
+        assert sorted([*left, *got]) == sorted(own) and all(len(a) - w == to for _, w, _, to in rest)
+
+
 def test_suffix_long_text_and_odd_rows(spark, monkeypatch):
     rng = random.Random(6)
     base = "".join(rng.choice("abcdefgh ") for _ in range(900_000))
     docs = [(1, base + base[1000:400_000] + base[5:300]), (2, base[899_000:] + "tail"), (9, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert digest(suffixes.remove_repeats(df).collect()) == removed_by_hand(docs)
-    same = spark.createDataFrame([(None, base[:300]), (3, base[:300]), (3, base[:300])], "doc_id long, text string")
-    got = suffixes.remove_repeats(same).collect()
-    assert len(got) == 3 and all(bytes(r["kept"]).decode() == base[:300] for r in got)
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
 
 
+def repeats_by_rows(rows):
+    """{(id, text): what of the text is left} of rows in the order of id (null: last) and hash; equal rows are one document."""
+    seen, out = set(), {}
+    for doc_id, _, text in sorted({(i, h, t) for i, h, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        told, own = told_by_hand(text, seen)
+        seen |= own
+        out[doc_id, text] = told[1:]
+    return out
+
+
+def test_repeated_and_absent_ids(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage, other = words(70), words(40)
+    rows = [(1, f"{passage} c {words(20)}"), (3, f"{passage} a {other}"), (3, "short"), (3, words(200)), (3, f"x {other}"), (3, f"x {other}"), (5, f"at first {passage}"), (5, f"at first {passage}"), (None, f"{passage} n"), (None, f"{passage} n"), (None, f"{words(30)} {other}"), (None, None), (7, "")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, d int")
+    hashed = [tuple(r) for r in df.selectExpr("doc_id", "xxhash64(coalesce(text, ''))", "coalesce(text, '')").collect()]
+    want = repeats_by_rows(hashed)
+    got = suffixes.remove_repeats(df, whole_row=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["own"]["doc_id"] == r["doc_id"] and r["own"]["d"] == 1
+        told = sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()
+        assert told == want[r["doc_id"], r["own"]["text"] or ""]
+
+
+def test_removal_by_characters(spark):
+    rng = random.Random(2)
+    passage = "".join(rng.choice("é한�z") for _ in range(90))
+    # the bytes before and after the passage have one byte of their character in common
+    df = spark.createDataFrame([(1, f"a©{passage}è"), (2, f"한é{passage}é tail �")], "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffixes.remove_repeats(df, characters=True).collect()}
+    assert got == {1: f"a©{passage}è", 2: "한 tail �"}
+
+
 def test_repeated_rows_beside_a_sharing_document(spark):
     passage = " ".join(f"word{i * i}" for i in range(60))
     text, other = f"at first {passage} and an end", f"another way in {passage} then more"
