@@ -24,8 +24,10 @@ NUMBER_CASCADE = [
     r"=\s*" + NUMBER + r"(?:\s*(?:" + UNITS + r"))?(?:\s*$)",
 ]
 LETTER_CASCADE = [r"^\s*([ABCD])[.)\]\s]", r"^\s*\(?([ABCD])\)?\s*$", r"답\s*:?\s*([ABCD])", r"정답\s*:?\s*([ABCD])", r"^\s*([ABCD])\s*$"]
-STOP_CONTEXTS = """BECAUSE BECAU LOGICAL LOGIC ABSTRACT ABOUT ABOVE ACCORDING CONTEXT CONTENT CONSIDER CORRECT CONCEPT CALCULATE CHOICE CHART
-BETWEEN BEFORE BASIC BASED DISCUSS DESCRIBE DIFFERENT DETERMINE DECIDE DATA FOLLOWS FOLLOW LOGICALLY 가나다라 나다라마 다라마바 라마바사""".split()
+STOP_CONTEXTS = [
+    "BECAUSE", "BECAU", "LOGICAL", "LOGIC", "ABSTRACT", "ABOUT", "ABOVE", "ACCORDING", "CONTEXT", "CONTENT", "CONSIDER", "CORRECT", "CONCEPT", "CALCULATE", "CHOICE", "CHART",
+    "BETWEEN", "BEFORE", "BASIC", "BASED", "DISCUSS", "DESCRIBE", "DIFFERENT", "DETERMINE", "DECIDE", "DATA", "FOLLOWS", "FOLLOW", "LOGICALLY", "가나다라", "나다라마", "다라마바", "라마바사",
+]
 TOPICS = ["IT과학", "경제", "사회", "생활문화", "세계", "스포츠", "정치"]
 RELATIONS = {"entailment": "함의", "contradiction": "모순", "neutral": "중립"}
 

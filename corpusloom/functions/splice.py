@@ -56,11 +56,11 @@ def text_between(sentence: Column, word: Column, following: Column) -> Column:
 
 
 def contexts(sentence: Column, context: Column, gold: Column, tows: Column) -> Column:
-    """The context that each word is reasoned about in: the one before it, its reasoning, the word and the text up to the next."""
+    """The context that each word is reasoned about in: the one before it, its reasoning and the word after a blank each, and the text up to the next."""
 
     def step(s: Column, i: Column) -> Column:
         now, word = s["now"], F.get(gold, i)
-        grown = F.concat(now, F.get(tows, i), word, text_between(sentence, word, F.get(gold, i + 1)))
+        grown = F.concat(now, F.lit(" "), F.get(tows, i), F.lit(" "), word, text_between(sentence, word, F.get(gold, i + 1)))
         return F.struct(grown.alias("now"), F.concat(s["all"], F.array(now)).alias("all"))
 
     start = F.struct(context.alias("now"), F.array().cast("array<string>").alias("all"))

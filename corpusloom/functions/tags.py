@@ -81,7 +81,7 @@ def issues(text: Column, tag: str = TAG) -> Column:
     told = F.array(
         F.when(o > c, say(o - c, "closing")),
         F.when(c > o, say(c - o, "opening")),
-        F.when(n != F.least(o, c), F.concat(F.lit("Mismatched blocks: "), n.cast("string"), F.lit(" complete of "), F.least(o, c).cast("string"))),
+        F.when(n != F.least(o, c), F.concat(F.lit("Found "), o.cast("string"), F.lit(" opening tags, "), c.cast("string"), F.lit(" closing tags, but only "), n.cast("string"), F.lit(" complete blocks"))),
     )
     return F.filter(told, lambda x: x.isNotNull())
 

@@ -81,3 +81,8 @@ def normal_answer(text: Column) -> Column:
 def numbered_sentences(text: Column) -> Column:
     """What follows 'Sentence 1:', 'Sentence 2:', …"""
     return F.transform(F.regexp_extract_all(text, F.lit(r"Sentence [0-9]+: (.+?)(?=Sentence [0-9]+:|$)")), lambda s: F.trim(s))
+
+
+def shuffled(key: Column, seed: int = 42) -> Column:
+    """Where a row comes in a seeded order: the first 60 bits of the MD5 of seed and key."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 15), 16, 10).cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, not for each element of a lambda in it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def doubles(a: Column) -> Column:
     return a.cast("array<double>")
 
@@ -33,11 +40,11 @@ def distance(a: Column, b: Column) -> Column:
 
 def softmax(a: Column) -> Column:
     e = F.transform(doubles(a), lambda x: F.exp(x))
-    return F.transform(e, lambda x: x / total(e))
+    return bound(total(e), lambda t: F.transform(e, lambda x: x / t))
 
 
 def normalised(p: Column) -> Column:
-    return F.transform(doubles(p), lambda x: x / total(doubles(p)))
+    return bound(total(doubles(p)), lambda t: F.transform(doubles(p), lambda x: x / t))
 
 
 def entropy(p: Column, eps: float = 0.0) -> Column:
@@ -46,8 +53,7 @@ def entropy(p: Column, eps: float = 0.0) -> Column:
 
 
 def variance(p: Column) -> Column:
-    m = total(doubles(p)) / F.size(p)
-    return total(F.transform(doubles(p), lambda x: (x - m) * (x - m))) / F.size(p)
+    return bound(total(doubles(p)) / F.size(p), lambda m: total(F.transform(doubles(p), lambda x: (x - m) * (x - m))) / F.size(p))
 
 
 def top_values(p: Column, k: int) -> Column:

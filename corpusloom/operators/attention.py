@@ -57,5 +57,14 @@ def compare_layers(a: DataFrame, b: DataFrame, pad: bool = False) -> DataFrame:
 
 
 def compare_heads(a: DataFrame, b: DataFrame) -> DataFrame:
-    j = head_entropy(a).withColumnRenamed("entropy", "x").join(head_entropy(b).withColumnRenamed("entropy", "y"), ["layer", "head"])
-    return j.groupBy("layer").agg(F.count("*").alias("heads"), r6(F.avg("x")).alias("mean_a"), r6(F.avg("y")).alias("mean_b"), r6(F.avg(F.pow(F.col("x") - F.col("y"), 2))).alias("mse"), r6(F.avg(F.col("y") - F.col("x"))).alias("difference"))
+    """Entropies of the heads of two models by place, as far as both have heads, for each common layer."""
+    place = F.row_number().over(Window.partitionBy("layer").orderBy("head"))
+    side = lambda t, n: head_entropy(t).select("layer", place.alias("place"), F.col("entropy").alias(n))
+    j = side(a, "x").join(side(b, "y"), ["layer", "place"])
+    r = F.nanvl(F.corr("x", "y"), F.lit(None).cast("double"))
+    return j.groupBy("layer").agg(F.count("*").alias("heads"), r6(F.avg("x")).alias("mean_a"), r6(F.avg("y")).alias("mean_b"), r6(F.avg(F.pow(F.col("x") - F.col("y"), 2))).alias("mse"), r6(F.avg(F.col("x") - F.col("y"))).alias("difference"), r6(r).alias("correlation"))
+
+
+def overall_similarity(layers: DataFrame) -> DataFrame:
+    """Mean cosine of compare_layers' rows; 0 without any common layer."""
+    return layers.agg(r6(F.coalesce(F.avg("cosine"), F.lit(0.0))).alias("overall"))

@@ -42,27 +42,36 @@ def overall_perplexity(df: DataFrame, probs: str = "probs", text: str = "text_id
     return logs.groupBy(text).agg(r6(F.exp(-F.sum("l") / F.sum("n"))).alias("perplexity"))
 
 
-def token_entropy(df: DataFrame, probs: str = "probs", k: int = 10) -> DataFrame:
-    return df.withColumns({"token_entropy": v.entropy(F.col(probs), 1e-8), "top": v.top_values(F.col(probs), k)})
+def token_entropy(df: DataFrame, probs: str = "probs", k: int = 10, text: str = "text_id", pos: str = "pos") -> DataFrame:
+    """df with the entropy of each position, its k largest values, and whether it is the last of its text."""
+    last = df.groupBy(F.col(text).alias("__t")).agg(F.max(pos).alias("__last"))
+    out = df.withColumns({"token_entropy": v.entropy(F.col(probs), 1e-8), "top": v.top_values(F.col(probs), k)}).join(last, F.col(text).eqNullSafe(F.col("__t")))
+    return out.withColumn("is_last", F.col(pos) == F.col("__last")).drop("__t", "__last")
 
 
-def histogram_information(df: DataFrame, a: str, b: str, bins: int = 10) -> DataFrame:
-    """Mutual information of the binned values of two array columns at equal places, per row."""
-    def binned(c: str) -> Column:
-        low, high = F.array_min(c), F.array_max(c)
-        return F.transform(c, lambda x: F.least(F.floor((x - low) / F.nullif(high - low, F.lit(0.0)) * bins), F.lit(bins - 1)))
+def bin_counts(values: Column, bins: int = 10) -> Column:
+    """How many values are in each of `bins` bins of equal width from the least to the largest (which the last one holds); all alike: a range of 1 around them."""
+    x = v.doubles(values)
+    low, high = F.array_min(x), F.array_max(x)
+    ends = F.struct(F.when(low == high, low - 0.5).otherwise(low).alias("low"), F.when(low == high, high + 0.5).otherwise(high).alias("high"))
+    place = lambda e: F.transform(x, lambda y: F.least(F.lit(bins - 1), F.floor((y - e["low"]) / (e["high"] - e["low"]) * bins)))
+    return v.bound(ends, lambda e: v.bound(place(e), lambda at: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(at, lambda y: y == b)))))
 
-    rows = df.withColumn("__id", F.monotonically_increasing_id()).select("__id", F.explode(F.arrays_zip(binned(a).alias("x"), binned(b).alias("y"))).alias("z")).select("__id", "z.*")
-    n = rows.groupBy("__id").agg(F.count("*").alias("n"))
-    xy, x, y = rows.groupBy("__id", "x", "y").agg(F.count("*").alias("nxy")), rows.groupBy("__id", "x").agg(F.count("*").alias("nx")), rows.groupBy("__id", "y").agg(F.count("*").alias("ny"))
-    j = xy.join(x, ["__id", "x"]).join(y, ["__id", "y"]).join(n, "__id")
-    return j.groupBy("__id").agg(r6(F.sum(F.col("nxy") / F.col("n") * F.ln(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny"))))).alias("mutual_information")).drop("__id")
+
+def histogram_information(a: Column, b: Column, bins: int = 10) -> Column:
+    """Mutual information (natural log) of the histograms of two arrays, bin by bin, where how full a bin is counts as its label."""
+    both = F.arrays_zip(bin_counts(a, bins).alias("x"), bin_counts(b, bins).alias("y"))
+    same = lambda z, of: F.size(F.filter(z, of))
+    part = lambda z, e: F.ln(bins * same(z, lambda o: (o["x"] == e["x"]) & (o["y"] == e["y"])) / (same(z, lambda o: o["x"] == e["x"]) * same(z, lambda o: o["y"] == e["y"])))
+    return v.bound(both, lambda z: v.total(F.transform(z, lambda e: part(z, e))) / bins)
 
 
 def compare(a: DataFrame, b: DataFrame, key: list[str], metric: str = "entropy") -> DataFrame:
-    """Mean difference and correlation of two models at equal positions."""
-    j = a.select(*key, F.col(metric).alias("x")).join(b.select(*key, F.col(metric).alias("y")), key)
-    return j.agg(F.count("*").alias("n"), r6(F.avg("x")).alias("mean_a"), r6(F.avg("y")).alias("mean_b"), r6(F.avg(F.col("y") - F.col("x"))).alias("delta"), r6(F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0))).alias("correlation"))
+    """Mean difference of two models, and the correlation at equal positions, which only runs of equal length have."""
+    one = a.agg(F.count("*").alias("na"), F.avg(metric).alias("ma"), F.stddev_pop(metric).alias("sa")).crossJoin(F.broadcast(b.agg(F.count("*").alias("nb"), F.avg(metric).alias("mb"), F.stddev_pop(metric).alias("sb"))))
+    j = a.select(*key, F.col(metric).alias("x")).join(b.select(*key, F.col(metric).alias("y")), key).agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+    alike = (F.col("na") == F.col("nb")) & (F.col("n") == F.col("na"))
+    return one.crossJoin(F.broadcast(j)).select("n", r6("ma").alias("mean_a"), r6("mb").alias("mean_b"), r6(F.col("mb") - F.col("ma")).alias("delta"), r6(F.col("sb") - F.col("sa")).alias("delta_std"), r6(F.when(alike, F.nanvl("r", F.lit(None).cast("double")))).alias("correlation"))
 
 
 def across_languages(df: DataFrame, lang: str = "lang", metric: str = "entropy", pos: str = "pos") -> DataFrame:
@@ -75,7 +84,7 @@ def hidden_uncertainty(norms: Column, attention_entropy: Column | None = None) -
     """Fallback from hidden-state norms: 1 / (1 + norm / 100), its band and a pseudo-perplexity."""
     u = F.transform(v.doubles(norms), lambda x: 1 / (1 + x / 100))
     mean = v.total(u) / F.size(u)
-    out = {"uncertainty": mean, "band": F.when(mean < 0.3, "low").when(mean < 0.6, "medium").otherwise("high"), "pseudo_perplexity": F.exp(2 * mean), "high_positions": F.size(F.filter(u, lambda x: x > mean + F.sqrt(v.variance(u))))}
+    out = {"uncertainty": mean, "band": F.when(mean < 0.3, "low").when(mean < 0.6, "medium").otherwise("high"), "pseudo_perplexity": F.exp(2 * mean), "high_positions": v.bound(mean + F.sqrt(v.variance(u)), lambda most: F.size(F.filter(u, lambda x: x > most)))}
     return out | ({"attention_entropy": attention_entropy} if attention_entropy is not None else {})
 
 

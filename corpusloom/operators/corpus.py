@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import tags, text
 
@@ -112,7 +113,7 @@ def histogram(df: DataFrame, value: str, ranges: list[tuple[int, int | None]], h
     spark = df.sparkSession
     names = spark.createDataFrame([(i, f"{a}-{b}" if b is not None else f"{a}+") for i, (a, b) in enumerate(ranges)], "pos int, bucket string")
     counted = df.groupBy(label_of(F.col(value), ranges, half_open).alias("b")).agg(F.count("*").alias("k"))
-    total = df.agg(F.count("*").alias("total"))
+    total = counted.agg(F.sum("k").alias("total"))  # of the same exchange: the rows are read once
     return F.broadcast(names).join(counted, F.col("bucket") == F.col("b"), "left").crossJoin(F.broadcast(total)).select("bucket", F.coalesce("k", F.lit(0)).alias("n"), F.round(100 * F.coalesce("k", F.lit(0)) / F.col("total"), 6).alias("pct"))
 
 
@@ -166,13 +167,19 @@ def tag_distribution(df: DataFrame, least: int = 100, column: str = "completion"
     return long_original(df, least, column, tag).groupBy(tags.opens(F.col(column), tag).alias("n_open")).agg(F.count("*").alias("n"))
 
 
+def problems(df: DataFrame, order: str, n: int = 10, column: str = "completion", tag: str = tags.TAG) -> DataFrame:
+    """The first n unbalanced rows in the order of the file, with what is wrong."""
+    bad = df.where(~tags.is_balanced(F.col(column), tag))
+    return bad.select(order, tags.issues(F.col(column), tag).alias("issues")).orderBy(order).limit(n)
+
+
 def balance_summary(df: DataFrame, column: str = "completion", tag: str = tags.TAG) -> DataFrame:
     c = F.col(column)
     return df.agg(F.count("*").alias("total"), F.count_if(tags.is_balanced(c, tag)).alias("balanced"), F.count_if(~tags.is_balanced(c, tag)).alias("unbalanced"), F.count_if(tags.unclosed_at_end(c, tag) & ~tags.is_balanced(c, tag)).alias("unclosed_at_end"))
 
 
 def issue_counts(df: DataFrame, column: str = "completion", tag: str = tags.TAG) -> DataFrame:
-    return df.select(F.explode(tags.issues(F.col(column), tag)).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    return df.select(F.explode(tags.issues(F.col(column), tag)).alias("issue")).groupBy("issue").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "issue")
 
 
 def pattern_counts(df: DataFrame, column: str = "completion", tag: str = tags.TAG) -> DataFrame:
@@ -202,5 +209,20 @@ def head(df: DataFrame, n: int, order: str) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """The first n rows in a seeded order: the same ones whenever it is worked out again."""
+    return df.orderBy(text.shuffled(F.col(key), seed), key).limit(n)
+
+
+def all_rows(*frames: DataFrame) -> DataFrame:
+    """The rows of frames of one layout."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def cast_union(schema: str, *frames: DataFrame) -> DataFrame:
+    """The rows of frames whose columns are cast to one schema first; a column that one lacks raises an error."""
+    fields = StructType.fromDDL(schema).fields
+    return all_rows(*(f.select(*(f[x.name].cast(x.dataType).alias(x.name) for x in fields)) for f in frames))

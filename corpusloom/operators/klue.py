@@ -29,10 +29,11 @@ def per_class(df: DataFrame, predicted: str, truth: str) -> DataFrame:
 
 
 def relation_scores(df: DataFrame, predicted: str, truth: str) -> DataFrame:
-    """accuracy, macro and micro F1; micro F1 equals accuracy where each row has one label of the shared classes."""
+    """accuracy (of labels without blanks around them), macro and micro F1 (of labels as they are)."""
     macro = per_class(df, predicted, truth).agg(F.avg("f1").alias("macro_f1"))
-    hit = F.count_if(F.col(predicted) == F.col(truth)) / F.count("*")
-    return df.agg(hit.alias("accuracy"), hit.alias("micro_f1")).crossJoin(F.broadcast(macro)).select(*(F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "micro_f1")))
+    n, same = F.count("*"), F.count_if(F.col(predicted) == F.col(truth))
+    trimmed = F.count_if(F.regexp_replace(predicted, r"(?U)^\s+|\s+$", "") == F.regexp_replace(truth, r"(?U)^\s+|\s+$", ""))
+    return df.agg((trimmed / n).alias("accuracy"), (same / n).alias("micro_f1")).crossJoin(F.broadcast(macro)).select(*(F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "micro_f1")))
 
 
 def known_or(predicted: Column, labels: list[str], default: str) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import shuffled
+
 #: Speaker names that conversations use, the instruction frame, and the chat markers.
 ROLES = {"gpt": "assistant", "Assistant": "assistant", "assistant": "assistant", "user": "user", "User": "user", "human": "user"}
 FRAME = ("Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.\n\n### Instruction:\n", "\n\n### Input:\n", "\n\n### Response:")
@@ -50,8 +52,8 @@ def is_chat(messages: Column) -> Column:
 def render(messages: Column, end: str = "</s>") -> Column:
     """One text with role markers; empty lists and unknown roles raise an error."""
     marks = F.create_map(*(F.lit(x) for kv in MARKS.items() for x in kv))
-    one = lambda m: F.concat(F.coalesce(F.try_element_at(marks, m["role"]), F.raise_error(F.concat(F.lit("Invalid role: "), m["role"]))), F.trim(m["content"]), F.when(m["role"] == "assistant", end).otherwise(""), F.lit("\n"))
-    return F.when(F.size(messages) == 0, F.raise_error(F.lit("messages field is empty."))).otherwise(F.trim(F.array_join(F.transform(messages, one), "")))
+    one = lambda m: F.concat(F.coalesce(F.try_element_at(marks, m["role"]), F.raise_error(F.concat(F.lit("no mark for the role "), m["role"]))), F.trim(m["content"]), F.when(m["role"] == "assistant", end).otherwise(""), F.lit("\n"))
+    return F.when(F.size(messages) == 0, F.raise_error(F.lit("a conversation without turns"))).otherwise(F.trim(F.array_join(F.transform(messages, one), "")))
 
 
 def parse_mixer(items: list) -> dict[str, float | int]:
@@ -78,7 +80,7 @@ def mix(sources: dict[str, DataFrame], shares: dict[str, float | int], key: str,
 
 
 def _prefix(df: DataFrame, share: float | int, key: str, seed: int, counts: bool) -> DataFrame:
-    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__b", F.shiftright("__h", 48))
+    hashed = df.withColumn("__h", shuffled(F.col(key), seed)).withColumn("__b", F.shiftright("__h", 44))
     sizes = hashed.groupBy("__b").agg(F.count("*").alias("n"))
     upto = sizes.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__b")))  # 65,536 rows at most
     want = F.lit(int(share)).cast("long") if counts else F.floor(F.lit(float(share)) * F.sum("n").over(Window.partitionBy(F.lit(0))))
@@ -87,8 +89,43 @@ def _prefix(df: DataFrame, share: float | int, key: str, seed: int, counts: bool
     return hashed.join(F.broadcast(room), "__b").withColumn("__r", rank).where(F.col("__r") <= F.col("room"))
 
 
-def synthetic_ids(df: DataFrame, name: str, split: str, order: str) -> DataFrame:
-    return df.withColumn("id", F.concat_ws("_", F.lit(name), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1).cast("string"), F.lit(split)))
+def numbered(df: DataFrame, order: Column, name: str = "index", parts: int = 200) -> DataFrame:
+    """df with each row's place (from 0) in the order of a number; equal ones in any order.
+
+    Rows are dealt out by approximate quantiles and numbered in each part, after the number of rows in the parts before: no task has all rows.
+    """
+    keyed = df.withColumn("__o", order.cast("double"))
+    ends = keyed.agg(F.percentile_approx("__o", [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    ends = sorted(set(ends or []))
+    part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("__o"))) if ends else F.lit(0)
+    dealt = keyed.withColumn("__part", part)
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("__part").alias("__p"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("n")).alias("__before"))  # a row a part
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return dealt.withColumn(name, place - 1).join(F.broadcast(before), F.col("__part") == F.col("__p")).withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__o", "__part", "__p", "__before")
+
+
+def synthetic_ids(df: DataFrame, name: str, split: str, order: Column) -> DataFrame:
+    """id: name, the place in the order, and the split; a table that has ids keeps them."""
+    if "id" in df.columns:
+        return df
+    return numbered(df, order, "__i").withColumn("id", F.concat_ws("_", F.lit(name), F.col("__i").cast("string"), F.lit(split))).drop("__i")
+
+
+def combine(sources: dict[str, DataFrame], shares: dict[str, float | int], split: str, key: str, columns: list[str], shuffle: bool = False, seed: int = 42) -> DataFrame:
+    """id and the columns of the first rows of each dataset, by its key or a seeded order: a share above 1 counts rows, others are fractions."""
+    if any(v < 0 for v in shares.values()):
+        raise ValueError("shares must not be negative")
+    out = None
+    for name, df in sources.items():
+        order = shuffled(F.col(key), seed) if shuffle else F.col(key)
+        rows = int(shares[name]) if shares[name] > 1 else int(shares[name] * df.count())
+        placed = numbered(df, order, "__place").where(F.col("__place") < rows)
+        if "id" not in df.columns:
+            placed = placed.withColumn("id", F.concat_ws("_", F.lit(name), F.col("__place").cast("string"), F.lit(split)))
+        part = placed.select("id", *columns)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def joined(prompt: Column, completion: Column, end: str = "</s>") -> Column:
@@ -97,27 +134,60 @@ def joined(prompt: Column, completion: Column, end: str = "</s>") -> Column:
     return F.concat(prompt, F.when(prompt.rlike(r"\s$") | (prompt == "") | completion.rlike(blank), "").otherwise(" "), completion, F.lit(end))
 
 
-def encode(df: DataFrame, tokenize: Callable[[str], list[int]], messages: str = "messages", most: int = 2048) -> DataFrame:
-    """input_ids, labels, attention_mask of chat rows; all but the assistant's own words is masked."""
+def _encoded(df: DataFrame, columns: list[str], make: Callable[..., tuple[list[int], list[int]]]) -> DataFrame:
+    """df with input_ids, labels and attention_mask in the place of `columns`; make gives ids and labels of their values."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for turns in pdf["__turns"]:
-                ids, labels = [], []
-                for role, content in ((t["role"], t["content"].strip()) for t in turns):
-                    head, body = tokenize(MARKS[role]), tokenize(content + ("</s>" if role == "assistant" else "") + "\n")
-                    ids += head + body
-                    labels += [MASK] * len(head) + (body if role == "assistant" else [MASK] * len(body))
-                rows.append((ids[:most], labels[:most], [1] * min(most, len(ids))))
-            out = pdf.drop(columns="__turns").copy()
-            for i, name in enumerate(("input_ids", "labels", "attention_mask")):
-                out[name] = [r[i] for r in rows]
+            rows = [make(*x) for x in zip(*(pdf[c] for c in columns))]
+            out = pdf.drop(columns=columns).copy()
+            for name, values in (("input_ids", [r[0] for r in rows]), ("labels", [r[1] for r in rows]), ("attention_mask", [[1] * len(r[0]) for r in rows])):
+                out[name] = pd.Series(values, index=out.index, dtype=object)
             yield out
 
-    kept = [f for f in df.schema.fields if f.name != messages]
+    kept = [f for f in df.schema.fields if f.name not in columns]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "input_ids array<int>", "labels array<int>", "attention_mask array<int>"])
-    return df.select(*(f.name for f in kept), F.col(messages).alias("__turns")).mapInPandas(run, schema)
+    return df.select(*(f.name for f in kept), *columns).mapInPandas(run, schema)
+
+
+def encode_pairs(df: DataFrame, tokenize: Callable[[str], list[int]], prompt: str = "prompt", completion: str = "completion", most: int = 2048, end: str = "</s>") -> DataFrame:
+    """Ids of prompt and completion as one text, cut at `most`; as many labels as the prompt alone has ids are masked."""
+
+    def make(p: str, c: str) -> tuple[list[int], list[int]]:
+        seam = "" if p.endswith((" ", "\n", "\t")) or c.startswith((" ", "\n", "\t")) else " "
+        ids = tokenize(f"{p}{seam}{c}{end}")[:most]
+        masked = min(len(ids), len(tokenize(p)[:most]))
+        return ids, [MASK] * masked + ids[masked:]
+
+    return _encoded(df, [prompt, completion], make)
+
+
+def encode(df: DataFrame, tokenize: Callable[[str], list[int]], messages: str = "messages", most: int = 2048, end: str = "</s>") -> DataFrame:
+    """Ids of a conversation as one text, cut at `most`. What other roles say is masked, from the length of the ids of all before it to the
+    length with it, and the mark of an assistant's turn that follows; no turns or an unknown role raise an error."""
+
+    def shown(turns) -> str:
+        return "".join(f"{MARKS[t['role']]}{t['content'].strip()}{end if t['role'] == 'assistant' else ''}\n" for t in turns)
+
+    def make(turns) -> tuple[list[int], list[int]]:
+        if not len(turns):
+            raise ValueError("a conversation without turns")
+        if unknown := {t["role"] for t in turns} - MARKS.keys():
+            raise ValueError(f"no mark for the role {unknown}")
+        ids = tokenize(shown(turns).strip())[:most]
+        labels = list(ids)
+        for i, t in enumerate(turns):
+            if t["role"] == "assistant":
+                continue
+            start = len(tokenize(shown(turns[:i]))[:most]) if i else 0
+            follows = MARKS["assistant"] if i + 1 < len(turns) and turns[i + 1]["role"] == "assistant" else ""
+            stop = len(tokenize(shown(turns[: i + 1]) + follows)[:most])
+            labels[start:stop] = [MASK] * len(labels[start:stop])
+            if stop >= most:
+                break
+        return ids, labels
+
+    return _encoded(df, [messages], make)
 
 
 def has_target(labels: Column) -> Column:

@@ -78,7 +78,7 @@ def retrieval_improvement(base: DataFrame, tuned: DataFrame) -> DataFrame:
 
 
 def similar_pairs(df: DataFrame, threshold: float = 0.8, block: int = 1024) -> DataFrame:
-    """Pairs i < j of at least the similarity: tiles of two blocks, verified inside."""
+    """Pairs i < j of at least the similarity, which are all pairs by nature where the threshold is low: each tile is one product of two blocks."""
     n = max(1, -(-df.count() // block))
     t = df.select("idx", v.doubles(F.col("v")).alias("v"), F.pmod(F.xxhash64("idx"), F.lit(n)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("o"))
     t = t.withColumns({"lo": F.least("b", "o"), "hi": F.greatest("b", "o")})
@@ -89,9 +89,13 @@ def similar_pairs(df: DataFrame, threshold: float = 0.8, block: int = 1024) -> D
         x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(idx), -1)
         n = np.linalg.norm(x, axis=1)
         u = x / np.where(n == 0, 1, n)[:, None]
-        i, j = np.nonzero(u @ u.T >= threshold)
-        ok = (idx[i] < idx[j]) & ((b[i] != b[j]) | (t["lo"][0].as_py() == t["hi"][0].as_py()))
-        i, j = i[ok], j[ok]
+        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+        left, right = np.nonzero(b == lo)[0], np.nonzero(b == hi)[0]
+        i, j = np.nonzero(u[left] @ u[right].T >= threshold)
+        i, j = left[i], right[j]
+        if lo == hi:
+            i, j = i[idx[i] < idx[j]], j[idx[i] < idx[j]]
+        i, j = np.where(idx[i] < idx[j], i, j), np.where(idx[i] < idx[j], j, i)
         return pa.table({"i": idx[i], "j": idx[j], "sim": np.einsum("ij,ij->i", u[i], u[j])})
 
     return t.select("idx", "v", "b", "lo", "hi").groupBy("lo", "hi").applyInArrow(tile, "i long, j long, sim double")
@@ -117,9 +121,24 @@ def pair_distances(df: DataFrame) -> DataFrame:
 
 
 def distance_bands(df: DataFrame) -> DataFrame:
+    """pair_id, distance, its band by the quartiles of all pairs, and the mean and deviation of all."""
     d = pair_distances(df)
-    q = d.agg(F.percentile("distance", F.lit(0.75)).alias("p75"), F.percentile("distance", F.lit(0.5)).alias("p50"))
-    return d.crossJoin(F.broadcast(q)).select("pair_id", "distance", F.when(F.col("distance") >= F.col("p75"), "high").when(F.col("distance") >= F.col("p50"), "medium").otherwise("low").alias("band"))
+    q = d.agg(r6(F.avg("distance")).alias("mean"), r6(F.stddev_pop("distance")).alias("std"), F.percentile("distance", F.lit(0.75)).alias("p75"), F.percentile("distance", F.lit(0.5)).alias("p50"))
+    return d.crossJoin(F.broadcast(q)).select("pair_id", "distance", F.when(F.col("distance") >= F.col("p75"), "high").when(F.col("distance") >= F.col("p50"), "medium").otherwise("low").alias("band"), "mean", "std")
+
+
+def gap_by_position(df: DataFrame, a: str = "base", b: str = "train") -> DataFrame:
+    """place, gap of the EN and the KO row at that place (each in the order of idx) in two models, and the change; as far as both languages have rows."""
+    side = lambda lang, n: df.where(F.col("lang") == lang).select(F.floor(F.col("idx") / 2).alias("place"), F.col(a).alias(f"{n}a"), F.col(b).alias(f"{n}b"))
+    j = side("en", "en").join(side("ko", "ko"), "place")
+    return j.select("place", r6(v.distance(F.col("ena"), F.col("koa"))).alias("base_gap"), r6(v.distance(F.col("enb"), F.col("kob"))).alias("train_gap"), r6(v.distance(F.col("enb"), F.col("kob")) - v.distance(F.col("ena"), F.col("koa"))).alias("change"))
+
+
+def gap_summary(df: DataFrame, a: str = "base", b: str = "train") -> DataFrame:
+    """Overall mean gap of two models, how it is called (bounds 0.5, 1 and 2), its consistency and the mean cosine."""
+    m = F.col("gap")
+    called = F.when(m < 0.5, "very_low").when(m < 1, "low").when(m < 2, "medium").otherwise("high")
+    return gap(df, a, b).agg(F.avg("gap").alias("gap"), r6(F.avg("cosine")).alias("cosine")).select(r6(m).alias("gap"), called.alias("level"), r6(1 / (1 + m)).alias("consistency"), "cosine")
 
 
 def gap(df: DataFrame, a: str = "base", b: str = "train") -> DataFrame:
@@ -172,7 +191,9 @@ class Moments:
         return float(np.linalg.norm(self.xy) ** 2 / low) if low else 0.0
 
     def svcca(self, keep: float = 0.99, ridge: float = 1e-6) -> float:
-        """Mean canonical correlation of the principal directions that hold `keep` of the variance."""
+        """Mean canonical correlation of the principal directions that hold `keep` of the variance.
+
+        Variances are whitened symmetrically, with `ridge` added; directions without any variance count by their pseudo-inverse (as 0)."""
         def directions(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             w, u = np.linalg.eigh(c)
             w, u = np.maximum(w[::-1], 0), u[:, ::-1]
@@ -180,7 +201,8 @@ class Moments:
             return u[:, :k], w[:k] / self.n
 
         (ux, wx), (uy, wy) = directions(self.xx), directions(self.yy)
-        cross = ux.T @ self.xy @ uy / self.n / np.sqrt(wx + ridge)[:, None] / np.sqrt(wy + ridge)[None, :]
+        white = lambda w: np.where(w + ridge > 0, 1 / np.sqrt(np.maximum(w + ridge, 1e-300)), 0.0)
+        cross = ux.T @ self.xy @ uy / self.n * white(wx)[:, None] * white(wy)[None, :]
         return float(np.clip(np.linalg.svd(cross, compute_uv=False), 0, 1).mean())
 
     def procrustes(self) -> dict[str, float]:
@@ -194,7 +216,29 @@ class Moments:
         c = self.xx + self.yy + self.n / 2 * np.outer(self.mx - self.my, self.mx - self.my)
         w, u = np.linalg.eigh(c)
         w, u = w[::-1], u[:, ::-1]
-        return {"explained": w[:k] / max(w.sum(), 1e-300), "loadings": u[:, :k], "shift": (self.my - self.mx) @ u[:, :k], "top_dims": np.argsort(-np.abs(u[:, 0]), kind="stable")[:10]}
+        u = u * np.where(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])] < 0, -1, 1)  # the largest loading of each is positive
+        top = [np.argsort(-np.abs(u[:, i]), kind="stable")[:10] for i in range(min(k, u.shape[1]))]
+        shared = sorted(set(top[0][:5].tolist()) & set(top[1][:5].tolist())) if len(top) > 1 else []
+        return {"explained": w[:k] / max(w.sum(), 1e-300), "loadings": u[:, :k], "mean": (self.mx + self.my) / 2, "shift": (self.my - self.mx) @ u[:, :k], "top_dims": top[0], "top_dims_each": top, "shared_top": shared}
+
+
+def projected(df: DataFrame, pca: dict[str, np.ndarray], columns: list[str]) -> DataFrame:
+    """df with each column's coordinates (array) on the principal directions; the directions, of the vectors' size, are literals of the plan."""
+    dims = [F.array(*map(F.lit, pca["loadings"][:, i].tolist())) for i in range(pca["loadings"].shape[1])]
+    mean = F.array(*map(F.lit, pca["mean"].tolist()))
+    at = lambda c: F.array(*(v.dot(F.zip_with(v.doubles(F.col(c)), mean, lambda x, y: x - y), d) for d in dims))
+    return df.withColumns({f"{c}_at": at(c) for c in columns})
+
+
+def separation(at: DataFrame, base: str, train: str, lang: str = "lang") -> DataFrame:
+    """at: rows with coordinates of two models. How far the languages' means are apart on the first direction over both models, the mean
+    absolute shift between the models on each, and the ranges of the second by language."""
+    both = at.select(lang, F.explode(F.array(base, train)).alias("c"), F.lit(0))
+    mean = lambda name: F.avg(F.when(F.col(lang) == name, F.col("c")[0]))
+    span = lambda name: F.max(F.when(F.col(lang) == name, F.col("c")[1])) - F.min(F.when(F.col(lang) == name, F.col("c")[1]))
+    apart = both.agg(r6(F.abs(mean("en") - mean("ko"))).alias("language_separation"), r6(span("en")).alias("en_range"), r6(span("ko")).alias("ko_range"))
+    shift = at.agg(*(r6(F.avg(F.abs(F.col(base)[i] - F.col(train)[i]))).alias(f"shift_{i + 1}") for i in (0, 1)))
+    return apart.crossJoin(F.broadcast(shift))
 
 
 def cka_band(x: float) -> str:
@@ -229,6 +273,58 @@ def clustering_agreement(df: DataFrame, a: str, b: str) -> dict[str, float]:
     return {"ari": (index - expected) / (most - expected) if most != expected else 1.0, "nmi": float(mi / ((h(ra.values()) + h(rb.values())) / 2)) if len(ra) + len(rb) > 2 else 1.0}
 
 
+def silhouette(df: DataFrame, cluster: str, column: str = "v", block: int = 1024) -> DataFrame:
+    """Mean silhouette by Euclidean distance: (b - a) / max(a, b), a the mean distance to the row's own cluster, b to the nearest other; 0 for a row alone.
+
+    All pairs by nature: tiles of two blocks sum each row's distances by cluster, so that a tile gives a row for each row and cluster.
+    """
+    n = max(1, -(-df.count() // block))
+    rows = df.select("idx", v.doubles(F.col(column)).alias("v"), F.col(cluster).cast("string").alias("c"), F.pmod(F.xxhash64("idx"), F.lit(n)).alias("own"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    both = rows.select(F.lit(0).alias("kind"), "idx", "v", "c", F.col("own").alias("x"), every.alias("y")).unionByName(rows.select(F.lit(1).alias("kind"), "idx", "v", "c", every.alias("x"), F.col("own").alias("y")))
+
+    def tile(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        kind, idx, c = t["kind"].to_numpy(), t["idx"].to_numpy(), np.array(t["c"].to_pylist())
+        x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(idx), -1)
+        a, b = np.nonzero(kind == 0)[0], np.nonzero(kind == 1)[0]
+        names, at = np.unique(c[b], return_inverse=True)
+        member = np.eye(len(names))[at]
+        out = [np.zeros((len(a), len(names)))]
+        sq = (x * x).sum(axis=1)
+        for s in range(0, len(a), 256):
+            p = a[s : s + 256]
+            d = np.sqrt(np.maximum(0, sq[p][:, None] + sq[b][None, :] - 2 * x[p] @ x[b].T))
+            d[idx[p][:, None] == idx[b][None, :]] = 0
+            out[0][s : s + 256] = d @ member
+        size = member.sum(axis=0).astype("i8")
+        return pa.table({"idx": np.repeat(idx[a], len(names)), "own": pa.array(np.repeat(c[a], len(names)).tolist(), pa.string()), "other": pa.array(np.tile(names, len(a)).tolist(), pa.string()), "d": out[0].ravel(), "n": np.tile(size, len(a))})
+
+    sums = both.groupBy("x", "y").applyInArrow(tile, "idx long, own string, other string, d double, n long").groupBy("idx", "own", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    same = F.col("own") == F.col("other")
+    each = sums.groupBy("idx").agg(F.max(F.when(same, F.col("d") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("b"))
+    return each.agg(r6(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))).alias("silhouette"))
+
+
+def purity_change(base: DataFrame, tuned: DataFrame, lang: str) -> DataFrame:
+    """Two results of `purity`: each language's purities and the improvement."""
+    a, b = base.select(lang, F.col("purity").alias("base")), tuned.select(lang, F.col("purity").alias("tuned"))
+    return a.join(b, lang).select(lang, "base", "tuned", r6(F.col("tuned") - F.col("base")).alias("improvement"))
+
+
+def by_language(df: DataFrame, a: str = "base", b: str = "train", lang: str = "lang", k: int = 5) -> dict[str, dict[str, float | None]]:
+    """CKA (from two rows on), SVCCA (from three) and neighbour consistency (of at most k and one less than the rows) of each language; None under that."""
+    out = {}
+    for r in df.groupBy(lang).agg(F.count("*").alias("n")).orderBy(lang).collect():  # a row a language
+        own, n, near = df.where(F.col(lang).eqNullSafe(F.lit(r[lang]))), r["n"], min(k, r["n"] - 1)
+        m = Moments(own, a, b) if n > 1 else None
+        told = {"cka": m.cka() if n > 1 else None, "svcca": m.svcca() if n > 2 else None, "consistency": None}
+        if n > near > 0:
+            told["consistency"] = neighbour_consistency(own.select("idx", F.col(a).alias("v")), own.select("idx", F.col(b).alias("v")), near).first()[0]
+        out[r[lang]] = told
+    return out
+
+
 def kmeans(df: DataFrame, k: int, column: str = "v", seed: int = 42) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -238,15 +334,21 @@ def kmeans(df: DataFrame, k: int, column: str = "v", seed: int = 42) -> DataFram
 
 
 def dbscan(df: DataFrame, eps: float = 0.5, least: int = 5, block: int = 1024) -> DataFrame:
-    """idx, cluster by cosine distance (noise: -1); clusters are named by their smallest core index. Links come from tiles."""
-    links = similar_pairs(df, 1 - eps, block).select("i", "j")
+    """idx, cluster by cosine distance (noise: -1); clusters are named by their smallest core index. Links come from tiles.
+
+    Each round a core row takes the smallest name among its neighbours and then the name which that one's row has, so that
+    the rounds grow with the logarithm of a chain's length.
+    """
+    links = similar_pairs(df, 1 - eps, block).select("i", "j").checkpoint()
     both = links.union(links.select("j", "i")).toDF("i", "j")
     core = both.groupBy("i").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select(F.col("i").alias("c"))
     label = core.select(F.col("c").alias("idx"), F.col("c").alias("cluster"))
     edges = both.join(core, F.col("i") == F.col("c")).drop("c").join(core, F.col("j") == F.col("c")).drop("c")
-    while True:  # labels spread to the smallest; written between rounds
+    while True:  # written between rounds
         low = edges.join(label, F.col("j") == F.col("idx")).groupBy("i").agg(F.min("cluster").alias("m"))
-        new = label.join(low, F.col("idx") == F.col("i"), "left").select("idx", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster")).checkpoint()
+        met = label.join(low, F.col("idx") == F.col("i"), "left").select("idx", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
+        jump = met.select(F.col("idx").alias("at"), F.col("cluster").alias("further"))
+        new = met.join(jump, F.col("cluster") == F.col("at")).select("idx", F.least("cluster", "further").alias("cluster")).checkpoint()
         moved = new.join(label.withColumnRenamed("cluster", "old"), "idx").where("cluster != old").limit(1).count()
         label = new
         if not moved:
@@ -257,14 +359,41 @@ def dbscan(df: DataFrame, eps: float = 0.5, least: int = 5, block: int = 1024) -
 
 
 def language_similarity(df: DataFrame, lang: str = "lang") -> DataFrame:
-    """Mean cosine within and between languages from sums of unit vectors: mean over all ordered pairs of different rows."""
+    """a, b, mean and population deviation of the cosines within and between languages, over all pairs of different rows.
+
+    Both come from moments of the unit vectors u (their sums, and the sums of u u', whose products are the sums of the squared
+    cosines), of a size that follows the dimensions: no pairs. Zero vectors are left out.
+    """
     n = v.norm(F.col("v"))
-    unit = df.where(n > 0).select(lang, F.posexplode(F.transform(v.doubles(F.col("v")), lambda x: x / n)).alias("d", "x"))
-    s = unit.groupBy(lang, "d").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    a, b = s.select(F.col(lang).alias("a"), "d", F.col("x").alias("xa"), F.col("n").alias("na")), s.select(F.col(lang).alias("b"), "d", F.col("x").alias("xb"), F.col("n").alias("nb"))
-    j = a.join(b, "d").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    same = F.col("a") == F.col("b")
-    return j.select("a", "b", r6(F.when(same, (F.col("dot") - F.col("na")) / F.nullif(F.col("na") * (F.col("na") - 1), F.lit(0))).otherwise(F.col("dot") / (F.col("na") * F.col("nb")))).alias("mean_similarity"))
+    unit = df.where(n > 0).select(lang, F.transform(v.doubles(F.col("v")), lambda x: x / n).alias("u"))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            names = np.array(batch.column(lang).to_pylist(), object)
+            x = np.array(batch.column("u").flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
+            for name in set(names):
+                y = np.hstack((np.ones((int((names == name).sum()), 1)), x[names == name]))
+                sums[name] = sums.get(name, 0) + y.T @ y
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([m.astype("f8").tobytes() for m in sums.values()], pa.binary())], names=["lang", "m"])
+
+    def add(t: pa.Table) -> pa.Table:
+        return pa.table({"lang": [t["lang"][0].as_py()], "m": pa.array([sum(np.frombuffer(x, "f8") for x in t["m"].to_pylist()).tobytes()], pa.binary())})
+
+    parts = unit.mapInArrow(part, "lang string, m binary").groupBy("lang").applyInArrow(add, "lang string, m binary").collect()  # one of each language
+    moments = {r["lang"]: (m := np.frombuffer(bytes(r["m"]), "f8")).reshape(int(np.sqrt(len(m))), -1) for r in parts}
+    rows = []
+    for a in sorted(moments):
+        for b in sorted(x for x in moments if x >= a):
+            p, q, same = moments[a], moments[b], a == b
+            pairs_n = p[0, 0] * (q[0, 0] - same)
+            if not pairs_n:
+                continue
+            mean = (p[0, 1:] @ q[0, 1:] - same * p[0, 0]) / pairs_n
+            square = ((p[1:, 1:] * q[1:, 1:]).sum() - same * p[0, 0]) / pairs_n
+            rows.append((a, b, round(float(mean), 6), round(float(np.sqrt(max(0.0, square - mean * mean))), 6)))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, mean_similarity double, std_similarity double")
 
 
 def intra_distance(df: DataFrame, lang: str = "lang", column: str = "v") -> DataFrame:
@@ -310,4 +439,4 @@ def compare_matrices(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.withColumnRenamed("x", "p").join(b.withColumnRenamed("x", "q"), ["i", "j"], "full_outer")
     d = F.col("p") - F.col("q")
     wrong = F.raise_error(F.lit("matrices have different shapes"))
-    return j.select(F.when(F.col("p").isNull() | F.col("q").isNull(), wrong.cast("double")).otherwise(F.col("p")).alias("p"), "q").agg(r6(F.corr("p", "q")).alias("correlation"), r6(F.avg(d * d)).alias("mse"), r6(F.avg(F.abs(d))).alias("mae"), r6(F.max(F.abs(d))).alias("max_difference"), r6(F.stddev_pop(d)).alias("std_difference"))
+    return j.select(F.when(F.col("p").isNull() | F.col("q").isNull(), wrong.cast("double")).otherwise(F.col("p")).alias("p"), "q").agg(r6(F.corr("p", "q")).alias("correlation"), r6(F.avg(d * d)).alias("mse"), r6(F.avg(F.abs(d))).alias("mae"), r6(F.max(F.abs(d))).alias("max_difference"), r6(F.avg(d)).alias("mean_difference"), r6(F.stddev_pop(d)).alias("std_difference"))

@@ -86,9 +86,14 @@ def unfinished(wanted: DataFrame, done: DataFrame, key: str, gold: str, complete
     return wanted.join(n, key, "left").where(F.coalesce("__done", F.lit(-1)) < F.size(gold)).drop("__done")
 
 
+def _mean(x: Column) -> Column:
+    """The mean of values of six places by an exact sum: the order of the rows doesn't count."""
+    return (F.sum(x.cast("decimal(18,6)")) / F.count(x)).cast("double")
+
+
 def language_comparison(summaries: DataFrame, benchmark: str, lang: str, metric: str) -> DataFrame:
     """Means per benchmark of EN and KO and their difference."""
-    en, ko = (F.avg(F.when(F.col(lang) == x, F.col(metric))) for x in ("en", "ko"))
+    en, ko = (_mean(F.when(F.col(lang) == x, F.col(metric))) for x in ("en", "ko"))
     return summaries.groupBy(benchmark).agg(F.round(en, 6).alias("en"), F.round(ko, 6).alias("ko"), F.round(en - ko, 6).alias("difference"), F.round((en + ko) / 2, 6).alias("combined"))
 
 
@@ -137,50 +142,87 @@ def subject_extremes(df: DataFrame, model: str, subject: str, metric: str, k: in
     return both.where(F.col("__high") <= k).select(model, subject, F.lit("strong").alias("side"), F.col("__high").alias("place")).union(both.where(F.col("__low") <= k).select(model, subject, F.lit("weak"), F.col("__low")))
 
 
+def leaderboard(df: DataFrame, lang: str, model: str, metric: str) -> DataFrame:
+    """Per language the models by falling metric (ties by name), and whether one is the best."""
+    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.desc(metric), model))
+    return df.withColumn("rank", rank).withColumn("is_best", F.col("rank") == 1)
+
+
+def with_metric(df: DataFrame, metric: str) -> DataFrame:
+    """Rows whose metric is a number."""
+    return df.where(F.col(metric).cast("string").try_cast("double").isNotNull())
+
+
+def task_means(df: DataFrame, model: str, task: str, metric: str, tasks: list[str]) -> DataFrame:
+    """model, mean over the tasks (absent: 0), rank."""
+    table = task_table(df, model, task, metric, tasks)
+    mean = sum((F.col(f"`{t}`").cast("decimal(18,6)") for t in tasks), F.lit(0).cast("decimal(18,6)")) / len(tasks)
+    return ranked(table.select(model, F.round(mean.cast("double"), 6).alias("mean")), "mean", model)
+
+
+def summary_table(df: DataFrame, model: str, task: str, metric: str, tasks: list[str], places: int = 3) -> DataFrame:
+    """Models by tasks as text, N/A where there is no result."""
+    shown = df.groupBy(model).pivot(task, tasks).agg(F.first(F.when(F.col(metric).isNotNull(), F.format_string(f"%.{places}f", metric)), True))
+    return shown.na.fill("N/A", subset=tasks)
+
+
 def best_per_task(df: DataFrame, task: str, model: str, metric: str) -> DataFrame:
     return df.groupBy(task).agg(F.min_by(model, F.struct(-F.col(metric), F.col(model))).alias("best"), F.max(metric).alias("score"))
 
 
-def task_table(df: DataFrame, model: str, task: str, metric: str, tasks: list[str], missing=0.0) -> DataFrame:
-    """Models by tasks, absent results as `missing`."""
-    return df.groupBy(model).pivot(task, tasks).agg(F.first(metric)).na.fill(missing, subset=tasks)
+def task_table(df: DataFrame, model: str, task: str, metric: str | list[str], tasks: list[str], missing=0.0) -> DataFrame:
+    """Models by tasks, absent results as `missing`. metric: a column, or a list of which the first that a row has counts."""
+    value = F.coalesce(*(F.col(m) for m in ([metric] if isinstance(metric, str) else metric)))
+    return df.groupBy(model).pivot(task, tasks).agg(F.first(value, True)).na.fill(missing, subset=tasks)
 
 
 def difficulty(df: DataFrame, task: str, metric: str) -> DataFrame:
-    m = F.avg(metric)
+    m = _mean(F.col(metric))
     return df.groupBy(task).agg(F.round(m, 6).alias("mean"), F.when(m > 0.8, "Easy").when(m > 0.5, "Medium").otherwise("Hard").alias("tier"))
 
 
 def cohorts(df: DataFrame, task: str, model: str, metric: str, mark: str = "-ToW") -> DataFrame:
     """Per task the means of marked models and the rest, their difference and percent change; tasks without one side are left out."""
-    a, b = F.avg(F.when(F.contains(F.col(model), F.lit(mark)), F.col(metric))), F.avg(F.when(~F.contains(F.col(model), F.lit(mark)), F.col(metric)))
+    a, b = (_mean(F.when(of, F.col(metric))) for of in (F.contains(F.col(model), F.lit(mark)), ~F.contains(F.col(model), F.lit(mark))))
     out = df.groupBy(task).agg(a.alias("a"), b.alias("b")).where("a is not null and b is not null")
     return out.select(task, F.round("a", 6).alias("marked"), F.round("b", 6).alias("base"), F.round(F.col("a") - F.col("b"), 6).alias("difference"), F.round(F.when(F.col("b") > 0, 100 * (F.col("a") - F.col("b")) / F.col("b")).otherwise(0.0), 6).alias("change_pct"))
 
 
-def resolve_metric(df: DataFrame, key: str, results: str, task: str, priority: list[str], unit_range: bool = False) -> DataFrame:
+#: Keys of a result that are no scores.
+NO_SCORES = ("alias", "num_fewshot", "stderr", "stderr_norm", "alias_norm", "num_examples", "version", "task_hash")
+
+
+def resolve_metric(df: DataFrame, key: str, results: str, task: str, priority: list[str], unit_range: bool = False, first_key: bool = False, excluded: tuple[str, ...] = NO_SCORES) -> DataFrame:
     """df (key, results map<string, map<string, double>>) -> key, task_key, metric, value.
 
-    The task's entry is the exact key, else the first (by name) that contains it; its metric the first of `priority`, else the
-    first by name that is no error measure (unit_range: of 0 to 1). Without any, nulls.
+    The task's entry is the exact key, else the first in the file that contains it or is contained in it, else (first_key) the
+    first of all; its metric the first of `priority`, else the first in the file that is no measure of an error and not
+    excluded (unit_range: of 0 to 1). Without any, nulls. Maps keep the order of the file.
     """
-    keys = F.array_sort(F.map_keys(results))
-    entry = F.coalesce(F.try_element_at(F.filter(keys, lambda k: k == task), F.lit(1)), F.try_element_at(F.filter(keys, lambda k: F.contains(k, F.lit(task))), F.lit(1)))
+    keys = F.map_keys(results)
+    pick = lambda of: F.try_element_at(F.filter(keys, of), F.lit(1))
+    entry = F.coalesce(pick(lambda k: k == task), pick(lambda k: F.contains(k, F.lit(task)) | F.contains(F.lit(task), k)), *([F.try_element_at(keys, F.lit(1))] if first_key else []))
     found = df.select(key, entry.alias("task_key"), F.try_element_at(results, entry).alias("m"))
-    ok = lambda k: ~F.contains(k, F.lit("stderr")) & (k != "alias")
-    fits = F.filter(F.array_sort(F.map_keys("m")), lambda k: ok(k) & (F.try_element_at(F.col("m"), k).between(0, 1) if unit_range else F.lit(True)))
+    ok = lambda k: ~k.endswith("_stderr") & ~k.startswith("_") & ~k.isin(*excluded)
+    value = lambda k: F.try_element_at(F.col("m"), k)
+    fits = F.filter(F.map_keys("m"), lambda k: ok(k) & value(k).isNotNull() & (value(k).between(0, 1) if unit_range else F.lit(True)))
     listed = F.filter(F.array(*map(F.lit, priority)), lambda p: F.array_contains(F.map_keys("m"), p))
     metric = F.coalesce(F.try_element_at(listed, F.lit(1)), F.try_element_at(fits, F.lit(1)))
-    return found.withColumn("metric", metric).select(key, "task_key", "metric", F.try_element_at(F.col("m"), F.col("metric")).alias("value"))
+    return found.withColumn("metric", metric).select(key, "task_key", "metric", value(F.col("metric")).alias("value"))
+
+
+#: What names of evaluation files contain, in the order in which it is looked for.
+EVALUATIONS = ("ko_arc", "ko-arc", "arc", "kmmlu", "mmlu_prox", "mmlu-prox", "mmlu", "hrm8k", "gsm8k", "hellaswag", "piqa", "klue")
 
 
 def detect_evaluation(name: str) -> str:
     """The kind of an evaluation file by its name; the first of the list that it contains."""
-    low = name.lower()
-    for kind in ("ko_arc", "ko-arc", "arc", "kmmlu", "mmlu_prox", "mmlu-prox", "mmlu", "hrm8k", "gsm8k", "hellaswag", "piqa", "klue"):
-        if kind in low:
-            return kind.replace("-", "_")
-    return "unknown"
+    return next((kind.replace("-", "_") for kind in EVALUATIONS if kind in name.lower()), "unknown")
+
+
+def evaluation_kind(name: Column) -> Column:
+    """detect_evaluation as a column."""
+    return F.coalesce(*(F.when(F.contains(F.lower(name), F.lit(kind)), kind.replace("-", "_")) for kind in EVALUATIONS), F.lit("unknown"))
 
 
 def markdown(rows: list[dict], title: str) -> str:
@@ -189,3 +231,24 @@ def markdown(rows: list[dict], title: str) -> str:
         return f"# {title}\n\n(no rows)\n"
     names = list(rows[0])
     return "\n".join([f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(str(r[n]) for n in names) + " |" for r in rows), ""])
+
+
+def report_lines(df: DataFrame, model: str, task: str, metric: str, tasks: list[str]) -> DataFrame:
+    """section, place, line: the parts of a report on models and tasks: an overview, the best model of each task, the ranking, the difficulty."""
+    shown = lambda x: F.format_string("%.4f", x)
+    table = df.where(F.col(task).isin(*tasks))
+    count = table.agg(F.countDistinct(model).alias("n"))
+    overview = count.select(F.lit("overview").alias("section"), F.lit(1).alias("place"), F.concat(F.col("n").cast("string"), F.lit(f" models, {len(tasks)} tasks, "), (F.col("n") * len(tasks)).cast("string"), F.lit(" evaluations")).alias("line"))
+    order = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(tasks) for x in (t, i + 1))), F.col(task))
+    best = best_per_task(table, task, model, metric).select(F.lit("best").alias("section"), order.alias("place"), F.concat(task, F.lit(": "), "best", F.lit(" ("), shown("score"), F.lit(")")).alias("line"))
+    ranking = task_means(table, model, task, metric, tasks).select(F.lit("ranking").alias("section"), F.col("rank").alias("place"), F.concat(model, F.lit(" (average "), shown("mean"), F.lit(")")).alias("line"))
+    hard = ranked(difficulty(table, task, metric), "mean", task).select(F.lit("difficulty").alias("section"), F.col("rank").alias("place"), F.concat(task, F.lit(": "), shown("mean"), F.lit(" ("), "tier", F.lit(")")).alias("line"))
+    return overview.unionByName(best).unionByName(ranking).unionByName(hard)
+
+
+def report_text(lines: list[dict], title: str) -> str:
+    """The lines of a report (section, place, line) as Markdown."""
+    out = [f"# {title}"]
+    for section in dict.fromkeys(r["section"] for r in lines):
+        out += ["", f"## {section.capitalize()}", *(f"{r['place']}. {r['line']}" for r in sorted((r for r in lines if r["section"] == section), key=lambda r: r["place"]))]
+    return "\n".join([*out, ""])

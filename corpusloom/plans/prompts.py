@@ -11,6 +11,47 @@ def options(columns: dict[str, Column]) -> Column:
     return F.concat_ws("\n", *(F.concat(F.lit(f"{k}. "), c) for k, c in sorted(columns.items())))
 
 
+#: How the benchmarks' prompts begin, what stands before a question and its answer, and how a worked answer ends.
+FORMS = {
+    "arc": {"intro": "The following are multiple choice questions about science and reasoning. You MUST choose one of the option A~D.\n", "ask": "", "reply": "Response:", "think": "Let's think step by step.", "so": "#### Therefore Answer:"},
+    "ko_arc": {"intro": "다음은 과학과 추론에 관한 객관식 문제들입니다. A부터 D까지의 보기중 무조건 하나의 답만 선택하세요.\n", "ask": "", "reply": "응답:", "think": "단계적으로 생각해봅시다.", "so": "#### 따라서 정답:"},
+    "hellaswag": {"intro": "The following are reading comprehension questions. Choose the most logical continuation from the given options.\n", "ask": "Context: ", "reply": "#### Answer:", "think": "Let's think step by step.", "so": "#### Therefore, the answer is:"},
+    "ko_hellaswag": {"intro": "다음은 독해 문제들입니다. 주어진 선택지 중 가장 논리적인 연속을 선택하세요.\n", "ask": "Context: ", "reply": "#### 정답:", "think": "단계별로 생각해봅시다.", "so": "#### 따라서 정답은:"},
+    "piqa": {"intro": "The following are multiple choice questions about physical commonsense.\n", "ask": "Goal: ", "reply": "Response: Let's think step by step.", "think": "", "so": "#### Therefore the answer is"},
+    "ko_piqa": {"intro": "다음은 물리적 상식에 대한 다지선다형 질문입니다.\n", "ask": "Goal: ", "reply": "응답: 단계적으로 생각해봅시다.", "think": "", "so": "#### 따라서 정답은"},
+}
+NUMERIC_FORMS = {
+    "gsm8k": {"ask": "Question: ", "reply": "Response:", "think": "Let's think step by step.", "so": "#### So the answer is"},
+    "hrm8k": {"ask": "문제: ", "reply": "응답:", "think": "단계별로 생각해봅시다.", "so": "#### 따라서 정답은"},
+}
+
+
+def few_shot(form: str, exemplars: list[dict], question: Column, choices: dict[str, Column]) -> Column:
+    """A benchmark's prompt: its intro, worked exemplars (question, options, reasoning, answer) with sorted options, the question with its
+    own, and what the reply begins with. Without exemplars: zero-shot."""
+    f = FORMS[form]
+    gap = [""] if f["think"] else []
+    lines = [f["intro"]]
+    for e in exemplars:
+        lines += [f["ask"] + e["question"], *(f"{k}. {x}" for k, x in sorted(e["options"].items())), f"{f['reply']} {e['reasoning']} {f['so']} {{{e['answer']}}}. #### {{{e['answer']}}}.", ""]
+    end = [*gap, " ".join(x for x in (f["reply"], f["think"]) if x)]
+    return F.concat_ws("\n", *map(F.lit, lines), F.concat(F.lit(f["ask"]), question), options(choices), *map(F.lit, end))
+
+
+def few_shot_numeric(form: str, exemplars: list[dict], question: Column) -> Column:
+    """As few_shot, of questions with a number for an answer."""
+    f = NUMERIC_FORMS[form]
+    shown = [f"{f['ask']}{e['question']}\n {f['reply']} {e['reasoning']} {f['so']} {{{e['answer']}}}. #### {{{e['answer']}}}" for e in exemplars]
+    return F.concat(F.lit("\n\n".join([*shown, f["ask"]])), question, F.lit(f"\n{f['reply']} {f['think']}"))
+
+
+def zero_shot_subject(subject: Column, question: Column, choices: dict[str, Column], intro: tuple[str, str] = ("다음은 ", "에 관한 객관식 문제입니다."), ending: str = "정답:", names: dict[str, str] | None = None) -> Column:
+    """A subject's question without exemplars; names: how subjects are shown, others with blanks for underscores."""
+    plain = F.replace(subject, F.lit("_"), F.lit(" "))
+    shown = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), subject), plain) if names else plain
+    return F.concat_ws("\n", F.concat(F.lit(intro[0]), shown, F.lit(intro[1])), F.lit(""), question, options(choices), F.lit(ending))
+
+
 def choice(question: Column, columns: dict[str, Column], exemplars: list[str] | None = None, ending: str = "Answer:") -> Column:
     """Exemplars (few-shot), the question, its options and the ending; without exemplars zero-shot."""
     return F.concat_ws("\n", *(F.lit(x) for x in exemplars or []), F.concat(F.lit("Question: "), question), options(columns), F.lit(ending))

@@ -250,7 +250,7 @@ def long_original(spark, sf_dir):
 
 
 _ISSUES = """list_filter([CASE WHEN o > k THEN 'Missing ' || (o - k) || ' closing tags' END, CASE WHEN k > o THEN 'Missing ' || (k - o) || ' opening tags' END,
-  CASE WHEN blocks <> least(o, k) THEN 'Mismatched blocks: ' || blocks || ' complete of ' || least(o, k) END], lambda x: x IS NOT NULL)"""
+  CASE WHEN blocks <> least(o, k) THEN 'Found ' || o || ' opening tags, ' || k || ' closing tags, but only ' || blocks || ' complete blocks' END], lambda x: x IS NOT NULL)"""
 
 
 @query(f"WITH {CORPUS}, i AS (SELECT unnest({_ISSUES}) AS issue FROM t) SELECT issue, count(*) AS n FROM i GROUP BY issue")
@@ -264,7 +264,7 @@ def balance_summary(spark, sf_dir):
 
 
 @query(f"""WITH {CORPUS}, p AS (SELECT unnest(list_filter([CASE WHEN regexp_matches(completion, '<ToW>\\s*$') THEN 'ENDS_WITH_OPEN_TOW' END, CASE WHEN list_extract(regexp_extract_all(completion, '</?ToW>'), -1) = '<ToW>' THEN 'LAST_TOW_UNCLOSED' END,
-  CASE WHEN doc_id % 17 = 2 THEN 'CONSECUTIVE_OPENS_2' END], lambda x: x IS NOT NULL)) AS pattern FROM t WHERE o > k) SELECT pattern, count(*) AS n FROM p GROUP BY pattern""")
+  CASE WHEN longest > 1 THEN 'CONSECUTIVE_OPENS_' || longest END], lambda x: x IS NOT NULL)) AS pattern FROM (SELECT *, list_max(list_transform(regexp_extract_all(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(completion, '</?ToW>'), ''), '</ToW>', '|', 'g'), '<ToW>', 'o', 'g'), 'o*'), lambda r: length(r))) AS longest FROM t) WHERE o > k) SELECT pattern, count(*) AS n FROM p GROUP BY pattern""")
 def imbalance_patterns(spark, sf_dir):
     return corpus.pattern_counts(tagged_corpus(spark, sf_dir))
 
@@ -488,13 +488,13 @@ def task_difficulty(spark, sf_dir):
     return scoring.difficulty(scores(spark, sf_dir), "subject", "metric")
 
 
-@query(f"""WITH {SCORES}, c AS (SELECT subject, avg(metric) FILTER (contains(model, '-ToW')) AS a, avg(metric) FILTER (NOT contains(model, '-ToW')) AS b FROM s GROUP BY subject)
+@query(f"""WITH {SCORES}, c AS (SELECT subject, CAST(sum(CAST(metric AS DECIMAL(18,6))) FILTER (contains(model, '-ToW')) AS DOUBLE) / count(*) FILTER (contains(model, '-ToW')) AS a, CAST(sum(CAST(metric AS DECIMAL(18,6))) FILTER (NOT contains(model, '-ToW')) AS DOUBLE) / count(*) FILTER (NOT contains(model, '-ToW')) AS b FROM s GROUP BY subject)
 SELECT subject, round(a, 6) AS marked, round(b, 6) AS base, round(a - b, 6) AS difference, round(CASE WHEN b > 0 THEN 100 * (a - b) / b ELSE 0 END, 6) AS change_pct FROM c WHERE a IS NOT NULL AND b IS NOT NULL""")
 def cohort_comparison(spark, sf_dir):
     return scoring.cohorts(scores(spark, sf_dir), "subject", "model", "metric")
 
 
-@query(f"""WITH {SCORES}, l AS (SELECT *, CASE WHEN model LIKE '%-ToW' THEN 'ko' ELSE 'en' END AS lang FROM s), c AS (SELECT subject, avg(metric) FILTER (lang = 'en') AS en, avg(metric) FILTER (lang = 'ko') AS ko FROM l GROUP BY subject)
+@query(f"""WITH {SCORES}, l AS (SELECT *, CASE WHEN model LIKE '%-ToW' THEN 'ko' ELSE 'en' END AS lang FROM s), c AS (SELECT subject, CAST(sum(CAST(metric AS DECIMAL(18,6))) FILTER (lang = 'en') AS DOUBLE) / count(*) FILTER (lang = 'en') AS en, CAST(sum(CAST(metric AS DECIMAL(18,6))) FILTER (lang = 'ko') AS DOUBLE) / count(*) FILTER (lang = 'ko') AS ko FROM l GROUP BY subject)
 SELECT subject, round(en, 6) AS en, round(ko, 6) AS ko, round(en - ko, 6) AS difference, round((en + ko) / 2, 6) AS combined FROM c""")
 def language_comparison(spark, sf_dir):
     s = scores(spark, sf_dir).withColumn("lang", F.when(F.col("model").endswith("-ToW"), "ko").otherwise("en"))
@@ -506,12 +506,29 @@ def score_range(spark, sf_dir):
     return scoring.score_range(scores(spark, sf_dir).withColumn("metric", F.when(F.col("subject") != "s3", F.col("metric"))), "metric")
 
 
-@query("SELECT CAST(o_orderkey AS BIGINT) AS k, CASE o_orderkey % 3 WHEN 0 THEN 'arc' WHEN 1 THEN 'my_arc_easy' END AS task_key, CASE o_orderkey % 3 WHEN 0 THEN 'acc_norm' WHEN 1 THEN 'f1' END AS metric, CASE o_orderkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 END AS value FROM orders")
+#: Result files of a task "arc": the exact key, one that contains it, none; metrics of the priority list, others, measures of errors only.
+_RESULTS = ['{"arc_more": {"acc": 0.1}, "arc": {"acc": 0.4, "acc_norm": 0.5}}', '{"piqa": {"acc": 0.2}, "my_arc_easy": {"num_fewshot": 3, "zz": 7.0, "f1_stderr": 0.1, "f1": 0.25}}', '{"piqa": {"em": 0.3}, "x": {"acc": 0.9}}', '{"arc": {"alias": 1, "acc_stderr": 0.1, "_x": 0.5}}']
+_METRIC = """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(list_extract(%s, CAST(o_orderkey %% 4 + 1 AS INTEGER)) AS JSON) AS j FROM orders),
+t AS (SELECT k, j, coalesce(list_extract(list_filter(json_keys(j), lambda x: x = 'arc'), 1), list_extract(list_filter(json_keys(j), lambda x: contains(x, 'arc') OR contains('arc', x)), 1)%s) AS task_key FROM o),
+m AS (SELECT k, task_key, json_extract(j, '$.' || task_key) AS m FROM t),
+n AS (SELECT k, task_key, m, CASE WHEN list_contains(json_keys(m), 'acc_norm') THEN 'acc_norm' WHEN list_contains(json_keys(m), 'acc') THEN 'acc'
+  ELSE list_extract(list_filter(json_keys(m), lambda x: NOT suffix(x, '_stderr') AND NOT prefix(x, '_') AND x NOT IN ('alias', 'num_fewshot')%s), 1) END AS metric FROM m)
+SELECT k, task_key, metric, CAST(json_extract(m, '$.' || metric) AS DOUBLE) AS value FROM n"""
+
+
+def _result_maps(spark, sf_dir) -> DataFrame:
+    told = F.get(F.array(*map(F.lit, _RESULTS)), (F.col("o_orderkey") % 4).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.from_json(told, "map<string,map<string,double>>").alias("r"))
+
+
+@query(_METRIC % (str(_RESULTS), "", ""))
 def metric_resolution(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
-    m = lambda kv: F.create_map(*(F.lit(x) for p in kv.items() for x in p)).cast("map<string,double>")
-    r = F.when(F.col("k") % 3 == 0, F.create_map(F.lit("arc"), m({"acc": 0.4, "acc_norm": 0.5}), F.lit("arc_more"), m({"acc": 0.1}))).when(F.col("k") % 3 == 1, F.create_map(F.lit("my_arc_easy"), m({"zz": 7.0, "f1_stderr": 0.1, "f1": 0.25}))).otherwise(F.create_map(F.lit("piqa"), m({"acc": 0.3})))
-    return scoring.resolve_metric(o.withColumn("r", r), "k", "r", "arc", ["acc_norm", "acc"])
+    return scoring.resolve_metric(_result_maps(spark, sf_dir), "k", "r", "arc", ["acc_norm", "acc"])
+
+
+@query(_METRIC % (str(_RESULTS), ", list_extract(json_keys(j), 1)", " AND CAST(json_extract(m, '$.' || x) AS DOUBLE) BETWEEN 0 AND 1"))
+def metric_resolution_first_key(spark, sf_dir):
+    return scoring.resolve_metric(_result_maps(spark, sf_dir), "k", "r", "arc", ["acc_norm", "acc"], unit_range=True, first_key=True)
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) <= 5 THEN 'dev' ELSE 'test' END AS split FROM lineitem")
@@ -655,8 +672,9 @@ def neighbour_consistency(spark, sf_dir):
     return representation.neighbour_consistency(e.select("idx", "v"), e.select("idx", F.col("train").alias("v")))
 
 
-@query(f"""WITH {EMB}, x AS (SELECT a.idx AS i, b.idx AS j, list_cosine_similarity(a.v, b.train) AS s FROM e a, e b), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC) AS ri, row_number() OVER (PARTITION BY j ORDER BY s DESC) AS rj FROM x),
-p AS (SELECT i, avg(s) AS rx FROM r WHERE ri <= 10 GROUP BY i), q AS (SELECT j, avg(s) AS ry FROM r WHERE rj <= 10 GROUP BY j) SELECT x.i AS idx, round(2 * s - rx - ry, 6) AS csls FROM x JOIN p ON x.i = p.i JOIN q ON x.j = q.j WHERE x.i = x.j""")
+@query(f"""WITH {EMB}, w AS (SELECT idx, list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) AS v, list_transform(train, lambda y: y / sqrt(list_dot_product(train, train))) AS t FROM e),
+f AS (SELECT a.idx AS i, list_avg(max(list_dot_product(a.v, b.t), 10)) AS rx FROM w a, w b GROUP BY a.idx), g AS (SELECT b.idx AS j, list_avg(max(list_dot_product(a.v, b.t), 10)) AS ry FROM w a, w b GROUP BY b.idx)
+SELECT idx, round(2 * list_dot_product(v, t) - rx - ry, 6) AS csls FROM w JOIN f ON f.i = idx JOIN g ON g.j = idx""")
 def csls(spark, sf_dir):
     e = embedded(spark, sf_dir)
     return representation.csls(e.select("idx", "v"), e.select("idx", F.col("train").alias("v")))
@@ -683,7 +701,7 @@ def cluster_purity(spark, sf_dir):
     return representation.purity(embedded(spark, sf_dir), "lang", "label")
 
 
-@query(f"WITH {_SIM} SELECT least(la, lb) AS a, greatest(la, lb) AS b, round(avg(sim), 6) AS mean_similarity FROM n GROUP BY ALL")
+@query(f"WITH {_SIM} SELECT least(la, lb) AS a, greatest(la, lb) AS b, round(avg(sim), 6) AS mean_similarity, round(stddev_pop(sim), 6) AS std_similarity FROM n GROUP BY ALL")
 def language_similarity(spark, sf_dir):
     return representation.language_similarity(embedded(spark, sf_dir))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import urllib.parse
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ def _sound(df: DataFrame) -> DataFrame:
     return df.where(F.col(CORRUPT).isNull() & (F.hash(*own) >= F.lit(-(1 << 31)))).drop(CORRUPT)
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """One object a line; blank and malformed lines are skipped."""
     return _sound(spark.read.schema(_with_corrupt(schema, spark)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
@@ -35,11 +37,14 @@ def json_arrays(spark: SparkSession, path: str, schema: StructType | str, source
 
 
 def json_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """An array, a lone object or lines: told by the first character and line of the file."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    lead = first[0]["value"].strip() if first else ""
-    lines = lead.startswith("{") and lead.endswith("}")
-    return json_lines(spark, path, schema) if lines else _sound(spark.read.schema(_with_corrupt(schema, spark)).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path))
+    """Files of an array, a lone object over lines, or an object a line, each told by itself; malformed lines and files are skipped."""
+    v = F.trim("value")
+    found = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), v.alias("v")).where("v != ''")
+    told = found.groupBy("f").agg((F.bool_or(F.startswith("v", F.lit("{")) & F.endswith("v", F.lit("}"))) & ~F.bool_or(F.startswith("v", F.lit("[")))).alias("lines")).collect()  # a row a file
+    by = {kind: sorted(urllib.parse.unquote(r["f"]) for r in told if r["lines"] == kind) for kind in (True, False)}
+    read = spark.read.schema(_with_corrupt(schema, spark)).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT)
+    parts = [json_lines(spark, by[True], schema)] * bool(by[True]) + [_sound(read.json(by[False]))] * bool(by[False])
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -65,20 +70,18 @@ def task(spark: SparkSession, folder: str, name: str, split: str = "validation")
     """A task's split from a local copy, Parquet or JSON lines."""
     if name not in TASKS:
         raise ValueError(f"unknown task {name}")
-    try:
+    tables = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{split}")
+    if tables.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(tables):
         return spark.read.parquet(f"{folder}/{name}/{split}")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.read.json(f"{folder}/{name}_{split}.json")
+    return spark.read.json(f"{folder}/{name}_{split}.json")
 
 
 def results(spark: SparkSession, folder: str, schema: StructType | str, pattern: str = "*.json") -> DataFrame:
-    """Result files of all levels of a folder, with the file's name and the kind that its name shows."""
-    read = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    """Result files of all levels of a folder, without malformed ones, with the file's name and the kind that its name shows."""
+    read = spark.read.schema(_with_corrupt(schema, spark)).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("columnNameOfCorruptRecord", CORRUPT)
     name = F.col("_metadata.file_name")
     kind = F.when(name.contains("klue_benchmark_results.json"), "benchmark").when(name.contains("_results.json"), "task").when(name.contains("_summary.json"), "summary").otherwise("other")
-    return read.json(folder).withColumns({"file_name": name, "kind": kind})
+    return _sound(read.json(folder).withColumns({"file_name": name, "kind": kind}))
 
 
 def details(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,7 +17,7 @@ def json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Arrays, maps and structs as JSON text."""
     flat = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in df.dtypes]
-    df.select(*flat).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.select(*flat).write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -26,9 +26,19 @@ def parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
-def report(rows: list[dict], path: str) -> None:
-    """A small result as a pretty JSON array."""
-    Path(path).write_text(json.dumps(rows, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+def report(rows: list[dict] | dict | str, path: str) -> None:
+    """A small result as pretty JSON, or a text as it is. A path with a scheme is written by Spark's file systems, so that it may be shared."""
+    shown = rows if isinstance(rows, str) else json.dumps(rows, ensure_ascii=False, indent=2, default=str)
+    if "://" not in path:
+        Path(path).write_text(shown, encoding="utf-8")
+        return
+    sc = SparkSession.getActiveSession().sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(sc._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(shown, "utf-8"))
+    finally:
+        out.close()
 
 
 def profile(df: DataFrame, name: str) -> dict:

@@ -8,7 +8,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from corpusloom.plans import queries
+from corpusloom.plans import further, queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
