@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from .confidence import r6
 
 
+def _head_entropy(att: DataFrame) -> DataFrame:
+    rows = att.groupBy("layer", "head", "i").agg(F.sum(-F.col("w") * F.ln(F.col("w") + 1e-8)).alias("e"))
+    return rows.groupBy("layer", "head").agg(F.avg("e").alias("entropy"))
+
+
 def head_entropy(att: DataFrame) -> DataFrame:
     """Mean over rows of -sum w ln(w + 1e-8)."""
-    rows = att.groupBy("layer", "head", "i").agg(F.sum(-F.col("w") * F.ln(F.col("w") + 1e-8)).alias("e"))
-    return rows.groupBy("layer", "head").agg(r6(F.avg("e")).alias("entropy"))
+    return _head_entropy(att).withColumn("entropy", r6("entropy"))
 
 
 def layer_entropy(att: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def compare_layers(a: DataFrame, b: DataFrame, pad: bool = False) -> DataFrame:
 def compare_heads(a: DataFrame, b: DataFrame) -> DataFrame:
     """Entropies of the heads of two models by place, as far as both have heads, for each common layer."""
     place = F.row_number().over(Window.partitionBy("layer").orderBy("head"))
-    side = lambda t, n: head_entropy(t).select("layer", place.alias("place"), F.col("entropy").alias(n))
+    side = lambda t, n: _head_entropy(t).select("layer", place.alias("place"), F.col("entropy").alias(n))
     j = side(a, "x").join(side(b, "y"), ["layer", "place"])
     r = F.nanvl(F.corr("x", "y"), F.lit(None).cast("double"))
     return j.groupBy("layer").agg(F.count("*").alias("heads"), r6(F.avg("x")).alias("mean_a"), r6(F.avg("y")).alias("mean_b"), r6(F.avg(F.pow(F.col("x") - F.col("y"), 2))).alias("mse"), r6(F.avg(F.col("x") - F.col("y"))).alias("difference"), r6(r).alias("correlation"))

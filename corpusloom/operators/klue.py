@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_answer, word_list
+from ..functions.vectors import bound
 
 
 def zip_positions(predictions: DataFrame, references: DataFrame, pos: str = "pos") -> DataFrame:
@@ -66,16 +67,17 @@ def answer_em(predicted: Column, references: Column) -> Column:
 
 def answer_f1(predicted: Column, references: Column) -> Column:
     """Overlap of the sets of words over the lengths of the lists (repeats lower it), the best of the references."""
-    p = word_list(normal_answer(predicted))
 
-    def one(reference: Column) -> Column:
-        r = word_list(normal_answer(reference))
-        both = F.size(F.array_intersect(p, r)).cast("double")
-        empty = (F.size(p) == 0) | (F.size(r) == 0)
-        precision, recall = both / F.nullif(F.size(p), F.lit(0)), both / F.nullif(F.size(r), F.lit(0))
-        return F.when(empty, (F.size(p) == F.size(r)).cast("double")).when(both == 0, 0.0).otherwise(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)))
+    def score(n: Column) -> Column:
+        precision, recall = n["both"] / F.nullif(n["p"], F.lit(0)), n["both"] / F.nullif(n["r"], F.lit(0))
+        empty = (n["p"] == 0) | (n["r"] == 0)
+        return F.when(empty, (n["p"] == n["r"]).cast("double")).when(n["both"] == 0, 0.0).otherwise(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)))
 
-    return F.array_max(F.transform(references, one))
+    def one(p: Column, r: Column) -> Column:
+        return bound(F.struct(F.size(F.array_intersect(p, r)).cast("double").alias("both"), F.size(p).alias("p"), F.size(r).alias("r")), score)
+
+    words = lambda x: word_list(normal_answer(x))
+    return bound(words(predicted), lambda p: F.array_max(F.transform(references, lambda x: bound(words(x), lambda r: one(p, r)))))
 
 
 def reading_scores(df: DataFrame, predicted: str, references: str) -> DataFrame:

@@ -88,13 +88,13 @@ def unfinished(wanted: DataFrame, done: DataFrame, key: str, gold: str, complete
 
 def _mean(x: Column) -> Column:
     """The mean of values of six places by an exact sum: the order of the rows doesn't count."""
-    return (F.sum(x.cast("decimal(18,6)")) / F.count(x)).cast("double")
+    return F.sum(x.cast("decimal(18,6)")).cast("double") / F.count(x)
 
 
 def language_comparison(summaries: DataFrame, benchmark: str, lang: str, metric: str) -> DataFrame:
     """Means per benchmark of EN and KO and their difference."""
     en, ko = (_mean(F.when(F.col(lang) == x, F.col(metric))) for x in ("en", "ko"))
-    return summaries.groupBy(benchmark).agg(F.round(en, 6).alias("en"), F.round(ko, 6).alias("ko"), F.round(en - ko, 6).alias("difference"), F.round((en + ko) / 2, 6).alias("combined"))
+    return summaries.groupBy(benchmark).agg(en.alias("en"), ko.alias("ko"), (en - ko).alias("difference"), ((en + ko) / 2).alias("combined"))
 
 
 def spread(df: DataFrame, by: list[str], metric: str) -> DataFrame:
@@ -185,7 +185,7 @@ def cohorts(df: DataFrame, task: str, model: str, metric: str, mark: str = "-ToW
     """Per task the means of marked models and the rest, their difference and percent change; tasks without one side are left out."""
     a, b = (_mean(F.when(of, F.col(metric))) for of in (F.contains(F.col(model), F.lit(mark)), ~F.contains(F.col(model), F.lit(mark))))
     out = df.groupBy(task).agg(a.alias("a"), b.alias("b")).where("a is not null and b is not null")
-    return out.select(task, F.round("a", 6).alias("marked"), F.round("b", 6).alias("base"), F.round(F.col("a") - F.col("b"), 6).alias("difference"), F.round(F.when(F.col("b") > 0, 100 * (F.col("a") - F.col("b")) / F.col("b")).otherwise(0.0), 6).alias("change_pct"))
+    return out.select(task, F.col("a").alias("marked"), F.col("b").alias("base"), (F.col("a") - F.col("b")).alias("difference"), F.when(F.col("b") > 0, 100 * (F.col("a") - F.col("b")) / F.col("b")).otherwise(0.0).alias("change_pct"))
 
 
 #: Keys of a result that are no scores.

@@ -65,17 +65,17 @@ def json_arrays_of_a_folder(spark, sf_dir):
     for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():  # 25 rows by definition
         by.setdefault(r["n_regionkey"], []).append({"n_nationkey": r["n_nationkey"], "n_name": r["n_name"]})
     for region, rows in by.items():
-        writers.report(rows, f"{at}/region{region}.json")
-    writers.report("[{broken", f"{at}/broken.json")
+        writers.report(rows, f"{at}/region{region}.json", spark)
+    writers.report("[{broken", f"{at}/broken.json", spark)
     return readers.json_arrays(spark, at, "n_nationkey long, n_name string")
 
 
 @query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
 def json_of_any_layout(spark, sf_dir):
     at, rows = folder(spark, "any"), [{"r_regionkey": r[0], "r_name": r[1]} for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()]
-    writers.report(rows[:2], f"{at}/a.json")
-    writers.report("\n".join(f'{{"r_regionkey": {r["r_regionkey"]}, "r_name": "{r["r_name"]}"}}' for r in rows[2:4]) + "\nnot json}\n", f"{at}/b.json")
-    writers.report(rows[4], f"{at}/c.json")
+    writers.report(rows[:2], f"{at}/a.json", spark)
+    writers.report("\n".join(f'{{"r_regionkey": {r["r_regionkey"]}, "r_name": "{r["r_name"]}"}}' for r in rows[2:4]) + "\nnot json}\n", f"{at}/b.json", spark)
+    writers.report(rows[4], f"{at}/c.json", spark)
     return readers.json_any(spark, at, "r_regionkey long, r_name string")
 
 
@@ -127,8 +127,8 @@ FROM (SELECT r_regionkey, list_extract(['klue_benchmark_results.json', 'x_result
 def result_files(spark, sf_dir):
     at, names = folder(spark, "results"), ["klue_benchmark_results.json", "x_results.json", "y_summary.json", "z.json"]
     for r in table(spark, sf_dir, "region").collect():
-        writers.report({"id": r["r_regionkey"]}, f"{at}/run{r['r_regionkey']}/deep/{names[r['r_regionkey'] % 4]}")
-    writers.report("{broken", f"{at}/run0/x_results.json")
+        writers.report({"id": r["r_regionkey"]}, f"{at}/run{r['r_regionkey']}/deep/{names[r['r_regionkey'] % 4]}", spark)
+    writers.report("{broken", f"{at}/run0/x_results.json", spark)
     return readers.results(spark, at, "id long")
 
 
@@ -721,7 +721,7 @@ def extreme_uncertainty_pairs(spark, sf_dir):
     return confidence.extreme_pairs(j, "en", "ko")
 
 
-_ENT = "SELECT layer, head, round(avg(e), 6) AS e FROM (SELECT layer, head, i, sum(-w * ln(w + 1e-8)) AS e FROM {0} GROUP BY ALL) GROUP BY ALL"
+_ENT = "SELECT layer, head, avg(e) AS e FROM (SELECT layer, head, i, sum(-w * ln(w + 1e-8)) AS e FROM {0} GROUP BY ALL) GROUP BY ALL"
 
 
 @query(f"""WITH {ATT}, {_att('btt', '5')}, a AS ({_ENT.format('att')}), b AS ({_ENT.format('btt')}) SELECT layer, count(*) AS heads, round(avg(a.e), 6) AS mean_a, round(avg(b.e), 6) AS mean_b, round(avg(pow(a.e - b.e, 2)), 6) AS mse, round(avg(a.e - b.e), 6) AS difference, round(corr(a.e, b.e), 6) AS correlation FROM a JOIN b USING (layer, head) GROUP BY layer""")

@@ -104,16 +104,16 @@ p AS (SELECT idx // 10 AS text_id, idx % 10 AS pos, lang, list_transform(x, lamb
 
 
 def attention_rows(spark: SparkSession, sf_dir: str, shift: float = 0.0) -> DataFrame:
-    """Row-normalised weights from the first 8 components of the vectors: layer = label, head = parity of the id, one i an id."""
+    """Row-normalised weights from the components of the vectors: layer = label, head = parity of the id, one i an id."""
     e = embedded(spark, sf_dir)
-    w = vectors.softmax(F.transform(F.slice("v", 1, 8), lambda x: x * (4 + shift)))
-    x = e.select(F.concat(F.lit("layer"), F.col("label").cast("string")).alias("layer"), (F.col("idx") % 2).alias("head"), (F.floor(F.col("idx") / 2) % 8).alias("i"), F.posexplode(w).alias("j", "w"))
+    w = vectors.softmax(F.transform("v", lambda x: x * (4 + shift)))
+    x = e.select(F.concat(F.lit("layer"), F.col("label").cast("string")).alias("layer"), (F.col("idx") % 2).alias("head"), (F.floor(F.col("idx") / 2) % 64).alias("i"), F.posexplode(w).alias("j", "w"))
     return x.groupBy("layer", "head", "i", F.col("j").cast("long").alias("j")).agg(F.avg("w").alias("w"))
 
 
 def _att(name: str, scale: str) -> str:
-    return f"""{name}x AS (SELECT 'layer' || label AS layer, idx % 2 AS head, (idx // 2) % 8 AS i, list_transform(v[1:8], lambda y: exp(y * {scale})) AS x FROM e),
-{name}y AS (SELECT layer, head, i, unnest(range(8)) AS j, unnest(list_transform(x, lambda y: y / list_sum(x))) AS w FROM {name}x),
+    return f"""{name}x AS (SELECT 'layer' || label AS layer, idx % 2 AS head, (idx // 2) % 64 AS i, list_transform(v, lambda y: exp(y * {scale})) AS x FROM e),
+{name}y AS (SELECT layer, head, i, unnest(range(len(x))) AS j, unnest(list_transform(x, lambda y: y / list_sum(x))) AS w FROM {name}x),
 {name} AS (SELECT layer, head, i, j, avg(w) AS w FROM {name}y GROUP BY ALL)"""
 
 
@@ -489,13 +489,13 @@ def task_difficulty(spark, sf_dir):
 
 
 @query(f"""WITH {SCORES}, c AS (SELECT subject, CAST(sum(CAST(metric AS DECIMAL(18,6))) FILTER (contains(model, '-ToW')) AS DOUBLE) / count(*) FILTER (contains(model, '-ToW')) AS a, CAST(sum(CAST(metric AS DECIMAL(18,6))) FILTER (NOT contains(model, '-ToW')) AS DOUBLE) / count(*) FILTER (NOT contains(model, '-ToW')) AS b FROM s GROUP BY subject)
-SELECT subject, round(a, 6) AS marked, round(b, 6) AS base, round(a - b, 6) AS difference, round(CASE WHEN b > 0 THEN 100 * (a - b) / b ELSE 0 END, 6) AS change_pct FROM c WHERE a IS NOT NULL AND b IS NOT NULL""")
+SELECT subject, a AS marked, b AS base, a - b AS difference, CASE WHEN b > 0 THEN 100 * (a - b) / b ELSE 0 END AS change_pct FROM c WHERE a IS NOT NULL AND b IS NOT NULL""")
 def cohort_comparison(spark, sf_dir):
     return scoring.cohorts(scores(spark, sf_dir), "subject", "model", "metric")
 
 
 @query(f"""WITH {SCORES}, l AS (SELECT *, CASE WHEN model LIKE '%-ToW' THEN 'ko' ELSE 'en' END AS lang FROM s), c AS (SELECT subject, CAST(sum(CAST(metric AS DECIMAL(18,6))) FILTER (lang = 'en') AS DOUBLE) / count(*) FILTER (lang = 'en') AS en, CAST(sum(CAST(metric AS DECIMAL(18,6))) FILTER (lang = 'ko') AS DOUBLE) / count(*) FILTER (lang = 'ko') AS ko FROM l GROUP BY subject)
-SELECT subject, round(en, 6) AS en, round(ko, 6) AS ko, round(en - ko, 6) AS difference, round((en + ko) / 2, 6) AS combined FROM c""")
+SELECT subject, en, ko, en - ko AS difference, (en + ko) / 2 AS combined FROM c""")
 def language_comparison(spark, sf_dir):
     s = scores(spark, sf_dir).withColumn("lang", F.when(F.col("model").endswith("-ToW"), "ko").otherwise("en"))
     return scoring.language_comparison(s, "subject", "lang", "metric")
@@ -552,20 +552,22 @@ def macro_micro_f1(spark, sf_dir):
     return klue.relation_scores(a, "p", "ground_truth")
 
 
-@query(f"""WITH {_GOLD}, x AS (SELECT len(list_distinct(gold)) AS nt, len(list_distinct([w[4], w[8], w[12]])) AS np, len(list_intersect(list_distinct(gold), list_distinct([w[4], w[8], w[12]]))) AS tp FROM g JOIN g0 USING (doc_id) WHERE len(w) >= 12),
+@query(f"""WITH {DOCS}, w AS (SELECT list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM d), z AS (SELECT list_distinct(list_filter(w, lambda x, i: i % 3 = 1)) AS p, list_distinct(list_filter(w, lambda x, i: i % 2 = 1)) AS t FROM w),
+x AS (SELECT len(t) AS nt, len(p) AS np, len(list_intersect(t, p)) AS tp FROM z),
 y AS (SELECT sum(tp) / sum(np) AS p, sum(tp) / sum(nt) AS r FROM x) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM y""")
 def entity_prf(spark, sf_dir):
     w = text.word_list(F.col("text"))
-    d = documents(spark, sf_dir).where("words >= 12").select(F.array(*(F.get(w, F.lit(i)) for i in (3, 7, 11))).alias("p"), F.array(*(F.get(w, F.lit(i)) for i in (3, 7, 10))).alias("t"))
+    d = documents(spark, sf_dir).select(F.filter(w, lambda x, i: i % 3 == 0).alias("p"), F.filter(w, lambda x, i: i % 2 == 0).alias("t"))
     return klue.entity_scores(d, "p", "t")
 
 
-@query(f"""WITH {DOCS}, w AS (SELECT list_filter(string_split_regex(lower(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]', '', 'g')), '\\s+'), lambda x: x <> '') AS w FROM d WHERE words >= 40),
-x AS (SELECT w[1:8] AS p, w[3:12] AS r FROM w), y AS (SELECT CAST(len(list_intersect(list_distinct(p), list_distinct(r))) AS DOUBLE) AS c, len(p) AS np, len(r) AS nr, p = r AS em FROM x)
+@query(f"""WITH {DOCS}, w AS (SELECT list_filter(string_split_regex(lower(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]', '', 'g')), '\\s+'), lambda x: x <> '') AS w FROM d),
+x AS (SELECT w[3:] AS p, w[1:greatest(0, len(w) - 2)] AS r FROM w), y AS (SELECT CAST(len(list_intersect(list_distinct(p), list_distinct(r))) AS DOUBLE) AS c, len(p) AS np, len(r) AS nr, p = r AS em FROM x)
 SELECT round(avg(em::INT), 6) AS exact_match, round(avg(CASE WHEN np = 0 OR nr = 0 THEN (np = nr)::INT WHEN c = 0 THEN 0 ELSE 2 * (c / np) * (c / nr) / (c / np + c / nr) END), 6) AS f1 FROM y""")
 def reading_em_f1(spark, sf_dir):
     w = text.word_list(klue.normal_answer(F.col("text")))
-    d = documents(spark, sf_dir).where("words >= 40").select(F.array_join(F.slice(w, 1, 8), " ").alias("p"), F.array(F.array_join(F.slice(w, 3, 10), " ")).alias("r"))
+    part = lambda start, n: F.array_join(F.slice(w, start, n), " ")
+    d = documents(spark, sf_dir).select(part(3, F.size(w)).alias("p"), F.array(part(1, F.greatest(F.lit(0), F.size(w) - 2))).alias("r"))
     return klue.reading_scores(d, "p", "r")
 
 
@@ -604,10 +606,11 @@ def run_success(spark, sf_dir):
 # ---- chat and mixing
 
 
-@query("""WITH m AS (SELECT conv_id, string_agg(CASE role WHEN 'assistant' THEN '<|assistant|>' || chr(10) || trim(text) || '</s>' || chr(10) ELSE '<|' || role || '|>' || chr(10) || trim(text) || chr(10) END, '' ORDER BY turn, role, text) AS t FROM conversations WHERE role IN ('system', 'user', 'assistant') AND text IS NOT NULL GROUP BY conv_id)
+@query("""WITH m AS (SELECT conv_id, string_agg(CASE role WHEN 'assistant' THEN '<|assistant|>' || chr(10) || trim(text) || '</s>' || chr(10) ELSE '<|' || role || '|>' || chr(10) || trim(text) || chr(10) END, '' ORDER BY turn, role, text) AS t FROM (SELECT conv_id, turn, CASE WHEN role IN ('system', 'user', 'assistant') THEN role ELSE 'user' END AS role, coalesce(text, '') AS text FROM conversations) GROUP BY conv_id)
 SELECT conv_id, regexp_replace(t, '\n$', '') AS rendered FROM m""")
 def chat_render(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role in ('system', 'user', 'assistant') and text is not null")
+    role = F.when(F.col("role").isin("system", "user", "assistant"), F.col("role")).otherwise("user")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     m = c.groupBy("conv_id").agg(F.transform(turns, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
     return m.select("conv_id", F.regexp_replace(mixing.render(F.col("messages")), "\n$", "").alias("rendered"))

@@ -26,13 +26,13 @@ def parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
-def report(rows: list[dict] | dict | str, path: str) -> None:
-    """A small result as pretty JSON, or a text as it is. A path with a scheme is written by Spark's file systems, so that it may be shared."""
+def report(rows: list[dict] | dict | str, path: str, spark: SparkSession | None = None) -> None:
+    """A small result as pretty JSON, or a text as it is; with a session by Spark's file systems, so that the place may be a shared one."""
     shown = rows if isinstance(rows, str) else json.dumps(rows, ensure_ascii=False, indent=2, default=str)
-    if "://" not in path:
+    if spark is None:
         Path(path).write_text(shown, encoding="utf-8")
         return
-    sc = SparkSession.getActiveSession().sparkContext
+    sc = spark.sparkContext
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
     out = place.getFileSystem(sc._jsc.hadoopConfiguration()).create(place, True)
     try:
