@@ -1,13 +1,16 @@
-"""Embedding near-duplicates: tiles of int8 products with proven error bounds; doubtful pairs again in double precision."""
+"""Embedding near-duplicates: tiles of int8 products with proven error bounds; doubtful pairs again in double precision; cells too far apart never meet."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .cells import ROOM, angles, deal, matrix, scaled, unit
+from .common import Scratch, written
 from .components import components
 
 COSINE, BLOCK, STRIP = 0.95, 4096, 512
@@ -33,6 +36,7 @@ def tile_links(x: np.ndarray, y: np.ndarray, threshold: float = COSINE, same: bo
     the threshold within this bound are computed in double precision. Products of codes are exact in
     single precision for up to 1024 components at a time.
     """
+    x, y = scaled(x), scaled(y)
     xn, yn = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     (xq, xs, xl), (yq, ys, yl) = quantise(x / xn[:, None]), quantise(y / yn[:, None])
     yf, dim, rows, columns = yq.astype("f4"), x.shape[1], [], []
@@ -69,46 +73,66 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
+def partners(x: np.ndarray, own: np.ndarray, near: np.ndarray, cells: tuple, angle: float) -> list[np.ndarray]:
+    """For each row the tiles that may hold vectors within the angle: of cells whose ball reaches so far, and whose vectors, being nearer to
+    that cell's pivot than to this one's, may be so near."""
+    pivots, tiles, first, radius, _ = cells
+    far = angles(x, pivots)
+    may = (far <= radius[None, :] + angle + ROOM) & (far <= near[:, None] + 2 * angle + ROOM) & (tiles > 0)[None, :]
+    may[np.arange(len(x)), own] = True
+    every = [np.arange(f, f + n) for f, n in zip(first, tiles)]
+    return [np.concatenate([every[c] for c in np.nonzero(row)[0]]) for row in may]
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of the table.
 
-    Equal vectors are collapsed first and counted by their number. The distinct ones are dealt into blocks
-    of about `block`; each pair of blocks is one tile, which gives the number of links of each vector
-    and a spanning forest of its links, never the links themselves. Null, zero, non-finite vectors and
-    those with null components link with nothing, nor do vectors of different lengths; such rows have no
-    links and are their own component. A null vec_id stays null; repeated ids are vectors of their own.
+    Equal vectors are collapsed first and counted by their number. The distinct ones are dealt to the nearest of a bounded number of pivots,
+    in tiles of about `block`; a vector meets a tile only if the triangle inequality of angles lets a partner be in its cell.
+    Each pair of tiles gives the number of links of each vector and a spanning forest of its links, never the links
+    themselves. Null, zero, non-finite vectors and those with null components link with nothing, nor do vectors of different lengths; such
+    rows have no links and are their own component. A null vec_id stays null and links with nothing; repeated ids are vectors of their own.
     """
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"))
     good = rows.where(valid(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull())
     groups = written(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "vectors")
-    n = groups.count()
-    blocks = max(1, -(-n // block))
-    tiled = groups.withColumn("b", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("rep", "m", "v", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), F.size("v").alias("dim"))
-
-    def tile(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        b, lo = table["b"].to_numpy(), table["lo"][0].as_py()
-        dim = table["dim"][0].as_py()
-        v = table["v"].combine_chunks()
-        v = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        same, m, rep = bool((b == b[0]).all()), table["m"].to_numpy(), table["rep"].to_numpy()
-        if same and lo != table["hi"][0].as_py():
-            return pa.table({"node": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        left = np.arange(len(b)) if same else np.nonzero(b == lo)[0]
-        right = left if same else np.nonzero(b != lo)[0]
-        i, j = tile_links(v[left], v[right], threshold, same)
-        i, j = left[i], right[j]
-        count = np.bincount(i, m[j], len(b)) + np.bincount(j, m[i], len(b))
-        order = np.argsort(rep, kind="stable")
-        place = np.empty(len(rep), "i8")
-        place[order] = np.arange(len(rep))
-        root = rep[order][forest(len(rep), place[i], place[j])[place]]
-        hit = np.nonzero(count)[0]
-        return pa.table({"node": rep[hit], "root": root[hit], "n": count[hit].astype("i8")})
-
-    found = written(tiled.groupBy("lo", "hi", "dim").applyInArrow(tile, "node long, root long, n long"), "tiles")
-    count = found.groupBy("node").agg(F.sum("n").alias("n"))
-    root = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    with Scratch(vectors.sparkSession) as scratch:
+        keyed = groups.select(F.col("rep").alias("key"), F.size("v").alias("dim"), "v", "m")
+        dealt, cells = deal(keyed, block, unit, angles, lambda d: scratch.written(d, "dealt"))
+        shared, angle = vectors.sparkSession.sparkContext.broadcast(cells), float(np.arccos(threshold))
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dims = batch.column("dim").to_numpy()
+                for dim in np.unique(dims):
+                    part = batch.filter(pa.array(dims == dim))
+                    found = partners(unit(matrix(part.column("v"))), part.column("cell").to_numpy(), part.column("near").to_numpy(), shared.value.of(int(dim)), angle)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "m", "dim", "v", "tile")), pa.array(found, pa.list_(pa.int64()))], names=["rep", "m", "dim", "v", "b", "others"])
+
+        near = dealt.mapInArrow(reach, "rep long, m long, dim int, v array<double>, b long, others array<long>").withColumn("o", F.explode("others"))
+        tiled = near.select("rep", "m", "v", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "dim")
+
+        def tile(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            b, lo, hi = table["b"].to_numpy(), table["lo"][0].as_py(), table["hi"][0].as_py()
+            v, m, rep = matrix(table["v"]), table["m"].to_numpy(), table["rep"].to_numpy()
+            left = np.nonzero(b == lo)[0]
+            right = left if lo == hi else np.nonzero(b == hi)[0]
+            if not len(left) or not len(right):
+                return pa.table({"node": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+            i, j = tile_links(v[left], v[right], threshold, lo == hi)
+            i, j = left[i], right[j]
+            count = np.bincount(i, m[j], len(b)) + np.bincount(j, m[i], len(b))
+            order = np.argsort(rep, kind="stable")
+            place = np.empty(len(rep), "i8")
+            place[order] = np.arange(len(rep))
+            root = rep[order][forest(len(rep), place[i], place[j])[place]]
+            hit = np.nonzero(count)[0]
+            return pa.table({"node": rep[hit], "root": root[hit], "n": count[hit].astype("i8")})
+
+        found = scratch.written(tiled.groupBy("lo", "hi", "dim").applyInArrow(tile, "node long, root long, n long"), "tiles")
+        count = written(found.groupBy("node").agg(F.sum("n").alias("n")), "links")
+        root = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     told = groups.join(count, groups.rep == count.node, "left").drop("node").join(root, F.col("rep") == root.node, "left")
     told = told.select(F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = rows.join(told, (rows.v == told.w) & rows.vec_id.isNotNull(), "left")

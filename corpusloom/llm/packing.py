@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import fast_encoder, vocabulary
-from .common import documents, rows_of, written
+from .common import Scratch, documents, rows_of, written
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces that one group packs: bounds its memory, and is ample for best fit to come near its bound.
@@ -86,56 +85,57 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, np.array(fills, "i8")
 
 
-def _packer(names: list[str], turn: int, capacity: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, lengths = int(pdf["__group"].iloc[0]), pdf["length"].to_numpy()
+def _packer(turn: int, capacity: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own, lengths = table["group"][0].as_py(), table["length"].to_numpy().astype("i8")
         bins, offsets, fills = best_fit_decreasing(lengths, capacity)
         gap = len(fills) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         # bins that open again: with a gap all that aren't nearly full, without one only the emptiest
         again = (fills < capacity - capacity // 128) if gap > 0 else (fills == fills.min()) & (fills < capacity)
-        out = pdf[names].copy()
-        out["sequence_id"] = (turn << 56) + (own << 24) + bins
-        out["offset"] = offsets
-        out["__open"] = again[bins]
-        out["__first"] = offsets == 0
-        return out
+        return pa.table({"row": table["row"], "length": table["length"], "sequence_id": (turn << 56) + (own << 24) + bins, "offset": offsets, "open": again[bins], "first": offsets == 0})
 
     return run
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """items (doc_id, piece, length up to capacity, and other columns) with sequence_id and offset.
-
-    Groups of about `group` items, dealt out by a hash, are packed best fit decreasing. Each group's
-    bin count is certified against its dual-feasible-function bound. While all groups together are
-    above the bound of the whole table, the documents of bins that are not full enough are exchanged
-    (dealt into fewer groups) and packed again; a group keeps the new packing as it is never worse than
-    what it replaces by more than its certificate shows. Repeated (doc_id, piece) rows are separate items.
-    An empty table gives an empty one. Only counts of sizes (capacity + 1 numbers) reach the driver.
+    """items (length from 0 up to capacity, and any other columns) with sequence_id and offset; own columns of these two names are replaced.
+
+    Groups of about `group` items, dealt out by a number of the written row, so that equal rows and such without ids part too,
+    are packed best fit decreasing. Each group's bin count is certified against its dual-feasible-function bound. While all groups together
+    are above the bound of the whole table, the documents of bins that are not full enough are exchanged
+    (dealt into fewer groups) and packed again; what was packed before stays where that takes no fewer bins. Equal rows are separate
+    items. An empty table gives an empty one. Only counts of sizes (capacity + 1 numbers) reach the driver. `group` bounds memory and
+    `rounds` the work; either changes how near the bound the packing comes, not that it is one.
     """
-    spark = items.sparkSession
-    schema = StructType(list(items.schema.fields)).add("sequence_id", "long").add("offset", "long").add("__open", "boolean").add("__first", "boolean")
-    names = items.columns
-    left = written(items, "pieces")
-    done: list[DataFrame] = []
-    for turn in range(rounds + 1):
-        sizes = {r["length"]: r["n"] for r in left.groupBy("length").agg(F.count("*").alias("n")).collect()}
-        n = sum(sizes.values())
-        if not n:
-            break
-        bound = lower_bound(np.array([sizes.get(x, 0) for x in range(capacity + 1)]), capacity)
-        groups = -(-n // group)
-        dealt = left.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)))
-
-        packed = written(dealt.groupBy("__group").applyInPandas(_packer(names, turn, capacity), schema=schema), f"packed{turn}")
-        used = packed.agg(F.sum(F.col("__first").cast("long")).alias("bins"), F.sum((F.col("__first") & F.col("__open")).cast("long")).alias("open")).first()
-        if turn == rounds or used["bins"] <= bound or groups == 1 or not used["open"]:
-            done.append(packed)
-            break
-        done.append(packed.where(~F.col("__open")))
-        left = packed.where("__open").select(*names)
-    out = done[0] if done else spark.createDataFrame([], schema)
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.drop("__open", "__first")
-
+    names = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    with Scratch(items.sparkSession) as scratch:
+        whole = items.select(F.struct(*(items[f"`{c}`"] for c in names)).alias("row"), items["length"].cast("long").alias("length"))
+        left = scratch.written(whole.withColumn("number", F.monotonically_increasing_id()), "pieces")
+        done: list[DataFrame] = []
+        before: tuple[DataFrame, int] | None = None
+        for turn in range(rounds + 1):
+            sizes = {r["length"]: r["n"] for r in left.groupBy("length").agg(F.count("*").alias("n")).collect()}
+            n = sum(sizes.values())
+            if not n:
+                break
+            bound = lower_bound(np.array([sizes.get(x, 0) for x in range(capacity + 1)]), capacity)
+            groups = -(-n // group)
+            dealt = left.select("row", "length", F.pmod(F.xxhash64("number", F.lit(turn)), F.lit(groups)).alias("group"))
+            schema = StructType([left.schema["row"]]).add("length", "long").add("sequence_id", "long").add("offset", "long").add("open", "boolean").add("first", "boolean")
+            packed = scratch.written(dealt.groupBy("group").applyInArrow(_packer(turn, capacity), schema), f"packed{turn}")
+            used = packed.agg(F.sum(F.col("first").cast("long")).alias("bins"), F.sum((F.col("first") & F.col("open")).cast("long")).alias("open")).first()
+            if before is not None and used["bins"] >= before[1]:
+                done.append(before[0])  # no fewer: the documents stay where they were
+                break
+            if turn == rounds or used["bins"] <= bound or groups == 1 or not used["open"]:
+                done.append(packed)
+                break
+            done.append(packed.where(~F.col("open")))
+            before = packed.where("open"), used["open"]
+            left = scratch.written(packed.where("open").select("row", "length", F.monotonically_increasing_id().alias("number")), f"open{turn}")
+        kind = StructType([left.schema["row"]]).add("sequence_id", "long").add("offset", "long")
+        out = items.sparkSession.createDataFrame([], kind)
+        for part in done:
+            out = out.unionByName(part.select("row", "sequence_id", "offset"))
+        return written(out, "packed").select("row.*", "sequence_id", "offset")

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .cells import deal, distances, matrix
+from .common import Scratch, written
 from .embeddings import valid
 
 SCALE, TOP, EVERY, PAGE, TREE, QUERIES = 256, 5, 50, 96, 4096, 512
@@ -127,47 +128,93 @@ def _tree_of(raw: bytes) -> MTree:
     return tree
 
 
+def upper_bounds(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """What the inner product of each row with any vector of each cell is at most: by the pivot's product and the radius, and by the
+    least distance to the cell and the largest length in it."""
+    length, dots = np.linalg.norm(x, axis=1)[:, None], x @ pivots.T
+    far = np.sqrt(np.maximum(0, length**2 + (pivots**2).sum(axis=1)[None, :] - 2 * dots))
+    room = ROOM * (length + most[None, :] + np.linalg.norm(pivots, axis=1)[None, :] + 1) ** 2
+    least = np.maximum(0, far - radius[None, :] - np.sqrt(room))
+    return np.minimum(dots + length * radius[None, :], (length**2 + most[None, :] ** 2 - least**2) / 2) + room
+
+
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = TOP, scale: int = SCALE, tree: int = TREE, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every` the k best others.
 
     Components become floor(scale * x). Scores are exact while they stay under 2**53. Null vectors and such with
     null or non-finite components take no part, nor do null ids; vectors of different lengths aren't compared;
     rows that share a query's id are its own; repeated ids of others are candidates each. An empty table, or
-    one without queries, gives no rows. Vectors are dealt into blocks of about `tree`, queries into
-    blocks of about `queries`; each pair of blocks of one length is a task's unit, with k rows a query.
+    one without queries, gives no rows. Vectors are dealt to the nearest of a bounded number of pivots, in trees of about `tree`. A query
+    first searches one tree of the cell that may hold the largest score; its k-th score there leaves out all cells that can't reach
+    it, and only trees of the others are searched, by bundles of about `queries`, with k rows a query and tree.
     """
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & valid(F.col("v")))
-    rows = written(rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"), F.size("v").alias("dim")), "integers")
-    n, asked = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    trees, sets = max(1, -(-n // tree)), max(1, -(-asked // queries))
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        table = table.combine_chunks()
-        v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return v.reshape(table.num_rows, -1), table["vec_id"].to_numpy()
-
-    def plant(table: pa.Table) -> pa.Table:
-        x, ids = matrix(table)
-        return pa.table({"t": pa.array([table["t"][0].as_py()], pa.int64()), "dim": pa.array([table["dim"][0].as_py()], pa.int32()), "tree": pa.array([_tree_bytes(MTree(x, ids))], pa.binary())})
-
-    def bundle(table: pa.Table) -> pa.Table:
-        x, ids = matrix(table)
-        return pa.table({"s": pa.array([table["s"][0].as_py()], pa.int64()), "dim": pa.array([table["dim"][0].as_py()], pa.int32()), "asked": pa.array([_bytes(x=x, ids=ids)], pa.binary())})
-
-    planted = rows.withColumn("t", F.pmod(F.xxhash64("vec_id"), F.lit(trees))).groupBy("t", "dim").applyInArrow(plant, "t long, dim int, tree binary")
-    bundles = rows.where(F.col("vec_id") % every == 0).withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(sets))).groupBy("s", "dim").applyInArrow(bundle, "s long, dim int, asked binary")
-    planted, bundles = written(planted, "trees"), written(bundles, "queries")
-    # each tree meets each bundle: the stated query set against all rows, in blocks
-    pairs = planted.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sets - 1).cast("long")))).join(bundles.hint("merge"), ["s", "dim"]).repartition(trees * sets, "t", "s", "dim")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw, asks in zip(batch.column("tree"), batch.column("asked")):
-                grown, z = _tree_of(raw.as_py()), np.load(io.BytesIO(asks.as_py()))
-                out = [(int(q), i, s) for q, x in zip(z["ids"], z["x"]) for s, i in grown.search(x, k, int(q))]
-                columns = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    best = pairs.select("tree", "asked").mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    spark = vectors.sparkSession
+    rows = vectors.select(vectors[id_col].cast("long").alias("key"), vectors[vector_col].cast("array<double>").alias("v")).where(F.col("key").isNotNull() & valid(F.col("v")) & (F.size("v") > 0))
+    with Scratch(spark) as scratch:
+        rows = scratch.written(rows.select("key", F.size("v").alias("dim"), F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v")), "integers")
+        dealt, cells = deal(rows, tree, lambda x: x, distances, lambda d: scratch.written(d, "dealt"))
+        shared = spark.sparkContext.broadcast(cells)
+
+        def plant(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            return pa.table({"t": pa.array([table["tile"][0].as_py()], pa.int64()), "tree": pa.array([_tree_bytes(MTree(matrix(table["v"]), table["key"].to_numpy()))], pa.binary())})
+
+        planted = scratch.written(dealt.groupBy("tile").applyInArrow(plant, "t long, tree binary"), "trees")
+
+        def targets(first: bool):
+            """Rows (key, v, t): a query and a tree that it searches, the first one or all others that may hold a score as good as `least`."""
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    dims, asked = batch.column("dim").to_numpy(), ([], [])
+                    for dim in np.unique(dims):
+                        at = np.nonzero(dims == dim)[0]
+                        pivots, tiles, start, radius, most = shared.value.of(int(dim))
+                        bound = np.where(tiles[None, :] > 0, upper_bounds(matrix(batch.column("v").take(pa.array(at))), pivots, radius, most), -np.inf)
+                        if first:
+                            asked[0].extend(at)
+                            asked[1].extend(start[bound.argmax(axis=1)])
+                            continue
+                        least, seen = batch.column("least").to_numpy()[at], batch.column("t").to_numpy()[at]
+                        for i, row, low, t in zip(at, bound, least, seen):
+                            reached = np.concatenate([np.arange(start[c], start[c] + tiles[c]) for c in np.nonzero((row >= low) & (tiles > 0))[0]] or [np.zeros(0, "i8")])
+                            reached = reached[reached != t]
+                            asked[0].extend([i] * len(reached))
+                            asked[1].extend(reached)
+                    take = pa.array(np.array(asked[0], "i8"))
+                    for a in range(0, len(take), 4096):  # copies of the queries in small batches
+                        some = take[a : a + 4096]
+                        yield pa.RecordBatch.from_arrays([batch.column("key").take(some), batch.column("v").take(some), pa.array(np.array(asked[1][a : a + 4096], "i8"))], names=["key", "v", "t"])
+
+            return run
+
+        def bundle(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            return pa.table({"t": pa.array([table["t"][0].as_py()], pa.int64()), "asked": pa.array([_bytes(x=matrix(table["v"]), ids=table["key"].to_numpy())], pa.binary())})
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for raw, asks in zip(batch.column("tree"), batch.column("asked")):
+                    grown, z = _tree_of(raw.as_py()), np.load(io.BytesIO(asks.as_py()))
+                    out = [(int(q), i, s) for q, x in zip(z["ids"], z["x"]) for s, i in grown.search(x, k, int(q))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out)) or [(), (), ()])], names=["query_id", "vec_id", "score"])
+
+        def searched(asked: DataFrame, name: str) -> DataFrame:
+            """Each tree meets the queries that search it, in bundles; a tree's queries are dealt out by a hash."""
+            asked = scratch.written(asked, f"{name}-asked")
+            sizes = asked.groupBy("t").agg(F.ceil(F.count("*") / queries).alias("sets"))
+            bundles = asked.join(sizes, "t").groupBy("t", F.pmod(F.xxhash64("key"), F.col("sets")).alias("s")).applyInArrow(bundle, "t long, asked binary")
+            bundles = scratch.written(bundles, f"{name}-bundles")
+            n = bundles.count()
+            pairs = planted.join(bundles.hint("merge"), "t").repartition(max(1, n), F.xxhash64("asked"))
+            return scratch.written(pairs.select("tree", "asked").mapInArrow(search, "query_id long, vec_id long, score long"), name)
+
+        asked = dealt.where(F.col("key") % every == 0).select("key", "dim", "v")
+        begun = scratch.written(asked.mapInArrow(targets(True), "key long, v array<double>, t long"), "first-trees").distinct()
+        first = searched(begun, "first")
+        least = first.groupBy(F.col("query_id").alias("q")).agg(F.min("score").alias("low"), F.count("*").alias("n"))
+        more = begun.join(least, F.col("key") == F.col("q"), "left").select("key", "v", F.size("v").alias("dim"), "t", F.when(F.col("n") >= k, F.col("low")).cast("double").alias("least"))
+        more = more.withColumn("least", F.coalesce("least", F.lit(float("-inf")))).mapInArrow(targets(False), "key long, v array<double>, t long")
+        best = first.unionByName(searched(more, "others"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return written(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top")

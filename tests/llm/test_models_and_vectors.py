@@ -121,6 +121,57 @@ def test_embedding_links(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def clustered(spark, n=1200, dim=16):
+    """Tight groups far from each other, one of them with a third of all, and very large and small numbers."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(12, dim)) * 3
+    at = np.where(rng.random(n) < 0.33, 0, rng.integers(0, 12, n))
+    x = centres[at] + rng.normal(size=(n, dim)) * 0.25
+    x[5] *= 1e200
+    x[7] *= 1e-200
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), x
+
+
+def test_embedding_cells_are_left_out(spark):
+    df, x = clustered(spark)
+    u = x / np.abs(x).max(axis=1)[:, None]
+    u = u / np.linalg.norm(u, axis=1)[:, None]
+    links = [(int(a), int(b)) for a, b in np.argwhere(u @ u.T >= 0.95) if a != b]
+    n, want = np.bincount([a for a, _ in links], minlength=len(x)), roots(range(len(x)), links)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df, block=60).collect()}
+    assert got == {i: (n[i], want[i]) for i in range(len(x))}
+    pivots = embeddings.unit(x[::60])
+    far = embeddings.angles(embeddings.unit(x), pivots)
+    cell = far.argmin(axis=1)
+    near = far[np.arange(len(x)), cell]
+    tiles = np.bincount(cell, minlength=len(pivots))
+    radius = np.array([near[cell == c].max(initial=0) for c in range(len(pivots))])
+    found = embeddings.partners(embeddings.unit(x), cell, near, (pivots, (tiles > 0).astype(int), np.arange(len(pivots)), radius, None), float(np.arccos(0.95)))
+    met = sum(map(len, found))
+    assert met < 0.6 * len(x) * len(pivots)
+    assert all(cell[j] in set(found[i].tolist()) for i, j in links)
+
+
+def test_topk_cells_are_left_out(spark):
+    df, x = clustered(spark)
+    x[5], x[7] = x[6], x[8]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, tree=60, queries=5, every=9).collect())) == best_by_hand([(i, v.tolist()) for i, v in enumerate(x)], every=9)
+    z = np.floor(256 * x)
+    pivots = z[::60]
+    far = np.linalg.norm(z[:, None] - pivots[None], axis=2)
+    cell = far.argmin(axis=1)
+    radius = np.array([far[cell == c, c].max(initial=0) for c in range(len(pivots))])
+    most = np.array([np.linalg.norm(z[cell == c], axis=1).max(initial=0) for c in range(len(pivots))])
+    bound = topk.upper_bounds(z[::9], pivots, radius, most)
+    scores = z[::9] @ z.T
+    best = np.sort(scores, axis=1)[:, -6]
+    for c in range(len(pivots)):
+        if (cell == c).any():
+            assert (scores[:, cell == c].max(axis=1) <= bound[:, c]).all()
+    assert (bound >= best[:, None])[:, [c for c in range(len(pivots)) if (cell == c).any()]].mean() < 0.8
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(6)
     u, v = (a / np.linalg.norm(a, axis=1)[:, None] for a in rng.normal(size=(2, 300, 64)))

@@ -127,6 +127,23 @@ def test_packing_exchanges(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_equal_and_clashing_rows(spark):
+    """Equal rows and such without ids part into groups, columns of any name stay, a new packing is never worse."""
+    rows = [(None, 0, 700, "g", 5, 1)] * 900 + [(3, 0, 1400, "h", 6, 2)] * 300 + [(i, 1, 2048, "o", 7, 3) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length int, group string, row int, open int")
+    clash = df.selectExpr("*", "9L AS sequence_id", "'x' AS offset", "1 AS first", "2 AS number")
+    got = packing.pack(clash, group=100).collect()
+    assert sorted(got[0].asDict()) == sorted([*df.columns, "first", "number", "sequence_id", "offset"]) and len(got) == len(rows)
+    assert sorted(((r["doc_id"], r["length"], r["group"]) for r in got), key=str) == sorted(((r[0], r[2], r[3]) for r in rows), key=str)
+    sizes = {}
+    for r in got:
+        sizes[r["sequence_id"] >> 24] = sizes.get(r["sequence_id"] >> 24, 0) + 1
+    assert max(sizes.values()) < 200
+    assert check_packing(got) <= 450 + 300 + 20 + 5  # two of 700, one of 1400, one of 2048 to a bin
+    bins = [check_packing(packing.pack(df, group=100, rounds=r).collect()) for r in (0, 1, 4)]
+    assert bins == sorted(bins, reverse=True)
+
+
 def test_bound_never_above_the_optimum():
     rng = np.random.default_rng(1)
     for _ in range(200):
