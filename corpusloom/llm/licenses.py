@@ -6,6 +6,8 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ BANDS = 64
 WORD = re.compile(r"[^\W_]+")
 MIXES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
-#: Notices and opening grants of well-known public licences.
-TEMPLATES = {
+#: Notices and opening grants of well-known public licences. Whole licences are files of the folder templates.
+NOTICES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -35,6 +37,13 @@ TEMPLATES = {
 }
 
 
+@cache
+def texts() -> dict[str, str]:
+    """The notices and the whole texts, by name."""
+    files = (f for f in resources.files(__package__).joinpath("templates").iterdir() if f.name.endswith(".txt"))
+    return NOTICES | {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8", errors="replace") for f in sorted(files, key=lambda f: f.name)}
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -60,7 +69,7 @@ def _shingle_hashes(word_hashes: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """The templates by length class (a power of two of shingles), with their minimum of each band."""
+    """The templates by length class (a power of two of shingles), with an index from each band's minimum to them: the work follows the windows, not the templates."""
 
     def __init__(self, texts: dict[str, str]):
         rng = np.random.default_rng(7)
@@ -68,7 +77,7 @@ class Templates:
         self.add = rng.integers(1 << 32, size=BANDS, dtype="u4")
         self.sets: dict[str, set] = {}
         self.classes: dict[int, list[str]] = {}
-        self.least: dict[int, np.ndarray] = {}
+        self.index: dict[int, list[tuple[np.ndarray, list[list[str]]]]] = {}  # by class and band: the sorted minima, and who has each
         for name, text in texts.items():
             own = set(shingles(words(text)))
             if not own:
@@ -77,7 +86,9 @@ class Templates:
             self.classes.setdefault(1 << (len(own) - 1).bit_length(), []).append(name)
         for size, names in self.classes.items():
             rows = [self.bands(_shingle_hashes(np.array([_word_hash(w) for w in words(texts[x])], "u8"))).min(axis=1) for x in names]
-            self.least[size] = np.array(rows)  # names x BANDS
+            for band in np.array(rows).T:
+                found, of = np.unique(band, return_inverse=True)
+                self.index.setdefault(size, []).append((found, [[names[t] for t in np.nonzero(of == i)[0]] for i in range(len(found))]))
 
     def bands(self, hashes: np.ndarray) -> np.ndarray:
         return hashes[None, :] * self.multiply[:, None] + self.add[:, None]
@@ -97,9 +108,11 @@ class Templates:
                 if size > 1:  # three blocks in a row hold any run of `size` shingles
                     padded = np.concatenate((block, np.full(2, 0xFFFFFFFF, "u4")))
                     window = np.minimum(np.minimum(padded[:-2], padded[1:-1]), padded[2:])
-                for t, name in enumerate(self.classes[size]):
-                    for i in np.nonzero(window == self.least[size][t, b])[0].tolist():
-                        found.add((i * stride, min(n, (i + (3 if size > 1 else 1)) * stride), name))
+                least, names = self.index[size][b]
+                at = np.minimum(np.searchsorted(least, window), len(least) - 1)
+                for i in np.nonzero(least[at] == window)[0].tolist():
+                    span = i * stride, min(n, (i + (3 if size > 1 else 1)) * stride)
+                    found.update((*span, name) for name in names[int(at[i])])
         return found
 
 
@@ -147,20 +160,21 @@ def scan_texts(texts: list[str], templates: Templates, memo: Memo) -> list[list[
     return out
 
 
-def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, containment, first_word: a row for each document and template that it holds.
 
     A template is held if a run of shingles (of five words; no longer than the template's class, the next
     power of two) contains 0.8 or more of the template's distinct shingles; containment is the largest of any run, first_word
     counts the document's words. Null texts and texts of under five words hold none; null and repeated ids
-    are kept; no documents, no rows; other columns are ignored. `texts` is a list of templates held by every worker.
+    are kept; no documents, no rows; other columns are ignored. `templates` (name to text) are held by every worker;
+    a few hundred kilobytes of notices and whole licences are built in.
     """
-    chosen = dict(texts or TEMPLATES)
+    chosen = dict(templates or texts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates, memo = Templates(chosen), Memo(_word_hash)
+        known, memo = Templates(chosen), Memo(_word_hash)
         for ids, block in rows_of(batches):
-            told = [(i, *x) for i, found in zip(ids, scan_texts(block, templates, memo)) for x in found]
+            told = [(i, *x) for i, found in zip(ids, scan_texts(block, known, memo)) for x in found]
             columns = list(zip(*told)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.int64()))], names=["doc_id", "license", "containment", "first_word"])
 

@@ -42,7 +42,7 @@ FROM p LEFT JOIN fits USING (page_id) LEFT JOIN surest USING (url)"""
 
 
 def license_scan(texts: dict[str, str] | None = None) -> str:
-    templates = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in (texts or licenses.TEMPLATES).items())
+    templates = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in (texts or licenses.texts()).items())
     words = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')".format
     k = licenses.SHINGLE
     shingles = f"SELECT {{0}}, i, list_slice(w, i + 1, i + {k}) AS s FROM (SELECT {{0}}, w, unnest(range(0, len(w) - {k - 1})) AS i FROM {{1}})".format
