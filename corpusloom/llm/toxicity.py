@@ -30,6 +30,25 @@ WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 
+#: Part of a document's distinct sentences from which on it counts as a near copy of earlier ones of the same label.
+KNOWN_PART = 0.3
+
+
+def near_copies(texts: list[str], labels: list[int]) -> list[int]:
+    """A number of the group of each text: texts of one label that have a part of KNOWN_PART of their sentences in common with earlier ones
+    join the group that they share most with. All texts teach, whatever others hold; a group counts as one document."""
+    seen: dict[tuple[int, str], int] = {}
+    out: list[int] = []
+    for text, label in zip(texts, labels):
+        own = {s.strip().lower() for s in SENTENCE.findall(text)} - {""}
+        met = Counter(seen[label, s] for s in own if (label, s) in seen)
+        group = min(met, key=lambda g: (-met[g], g)) if met and sum(met.values()) >= KNOWN_PART * len(own) else len(out)
+        for s in own:
+            seen.setdefault((label, s), group)
+        out.append(group)
+    return out
+
+
 def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in BEGINNINGS if k < len(word))]
 
@@ -107,21 +126,27 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Nois
     same: dict[str, str] = {}  # one object for all places of a word
     bags = [[tuple({same.setdefault(w, w) for w in WORD.findall(s.lower())}) for s in SENTENCE.findall(t)] or [()] for t in texts]
     in_words = lambda b: {f for w in set().union(*b) for f in features(w)}
+    group = near_copies(texts, toxic)
+    alike: dict[int, list[int]] = {}
+    for d, g in enumerate(group):
+        alike.setdefault(g, []).append(d)
+    joined = [(toxic[members[0]], [s for d in members for s in bags[d]]) for members in alike.values()]
+    share = 1.0 / np.array([len(alike[g]) for g in group])
     # half of the LEAST_DOCS documents of a telling feature are toxic at least, so that others need no count; a table of
     # counts by a hash, which are never too low, spares most of them
     may, slot = np.zeros(1 << 22, "i4"), lambda f: crc32(f.encode()) & (1 << 22) - 1
-    for b, label in zip(bags, toxic):
+    for label, b in joined:
         if label:
             np.add.at(may, [slot(f) for f in in_words(b)], 1)
     hits = Counter()
-    for b, label in zip(bags, toxic):
+    for label, b in joined:
         if label:
             hits.update(f for f in in_words(b) if 2 * may[slot(f)] >= LEAST_DOCS)
     hits = Counter({f: k for f, k in hits.items() if 2 * k >= LEAST_DOCS})
     n = Counter()
-    for b in bags:
+    for _, b in joined:
         n.update(in_words(b) & hits.keys())
-    total, ones = len(y), float(y.sum())
+    total, ones = len(joined), float(sum(label for label, _ in joined))
     least = 2 * np.log(max(2, len(n))) + MARGIN
 
     def ratio(f: str) -> float:
@@ -135,6 +160,7 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Nois
     place = {f: i for i, f in enumerate(known)}
     model = NoisyOr({f: 0.0 for f in known}, 0.0)
     # sentences with a known feature one by one, the others of a document as a number
+    total = len(y)
     doc, at, word, empty = [], [], [], np.zeros(total)
     for d, b in enumerate(bags):
         for s in b:
@@ -157,7 +183,7 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0) -> Nois
         clear = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), total) + empty * np.log1p(-p0)
         whole = np.clip(1 - np.exp(clear), 1e-9, 1 - 1e-9)
         pull = np.where(y > 0, (1 - whole) / whole, -1.0)  # times p: the slope of the log-likelihood in z
-        pull *= np.where(y > 0, 1.0, clean_weight)
+        pull *= np.where(y > 0, 1.0, clean_weight) * share
         g = pull[doc] * p
         grad = np.append(np.bincount(word, g[at], len(known)), 0.0) / total
         grad -= PULL * (theta - start)
