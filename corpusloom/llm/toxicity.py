@@ -30,19 +30,19 @@ WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 
-#: Part of a document's distinct sentences from which on it counts as a near copy of earlier ones of the same label.
-KNOWN_PART = 0.3
+#: Part of a document's distinct sentences beyond which it counts as a near copy of earlier ones of the same label.
+KNOWN_PART = 0.5
 
 
 def near_copies(texts: list[str], labels: list[int]) -> list[int]:
-    """A number of the group of each text: texts of one label that have a part of KNOWN_PART of their sentences in common with earlier ones
+    """A number of the group of each text: texts of one label that have more than KNOWN_PART of their sentences in common with earlier ones
     join the group that they share most with. All texts teach, whatever others hold; a group counts as one document."""
     seen: dict[tuple[int, str], int] = {}
     out: list[int] = []
     for text, label in zip(texts, labels):
         own = {s.strip().lower() for s in SENTENCE.findall(text)} - {""}
         met = Counter(seen[label, s] for s in own if (label, s) in seen)
-        group = min(met, key=lambda g: (-met[g], g)) if met and sum(met.values()) >= KNOWN_PART * len(own) else len(out)
+        group = min(met, key=lambda g: (-met[g], g)) if sum(met.values()) > KNOWN_PART * len(own) else len(out)
         for s in own:
             seen.setdefault((label, s), group)
         out.append(group)
