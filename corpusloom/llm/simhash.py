@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_arrays, key_schema, keyed_texts, order_key, row_hash, rows_of, written
+from . import shingles
+from .common import Scratch, key_arrays, key_schema, keyed_texts, order_key, row_hash, rows_of, written
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -101,15 +102,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(told, own.fp == told.fp2, "left").select("doc_id", "fp", "component_id")
 
 
-def first_of_groups(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """fingerprints' columns, and sid, n, sketch: a hash, the size and the minima of the set of 5-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in rows_of(batches, key=key):
+            fps = np.array([fingerprint(t) for t in texts], "u8").view("i8")
+            sets = [shingles.shingle_hashes(shingles.words_of(t)) for t in texts]
+            told = [shingles.sketch(s) for s in sets]
+            more = [pa.array([t[0] for t in told], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([t[1] for t in told], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*key_arrays(ids, key), pa.array(fps), *more], names=[*key, "fp", "sid", "n", "sketch"])
+
+    return keyed_texts(docs, key).mapInArrow(run, f"{key_schema(key)}, fp long, sid long, n long, sketch binary")
+
+
+def first_of_groups(docs: DataFrame, block: int = shingles.BLOCK) -> DataFrame:
     """docs with all its columns, one row of each group of near-duplicates: the first by doc_id (a null one last), then by a hash of the
-    text; of rows that are equal in both the least one by all columns. So rows without an id, and equal rows, go like any others."""
+    text; of rows that are equal in both the least one by all columns. So rows without an id, and equal rows, go like any others.
+
+    Linked are texts whose fingerprints differ in RADIUS bits at most, and texts of a 5-word Jaccard of 0.8 or more; a group is all
+    that is reached over links. Texts without words are one group; texts of fewer than five words have one shingle."""
     key = {"d": order_key(docs["doc_id"]), "row": row_hash(docs["text"])}
-    own = written(fingerprints(docs.select("text", *(v.alias(k) for k, v in key.items())), ("d", "row")), "fingerprints")
-    groups = fingerprint_groups(own).select(F.col("fp").alias("fp2"), "root")
-    firsts = own.join(groups, F.col("fp") == F.col("fp2")).groupBy("root").agg(F.min(F.struct("d", "row")).alias("f"))
-    rows = own.groupBy("d", "row").agg(F.count("*").alias("n"))
-    kept = written(firsts.select("f.*").join(rows, ["d", "row"]).select(F.col("d").alias("d2"), F.col("row").alias("row2"), "n"), "firsts")
+    with Scratch(docs.sparkSession) as scratch:
+        own = scratch.written(sketches(docs.select("text", *(v.alias(k) for k, v in key.items())), ("d", "row")), "sketches")
+        sets = own.groupBy("sid", "n").agg(F.min(F.struct("d", "row")).alias("f"), F.min("sketch").alias("sketch"))
+        sets = scratch.written(sets, "sets")
+
+        def texts(asked: DataFrame) -> DataFrame:
+            first = sets.join(asked, "sid").select("sid", F.col("f.d").alias("d2"), F.col("f.row").alias("row2"))
+            rows = docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *(v.alias(k) for k, v in key.items()))
+            return rows.join(first, (F.col("d") == F.col("d2")) & (F.col("row") == F.col("row2"))).groupBy("sid").agg(F.first("text").alias("text"))
+
+        groups = fingerprint_groups(own).select(F.col("fp").alias("fp2"), "root")
+        rooted = scratch.written(own.select("fp", "sid").distinct().join(groups, F.col("fp") == F.col("fp2")).select("root", "sid").distinct(), "rooted")
+        least = rooted.groupBy("root").agg(F.min("sid").alias("v")).withColumnRenamed("root", "root2")
+        known = scratch.written(rooted.join(least, F.col("root") == F.col("root2")).select(F.col("sid").alias("u"), "v").where("u != v"), "known")
+        found = components(known.unionByName(shingles.links(sets.select("sid", "n", "sketch"), texts, known, scratch, block)))
+        parts = sets.select("sid", "f").join(found, F.col("sid") == F.col("node"), "left")
+        firsts = parts.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("f").alias("f"))
+        rows = own.groupBy("d", "row").agg(F.count("*").alias("n"))
+        kept = written(firsts.select("f.*").join(rows, ["d", "row"]).select(F.col("d").alias("d2"), F.col("row").alias("row2"), "n"), "firsts")
     whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("own"), *(v.alias(k) for k, v in key.items()))
     pick = lambda of: whole.join(kept.where(of), (F.col("d") == F.col("d2")) & (F.col("row") == F.col("row2")))
     out = pick("n = 1").select("own")

@@ -49,6 +49,47 @@ def components_by_hand(fps):
     return roots(ids, links)
 
 
+def shingles_by_hand(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def groups_by_hand(texts):
+    """Index -> least index reachable over links of 3 bits of SimHash, or of a 5-word Jaccard of 0.8."""
+    simple = components_by_hand({i: fingerprint_by_hand(t) for i, t in enumerate(texts)})
+    sets, where = [shingles_by_hand(t) for t in texts], {}
+    pairs = [(i, j) for i, j in simple.items()]
+    for i, own in enumerate(sets):
+        met = {}
+        for s in own:
+            for j in where.setdefault(s, []):
+                met[j] = met.get(j, 0) + 1
+            where[s].append(i)
+        pairs += [(i, j) for j, n in met.items() if n >= 0.8 * (len(own) + len(sets[j]) - n)]
+    return roots(range(len(texts)), pairs)
+
+
+@pytest.mark.parametrize("block", [8, 256])
+def test_near_copies(spark, block):
+    """Groups of edited copies, one of them crowded, against all pairs; every edit changes at most 5 shingles."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 6))
+    texts = []
+    for size, edits in ((60, 3), (12, 6), (12, 10), (5, 2), (1, 0), (1, 0)):
+        base = [word() for _ in range(160)]
+        for _ in range(size):
+            own = list(base)
+            for at in rng.integers(0, 160, int(rng.integers(0, edits + 1))):
+                own[at] = word()
+            texts.append(" ".join(own))
+    texts += ["one two three", "ONE  two three", "one two", "", None, " "]
+    df = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, sid string, root int")
+    want = groups_by_hand(texts)
+    out = simhash.first_of_groups(df, block)
+    assert out.columns == df.columns
+    assert {r["doc_id"] for r in out.collect()} == set(want.values())
+
+
 def test_simhash_query(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in queries.table(spark, sf_dir, "documents").collect()}
     fps = {i: fingerprint_by_hand(t) for i, t in docs.items()}
@@ -457,7 +498,7 @@ def stage_by_hand(name, rows, spark, sf_dir):
     h = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in {r["text"] or "" for r in rows}], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
     order = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, h[r["text"] or ""])
     if name == "near_duplicates":
-        roots_of = components_by_hand({i: fingerprint_by_hand(r["text"]) for i, r in enumerate(rows)})
+        roots_of = groups_by_hand([r["text"] for r in rows])
         best = {}
         for i, r in enumerate(rows):
             best[roots_of[i]] = min(best.get(roots_of[i], r), r, key=lambda r: (*order(r), str(r)))
