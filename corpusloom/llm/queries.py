@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, and the SQL of those that SQL can express."""
+"""The operators over their whole tables, with production parameters, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, language, licenses, packing, simhash, sql, suffixes, topk, toxicity, urls
+from . import bpe, embeddings, language, licenses, packing, resampling, simhash, spelling, sql, suffixes, token_files, topk, toxicity, urls
+from .common import Scratch, written
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Rules by hand (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -73,8 +74,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return told.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        folder = f"{scratch.top}/tokens"
+        token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), folder)
+        return written(token_files.checksums(spark, folder), "token_files")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_url_filter, op2_best_fit_packing, op3_license_scan, op4_bpe_roundtrip, op5_suffix_dedup, op6_simhash_dedup, op7_embedding_dedup, op8_exact_topk, op9_language_id, op10_toxicity]
+    found = [op1_url_filter, op2_best_fit_packing, op3_license_scan, op4_bpe_roundtrip, op5_suffix_dedup, op6_simhash_dedup, op7_embedding_dedup, op8_exact_topk, op9_language_id, op10_toxicity, op11_importance_resampling, op12_token_files, op13_spelling_variants]
     return {f.__name__: f for f in found}
 
 
@@ -86,6 +103,8 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": sql.url_filter(RULES),
         "op3_license_scan": sql.license_scan(),
         "op5_suffix_dedup": sql.suffix_dedup(),
+        "op11_importance_resampling": sql.importance_resampling(),
+        "op13_spelling_variants": sql.spelling_variants(),
         "op7_embedding_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {GOOD} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
