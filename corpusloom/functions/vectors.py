@@ -39,8 +39,9 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    e = F.transform(doubles(a), lambda x: F.exp(x))
-    return bound(total(e), lambda t: F.transform(e, lambda x: x / t))
+    """Shares of the exponentials, taken after the largest value is subtracted, so that none overflows."""
+    shifted = bound(F.array_max(doubles(a)), lambda m: F.transform(doubles(a), lambda x: F.exp(x - m)))
+    return bound(shifted, lambda e: bound(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def normalised(p: Column) -> Column:

@@ -100,10 +100,16 @@ def improvement(conf: DataFrame, model: str, base: str, tuned: str) -> DataFrame
     return conf.agg(r6(en).alias("en"), r6(ko).alias("ko"), r6((en + ko) / 2).alias("overall"))
 
 
-def language_bias(pairs: DataFrame, base: tuple[str, str], tuned: tuple[str, str]) -> DataFrame:
-    """pairs with EN and KO uncertainties of two models: mean absolute differences, improvement, share of pairs where KO is larger, improved pairs."""
-    b, t = (F.abs(F.col(x) - F.col(y)) for x, y in (base, tuned))
-    return pairs.agg(r6(F.avg(b)).alias("base_difference"), r6(F.avg(t)).alias("tuned_difference"), r6(F.avg(b - t)).alias("improvement"), r6(F.avg((F.col(base[1]) > F.col(base[0])).cast("double"))).alias("ko_share"), F.count_if(t < b).alias("improved"))
+def language_bias(pairs: DataFrame, base: tuple[str, str], tuned: tuple[str, str], placeholders: bool = False) -> DataFrame:
+    """pairs with EN and KO uncertainties of two models: mean absolute differences, improvement, share of pairs where KO is larger, improved pairs.
+
+    A pair that lacks any of the four has failed: it is left out, or with `placeholders` counts with a difference of 0.1 in both models, KO as
+    the larger and no improvement."""
+    failed = F.col(base[0]).isNull() | F.col(base[1]).isNull() | F.col(tuned[0]).isNull() | F.col(tuned[1]).isNull()
+    b, t = (F.when(failed, 0.1).otherwise(F.abs(F.col(x) - F.col(y))) for x, y in (base, tuned))
+    ko = failed | (F.col(base[1]) > F.col(base[0]))
+    rows = pairs if placeholders else pairs.where(~failed)
+    return rows.agg(r6(F.avg(b)).alias("base_difference"), r6(F.avg(t)).alias("tuned_difference"), r6(F.avg(b - t)).alias("improvement"), r6(F.avg(ko.cast("double"))).alias("ko_share"), F.count_if(t < b).alias("improved"))
 
 
 def extreme_pairs(pairs: DataFrame, en: str, ko: str, pair: str = "pair_id") -> DataFrame:

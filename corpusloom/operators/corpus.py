@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import tags, text
+from .quantiles import quantiles
 
 #: Histogram ranges of the profiles (inclusive), those of the half-open profile, and percentiles.
 LENGTH_RANGES = [(0, 10), (11, 20), (21, 40), (41, 60), (61, 100), (101, None)]
@@ -89,8 +90,10 @@ def percentiles_by_index(df: DataFrame, value: str, points: list[int] | None = N
 
 
 def percentiles_linear(df: DataFrame, value: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile(F.col(value), F.lit(p)), 6)
-    return df.agg(F.round(F.avg(value), 6).alias("mean"), q(0.5).alias("median"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max(value).alias("max"))
+    """mean, median, p95, p99 (linear between ranks) and max; without values all are null."""
+    q = quantiles(df, value, [0.5, 0.95, 0.99]).select(*(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("median", "p95", "p99"))))
+    ends = df.agg(F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"))
+    return ends.join(F.broadcast(q), F.lit(True), "left").select("mean", "median", "p95", "p99", "max")
 
 
 def thresholds(df: DataFrame, value: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shuffled
+from ..storage import written
 
 #: Speaker names that conversations use, the instruction frame, and the chat markers.
 ROLES = {"gpt": "assistant", "Assistant": "assistant", "assistant": "assistant", "user": "user", "User": "user", "human": "user"}
@@ -89,20 +90,24 @@ def _prefix(df: DataFrame, share: float | int, key: str, seed: int, counts: bool
     return hashed.join(F.broadcast(room), "__b").withColumn("__r", rank).where(F.col("__r") <= F.col("room"))
 
 
-def numbered(df: DataFrame, order: Column, name: str = "index", parts: int = 200) -> DataFrame:
-    """df with each row's place (from 0) in the order of a number; equal ones in any order.
+def numbered(df: DataFrame, order: Column, name: str = "index") -> DataFrame:
+    """df with each row's place (from 0) in an order of any type; equal ones, and nulls (first), in any order."""
+    return _numbered(df, order, name)[0]
 
-    Rows are dealt out by approximate quantiles and numbered in each part, after the number of rows in the parts before: no task has all rows.
-    """
-    keyed = df.withColumn("__o", order.cast("double"))
-    ends = keyed.agg(F.percentile_approx("__o", [i / parts for i in range(1, parts)], 10_000)).first()[0]
-    ends = sorted(set(ends or []))
-    part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("__o"))) if ends else F.lit(0)
-    dealt = keyed.withColumn("__part", part)
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.select(F.col("__part").alias("__p"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("n")).alias("__before"))  # a row a part
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return dealt.withColumn(name, place - 1).join(F.broadcast(before), F.col("__part") == F.col("__p")).withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__o", "__part", "__p", "__before")
+
+def _numbered(df: DataFrame, order: Column, name: str) -> tuple[DataFrame, int]:
+    """The numbered rows and how many they are. Rows are dealt out by ranges of the order (equal ones part too), sorted in each range and written
+    once with their place in it; the number of rows of each range (one row a range) then gives the first place of the next."""
+    keyed = df.select("*", order.alias("__o")).withColumn("__tie", F.monotonically_increasing_id())
+    sorted_ = keyed.repartitionByRange("__o", "__tie").sortWithinPartitions("__o", "__tie").drop("__o", "__tie").withColumn("__at", F.monotonically_increasing_id())
+    at = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))  # the low 33 bits count a range's rows, the others tell the range
+    rows = written(sorted_, "numbered").withColumn("__range", F.shiftright("__at", 33))
+    before, n = [], 0
+    for r in rows.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():
+        before.append((r["__range"], n))
+        n += r["n"]
+    starts = df.sparkSession.createDataFrame(before, "__range long, __before long")
+    return rows.join(F.broadcast(starts), "__range").withColumn(name, at + F.col("__before")).drop("__range", "__at", "__before"), n
 
 
 def synthetic_ids(df: DataFrame, name: str, split: str, order: Column) -> DataFrame:
@@ -113,14 +118,13 @@ def synthetic_ids(df: DataFrame, name: str, split: str, order: Column) -> DataFr
 
 
 def combine(sources: dict[str, DataFrame], shares: dict[str, float | int], split: str, key: str, columns: list[str], shuffle: bool = False, seed: int = 42) -> DataFrame:
-    """id and the columns of the first rows of each dataset, by its key or a seeded order: a share above 1 counts rows, others are fractions."""
+    """id and the columns of the first rows of each dataset, by its key (of any type that has an order) or a seeded order: a share above 1 counts rows, others are fractions."""
     if any(v < 0 for v in shares.values()):
         raise ValueError("shares must not be negative")
     out = None
     for name, df in sources.items():
-        order = shuffled(F.col(key), seed) if shuffle else F.col(key)
-        rows = int(shares[name]) if shares[name] > 1 else int(shares[name] * df.count())
-        placed = numbered(df, order, "__place").where(F.col("__place") < rows)
+        placed, n = _numbered(df, shuffled(F.col(key), seed) if shuffle else F.col(key), "__place")
+        placed = placed.where(F.col("__place") < int(shares[name] if shares[name] > 1 else shares[name] * n))
         if "id" not in df.columns:
             placed = placed.withColumn("id", F.concat_ws("_", F.lit(name), F.col("__place").cast("string"), F.lit(split)))
         part = placed.select("id", *columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .confidence import r6
+from .quantiles import quantiles
 
 
 def equal_bins(df: DataFrame, value: str, bins: int = 20, by: list[str] | None = None) -> DataFrame:
@@ -32,10 +33,10 @@ def equal_bins(df: DataFrame, value: str, bins: int = 20, by: list[str] | None =
 
 def boxes(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """by, n, q1, median, q3, and the whiskers: the values furthest out within 1.5 ranges between the quartiles; values beyond them."""
-    q = df.groupBy(*by).agg(F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
+    q = quantiles(df, value, [0.25, 0.5, 0.75], by).withColumnRenamed("q", "__q")
     near = 1.5 * (F.col("__q")[2] - F.col("__q")[0])
     inside = F.col(value).between(F.col("__q")[0] - near, F.col("__q")[2] + near)
-    keyed = df.join(q.select(*(q[c].alias(f"__{c}") for c in by), "__q"), [df[c].eqNullSafe(F.col(f"__{c}")) for c in by])
+    keyed = df.join(q.select(*(q[c].alias(f"__{c}") for c in by), "__q"), [df[c].eqNullSafe(F.col(f"__{c}")) for c in by], "left")
     return keyed.groupBy(*by).agg(
         F.count(value).alias("n"), *(r6(F.first("__q")[i]).alias(c) for i, c in enumerate(("q1", "median", "q3"))),
         r6(F.min(F.when(inside, F.col(value)))).alias("low"), r6(F.max(F.when(inside, F.col(value)))).alias("high"), F.count_if(~inside).alias("outside"),

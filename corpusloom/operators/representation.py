@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from .confidence import r6
+from .quantiles import quantiles
 
 BLOCK = 4096
 
@@ -64,7 +65,10 @@ def retrieval(df: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def parallel_retrieval(en: DataFrame, ko: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Accuracy of the best match in the other language, and mean and deviation of the pairs' similarity."""
+    """Accuracy of the best match in the other language, and mean and deviation of the pairs' similarity; sides of unequal length raise an error."""
+    n = en.agg(F.count("*").alias("n")).union(ko.agg(F.count("*"))).collect()
+    if n[0]["n"] != n[1]["n"]:
+        raise ValueError(f"sides of {n[0]['n']} and {n[1]['n']} rows")
     best = neighbours(en, ko, 1, block, skip_self=False).agg(r6(F.avg((F.col("idx") == F.col("other")).cast("double"))).alias("accuracy"))
     own = en.select("idx", F.col("v").alias("a")).join(ko.select("idx", F.col("v").alias("b")), "idx").agg(r6(F.avg(v.cosine(F.col("a"), F.col("b")))).alias("mean_similarity"), r6(F.stddev_pop(v.cosine(F.col("a"), F.col("b")))).alias("std_similarity"))
     return own.crossJoin(F.broadcast(best))
@@ -123,7 +127,8 @@ def pair_distances(df: DataFrame) -> DataFrame:
 def distance_bands(df: DataFrame) -> DataFrame:
     """pair_id, distance, its band by the quartiles of all pairs, and the mean and deviation of all."""
     d = pair_distances(df)
-    q = d.agg(r6(F.avg("distance")).alias("mean"), r6(F.stddev_pop("distance")).alias("std"), F.percentile("distance", F.lit(0.75)).alias("p75"), F.percentile("distance", F.lit(0.5)).alias("p50"))
+    quartiles = quantiles(d, "distance", [0.5, 0.75]).select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p75"))
+    q = d.agg(r6(F.avg("distance")).alias("mean"), r6(F.stddev_pop("distance")).alias("std")).crossJoin(quartiles)
     return d.crossJoin(F.broadcast(q)).select("pair_id", "distance", F.when(F.col("distance") >= F.col("p75"), "high").when(F.col("distance") >= F.col("p50"), "medium").otherwise("low").alias("band"), "mean", "std")
 
 
@@ -151,7 +156,10 @@ def gap_panels(df: DataFrame, by: str) -> DataFrame:
     """Per group: mean gap and cosine, line of cosine by gap, its correlation and band, quartiles, consistency 1 / (1 + gap)."""
     g = gap(df)
     r = F.coalesce(F.nanvl(F.corr("gap", "cosine"), F.lit(0.0)), F.lit(0.0))
-    return g.groupBy(by).agg(r6(F.avg("gap")).alias("mean_gap"), r6(F.avg("cosine")).alias("mean_cosine"), r6(F.regr_slope("cosine", "gap")).alias("slope"), r6(F.regr_intercept("cosine", "gap")).alias("intercept"), r6(r).alias("correlation"), F.when(F.abs(r) >= 0.7, "strong").when(F.abs(r) >= 0.3, "moderate").otherwise("weak").alias("strength"), r6(F.percentile("gap", F.lit(0.25))).alias("q1"), r6(F.percentile("gap", F.lit(0.75))).alias("q3"), r6(F.avg(1 / (1 + F.col("gap")))).alias("consistency"))
+    quartiles = quantiles(g, "gap", [0.25, 0.75], [by]).select(F.col(by).alias("__by"), "q")
+    told = g.groupBy(by).agg(r6(F.avg("gap")).alias("mean_gap"), r6(F.avg("cosine")).alias("mean_cosine"), r6(F.regr_slope("cosine", "gap")).alias("slope"), r6(F.regr_intercept("cosine", "gap")).alias("intercept"), r6(r).alias("correlation"), F.when(F.abs(r) >= 0.7, "strong").when(F.abs(r) >= 0.3, "moderate").otherwise("weak").alias("strength"), r6(F.avg(1 / (1 + F.col("gap")))).alias("consistency"))
+    names = [c for c in told.columns if c != "consistency"]
+    return told.join(quartiles, told[by].eqNullSafe(F.col("__by")), "left").select(*names, r6(F.col("q")[0]).alias("q1"), r6(F.col("q")[1]).alias("q3"), "consistency")
 
 
 class Moments:

@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, splice, tags, text, vectors
 from ..operators import attention, confidence, corpus, klue, mixing, representation, scoring
 from ..sources import readers, writers
+from ..storage import fresh as folder
 from . import inference, prompts
 from .queries import ANSWERS, ATT, CORPUS, DOCS, EMB, PROBS, SCORES, W, _att, _gold, _GOLD, answers, attention_rows, documents, embedded, query, scores, table, tagged_corpus, token_probs
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A fresh place in the folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        top = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("u"))
 
@@ -563,7 +549,7 @@ def _two_sides(spark, sf_dir, column: str = "v") -> tuple[DataFrame, DataFrame]:
     e = embedded(spark, sf_dir)
     side = lambda r: e.where(F.col("idx") % 2 == r).select(F.floor(F.col("idx") / 2).alias("idx"), F.col(column).alias("v"))
     en, ko = side(0), side(1)
-    return en.join(ko.select("idx"), "idx", "left_semi"), ko
+    return en.join(ko.select("idx"), "idx", "left_semi"), ko.join(en.select("idx"), "idx", "left_semi")
 
 
 _PARALLEL = """x{0} AS (SELECT a.idx // 2 AS i, b.idx // 2 AS j, list_cosine_similarity(a.{0}, b.{0}) AS s FROM e a JOIN e b ON a.idx % 2 = 0 AND b.idx % 2 = 1 AND a.idx + 1 IN (SELECT idx FROM e)),

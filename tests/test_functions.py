@@ -194,7 +194,7 @@ def test_long_vectors_in_linear_time(spark):
 
 def test_numbered_rows(spark):
     df = spark.createDataFrame([(i * 3 % 1000, f"r{i}") for i in range(1000)], "o int, t string").repartition(7)
-    assert [r["index"] for r in mixing.numbered(df, F.col("o"), parts=9).orderBy("o").collect()] == list(range(1000))
+    assert [r["index"] for r in mixing.numbered(df, F.col("o")).orderBy("o").collect()] == list(range(1000))
     same = spark.createDataFrame([(1.5,)] * 50, "o double")
     assert sorted(r["index"] for r in mixing.numbered(same, F.col("o")).collect()) == list(range(50)) and mixing.numbered(same.limit(0), F.col("o")).count() == 0
 
