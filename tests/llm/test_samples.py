@@ -132,14 +132,15 @@ def test_word_ids_as_the_library(text):
     with open(WORDS, "rb") as f:
         own = token_files.encoder(f.read())
     assert own.apart
-    assert np.frombuffer(own.encode([text])[0], own.kind).tolist() == library_ids(text)
+    assert np.frombuffer(own.encode(text), own.kind).tolist() == library_ids(text)
 
 
 def test_word_ids_of_every_blank_and_mark():
     with open(WORDS, "rb") as f:
         own = token_files.encoder(f.read())
-    texts = [f"a {chr(c)} b{chr(c)}\n{chr(c)}c" for c in [*range(0x3100), *range(0xFB00, 0xFFFE)]]
-    assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts)] == [library_ids(t) for t in texts]
+    for c in [*range(0x3100), *range(0xFB00, 0xFFFE)]:
+        text = f"a {chr(c)} b{chr(c)}\n{chr(c)}c it{chr(c)}'s 1{chr(c)}{chr(c)}2"
+        assert np.frombuffer(own.encode(text), own.kind).tolist() == library_ids(text), hex(c)
 
 
 def test_other_vocabularies_come_whole():
@@ -147,7 +148,7 @@ def test_other_vocabularies_come_whole():
         own = token_files.Encoder(f.read())
     text = "two  words and\n\n more "
     assert not own.apart
-    assert np.frombuffer(own.encode([text])[0], own.kind).tolist() == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode(text), own.kind).tolist() == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
 def test_token_files_query(spark, sf_dir):
@@ -162,11 +163,11 @@ def test_token_files_query(spark, sf_dir):
     assert len(got) == len(docs)
 
 
-@pytest.mark.parametrize(("sequence", "rows"), [(2048, 1024), (7, 3), (1, 1), (16, 600)])
-def test_token_files_odd_rows(spark, tmp_path, sequence, rows):
-    texts = [*ODD, "many words " * (60 if sequence == 1 else 30_000)]
+@pytest.mark.parametrize(("sequence", "rows", "batch"), [(2048, 1 << 16, 256), (7, 3, 2), (1, 1, 1), (16, 600, 256), (5, 40, 7)])
+def test_token_files_odd_rows(spark, tmp_path, sequence, rows, batch):
+    texts = [*ODD, "many words " * (60 if sequence == 1 else 3_000)]
     docs, folder = odd_documents(spark, texts), f"file://{tmp_path}/ids"
-    told = token_files.write(docs, WORDS, folder, sequence=sequence, rows=rows).orderBy("part").collect()
+    told = token_files.write(docs, WORDS, folder, sequence=sequence, rows=rows, batch=batch).collect()
     got = sorted(token_files.read(spark, folder).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [0, 0, 1, 2, 3, 3, *range(4, len(texts)), None, None]
     want = {i: [library_ids(t) + [1]] for i, t in enumerate(texts)}
@@ -177,17 +178,20 @@ def test_token_files_odd_rows(spark, tmp_path, sequence, rows):
         ids = np.frombuffer(r["ids"], "<u4").tolist()
         assert ids in want[r["doc_id"]] and (r["start"], r["n_tokens"]) == (at, len(ids))
         at += len(ids)
-    assert sum(r["n_tokens"] for r in told) == at and [r["part"] for r in told] == list(range(len(told)))
-    assert all(r["n_sequences"] == rows for r in told[:-1])
-    reader = token_files.Reader(folder)
-    n = sum(r["n_sequences"] for r in told)
-    stream = [x for r in got for x in np.frombuffer(r["ids"], "<u4").tolist()]
-    for i in {0, n // 2, n - 1}:
-        ids, mask = reader.ids(i), reader.mask(i)
-        want_ids = stream[i * sequence : (i + 1) * sequence]
-        assert len(ids) == len(mask) == sequence and ids[: len(want_ids)].tolist() == want_ids
-        assert mask.tolist() == [1] * len(want_ids) + [0] * (sequence - len(want_ids))
-        assert not ids.flags.owndata and ids.base is not None  # a view
+    assert sum(r["n_tokens"] for r in told) == at and sum(r["n_documents"] for r in told) == len(got)
+    last = {r["block"]: max(x["file"] for x in told if x["block"] == r["block"]) for r in told}
+    assert all(r["n_sequences"] == rows for r in told if r["file"] < last[r["block"]])
+    reader, stream = token_files.Reader(folder, told), [x for r in got for x in np.frombuffer(r["ids"], "<u4").tolist()]
+    assert reader.n_sequences == sum(r["n_sequences"] for r in told)
+    seen = []
+    for i in range(reader.n_sequences):
+        ids, mask = reader.ids(i), np.array(reader.mask(i))
+        assert len(ids) == len(mask) == sequence and not ids.flags.owndata and not ids[~mask].any()  # a view
+        assert (np.diff(mask.astype(int)) <= 0).all()
+        seen += ids[mask].tolist()
+    assert seen == stream
+    with pytest.raises(IndexError):
+        reader.ids(reader.n_sequences)
     sums = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in token_files.checksums(spark, folder).collect()}
     assert sums == {(r["doc_id"], r["start"]): zlib.crc32(r["ids"]) for r in got}
 
