@@ -262,10 +262,10 @@ class Reader:
 
 def _per_document(spark: SparkSession, folder: str, schema: str, of, kinds: list) -> DataFrame:
     """doc_id, start (in the stream of all blocks), n_tokens and what `of` makes of a document's views, for every document of the files."""
-    before, n = [], 0
-    for r in manifest(spark, folder).groupBy("block").agg(F.sum("n_tokens").alias("n")).orderBy("block").collect():  # a row a block
+    before, n, number = [], 0, 0
+    for r in manifest(spark, folder).groupBy("block").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("files")).orderBy("block").collect():  # a row a block
         before.append((r["block"], n))
-        n += r["n"]
+        n, number = n + r["n"], number + r["files"]
     starts = spark.createDataFrame(before, "block int, before long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +286,7 @@ def _per_document(spark: SparkSession, folder: str, schema: str, of, kinds: list
     def made(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), [pa.int64(), pa.int64(), pa.int64(), *kinds])], names=["doc_id", "start", "n_tokens", "told"])
 
-    files = manifest(spark, folder).select("block", "file").repartition("block", "file").join(F.broadcast(starts), "block")
+    files = manifest(spark, folder).select("block", "file").repartition(max(1, number), "block", "file").join(F.broadcast(starts), "block")
     return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, told {schema}")
 
 
