@@ -6,50 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from .confidence import r6
+from .neighbours import BLOCK, nearest
 from .quantiles import quantiles
 
-BLOCK = 4096
-
-
-def neighbours(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK, skip_self: bool = True) -> DataFrame:
-    """queries, items (idx, v) -> idx, other, sim, rank: the k most similar by cosine, ties to the smaller index.
-
-    Blocks of queries meet blocks of items; each pair of blocks keeps k rows a query, which are then ranked.
-    """
-    count = lambda d: max(1, -(-d.count() // block))
-    nq, ni = count(queries), count(items)
-    side = lambda d, own, n, other, m, kind: d.select(F.lit(kind).alias("kind"), "idx", v.doubles(F.col("v")).alias("v"), F.pmod(F.xxhash64("idx"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
-    both = side(queries, "q", nq, "i", ni, 0).unionByName(side(items, "i", ni, "q", nq, 1))
-
-    def tile(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        kind, idx = t["kind"].to_numpy(), t["idx"].to_numpy()
-        x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(idx), -1)
-        n = np.linalg.norm(x, axis=1)
-        u = x / np.where(n == 0, 1, n)[:, None]
-        a, b = np.nonzero(kind == 0)[0], np.nonzero(kind == 1)[0]
-        out: list[np.ndarray] = [np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)]
-        for s in range(0, len(a), 512):
-            rows = a[s : s + 512]
-            sim = u[rows] @ u[b].T
-            if skip_self:
-                sim[idx[rows][:, None] == idx[b][None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(idx[b], sim.shape), -sim), axis=1)[:, :k]
-            got = np.take_along_axis(sim, order, 1)
-            ok = np.isfinite(got)
-            out = [np.concatenate(z) for z in zip(out, (np.repeat(idx[rows], order.shape[1]).reshape(order.shape)[ok], idx[b][order][ok], got[ok]))]
-        return pa.table({"idx": out[0], "other": out[1], "sim": out[2]})
-
-    best = both.groupBy("q", "i").applyInArrow(tile, "idx long, other long, sim double")
-    rank = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc(F.round("sim", 9)), "other"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Interleaved rows (even EN, next odd KO) as pair_id with en_ and ko_ columns; a last odd row is left out."""
     p = df.withColumn("pair_id", F.floor(F.col("idx") / 2))
@@ -59,7 +23,7 @@ def pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def retrieval(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """Share of rows whose nearest other row is their translation (all rows are candidates)."""
-    best = neighbours(df, df, 1, block)
+    best = nearest(df, df, 1, block)
     hit = F.col("other") == F.when(F.col("idx") % 2 == 0, F.col("idx") + 1).otherwise(F.col("idx") - 1)
     return best.agg(F.count("*").alias("n"), r6(F.avg(hit.cast("double"))).alias("accuracy"))
 
@@ -69,7 +33,7 @@ def parallel_retrieval(en: DataFrame, ko: DataFrame, block: int = BLOCK) -> Data
     n = en.agg(F.count("*").alias("n")).union(ko.agg(F.count("*"))).collect()
     if n[0]["n"] != n[1]["n"]:
         raise ValueError(f"sides of {n[0]['n']} and {n[1]['n']} rows")
-    best = neighbours(en, ko, 1, block, skip_self=False).agg(r6(F.avg((F.col("idx") == F.col("other")).cast("double"))).alias("accuracy"))
+    best = nearest(en, ko, 1, block, skip_self=False).agg(r6(F.avg((F.col("idx") == F.col("other")).cast("double"))).alias("accuracy"))
     own = en.select("idx", F.col("v").alias("a")).join(ko.select("idx", F.col("v").alias("b")), "idx").agg(r6(F.avg(v.cosine(F.col("a"), F.col("b")))).alias("mean_similarity"), r6(F.stddev_pop(v.cosine(F.col("a"), F.col("b")))).alias("std_similarity"))
     return own.crossJoin(F.broadcast(best))
 
@@ -81,33 +45,9 @@ def retrieval_improvement(base: DataFrame, tuned: DataFrame) -> DataFrame:
     return j.select(r6(d).alias("accuracy_delta"), r6(F.col("t") - F.col("s")).alias("similarity_delta"), F.when(F.col("a") == 0, F.lit(float("inf"))).otherwise(F.col("b") / F.nullif("a", F.lit(0.0))).alias("ratio"), F.when(d > 0.1, "use").when(d < -0.05, "reject").otherwise("neutral").alias("advice"))
 
 
-def similar_pairs(df: DataFrame, threshold: float = 0.8, block: int = 1024) -> DataFrame:
-    """Pairs i < j of at least the similarity, which are all pairs by nature where the threshold is low: each tile is one product of two blocks."""
-    n = max(1, -(-df.count() // block))
-    t = df.select("idx", v.doubles(F.col("v")).alias("v"), F.pmod(F.xxhash64("idx"), F.lit(n)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("o"))
-    t = t.withColumns({"lo": F.least("b", "o"), "hi": F.greatest("b", "o")})
-
-    def tile(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        idx, b = t["idx"].to_numpy(), t["b"].to_numpy()
-        x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(idx), -1)
-        n = np.linalg.norm(x, axis=1)
-        u = x / np.where(n == 0, 1, n)[:, None]
-        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        left, right = np.nonzero(b == lo)[0], np.nonzero(b == hi)[0]
-        i, j = np.nonzero(u[left] @ u[right].T >= threshold)
-        i, j = left[i], right[j]
-        if lo == hi:
-            i, j = i[idx[i] < idx[j]], j[idx[i] < idx[j]]
-        i, j = np.where(idx[i] < idx[j], i, j), np.where(idx[i] < idx[j], j, i)
-        return pa.table({"i": idx[i], "j": idx[j], "sim": np.einsum("ij,ij->i", u[i], u[j])})
-
-    return t.select("idx", "v", "b", "lo", "hi").groupBy("lo", "hi").applyInArrow(tile, "i long, j long, sim double")
-
-
 def csls(df_a: DataFrame, df_b: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """Per pair of equal index 2 cos - r(x) - r(y), r the mean similarity to the k nearest of the other side."""
-    mean = lambda q, i, n: neighbours(q, i, k, block, skip_self=False).groupBy("idx").agg(F.avg("sim").alias(n))
+    mean = lambda q, i, n: nearest(q, i, k, block, skip_self=False).groupBy("idx").agg(F.avg("sim").alias(n))
     own = df_a.select("idx", F.col("v").alias("a")).join(df_b.select("idx", F.col("v").alias("b")), "idx")
     j = own.join(mean(df_a, df_b, "rx"), "idx").join(mean(df_b, df_a, "ry"), "idx")
     return j.select("idx", r6(2 * v.cosine(F.col("a"), F.col("b")) - F.col("rx") - F.col("ry")).alias("csls"))
@@ -115,7 +55,7 @@ def csls(df_a: DataFrame, df_b: DataFrame, k: int = 10, block: int = BLOCK) -> D
 
 def neighbour_consistency(a: DataFrame, b: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """Mean share of the k neighbours that two models have in common (divided by k even if there are fewer)."""
-    one = neighbours(a, a, k, block).select("idx", "other").join(neighbours(b, b, k, block).select("idx", "other"), ["idx", "other"])
+    one = nearest(a, a, k, block).select("idx", "other").join(nearest(b, b, k, block).select("idx", "other"), ["idx", "other"])
     n = a.agg(F.count("*").alias("n"))
     return one.agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).select(r6(F.col("c") / (F.col("n") * k)).alias("consistency"))
 
@@ -341,31 +281,6 @@ def kmeans(df: DataFrame, k: int, column: str = "v", seed: int = 42) -> DataFram
     return KMeans(k=k, seed=seed, featuresCol="__f", predictionCol="cluster").fit(ready).transform(ready).drop("__f")
 
 
-def dbscan(df: DataFrame, eps: float = 0.5, least: int = 5, block: int = 1024) -> DataFrame:
-    """idx, cluster by cosine distance (noise: -1); clusters are named by their smallest core index. Links come from tiles.
-
-    Each round a core row takes the smallest name among its neighbours and then the name which that one's row has, so that
-    the rounds grow with the logarithm of a chain's length.
-    """
-    links = similar_pairs(df, 1 - eps, block).select("i", "j").checkpoint()
-    both = links.union(links.select("j", "i")).toDF("i", "j")
-    core = both.groupBy("i").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select(F.col("i").alias("c"))
-    label = core.select(F.col("c").alias("idx"), F.col("c").alias("cluster"))
-    edges = both.join(core, F.col("i") == F.col("c")).drop("c").join(core, F.col("j") == F.col("c")).drop("c")
-    while True:  # written between rounds
-        low = edges.join(label, F.col("j") == F.col("idx")).groupBy("i").agg(F.min("cluster").alias("m"))
-        met = label.join(low, F.col("idx") == F.col("i"), "left").select("idx", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
-        jump = met.select(F.col("idx").alias("at"), F.col("cluster").alias("further"))
-        new = met.join(jump, F.col("cluster") == F.col("at")).select("idx", F.least("cluster", "further").alias("cluster")).checkpoint()
-        moved = new.join(label.withColumnRenamed("cluster", "old"), "idx").where("cluster != old").limit(1).count()
-        label = new
-        if not moved:
-            break
-    border = both.join(label, F.col("j") == F.col("idx")).groupBy("i").agg(F.min("cluster").alias("near"))
-    out = df.select("idx").join(label, "idx", "left").join(border, F.col("idx") == F.col("i"), "left")
-    return out.select("idx", F.coalesce("cluster", "near", F.lit(-1)).alias("cluster"))
-
-
 def language_similarity(df: DataFrame, lang: str = "lang") -> DataFrame:
     """a, b, mean and population deviation of the cosines within and between languages, over all pairs of different rows.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, splice, tags, text, vectors
-from ..operators import attention, confidence, corpus, klue, mixing, representation, scoring
+from ..operators import attention, confidence, corpus, klue, mixing, neighbours, representation, scoring
 from ..sources import readers, writers
 from ..storage import fresh as folder
 from . import inference, prompts
@@ -635,9 +635,7 @@ def principal_directions(spark, sf_dir):
 t AS (SELECT l.i, l.j FROM l JOIN core c ON l.i = c.i JOIN core d ON l.j = d.i), r AS (SELECT i, i AS j FROM core UNION SELECT r.i, t.j FROM r JOIN t ON r.j = t.i), n AS (SELECT i, min(j) AS c FROM r GROUP BY i),
 b AS (SELECT l.i, min(n.c) AS c FROM l JOIN n ON l.j = n.i GROUP BY l.i) SELECT idx, coalesce(n.c, b.c, -1) AS cluster FROM e LEFT JOIN n ON n.i = idx LEFT JOIN b ON b.i = idx""")
 def density_clusters(spark, sf_dir):
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder(spark, "clusters"))
-    return representation.dbscan(embedded(spark, sf_dir), 0.35, 2)
+    return neighbours.dbscan(embedded(spark, sf_dir), 0.35, 2)
 
 
 # ---- confidence and attention

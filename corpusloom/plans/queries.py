@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, splice, tags, text, vectors
-from ..operators import attention, confidence, corpus, klue, mixing, panels, representation, scoring
+from ..operators import attention, confidence, corpus, klue, mixing, neighbours, panels, representation, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -654,7 +654,7 @@ _SIM = EMB + """, n AS (SELECT a.idx, b.idx AS other, list_cosine_similarity(a.v
 @query(f"WITH {_SIM}, r AS (SELECT idx, other, row_number() OVER (PARTITION BY idx ORDER BY round(sim, 9) DESC, other) AS rank, round(sim, 6) AS sim FROM n) SELECT idx, other, CAST(rank AS INTEGER) AS rank, sim FROM r WHERE rank <= 3")
 def cosine_knn(spark, sf_dir):
     e = embedded(spark, sf_dir)
-    return representation.neighbours(e, e, 3).select("idx", "other", "rank", F.round("sim", 6).alias("sim"))
+    return neighbours.nearest(e, e, 3).select("idx", "other", "rank", F.round("sim", 6).alias("sim"))
 
 
 @query(f"WITH {_SIM}, r AS (SELECT idx, arg_max(other, {{'s': round(sim, 9), 'o': -other}}) AS o FROM n GROUP BY idx) SELECT count(*) AS n, round(avg((o = CASE WHEN idx % 2 = 0 THEN idx + 1 ELSE idx - 1 END)::INT), 6) AS accuracy FROM r")
@@ -664,7 +664,7 @@ def retrieval_accuracy(spark, sf_dir):
 
 @query(f"WITH {_SIM} SELECT idx AS i, other AS j, round(sim, 6) AS sim FROM n WHERE idx < other AND sim >= 0.4")
 def similar_pairs(spark, sf_dir):
-    return representation.similar_pairs(embedded(spark, sf_dir), 0.4).select("i", "j", F.round("sim", 6).alias("sim"))
+    return neighbours.similar(embedded(spark, sf_dir), 0.4).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
 @query(f"""WITH {EMB}, n AS (SELECT a.idx, b.idx AS other, list_cosine_similarity(a.v, b.v) AS s, list_cosine_similarity(a.train, b.train) AS t FROM e a JOIN e b ON a.idx <> b.idx),

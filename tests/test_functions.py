@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import extract, splice, tags, text, vectors
-from corpusloom.operators import attention, confidence, corpus, klue, mixing, panels, representation, scoring
+from corpusloom.operators import attention, confidence, corpus, klue, mixing, neighbours, panels, representation, scoring
 from corpusloom.plans import inference, prompts, tokenizers
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import corpus as streaming
@@ -130,9 +130,9 @@ def test_representation(spark, tmp_path_factory):
     assert representation.neighbour_consistency(df, df, 5, block=30).first()[0] == 1.0
     u = x / np.linalg.norm(x, axis=1)[:, None]
     s = u @ u.T - 2 * np.eye(80)
-    got = {r["idx"]: r["other"] for r in representation.neighbours(df, df, 1, block=30).collect()}
+    got = {r["idx"]: r["other"] for r in neighbours.nearest(df, df, 1, block=30).collect()}
     assert got == {i: int(s[i].argmax()) for i in range(80)}
-    assert {(r["i"], r["j"]) for r in representation.similar_pairs(df, 0.7, block=30).collect()} == {(i, j) for i, j in np.argwhere(s >= 0.7) if i < j}
+    assert {(r["i"], r["j"]) for r in neighbours.similar(df, 0.7, block=30).collect()} == {(i, j) for i, j in np.argwhere(s >= 0.7) if i < j}
     same = df.select("idx", F.col("v"))
     assert representation.parallel_retrieval(same, same).first()["accuracy"] == 1.0
     assert representation.clustering_agreement(df, "lang", "lang") == pytest.approx({"ari": 1.0, "nmi": 1.0})
@@ -143,7 +143,7 @@ def test_representation(spark, tmp_path_factory):
     for _ in range(80):
         name = {i: min(name[j] for j in core if near[i, j]) for i in core}
     want = {i: name[i] if i in name else min((name[j] for j in core if near[i, j]), default=-1) for i in range(80)}
-    assert {r["idx"]: r["cluster"] for r in representation.dbscan(df, 0.15, 3, block=30).collect()} == want and -1 in want.values() and len(set(want.values())) > 1
+    assert {r["idx"]: r["cluster"] for r in neighbours.dbscan(df, 0.15, 3, block=30).collect()} == want and -1 in want.values() and len(set(want.values())) > 1
     c, n = x - x.mean(axis=0), (x @ q * 2) - (x @ q * 2).mean(axis=0)
     u1, s1, _ = np.linalg.svd(c, full_matrices=False)
     u2, s2, _ = np.linalg.svd(n, full_matrices=False)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
-from corpusloom.operators import confidence, corpus, mixing, panels, quantiles, representation
+from corpusloom.operators import confidence, corpus, mixing, neighbours, panels, quantiles, representation
 
 POINTS = [0, 0.05, 0.25, 0.5, 0.9, 0.999, 1]
 
@@ -99,3 +99,101 @@ def test_parallel_sides_of_unequal_length(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "idx long, v array<double>")
     with pytest.raises(ValueError):
         representation.parallel_retrieval(df, df.limit(3))
+
+
+def clustered(rng, n, centres=40, dim=12, spread=0.05):
+    c = rng.normal(size=(centres, dim)) * 5
+    x = c[rng.integers(centres, size=n)] + rng.normal(size=(n, dim)) * spread
+    x[rng.integers(n, size=max(1, n // 200))] = 0
+    return x
+
+
+def vectors_frame(spark, x, shift=0):
+    return spark.createDataFrame([(i + shift, r) for i, r in enumerate(x.tolist())], "idx long, v array<double>")
+
+
+def similarities(a, b):
+    unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1)) > 0, n, 1)[:, None]
+    return unit(a) @ unit(b).T
+
+
+@pytest.mark.parametrize(("k", "block", "own"), [(1, 40, True), (5, 16, True), (7, 64, False), (900, 128, True)])
+def test_nearest_by_cells(spark, k, block, own):
+    rng = np.random.default_rng(k)
+    x = clustered(rng, 600)
+    x[5:25] = x[4]  # ties go to the smaller idx
+    y = x if own else clustered(rng, 300)
+    items, queries = vectors_frame(spark, x), vectors_frame(spark, y)
+    got = {}
+    for r in neighbours.nearest(queries, items, k, block, skip_self=own).collect():
+        got.setdefault(r["idx"], {})[r["rank"]] = (r["other"], round(r["sim"], 9))
+    sim = similarities(y, x)
+    for q in range(len(y)):
+        order = [j for j in np.lexsort((np.arange(len(x)), -np.round(sim[q], 9))) if not (own and j == q)][:k]
+        assert [got[q][i + 1][0] for i in range(len(order))] == order
+        assert np.allclose([got[q][i + 1][1] for i in range(len(order))], sim[q][order], atol=1e-8)
+
+
+def test_nearest_leaves_tiles_out(spark, monkeypatch):
+    met = []
+    original = neighbours.pairs_of_tiles
+    monkeypatch.setattr(neighbours, "pairs_of_tiles", lambda d: met.append(original(d).count()) or original(d))
+    x = clustered(np.random.default_rng(1), 4000)
+    df = vectors_frame(spark, x)
+    neighbours.nearest(df, df, 3, 100).count()
+    tiles = 4000 // 100
+    assert sum(met) < tiles * tiles / 3
+
+
+def test_nearest_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0, 0.0]), (5, [-1.0, 0.0]), (6, [2.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "idx long, v array<double>, tile string")
+    got = {(r["idx"], r["rank"]): (r["other"], r["sim"]) for r in neighbours.nearest(df, df, 2).collect()}
+    assert got == {(1, 1): (6, 1.0), (1, 2): (2, 0.0), (2, 1): (1, 0.0), (2, 2): (5, 0.0), (5, 1): (2, 0.0), (5, 2): (1, -1.0), (6, 1): (1, 1.0), (6, 2): (2, 0.0)}
+    assert neighbours.nearest(df.limit(0), df, 2).count() == 0 and neighbours.nearest(df, df.limit(0), 2).count() == 0
+    assert neighbours.similar(df.limit(0), 0.5).count() == 0
+    assert {(r["i"], r["j"]) for r in neighbours.similar(df, 0.0).collect()} == {(1, 2), (1, 6), (2, 5), (2, 6)}
+
+
+def clusters_by_hand(x, eps, least):
+    linked = similarities(x, x) >= 1 - eps
+    np.fill_diagonal(linked, True)
+    core = linked.sum(axis=1) >= least
+    name = np.full(len(x), -1)
+    for i in np.flatnonzero(core):
+        if name[i] < 0:
+            todo = [i]
+            name[i] = i
+            while todo:
+                for j in np.flatnonzero(linked[todo.pop()] & core & (name < 0)):
+                    name[j] = i
+                    todo.append(j)
+    return [int(name[i]) if core[i] else min((int(name[j]) for j in np.flatnonzero(linked[i] & core)), default=-1) for i in range(len(x))]
+
+
+@pytest.mark.parametrize(("eps", "least", "block", "spread"), [(0.002, 4, 30, 0.3), (0.01, 6, 64, 0.5), (0.3, 3, 50, 2.0), (0.05, 12, 25, 1.0)])
+def test_density_clusters_by_cells(spark, eps, least, block, spread):
+    x = clustered(np.random.default_rng(least), 700, spread=spread)
+    want = clusters_by_hand(x, eps, least)
+    got = {r["idx"]: r["cluster"] for r in neighbours.dbscan(vectors_frame(spark, x), eps, least, block).collect()}
+    assert [got[i] for i in range(len(x))] == want and len(set(want)) > 2 and -1 in want
+
+
+def test_density_clusters_of_a_dense_ball(spark, monkeypatch):
+    """20,000 rows that are all linked: 200 million links, of which none is written."""
+    written = []
+    original = neighbours.Scratch.written
+    monkeypatch.setattr(neighbours.Scratch, "written", lambda self, d, name: (out := original(self, d, name), written.append((name, out.count())))[0])
+    rng = np.random.default_rng(0)
+    x = np.vstack((np.ones((20_000, 8)) + rng.normal(size=(20_000, 8)) * 0.01, -np.ones((1, 8))))
+    got = neighbours.dbscan(vectors_frame(spark, x), 0.05, 5).groupBy("cluster").count().collect()
+    assert sorted((r["cluster"], r["count"]) for r in got) == [(-1, 1), (0, 20_000)]
+    assert max(n for _, n in written) < 20 * len(x)
+
+
+def test_density_clusters_of_nothing(spark):
+    df = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, 0.0])], "idx long, v array<double>")
+    assert {r["idx"]: r["cluster"] for r in neighbours.dbscan(df, 0.1, 2).collect()} == {1: -1, 2: -1, 3: -1}
+    assert neighbours.dbscan(df.limit(0), 0.1, 2).count() == 0
+    with pytest.raises(ValueError):
+        neighbours.dbscan(df, 1.5, 2)
