@@ -18,12 +18,26 @@ from .cells import Cells, angles, deal, directions, matrix
 from .components import components
 
 BLOCK = 2048
+#: Vectors are shorter than this where they are told apart by kind.
+WIDEST = 1 << 16
 #: Decimals to which similarities are compared where rows are ranked.
 DIGITS = 9
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.where(F.col("v").isNotNull()).select(F.col("idx").cast("long").alias("key"), F.size("v").alias("dim"), v.doubles(F.col("v")).alias("v"))
+def _keyed(df: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """key, dim, v; with kinds (by, kind) dim tells the kind too, so that only vectors of one kind and length meet."""
+    if kinds is None:
+        return df.where(F.col("v").isNotNull()).select(F.col("idx").cast("long").alias("key"), F.size("v").alias("dim"), v.doubles(F.col("v")).alias("v"))
+    named = df.where(F.col("v").isNotNull()).join(F.broadcast(kinds), F.col("by").eqNullSafe(F.col("by2")))
+    return named.select(F.col("idx").cast("long").alias("key"), (F.col("kind") * WIDEST + F.size("v")).alias("dim"), v.doubles(F.col("v")).alias("v"))
+
+
+def _kinds(df: DataFrame, by: str) -> DataFrame:
+    """A number for each value of `by`, which must be few."""
+    rows = [(r["by"], i) for i, r in enumerate(df.select(F.col(by).cast("string").alias("by")).distinct().orderBy("by").limit(1 << 15).collect())]
+    if len(rows) == 1 << 15:
+        raise ValueError(f"too many values of {by}")
+    return df.sparkSession.createDataFrame(rows, "by2 string, kind int")
 
 
 def _angle(similarity) -> np.ndarray:
@@ -85,15 +99,17 @@ def pairs_of_tiles(met: DataFrame) -> DataFrame:
     return met.select("tile", "o").distinct()
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK, skip_self: bool = True) -> DataFrame:
-    """queries, items (idx, v) -> idx, other, sim, rank: the k most similar items by cosine, ties (at 9 decimals) to the smaller idx.
+def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK, skip_self: bool = True, by: str | None = None) -> DataFrame:
+    """queries, items (idx, v) -> idx, other, sim, rank: the k most similar items by cosine, ties (at 9 decimals) to the smaller idx; with `by` of those alike in that column.
 
     Items are dealt to the nearest of a bounded number of pivots, queries to bundles of near ones. A query first meets its nearest cells,
     until they hold k items; then, with the k-th similarity that it has, the cells that may hold a better one. What meets is a tile of items and a bundle
     of queries, of about `block` each; each pair gives k rows a query at most. Without structure in the vectors nothing is left out."""
     with Scratch(queries.sparkSession) as scratch:
-        dealt, cells = deal(_keyed(items), block, directions, angles, lambda d: scratch.written(d, "items"))
-        bundles, _ = deal(_keyed(queries), block, directions, angles, lambda d: scratch.written(d, "queries"), pivots=cells.pivots)
+        kinds = _kinds(items, by) if by else None
+        own = lambda d: _keyed(d.withColumn("by", F.col(by).cast("string")) if by else d, kinds)
+        dealt, cells = deal(own(items), block, directions, angles, lambda d: scratch.written(d, "items"))
+        bundles, _ = deal(own(queries), block, directions, angles, lambda d: scratch.written(d, "queries"), pivots=cells.pivots)
         best = lambda met: _meeting(met, dealt).groupBy("tile", "o").applyInArrow(_best(k, skip_self), "idx long, other long, sim double")
         met = scratch.written(_met(bundles.select("key", "dim", "v", "tile"), cells, None, k + int(skip_self), True), "first")
         first = scratch.written(best(met), "best")

@@ -1,4 +1,4 @@
-"""Comparison of embeddings: neighbours by blocks, and matrix statistics from moments of bounded size."""
+"""Comparison of embeddings: retrieval, gaps, clusters and languages."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from .confidence import r6
+from .factors import factors, factors_by
 from .neighbours import BLOCK, nearest
 from .quantiles import quantiles
 
@@ -102,74 +103,6 @@ def gap_panels(df: DataFrame, by: str) -> DataFrame:
     return told.join(quartiles, told[by].eqNullSafe(F.col("__by")), "left").select(*names, r6(F.col("q")[0]).alias("q1"), r6(F.col("q")[1]).alias("q3"), "consistency")
 
 
-class Moments:
-    """n, sums and products of two aligned sets of vectors: all that the matrix statistics need, of a size that only follows the dimensions."""
-
-    def __init__(self, df: DataFrame, a: str, b: str):
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                if batch.num_rows:
-                    x, y = (np.array(batch.column(c).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                    z = np.hstack((np.ones((len(x), 1)), x, y))
-                    got = z.T @ z
-                    total = got if total is None else total + got
-                    dims = x.shape[1]
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([total.astype("f8").tobytes()], pa.binary())], names=["dims", "m"])
-
-        def add(t: pa.Table) -> pa.Table:
-            m = sum(np.frombuffer(x, "f8") for x in t["m"].to_pylist())
-            return pa.table({"dims": pa.array([t["dims"][0].as_py()], pa.int32()), "m": pa.array([m.tobytes()], pa.binary())})
-
-        parts = df.select(v.doubles(F.col(a)).alias("x"), v.doubles(F.col(b)).alias("y")).mapInArrow(part, "dims int, m binary").withColumn("k", F.spark_partition_id() % 16)
-        rows = parts.groupBy("k").applyInArrow(lambda t: add(t.drop_columns(["k"])), "dims int, m binary").collect()
-        if not rows:
-            raise ValueError("no rows")
-        d = rows[0]["dims"]
-        m = sum(np.frombuffer(bytes(r["m"]), "f8") for r in rows)
-        m = m.reshape(int(np.sqrt(len(m))), -1)
-        self.n, self.mx, self.my = m[0, 0], m[0, 1 : d + 1] / m[0, 0], m[0, d + 1 :] / m[0, 0]
-        mean = np.outer(m[0, 1:], m[0, 1:]) / self.n
-        c = m[1:, 1:] - mean  # products of centred columns
-        self.xx, self.xy, self.yy = c[:d, :d], c[:d, d:], c[d:, d:]
-
-    def cka(self) -> float:
-        low = np.linalg.norm(self.xx) * np.linalg.norm(self.yy)
-        return float(np.linalg.norm(self.xy) ** 2 / low) if low else 0.0
-
-    def svcca(self, keep: float = 0.99, ridge: float = 1e-6) -> float:
-        """Mean canonical correlation of the principal directions that hold `keep` of the variance.
-
-        Variances are whitened symmetrically, with `ridge` added; directions without any variance count by their pseudo-inverse (as 0)."""
-        def directions(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            w, u = np.linalg.eigh(c)
-            w, u = np.maximum(w[::-1], 0), u[:, ::-1]
-            k = int(np.searchsorted(np.cumsum(w) / max(w.sum(), 1e-300), keep) + 1)
-            return u[:, :k], w[:k] / self.n
-
-        (ux, wx), (uy, wy) = directions(self.xx), directions(self.yy)
-        white = lambda w: np.where(w + ridge > 0, 1 / np.sqrt(np.maximum(w + ridge, 1e-300)), 0.0)
-        cross = ux.T @ self.xy @ uy / self.n * white(wx)[:, None] * white(wy)[None, :]
-        return float(np.clip(np.linalg.svd(cross, compute_uv=False), 0, 1).mean())
-
-    def procrustes(self) -> dict[str, float]:
-        """Scale and normalised error of the best rotation of x onto y."""
-        s = np.linalg.svd(self.xy, compute_uv=False).sum()
-        x, y = np.trace(self.xx), np.trace(self.yy)
-        return {"scale": float(s / x) if x else 0.0, "error": float(1 - s * s / (x * y)) if x * y else 0.0}
-
-    def pca(self, k: int = 2) -> dict[str, np.ndarray]:
-        """Of both sets together: explained shares, loadings, and the shift between the sets' means along them."""
-        c = self.xx + self.yy + self.n / 2 * np.outer(self.mx - self.my, self.mx - self.my)
-        w, u = np.linalg.eigh(c)
-        w, u = w[::-1], u[:, ::-1]
-        u = u * np.where(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])] < 0, -1, 1)  # the largest loading of each is positive
-        top = [np.argsort(-np.abs(u[:, i]), kind="stable")[:10] for i in range(min(k, u.shape[1]))]
-        shared = sorted(set(top[0][:5].tolist()) & set(top[1][:5].tolist())) if len(top) > 1 else []
-        return {"explained": w[:k] / max(w.sum(), 1e-300), "loadings": u[:, :k], "mean": (self.mx + self.my) / 2, "shift": (self.my - self.mx) @ u[:, :k], "top_dims": top[0], "top_dims_each": top, "shared_top": shared}
-
-
 def projected(df: DataFrame, pca: dict[str, np.ndarray], columns: list[str]) -> DataFrame:
     """df with each column's coordinates (array) on the principal directions; the directions, of the vectors' size, are literals of the plan."""
     dims = [F.array(*map(F.lit, pca["loadings"][:, i].tolist())) for i in range(pca["loadings"].shape[1])]
@@ -261,15 +194,29 @@ def purity_change(base: DataFrame, tuned: DataFrame, lang: str) -> DataFrame:
 
 
 def by_language(df: DataFrame, a: str = "base", b: str = "train", lang: str = "lang", k: int = 5) -> dict[str, dict[str, float | None]]:
-    """CKA (from two rows on), SVCCA (from three) and neighbour consistency (of at most k and one less than the rows) of each language; None under that."""
+    """CKA (from two rows on), SVCCA (from three) and neighbour consistency (of at most k and one less than the rows) of each language; None under that.
+
+    One pass of factors and one search a model for all languages: vectors only meet those of their own."""
+    told, rows = factors_by(df, a, b, lang), df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    side = lambda c: nearest(*[rows.select("idx", F.col(lang).cast("string").alias("by"), F.col(c).alias("v"))] * 2, k, by="by").select("idx", "other")
+    shared = side(a).join(side(b), ["idx", "other"]).join(rows.select("idx", F.col(lang).cast("string").alias("by")), "idx").groupBy("by").agg(F.count("*").alias("n")).collect()  # a row a language
+    common = {r["by"]: r["n"] for r in shared}
+    out = {}
+    for name, m in sorted(told.items(), key=lambda x: (x[0] is not None, x[0])):
+        near = min(k, m.n - 1)
+        out[name] = {"cka": m.cka() if m.n > 1 else None, "svcca": m.svcca() if m.n > 2 else None, "consistency": round(common.get(name, 0) / (m.n * near), 6) if near > 0 else None}
+    return out
+
+
+def cross_language(df: DataFrame, columns: tuple[str, ...] = ("base", "train"), k: int = 5) -> dict[str, dict[str, float]]:
+    """For each model CKA, SVCCA and neighbour consistency between the languages: of a pair's EN rows against its KO rows."""
+    both = pairs(df, list(columns))
     out = {}
-    for r in df.groupBy(lang).agg(F.count("*").alias("n")).orderBy(lang).collect():  # a row a language
-        own, n, near = df.where(F.col(lang).eqNullSafe(F.lit(r[lang]))), r["n"], min(k, r["n"] - 1)
-        m = Moments(own, a, b) if n > 1 else None
-        told = {"cka": m.cka() if n > 1 else None, "svcca": m.svcca() if n > 2 else None, "consistency": None}
-        if n > near > 0:
-            told["consistency"] = neighbour_consistency(own.select("idx", F.col(a).alias("v")), own.select("idx", F.col(b).alias("v")), near).first()[0]
-        out[r[lang]] = told
+    for c in columns:
+        m = factors(both, f"en_{c}", f"ko_{c}")
+        side = lambda lang, c=c: both.select(F.col("pair_id").alias("idx"), F.col(f"{lang}_{c}").alias("v"))
+        near = min(k, m.n - 1)
+        out[c] = {"cka": m.cka(), "svcca": m.svcca(), "consistency": neighbour_consistency(side("en"), side("ko"), near).first()[0] if near > 0 else None}
     return out
 
 

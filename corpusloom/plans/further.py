@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, splice, tags, text, vectors
-from ..operators import attention, confidence, corpus, klue, mixing, neighbours, representation, scoring
+from ..operators import attention, confidence, corpus, factors, klue, mixing, neighbours, representation, scoring
 from ..sources import readers, writers
 from ..storage import fresh as folder
 from . import inference, prompts
@@ -613,7 +613,7 @@ c AS (SELECT {by}, idx, d, x - mx AS x, y - my AS y FROM u JOIN m USING ({by}, d
 
 @query(f"WITH {EMB.replace('FROM embeddings', ', 1 AS one FROM embeddings')}, {_MOMENTS.format(by='one')} SELECT round(sum(xy * xy) / (sqrt(sum(xx * xx)) * sqrt(sum(yy * yy))), 6) AS cka FROM k")
 def linear_cka(spark, sf_dir):
-    m = representation.Moments(embedded(spark, sf_dir), "base", "train")
+    m = factors.factors(embedded(spark, sf_dir), "base", "train")
     return spark.createDataFrame([(round(m.cka(), 6),)], "cka double")
 
 
@@ -623,11 +623,36 @@ def language_cka(spark, sf_dir):
     return spark.createDataFrame([(lang, round(r["cka"], 6)) for lang, r in told.items() if r["cka"] is not None], "lang string, cka double")
 
 
-@query()
+@query(f"""WITH {EMB}, pairs_ AS (SELECT a.idx // 2 AS i, a.v AS p, b.v AS q, a.train AS s, b.train AS t FROM e a JOIN e b ON a.idx % 2 = 0 AND b.idx = a.idx + 1),
+u AS (SELECT 'base' AS model, i, unnest(range(len(p))) AS d, unnest(p) AS x, unnest(q) AS y FROM pairs_ UNION ALL SELECT 'train', i, unnest(range(len(s))), unnest(s), unnest(t) FROM pairs_), m AS (SELECT model, d, avg(x) AS mx, avg(y) AS my FROM u GROUP BY ALL),
+c AS (SELECT model, i, d, x - mx AS x, y - my AS y FROM u JOIN m USING (model, d)), k AS (SELECT model, a.d AS p, b.d AS q, sum(a.x * b.x) AS xx, sum(a.x * b.y) AS xy, sum(a.y * b.y) AS yy FROM c a JOIN c b USING (model, i) GROUP BY ALL)
+SELECT model, round(sum(xy * xy) / (sqrt(sum(xx * xx)) * sqrt(sum(yy * yy))), 6) AS cka FROM k GROUP BY model""")
+def cross_language_cka(spark, sf_dir):
+    told = representation.cross_language(embedded(spark, sf_dir))
+    return spark.createDataFrame([(model, round(r["cka"], 6)) for model, r in told.items()], "model string, cka double")
+
+
+def _direction(name: str, of: str) -> str:
+    """The first principal direction of the matrix C in `of`, which is squared until only that is left; its largest loading is positive."""
+    square = "list_transform({0}, lambda r: list_transform({0}, lambda c: list_dot_product(r, c)))"
+    diagonal = "list_transform(range(1, len({0}) + 1), lambda i: {0}[i][i])"
+    return f"""{name}s(t, m) AS (SELECT 0, C FROM {of} UNION ALL SELECT t + 1, list_transform(q, lambda r: list_transform(r, lambda x: x / f)) FROM (SELECT t, q, list_sum({diagonal.format('q')}) AS f FROM (SELECT t, {square.format('m')} AS q FROM {name}s WHERE t < 45))),
+{name}r AS (SELECT m[list_position({diagonal.format('m')}, list_max({diagonal.format('m')}))] AS r FROM {name}s WHERE t = 45),
+{name} AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)) * CASE WHEN list_contains(r, list_max(list_transform(r, lambda y: abs(y)))) THEN 1 ELSE -1 END) AS u FROM {name}r)"""
+
+
+@query(f"""WITH RECURSIVE {EMB}, z AS (SELECT idx, lang, 'base' AS model, v AS x FROM e UNION ALL SELECT idx, lang, 'train', train FROM e), l AS (SELECT idx, model, unnest(range(len(x))) AS d, unnest(x) AS x FROM z),
+mean AS (SELECT d, avg(x) AS m FROM l GROUP BY d), cl AS (SELECT idx, model, d, x - m AS x FROM l JOIN mean USING (d)), cov AS (SELECT a.d AS p, b.d AS q, sum(a.x * b.x) AS c FROM cl a JOIN cl b USING (idx, model) GROUP BY ALL),
+c1 AS (SELECT list(r ORDER BY p) AS C FROM (SELECT p, list(c ORDER BY q) AS r FROM cov GROUP BY p)), {_direction('u1', 'c1')},
+c2 AS (SELECT list_transform(C, lambda r, i: list_transform(r, lambda x, j: x - w * u[i] * u[j])) AS C FROM (SELECT C, u, list_dot_product(u, list_transform(C, lambda r: list_dot_product(r, u))) AS w FROM c1, u1)), {_direction('u2', 'c2')},
+placed AS (SELECT idx, model, lang, list_dot_product(y, u1.u) AS a, list_dot_product(y, u2.u) AS b FROM (SELECT idx, model, lang, list_transform(x, lambda x, i: x - m[i]) AS y FROM z, (SELECT list(m ORDER BY d) AS m FROM mean)), u1, u2),
+shift AS (SELECT round(avg(abs(f.a - g.a)), 6) AS shift_1, round(avg(abs(f.b - g.b)), 6) AS shift_2 FROM placed f JOIN placed g ON f.idx = g.idx AND f.model = 'base' AND g.model = 'train')
+SELECT round(abs(avg(a) FILTER (lang = 'en') - avg(a) FILTER (lang = 'ko')), 6) AS language_separation, round(max(b) FILTER (lang = 'en') - min(b) FILTER (lang = 'en'), 6) AS en_range, round(max(b) FILTER (lang = 'ko') - min(b) FILTER (lang = 'ko'), 6) AS ko_range,
+  any_value(shift_1) AS shift_1, any_value(shift_2) AS shift_2 FROM placed, shift""")
 def principal_directions(spark, sf_dir):
-    """Separation of the languages and shifts of the models on the first two principal directions; held against a library's PCA in the tests."""
+    """Separation of the languages and shifts of the models on the first two principal directions."""
     e = embedded(spark, sf_dir)
-    pca = representation.Moments(e, "base", "train").pca()
+    pca = factors.factors(e, "base", "train").pca()
     return representation.separation(representation.projected(e, pca, ["base", "train"]), "base_at", "train_at")
 
 

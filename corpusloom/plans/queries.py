@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, splice, tags, text, vectors
-from ..operators import attention, confidence, corpus, klue, mixing, neighbours, panels, representation, scoring
+from ..operators import attention, confidence, corpus, factors, klue, mixing, neighbours, panels, representation, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -712,7 +712,7 @@ def language_similarity(spark, sf_dir):
 @query()
 def representation_statistics(spark, sf_dir):
     """CKA, SVCCA, Procrustes and PCA of two models' vectors, from one pass of moments."""
-    m = representation.Moments(embedded(spark, sf_dir), "base", "train")
+    m = factors.factors(embedded(spark, sf_dir), "base", "train")
     p = m.procrustes()
     rows = [("cka", m.cka()), ("svcca", m.svcca()), ("procrustes_scale", p["scale"]), ("procrustes_error", p["error"]), ("pca_explained_1", float(m.pca()["explained"][0]))]
     return spark.createDataFrame([(n, round(x, 6)) for n, x in rows], "statistic string, value double")

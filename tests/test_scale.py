@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
-from corpusloom.operators import confidence, corpus, mixing, neighbours, panels, quantiles, representation
+from corpusloom.operators import confidence, corpus, factors, mixing, neighbours, panels, quantiles, representation
 
 POINTS = [0, 0.05, 0.25, 0.5, 0.9, 0.999, 1]
 
@@ -197,3 +197,79 @@ def test_density_clusters_of_nothing(spark):
     assert neighbours.dbscan(df.limit(0), 0.1, 2).count() == 0
     with pytest.raises(ValueError):
         neighbours.dbscan(df, 1.5, 2)
+
+
+def svcca_by_hand(x, y, keep=0.99, ridge=1e-6):
+    def directions(m):
+        u, s, _ = np.linalg.svd(m.T, full_matrices=False)
+        held = np.cumsum(s**2) / np.sum(s**2)
+        return u[:, : max(1, min(int(np.argmax(held >= keep)) + 1, len(s), len(m) - 1))]
+
+    p, q = x @ directions(x), y @ directions(y)
+    k = min(p.shape[1], q.shape[1], len(x) - 1)
+    p, q = (z[:, :k] - z[:, :k].mean(axis=0) for z in (p, q))
+    pp, qq, pq = (a.T @ b / (len(x) - 1) for a, b in ((p, p), (q, q), (p, q)))
+    white = lambda c: np.linalg.inv(np.linalg.cholesky(c + ridge * np.eye(k)))
+    return np.clip(np.linalg.svd(white(pp) @ pq @ white(qq), compute_uv=False), 0, 1).mean()
+
+
+def models(spark, x, y, parts=7, lang=None):
+    rows = [(i, a.tolist(), b.tolist(), lang[i] if lang else "en") for i, (a, b) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "idx long, base array<double>, train array<double>, lang string").repartition(parts)
+
+
+def test_factors_of_ill_conditioned_vectors(spark):
+    """Directions of 1 to 10 ** -8 around a mean of 1,000: products of the columns would lose the small ones."""
+    rng = np.random.default_rng(2)
+    turn = np.linalg.qr(rng.normal(size=(8, 8)))[0]
+    x = rng.normal(size=(900, 8)) * 10.0 ** -np.arange(0, 8 * 8 / 7, 8 / 7)[:8] @ turn
+    m = factors.factors(models(spark, x, x[:, ::-1]), "base", "train")
+    s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)
+    got = np.linalg.svd(m.x, compute_uv=False)
+    assert np.allclose(got, s, rtol=1e-6) and s[0] / s[-1] > 1e7
+    assert m.n == 900 and np.allclose(m.mx, x.mean(axis=0), atol=1e-12)
+
+
+@pytest.mark.parametrize(("n", "keep"), [(300, 0.99), (300, 0.8), (5, 0.99), (3, 1.0)])
+def test_statistics_of_factors(spark, n, keep):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 6)) + 3
+    y = x @ rng.normal(size=(6, 6)) + rng.normal(size=(n, 6)) * 0.3
+    m = factors.factors(models(spark, x, y, 3), "base", "train")
+    assert m.svcca(keep) == pytest.approx(svcca_by_hand(x, y, keep), abs=1e-6)
+    cx, cy = x - x.mean(axis=0), y - y.mean(axis=0)
+    assert m.cka() == pytest.approx(np.linalg.norm(cx.T @ cy) ** 2 / (np.linalg.norm(cx.T @ cx) * np.linalg.norm(cy.T @ cy)))
+    nuclear = np.linalg.svd(cx.T @ cy, compute_uv=False).sum()
+    assert m.procrustes()["scale"] == pytest.approx(nuclear / (cx**2).sum())
+    both = np.vstack((x, y))
+    w = np.linalg.svd(both - both.mean(axis=0), compute_uv=False) ** 2
+    assert np.allclose(m.pca(2)["explained"], w[:2] / w.sum())
+
+
+def test_svcca_without_a_cholesky_factor(spark):
+    x = np.column_stack((np.arange(10.0), np.zeros(10)))
+    m = factors.factors(models(spark, x, x), "base", "train")
+    assert m.svcca(1.0, 0.0) == pytest.approx(1.0) and m.svcca(1.0, -1.0) > 0
+    flat = factors.factors(models(spark, np.ones((4, 2)), np.ones((4, 2))), "base", "train")
+    assert flat.cka() == 0.0 and flat.svcca() == pytest.approx(0.0, abs=1e-6) and flat.svcca(0.99, 0.0) == 0.0
+
+
+def test_languages_in_one_pass(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(60, 5)), rng.normal(size=(60, 5))
+    lang = ["en" if i % 3 else "ko" for i in range(58)] + ["de", None]
+    df = models(spark, x, y, 4, lang)
+    told = representation.by_language(df, k=4)
+    assert told.keys() == {"en", "ko", "de", None} and told["de"] == told[None] == {"cka": None, "svcca": None, "consistency": None}
+    for name in ("en", "ko"):
+        own = [i for i in range(60) if lang[i] == name]
+        top = [[set(np.argsort(-s, kind="stable")[:4]) for s in similarities(z[own], z[own]) - 3 * np.eye(len(own))] for z in (x, y)]
+        assert told[name]["consistency"] == pytest.approx(np.mean([len(a & b) / 4 for a, b in zip(*top)]), abs=1e-6)
+        assert told[name]["svcca"] == pytest.approx(svcca_by_hand(x[own], y[own]), abs=1e-6)
+    cross = representation.cross_language(df)
+    assert cross["base"]["svcca"] == pytest.approx(svcca_by_hand(x[::2], x[1::2]), abs=1e-6) and 0 < cross["train"]["cka"] < 1
+
+
+def test_factors_of_nothing(spark):
+    with pytest.raises(ValueError):
+        factors.factors(models(spark, np.ones((1, 2)), np.ones((1, 2))).limit(0), "base", "train")
