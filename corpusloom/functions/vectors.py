@@ -38,6 +38,13 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y))))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Over rows that have both; null where either side has no variance, which `corr` divides by."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def softmax(a: Column) -> Column:
     """Shares of the exponentials, taken after the largest value is subtracted, so that none overflows."""
     shifted = bound(F.array_max(doubles(a)), lambda m: F.transform(doubles(a), lambda x: F.exp(x - m)))

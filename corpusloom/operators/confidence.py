@@ -69,7 +69,7 @@ def histogram_information(a: Column, b: Column, bins: int = 10) -> Column:
 def compare(a: DataFrame, b: DataFrame, key: list[str], metric: str = "entropy") -> DataFrame:
     """Mean difference of two models, and the correlation at equal positions, which only runs of equal length have."""
     one = a.agg(F.count("*").alias("na"), F.avg(metric).alias("ma"), F.stddev_pop(metric).alias("sa")).crossJoin(F.broadcast(b.agg(F.count("*").alias("nb"), F.avg(metric).alias("mb"), F.stddev_pop(metric).alias("sb"))))
-    j = a.select(*key, F.col(metric).alias("x")).join(b.select(*key, F.col(metric).alias("y")), key).agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+    j = a.select(*key, F.col(metric).alias("x")).join(b.select(*key, F.col(metric).alias("y")), key).agg(F.count("*").alias("n"), v.correlation("x", "y").alias("r"))
     alike = (F.col("na") == F.col("nb")) & (F.col("n") == F.col("na"))
     return one.crossJoin(F.broadcast(j)).select("n", r6("ma").alias("mean_a"), r6("mb").alias("mean_b"), r6(F.col("mb") - F.col("ma")).alias("delta"), r6(F.col("sb") - F.col("sa")).alias("delta_std"), r6(F.when(alike, F.nanvl("r", F.lit(None).cast("double")))).alias("correlation"))
 
@@ -129,7 +129,7 @@ def language_statistics(df: DataFrame, metric: str, text: str = "text_id", lang:
     some = lambda c: r6(F.coalesce(c, F.lit(0.0)))
     out = texts.agg(
         some(F.avg("x")).alias("mean_a"), some(F.stddev_pop("x")).alias("std_a"), F.count("x").alias("n_a"), some(F.avg("y")).alias("mean_b"), some(F.stddev_pop("y")).alias("std_b"), F.count("y").alias("n_b"),
-        F.count_if("failed").alias("errors"), F.count("*").alias("total"), r6(F.avg("x") - F.avg("y")).alias("difference"), r6(F.nanvl(F.corr("x", "y"), F.lit(None).cast("double"))).alias("correlation"),
+        F.count_if("failed").alias("errors"), F.count("*").alias("total"), r6(F.avg("x") - F.avg("y")).alias("difference"), r6(v.correlation("x", "y")).alias("correlation"),
     )
     return out.withColumn("correlation", F.when(F.col("n_a") == F.col("n_b"), F.col("correlation")))
 

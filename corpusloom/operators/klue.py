@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_answer, word_list
-from ..functions.vectors import bound
+from ..functions.vectors import bound, correlation
 
 
 def zip_positions(predictions: DataFrame, references: DataFrame, pos: str = "pos") -> DataFrame:
@@ -104,7 +104,7 @@ def slot_accuracy(df: DataFrame, predicted: str, truth: str) -> DataFrame:
 
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
     """r (NaN and too few rows: 0) and the number of rows."""
-    return df.agg(F.round(F.coalesce(F.nanvl(F.corr(a, b), F.lit(0.0)), F.lit(0.0)), 6).alias("pearson"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"))
+    return df.agg(F.round(F.coalesce(correlation(a, b), F.lit(0.0)), 6).alias("pearson"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"))
 
 
 def pearson_p(r: float, n: int) -> float:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,29 +169,76 @@ def encode_pairs(df: DataFrame, tokenize: Callable[[str], list[int]], prompt: st
     return _encoded(df, [prompt, completion], make)
 
 
+class Pieces:
+    """A tokenizer that cuts a text into the matches of a pattern and gives each one's ids, whatever stands around it.
+
+    What a match takes may depend on what follows, up to one character behind the next match, and on nothing before it: then the ids of a text's beginning are
+    those of the pieces before its last two, and only from there on have to be made again (see prefixes)."""
+
+    def __init__(self, pattern: str, ids: Callable[[str], list[int]], memo: int = 1 << 16):
+        self.pattern, self.ids, self.memo = pattern, ids, memo
+
+    def __reduce__(self):
+        return Pieces, (self.pattern, self.ids, self.memo)
+
+    @cached_property
+    def _cut(self):
+        return regex.compile(self.pattern)
+
+    @cached_property
+    def _piece(self):
+        return lru_cache(maxsize=self.memo)(lambda piece: tuple(self.ids(piece)))
+
+    def __call__(self, text: str) -> list[int]:
+        return [i for m in self._cut.finditer(text) for i in self._piece(m.group())]
+
+    def prefixes(self, text: str, ends: list[int]) -> tuple[list[int], list[int]]:
+        """The ids of text[:ends[-1]], and how many ids each text[:end] has, in one pass over the text and the pieces at the ends."""
+        stops, before, whole = [0], [0], []
+        for m in self._cut.finditer(text):
+            whole.extend(self._piece(m.group()))
+            stops.append(m.end())
+            before.append(len(whole))
+        tail: list[int] = []
+        counts, k = [], 0
+        for end in ends:
+            k = max(0, bisect_left(stops, end, 1) - 2)  # the next piece ends inside too, with a character behind it
+            tail = self(text[stops[k] : end])
+            counts.append(before[k] + len(tail))
+        return whole[: before[k]] + tail, counts
+
+
 def encode(df: DataFrame, tokenize: Callable[[str], list[int]], messages: str = "messages", most: int = 2048, end: str = "</s>") -> DataFrame:
     """Ids of a conversation as one text, cut at `most`. What other roles say is masked, from the length of the ids of all before it to the
-    length with it, and the mark of an assistant's turn that follows; no turns or an unknown role raise an error."""
+    length with it, and the mark of an assistant's turn that follows; no turns or an unknown role raise an error.
+
+    With a tokenizer of Pieces a conversation is tokenised once; any other tokenises the text before each turn anew."""
 
-    def shown(turns) -> str:
-        return "".join(f"{MARKS[t['role']]}{t['content'].strip()}{end if t['role'] == 'assistant' else ''}\n" for t in turns)
+    def lengths(text: str, whole: int, ends: list[int]) -> tuple[list[int], list[int]]:
+        """The ids of text[:whole], and how many ids the text has up to each end."""
+        if isinstance(tokenize, Pieces):
+            ids, counts = tokenize.prefixes(text, [*ends, whole])
+            return ids, counts[:-1]
+        return tokenize(text[:whole]), [len(tokenize(text[:e])) for e in ends]
 
     def make(turns) -> tuple[list[int], list[int]]:
         if not len(turns):
             raise ValueError("a conversation without turns")
         if unknown := {t["role"] for t in turns} - MARKS.keys():
             raise ValueError(f"no mark for the role {unknown}")
-        ids = tokenize(shown(turns).strip())[:most]
+        shown = [f"{MARKS[t['role']]}{t['content'].strip()}{end if t['role'] == 'assistant' else ''}\n" for t in turns]
+        text, at, spans = "".join(shown), 0, []
+        for i, (t, part) in enumerate(zip(turns, shown)):
+            follows = len(MARKS["assistant"]) if i + 1 < len(turns) and turns[i + 1]["role"] == "assistant" else 0
+            if t["role"] != "assistant":
+                spans.append((at, at + len(part) + follows))
+            at += len(part)
+        ids, counts = lengths(text, len(text.rstrip()), [e for span in spans for e in span])
+        ids = ids[:most]
         labels = list(ids)
-        for i, t in enumerate(turns):
-            if t["role"] == "assistant":
-                continue
-            start = len(tokenize(shown(turns[:i]))[:most]) if i else 0
-            follows = MARKS["assistant"] if i + 1 < len(turns) and turns[i + 1]["role"] == "assistant" else ""
-            stop = len(tokenize(shown(turns[: i + 1]) + follows)[:most])
-            labels[start:stop] = [MASK] * len(labels[start:stop])
-            if stop >= most:
-                break
+        for start, stop in zip(counts[::2], counts[1::2]):
+            start, stop = min(start, len(ids)), min(stop, len(ids))
+            labels[start:stop] = [MASK] * (stop - start)
         return ids, labels
 
     return _encoded(df, [messages], make)

@@ -96,7 +96,7 @@ def gap(df: DataFrame, a: str = "base", b: str = "train") -> DataFrame:
 def gap_panels(df: DataFrame, by: str) -> DataFrame:
     """Per group: mean gap and cosine, line of cosine by gap, its correlation and band, quartiles, consistency 1 / (1 + gap)."""
     g = gap(df)
-    r = F.coalesce(F.nanvl(F.corr("gap", "cosine"), F.lit(0.0)), F.lit(0.0))
+    r = F.coalesce(v.correlation("gap", "cosine"), F.lit(0.0))
     quartiles = quantiles(g, "gap", [0.25, 0.75], [by]).select(F.col(by).alias("__by"), "q")
     told = g.groupBy(by).agg(r6(F.avg("gap")).alias("mean_gap"), r6(F.avg("cosine")).alias("mean_cosine"), r6(F.regr_slope("cosine", "gap")).alias("slope"), r6(F.regr_intercept("cosine", "gap")).alias("intercept"), r6(r).alias("correlation"), F.when(F.abs(r) >= 0.7, "strong").when(F.abs(r) >= 0.3, "moderate").otherwise("weak").alias("strength"), r6(F.avg(1 / (1 + F.col("gap")))).alias("consistency"))
     names = [c for c in told.columns if c != "consistency"]
@@ -309,4 +309,4 @@ def compare_matrices(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.withColumnRenamed("x", "p").join(b.withColumnRenamed("x", "q"), ["i", "j"], "full_outer")
     d = F.col("p") - F.col("q")
     wrong = F.raise_error(F.lit("matrices have different shapes"))
-    return j.select(F.when(F.col("p").isNull() | F.col("q").isNull(), wrong.cast("double")).otherwise(F.col("p")).alias("p"), "q").agg(r6(F.corr("p", "q")).alias("correlation"), r6(F.avg(d * d)).alias("mse"), r6(F.avg(F.abs(d))).alias("mae"), r6(F.max(F.abs(d))).alias("max_difference"), r6(F.avg(d)).alias("mean_difference"), r6(F.stddev_pop(d)).alias("std_difference"))
+    return j.select(F.when(F.col("p").isNull() | F.col("q").isNull(), wrong.cast("double")).otherwise(F.col("p")).alias("p"), "q").agg(r6(v.correlation("p", "q")).alias("correlation"), r6(F.avg(d * d)).alias("mse"), r6(F.avg(F.abs(d))).alias("mae"), r6(F.max(F.abs(d))).alias("max_difference"), r6(F.avg(d)).alias("mean_difference"), r6(F.stddev_pop(d)).alias("std_difference"))

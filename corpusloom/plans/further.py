@@ -10,7 +10,7 @@ from ..operators import attention, confidence, corpus, factors, klue, mixing, ne
 from ..sources import readers, writers
 from ..storage import fresh as folder
 from . import inference, prompts
-from .queries import ANSWERS, ATT, CORPUS, DOCS, EMB, PROBS, SCORES, W, _att, _gold, _GOLD, answers, attention_rows, documents, embedded, query, scores, table, tagged_corpus, token_probs
+from .queries import ANSWERS, ATT, CORPUS, DOCS, EMB, PROBS, SCORES, W, _att, _gold, _GOLD, answers, attention_blocks, documents, embedded, query, scores, table, tagged_corpus, token_probs
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def embeddings_by_language(spark, sf_dir):
 @query(f"WITH {ATT} SELECT layer, head, i, j, round(w, 9) AS w FROM att")
 def attention_written_and_read(spark, sf_dir):
     at = folder(spark, "attention")
-    writers.parquet(attention_rows(spark, sf_dir).select("layer", "head", "i", "j", F.round("w", 9).alias("w")), at, ["layer"])
+    writers.parquet(attention.long(attention_blocks(spark, sf_dir)).select("layer", "head", "i", "j", F.round("w", 9).alias("w")), at, ["head"])
     return readers.parquet(spark, at).select("layer", "head", "i", "j", "w")
 
 
@@ -523,15 +523,18 @@ def synthetic_ids(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM (SELECT conv_id, turn, CASE WHEN role IN ('system', 'user', 'assistant') THEN role ELSE 'user' END AS role, trim(coalesce(text, '')) AS text FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-p AS (SELECT conv_id, i, n, role, CASE role WHEN 'assistant' THEN '<|assistant|>' || chr(10) || text || '</s>' || chr(10) ELSE '<|' || role || '|>' || chr(10) || text || chr(10) END AS shown,
-  CASE WHEN role = 'assistant' THEN length(text) + 5 + CASE WHEN before IS NULL OR before = 'assistant' THEN 14 ELSE 0 END ELSE 0 END AS own FROM t)
-SELECT conv_id, length(trim(string_agg(shown, '' ORDER BY i), ' ' || chr(10))) AS n_ids, CAST(sum(own) - max(CASE WHEN i = n AND role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_targets FROM p GROUP BY conv_id""")
+p AS (SELECT conv_id, i, '<|' || role || '|>' || chr(10) AS mark, text || CASE WHEN role = 'assistant' THEN '</s>' ELSE '' END || chr(10) AS said, role = 'assistant' AS own, role = 'assistant' AND (before IS NULL OR before = 'assistant') AS lone FROM t),
+c AS (SELECT conv_id, string_split(trim(string_agg(mark || said, '' ORDER BY i), ' ' || chr(10)), '') AS s, string_split(string_agg(repeat(CASE WHEN lone THEN '1' ELSE '0' END, length(mark)) || repeat(CASE WHEN own THEN '1' ELSE '0' END, length(said)), '' ORDER BY i), '') AS f FROM p GROUP BY conv_id),
+u AS (SELECT conv_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS s, unnest(f[1:len(s)]) AS f FROM c)
+SELECT conv_id, count(*) AS n_ids, count(*) FILTER (f = '1') AS n_targets, CAST(sum(unicode(s) * i) AS BIGINT) AS ids, CAST(sum(CASE WHEN f = '1' THEN unicode(s) ELSE -100 END * i) AS BIGINT) AS labels FROM u GROUP BY conv_id""")
 def chat_encoding(spark, sf_dir):
+    """Ids of single characters, of pieces of letters and others; sums of ids and labels by place hold them whole."""
     role = F.when(F.col("role").isin("system", "user", "assistant"), F.col("role")).otherwise("user")
     c = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", role.alias("role"), F.trim(F.coalesce("text", F.lit(""))).alias("content")).alias("t"))
     m = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
-    e = mixing.encode(m, lambda s: [ord(x) for x in s], most=1 << 30)
-    return e.select("conv_id", F.size("input_ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x != mixing.MASK)).cast("long").alias("n_targets"))
+    e = mixing.encode(m, mixing.Pieces(r"\p{L}+|[^\p{L}]+", lambda s: [ord(x) for x in s]), most=1 << 30)
+    placed = lambda c: F.aggregate(F.transform(c, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return e.select("conv_id", F.size("input_ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x != mixing.MASK)).cast("long").alias("n_targets"), placed("input_ids").alias("ids"), placed("labels").alias("labels"))
 
 
 @query("""WITH j AS (SELECT doc_id, length(lang) AS p, lang || CASE WHEN regexp_matches(text, '^[ \\n\\t]') OR regexp_matches(lang, '[ \\n\\t]$') THEN '' ELSE ' ' END || text || '</s>' AS t FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL)
@@ -735,13 +738,13 @@ _ENT = "SELECT layer, head, avg(e) AS e FROM (SELECT layer, head, i, sum(-w * ln
 
 @query(f"""WITH {ATT}, {_att('btt', '5')}, a AS ({_ENT.format('att')}), b AS ({_ENT.format('btt')}) SELECT layer, count(*) AS heads, round(avg(a.e), 6) AS mean_a, round(avg(b.e), 6) AS mean_b, round(avg(pow(a.e - b.e, 2)), 6) AS mse, round(avg(a.e - b.e), 6) AS difference, round(corr(a.e, b.e), 6) AS correlation FROM a JOIN b USING (layer, head) GROUP BY layer""")
 def head_entropy_comparison(spark, sf_dir):
-    return attention.compare_heads(attention_rows(spark, sf_dir), attention_rows(spark, sf_dir, 1.0))
+    return attention.compare_heads(attention_blocks(spark, sf_dir), attention_blocks(spark, sf_dir, 1.0))
 
 
 @query(f"""WITH {ATT}, {_att('btt', '5')}, p AS (SELECT layer, i, j, avg(w) AS x FROM att GROUP BY ALL), q AS (SELECT layer, i, j, avg(w) AS y FROM btt GROUP BY ALL),
 c AS (SELECT layer, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS cosine FROM p JOIN q USING (layer, i, j) GROUP BY layer) SELECT round(avg(cosine), 6) AS overall FROM c""")
 def overall_attention_similarity(spark, sf_dir):
-    return attention.overall_similarity(attention.compare_layers(attention_rows(spark, sf_dir), attention_rows(spark, sf_dir, 1.0)))
+    return attention.overall_similarity(attention.compare_layers(attention_blocks(spark, sf_dir), attention_blocks(spark, sf_dir, 1.0)))
 
 
 # ---- models

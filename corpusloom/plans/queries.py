@@ -103,18 +103,19 @@ PROBS = EMB + """,
 p AS (SELECT idx // 10 AS text_id, idx % 10 AS pos, lang, list_transform(x, lambda y: y / list_sum(x)) AS probs FROM (SELECT *, list_transform(v, lambda y: exp(y * 8)) AS x FROM e))"""
 
 
-def attention_rows(spark: SparkSession, sf_dir: str, shift: float = 0.0) -> DataFrame:
-    """Row-normalised weights from the components of the vectors: layer = label, head = parity of the id, one i an id."""
+def attention_blocks(spark: SparkSession, sf_dir: str, shift: float = 0.0, heads: int = 3) -> DataFrame:
+    """Row-normalised weights from the vectors: 64 of them one after another are the rows of a layer; the heads take their components forwards and backwards by turns, each by half of the one before."""
     e = embedded(spark, sf_dir)
-    w = vectors.softmax(F.transform("v", lambda x: x * (4 + shift)))
-    x = e.select(F.concat(F.lit("layer"), F.col("label").cast("string")).alias("layer"), (F.col("idx") % 2).alias("head"), (F.floor(F.col("idx") / 2) % 64).alias("i"), F.posexplode(w).alias("j", "w"))
-    return x.groupBy("layer", "head", "i", F.col("j").cast("long").alias("j")).agg(F.avg("w").alias("w"))
+    w = lambda x, h: vectors.softmax(F.transform(x, lambda y: y * ((4 + shift) * 0.5**h)))
+    each = [F.struct(F.lit(h).cast("long").alias("head"), w(F.reverse("v") if h % 2 else F.col("v"), h).alias("w")) for h in range(heads)]
+    return e.select(F.concat(F.lit("layer"), F.floor(F.col("idx") / 64).cast("string")).alias("layer"), (F.col("idx") % 64).alias("i"), F.array(*each).alias("heads"))
 
 
-def _att(name: str, scale: str) -> str:
-    return f"""{name}x AS (SELECT 'layer' || label AS layer, idx % 2 AS head, (idx // 2) % 64 AS i, list_transform(v, lambda y: exp(y * {scale})) AS x FROM e),
-{name}y AS (SELECT layer, head, i, unnest(range(len(x))) AS j, unnest(list_transform(x, lambda y: y / list_sum(x))) AS w FROM {name}x),
-{name} AS (SELECT layer, head, i, j, avg(w) AS w FROM {name}y GROUP BY ALL)"""
+def _att(name: str, scale: str, heads: int = 3) -> str:
+    own = ", ".join(f"list_transform({'list_reverse(v)' if h % 2 else 'v'}, lambda y: y * {0.5**h})" for h in range(heads))
+    return f"""{name}x AS (SELECT 'layer' || idx // 64 AS layer, idx % 64 AS i, unnest(range({heads})) AS head, unnest([{own}]) AS v FROM e),
+{name}y AS (SELECT layer, head, i, list_transform(v, lambda y: exp(y * {scale})) AS x FROM {name}x),
+{name} AS (SELECT layer, head, i, unnest(range(len(x))) AS j, unnest(list_transform(x, lambda y: y / list_sum(x))) AS w FROM {name}y)"""
 
 
 ATT = EMB + ",\n" + _att("att", "4")
@@ -764,38 +765,47 @@ def language_bias(spark, sf_dir):
 
 @query(f"WITH {ATT}, r AS (SELECT layer, head, i, sum(-w * ln(w + 1e-8)) AS e FROM att GROUP BY ALL) SELECT layer, head, round(avg(e), 6) AS entropy FROM r GROUP BY ALL")
 def attention_head_entropy(spark, sf_dir):
-    return attention.head_entropy(attention_rows(spark, sf_dir))
+    return attention.head_entropy(attention_blocks(spark, sf_dir))
 
 
 @query(f"WITH {ATT}, m AS (SELECT layer, i, j, avg(w) AS w FROM att GROUP BY ALL), r AS (SELECT layer, i, sum(-w * ln(w + 1e-8)) AS e FROM m GROUP BY ALL) SELECT layer, round(avg(e), 6) AS entropy FROM r GROUP BY layer")
 def attention_layer_entropy(spark, sf_dir):
-    return attention.layer_entropy(attention_rows(spark, sf_dir))
+    return attention.layer_entropy(attention_blocks(spark, sf_dir))
 
 
 @query(f"WITH {ATT}, r AS (SELECT layer, head, i, sum(w * abs(j - i)) AS d FROM att GROUP BY ALL) SELECT layer, head, round(avg(d), 6) AS distance FROM r GROUP BY ALL")
 def attention_distance(spark, sf_dir):
-    return attention.distance(attention_rows(spark, sf_dir))
+    return attention.distance(attention_blocks(spark, sf_dir))
 
 
 @query(f"WITH {ATT} SELECT layer, head, round(avg(w), 6) AS mean, round(stddev_pop(w), 6) AS std, round(max(w), 6) AS max FROM att WHERE i = j GROUP BY ALL")
 def self_attention(spark, sf_dir):
-    return attention.self_attention(attention_rows(spark, sf_dir))
+    return attention.self_attention(attention_blocks(spark, sf_dir))
 
 
 @query(f"WITH {ATT}, s AS (SELECT layer, j, sum(w) AS s FROM att GROUP BY ALL) SELECT layer, j, round(s / sum(s) OVER (PARTITION BY layer), 6) AS importance, CAST(row_number() OVER (PARTITION BY layer ORDER BY round(s, 9) DESC, j) AS INTEGER) AS rank FROM s")
 def token_importance(spark, sf_dir):
-    return attention.token_importance(attention_rows(spark, sf_dir))
+    return attention.token_importance(attention_blocks(spark, sf_dir))
 
 
 @query(f"WITH {ATT} SELECT layer, round(sum(CASE WHEN j > i THEN w ELSE 0 END) / sum(w), 6) AS forward, round(sum(CASE WHEN j < i THEN w ELSE 0 END) / sum(w), 6) AS backward, round(sum(CASE WHEN abs(j - i) <= 2 THEN w ELSE 0 END) / sum(w), 6) AS local FROM att GROUP BY layer")
 def attention_flow(spark, sf_dir):
-    return attention.flow(attention_rows(spark, sf_dir))
+    return attention.flow(attention_blocks(spark, sf_dir))
 
 
 @query(f"""WITH {ATT}, {_att('btt', '5')}, p AS (SELECT layer, i, j, avg(w) AS x FROM att GROUP BY ALL), q AS (SELECT layer, i, j, avg(w) AS y FROM btt GROUP BY ALL)
 SELECT layer, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS cosine, round(avg(pow(x - y, 2)), 6) AS mse, round(corr(x, y), 6) AS correlation FROM p JOIN q USING (layer, i, j) GROUP BY layer""")
 def attention_comparison(spark, sf_dir):
-    return attention.compare_layers(attention_rows(spark, sf_dir), attention_rows(spark, sf_dir, 1.0))
+    return attention.compare_layers(attention_blocks(spark, sf_dir), attention_blocks(spark, sf_dir, 1.0))
+
+
+@query(f"""WITH {ATT}, {_att('btt', '5')}, p AS (SELECT layer, i, j, avg(w) AS x FROM att WHERE j < 60 GROUP BY ALL), q AS (SELECT layer, i, j, avg(w) AS y FROM btt WHERE i % 5 <> 0 GROUP BY ALL),
+z AS (SELECT layer, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM p FULL JOIN q USING (layer, i, j))
+SELECT layer, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS cosine, round(avg(pow(x - y, 2)), 6) AS mse, round(corr(x, y), 6) AS correlation FROM z GROUP BY layer""")
+def attention_comparison_padded(spark, sf_dir):
+    """Of a model that sees 60 places and one that lacks each fifth row."""
+    short = F.transform("heads", lambda h: F.struct(h["head"].alias("head"), F.slice(h["w"], 1, 60).alias("w")))
+    return attention.compare_layers(attention_blocks(spark, sf_dir).withColumn("heads", short), attention_blocks(spark, sf_dir, 1.0).where("i % 5 != 0"), pad=True)
 
 
 # ---- data of figures, panels of pairs and languages
@@ -815,7 +825,7 @@ def length_boxes(spark, sf_dir):
 
 @query(f"WITH {ATT} SELECT i AS row, j AS \"column\", round(avg(w), 6) AS value FROM att GROUP BY ALL")
 def attention_heat(spark, sf_dir):
-    return panels.heat(attention_rows(spark, sf_dir), "i", "j", "w")
+    return panels.heat(attention.long(attention_blocks(spark, sf_dir)), "i", "j", "w")
 
 
 @query(f"WITH {PROBS}, q AS (SELECT lang, pos, -list_sum(list_transform(probs, lambda x: x * ln(x))) AS h FROM p) SELECT lang, pos, round(avg(h), 6) AS mean, round(stddev_pop(h), 6) AS std, count(h) AS n FROM q GROUP BY ALL")

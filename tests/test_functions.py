@@ -227,7 +227,7 @@ def test_confidence_and_attention(spark):
     df = spark.createDataFrame([(0, 0, [0.25] * 4), (0, 1, [1.0, 0.0, 0.0, 0.0])], "text_id int, pos int, probs array<double>")
     flat, sharp = confidence.positions(df).orderBy("pos").collect()
     assert flat["entropy"] == pytest.approx(np.log(4)) and flat["perplexity"] == pytest.approx(4) and flat["nucleus"] == 4 and sharp["entropy"] == 0 and sharp["nucleus"] == 1
-    att = spark.createDataFrame([("l", 0, i, j, 1.0 if i == j else 0.0) for i in range(3) for j in range(3)], "layer string, head int, i long, j long, w double")
+    att = attention.blocks(spark.createDataFrame([("l", 0, i, j, 1.0 if i == j else 0.0) for i in range(3) for j in range(3)], "layer string, head int, i long, j long, w double"))
     assert attention.distance(att).first()["distance"] == 0 and attention.self_attention(att).first()["mean"] == 1 and attention.compare_layers(att, att).first()["cosine"] == 1
     assert attention.flow(att).first()["local"] == 1 and one(spark, [3.0, 4.0], vectors.norm, "array<double>") == 5
 

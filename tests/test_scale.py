@@ -6,11 +6,13 @@ import math
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
-from corpusloom.operators import confidence, corpus, factors, mixing, neighbours, panels, quantiles, representation
+from corpusloom.plans import queries
+from corpusloom.operators import attention, confidence, corpus, factors, mixing, neighbours, panels, quantiles, representation
 
 POINTS = [0, 0.05, 0.25, 0.5, 0.9, 0.999, 1]
 
@@ -273,3 +275,87 @@ def test_languages_in_one_pass(spark):
 def test_factors_of_nothing(spark):
     with pytest.raises(ValueError):
         factors.factors(models(spark, np.ones((1, 2)), np.ones((1, 2))).limit(0), "base", "train")
+
+
+def test_attention_blocks(spark):
+    rows = [("a", 0, 0, 0, 0.5), ("a", 0, 0, 1, 0.5), ("a", 1, 0, 0, 1.0), ("a", 0, 1, 2, 1.0), ("a", 1, 1, 0, 0.25), ("a", 1, 1, 1, 0.75)]
+    b = attention.blocks(spark.createDataFrame(rows, "layer string, head int, i long, j long, w double"))
+    got = {(r["i"], h["head"]): h["w"] for r in b.collect() for h in r["heads"]}
+    assert got == {(0, 0): [0.5, 0.5], (0, 1): [1.0], (1, 0): [0.0, 0.0, 1.0], (1, 1): [0.25, 0.75]}
+    assert {tuple(r) for r in attention.long(b).where("w > 0").collect()} == {tuple(r) for r in rows}
+    flow = attention.flow(b, 0).first()
+    assert (flow["forward"], flow["backward"], flow["local"]) == (0.375, 0.0625, 0.5625)
+    entropy = {r["head"]: r["entropy"] for r in attention.head_entropy(b).collect()}
+    assert entropy[0] == pytest.approx(math.log(2) / 2, abs=1e-6)
+    assert {(r["j"], r["importance"]) for r in attention.token_importance(b).collect()} == {(0, 0.4375), (1, 0.3125), (2, 0.25)}
+    assert attention.self_attention(b).where("head = 1").first()["mean"] == 0.875
+    assert attention.compare_layers(b, b).first()["correlation"] == 1.0
+    odd = spark.createDataFrame([("a", 0, None), ("a", 1, []), ("b", 0, [(0, None), (1, [1.0])])], "layer string, i long, heads array<struct<head:int,w:array<double>>>")
+    assert attention.flow(odd).where("layer = 'b'").first()["local"] == 1.0 and attention.layer_entropy(odd).count() == 2
+    assert attention.head_entropy(b.limit(0)).count() == 0
+
+
+def test_weights_of_attention_are_not_shuffled(spark, sf_dir):
+    b = queries.attention_blocks(spark, sf_dir)
+    for measure in (attention.head_entropy, attention.layer_entropy, attention.distance, attention.flow, attention.token_importance, attention.self_attention):
+        plan = measure(b)._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.rindex("Exchange") :]  # of the first shuffle: it takes what an aggregate left
+        assert "partial_" in below and plan.count("Exchange") <= 2
+
+
+GPT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def bytes_bpe():
+    from tokenizers import Tokenizer
+
+    if not hasattr(bytes_bpe, "library"):
+        bytes_bpe.library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        bytes_bpe.library.encode_special_tokens = True
+    return bytes_bpe.library
+
+
+def library_ids(text):
+    return bytes_bpe().encode(text, add_special_tokens=False).ids
+
+
+def piece_ids(piece):
+    from tokenizers import Tokenizer
+
+    if not hasattr(piece_ids, "library"):
+        piece_ids.library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        piece_ids.library.encode_special_tokens = True
+    return piece_ids.library.encode(piece, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("most", [1 << 30, 37, 5])
+def test_encoding_of_conversations_in_one_pass(spark, sf_dir, most):
+    """Ids and labels of all conversations as by tokenising every prefix, also where the cut falls inside a turn."""
+    turns = queries.table(spark, sf_dir, "conversations").selectExpr("conv_id", "struct(turn, if(role in ('system', 'user', 'assistant'), role, 'user') as role, coalesce(text, '') as content) as t")
+    m = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    odd = spark.createDataFrame([(-1, [("user", "  a\n\n b "), ("assistant", ""), ("user", " \n"), ("assistant", "it's 's"), ("assistant", "더 ")]), (-2, [("assistant", "x")]), (-3, [("user", "")])], "conv_id long, messages array<struct<role:string,content:string>>")
+    m = m.unionByName(odd.select("conv_id", "messages"))
+    pick = lambda df: {r["conv_id"]: (r["input_ids"], r["labels"]) for r in df.collect()}
+    got, want = pick(mixing.encode(m, mixing.Pieces(GPT, piece_ids), most=most)), pick(mixing.encode(m, library_ids, most=most))
+    assert got == want and len(got) > 20 and any(mixing.MASK in labels for _, labels in got.values())
+
+
+def test_encoding_grows_with_the_text():
+    seen = []
+    tokenizer = mixing.Pieces(GPT, lambda s: [len(s)])
+    text = "".join(f"<|user|>\nword number {i} \n" for i in range(4000))
+    ends = [i + 1 for i, c in enumerate(text) if c == "\n"]
+    original = type(tokenizer).__call__
+    try:
+        type(tokenizer).__call__ = lambda self, t: seen.append(len(t)) or original(self, t)
+        ids, counts = tokenizer.prefixes(text, ends)
+    finally:
+        type(tokenizer).__call__ = original
+    assert ids == tokenizer(text[: ends[-1]]) and sum(seen) < 3 * len(text)
+    assert [counts[k] for k in (0, 999, 5000)] == [len(tokenizer(text[: ends[k]])) for k in (0, 999, 5000)]
+
+
+def test_correlation_without_variance(spark):
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", None, 9.0), ("a", 3.0, 7.0), ("b", 1.0, 1.0), ("b", 1.0, 5.0), ("c", None, None)]
+    got = {r["k"]: r["r"] for r in spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(vectors.correlation("x", "y").alias("r")).collect()}
+    assert got["a"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 7])[0, 1]) and got["b"] is None and got["c"] is None
