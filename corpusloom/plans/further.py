@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -253,6 +254,38 @@ def _asked(form: str, worked: bool = True) -> str:
     return _lines(*map(_quoted, [f["intro"], *(_worked(form) if worked else [])]), f"{_quoted(f['ask'])} || text", "'A. ' || item_id", "'B. ' || (item_id + 1)", "'C. none'", *map(_quoted, end))
 
 
+_CHOICES = """concat_ws(chr(10), 'A. ' || lang_a, 'B. ' || coalesce(nullif(left(text, 5), ''), {0} || 'B'), 'C. ' || {0} || 'C', 'D. ' || item_id)"""
+
+
+@query(f"""WITH b AS (SELECT item_id, text, 'x' || (item_id % 3) AS lang_a, CASE item_id % 4 WHEN 0 THEN 'us_foreign_policy' WHEN 1 THEN 'virology' WHEN 2 THEN 'hand_made' END AS subject FROM benchmark),
+n AS (SELECT *, CASE item_id % 4 WHEN 0 THEN 'Us Foreign Policy' WHEN 1 THEN 'Virology' WHEN 2 THEN 'Hand Made' ELSE 'Unknown' END AS titled, CASE item_id % 4 WHEN 0 THEN '미국 외교정책' WHEN 1 THEN '바이러스학' WHEN 2 THEN 'hand made' ELSE 'unknown' END AS korean FROM b)
+SELECT item_id, concat_ws(chr(10), 'The following is a multiple choice question about ' || titled || '.', '', text, {_CHOICES.format("'Option '")}, 'Answer:') AS mmlu, concat_ws(chr(10), '다음은 ' || korean || '에 관한 객관식 문제입니다.', '', text, {_CHOICES.format("'선택지 '")}, '정답:') AS kmmlu,
+  concat_ws(chr(10), 'The following are multiple choice questions about various topics including ' || titled || '.', '', 'Question: One and one?', 'A. two', 'B. three', 'Answer: #### The correct answer is {{A}}. #### {{A}}', '', 'Question: ' || text, {_CHOICES.format("'Option '")}, '', 'You should ONLY choose one of the letters A, B, C, or D as your final answer.', 'Answer: The correct answer is') AS mmlu_few,
+  concat_ws(chr(10), '다음은 다양한 주제(' || titled || ' 포함)에 대한 객관식 문제입니다.', '', '문제: One and one?', 'A. two', 'B. three', '정답: #### 따라서 정답은 {{A}}. #### {{A}}', '', '문제: ' || text, {_CHOICES.format("'선택지 '")}, '', '정답을 A, B, C, D 중 오직 하나의 문자로만 선택해주세요.', '정답: 따라서 정답은') AS kmmlu_few FROM n""")
+def subject_prompts(spark, sf_dir):
+    i = F.col("item_id")
+    subject = F.when(i % 4 == 0, "us_foreign_policy").when(i % 4 == 1, "virology").when(i % 4 == 2, "hand_made")
+    own = {"A": F.concat(F.lit("x"), (i % 3).cast("string")), "B": F.nullif(F.substring("text", 1, 5), F.lit("")), "D": i.cast("string")}
+    shown = [{"question": "One and one?", "options": {"B": "three", "A": "two"}, "answer": "A"}]
+    forms = {"mmlu": prompts.subject_question("mmlu", subject, F.col("text"), own), "kmmlu": prompts.subject_question("kmmlu", subject, F.col("text"), own)}
+    forms |= {f"{f}_few": prompts.subject_few_shot(f, shown, subject, F.col("text"), own) for f in ("mmlu", "kmmlu")}
+    return table(spark, sf_dir, "benchmark").select("item_id", *(p.alias(n) for n, p in forms.items()))
+
+
+_TEN = "concat_ws(chr(10), CASE WHEN item_id % 2 = 0 THEN 'A. first' END, 'C. ' || text, CASE WHEN item_id % 5 <> 0 THEN 'J. ' || item_id END)"
+
+
+@query(f"""SELECT item_id, concat_ws(chr(10), {_quoted(prompts.TEN_FORMS['en']['zero'])}, '', 'Question: ' || text, nullif({_TEN}, ''), '', 'Let''s think step by step.') AS en, concat_ws(chr(10), {_quoted(prompts.TEN_FORMS['ko']['zero'])}, '', 'Question: ' || text, nullif({_TEN}, ''), '', '단계적으로 생각해봅시다.') AS ko,
+  concat_ws(chr(10), {_quoted(prompts.TEN_FORMS['en']['few'])}, 'Question: One and one?', 'A. two', 'J. three', 'Count them.', '#### So the answer is A.', '#### Answer: A.', '', 'Question: ' || text, nullif({_TEN}, ''), '', 'Response: Let''s think step by step.') AS en_few,
+  concat_ws(chr(10), {_quoted(prompts.TEN_FORMS['ko']['few'])}, 'Question: One and one?', 'A. two', 'J. three', 'Count them.', '#### 따라서 정답은 A 입니다.', '#### 정답: A', '', 'Question: ' || text, nullif({_TEN}, ''), '', '응답: 단계별로 생각해봅시다.') AS ko_few FROM benchmark""")
+def ten_option_prompts(spark, sf_dir):
+    i = F.col("item_id")
+    own = F.array(F.when(i % 2 == 0, "first"), F.lit(" "), F.col("text"), *[F.lit("N/A")] * 3, *[F.lit(None).cast("string")] * 3, F.when(i % 5 != 0, i.cast("string")))
+    shown = [{"question": "One and one?", "options": {"J": "three", "A": "two"}, "reasoning": "Count them.", "answer": "A"}]
+    forms = {f"{lang}{'_few' if e else ''}": prompts.ten_options(lang, e, F.col("text"), own) for lang in ("en", "ko") for e in ([], shown)}
+    return table(spark, sf_dir, "benchmark").select("item_id", *(p.alias(n) for n, p in forms.items()))
+
+
 @query(f"SELECT item_id, {_asked('arc')} AS arc, {_asked('ko_arc')} AS ko_arc, {_asked('hellaswag')} AS hellaswag, {_asked('ko_piqa')} AS ko_piqa FROM benchmark")
 def few_shot_prompts(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
@@ -765,3 +798,24 @@ def resumed_in_shards(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("prompt"))
     done = d.where("doc_id % 3 = 0").select("doc_id")
     return corpus.all_rows(*(inference.resumed(d, done, "doc_id", _counter, i, 3).select("doc_id", "model_raw_output") for i in range(3)))
+
+
+def _fails_at_times():
+    def generate(p: str) -> str:
+        if len(p) % 97 == 50:
+            raise SystemExit("killed")
+        return str(len(p))
+
+    return generate
+
+
+@query("SELECT doc_id, CAST(length(coalesce(text, '')) AS VARCHAR) AS model_raw_output FROM documents")
+def saved_through_a_kill(spark, sf_dir):
+    """A first run is killed by some of its prompts, a second one saves the rest: each row once."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
+    at = folder(spark, "outputs")
+    try:
+        inference.saved(d, at, "doc_id", _fails_at_times, batch=10, in_all=8)
+    except PythonException:
+        pass
+    return inference.saved(d, at, "doc_id", _counter, batch=100, in_all=40)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import os
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
-from corpusloom.plans import queries
+from corpusloom.plans import inference, queries
 from corpusloom.operators import attention, confidence, corpus, factors, mixing, neighbours, panels, quantiles, representation
 
 POINTS = [0, 0.05, 0.25, 0.5, 0.9, 0.999, 1]
@@ -359,3 +362,53 @@ def test_correlation_without_variance(spark):
     rows = [("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", None, 9.0), ("a", 3.0, 7.0), ("b", 1.0, 1.0), ("b", 1.0, 5.0), ("c", None, None)]
     got = {r["k"]: r["r"] for r in spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(vectors.correlation("x", "y").alias("r")).collect()}
     assert got["a"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 7])[0, 1]) and got["b"] is None and got["c"] is None
+
+
+def prompts_frame(spark, n):
+    return spark.createDataFrame([(i, f"p{i}") for i in range(n)], "id long, prompt string").repartition(8)
+
+
+def killing():
+    def generate(p):
+        if p == "p57":
+            raise SystemExit("killed")
+        return p.upper()
+
+    return generate
+
+
+def shouting():
+    return lambda p: p.upper()
+
+
+def test_outputs_survive_a_killed_run(spark, tmp_path):
+    df, folder = prompts_frame(spark, 200), f"file://{tmp_path}/out"
+    with pytest.raises(PythonException):
+        inference.saved(df, folder, "id", killing, batch=5, in_all=4)
+    before = {r["id"] for r in inference.committed(spark, folder, "id long, model_raw_output string").collect()}
+    assert before and len(before) < 200  # some batches were whole
+    more = df.unionByName(spark.createDataFrame([(500, "new"), (500, "new"), (None, "no key")], df.schema))
+    out = inference.saved(more, folder, "id", shouting, batch=30).collect()
+    assert sorted(r["id"] for r in out) == [*range(200), 500]
+    assert all(r["model_raw_output"] == (f"P{r['id']}" if r["id"] < 500 else "NEW") for r in out)
+    assert inference.saved(more, folder, "id", killing).count() == 201  # nothing is left to ask
+    assert inference.saved(df.limit(0), f"{folder}-empty", "id", shouting).count() == 0
+
+
+@pytest.mark.parametrize(("at_once", "in_all"), [(5, 5), (2, 6), (5, 3)])
+def test_calls_at_once_over_all_partitions(spark, tmp_path, at_once, in_all):
+    top = str(tmp_path)
+
+    def make():
+        def generate(p):
+            mark = f"{top}/{p}"
+            open(mark, "w").close()
+            n = len(os.listdir(top))
+            time.sleep(0.02)
+            os.remove(mark)
+            return str(n)
+
+        return generate
+
+    got = [int(r["model_raw_output"]) for r in inference.run(prompts_frame(spark, 120), make, at_once=at_once, in_all=in_all).collect()]
+    assert len(got) == 120 and max(got) <= in_all
