@@ -46,24 +46,40 @@ def json_lines_written_and_read(spark, sf_dir):
     return readers.json_lines(spark, at, "doc_id long, text string, lang string")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, 'region' || n_regionkey || '.json' AS source_file FROM nation")
+def _files(spark, sf_dir, every: int) -> DataFrame:
+    """The documents of each `every` ids as a JSON array: part, text."""
+    row = F.to_json(F.struct("doc_id", "text", "lang"), {"ignoreNullFields": "false"})
+    return table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / every).alias("part")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(row), ",\n"), F.lit("]")).alias("text"))
+
+
+@query("SELECT doc_id, text, lang, 'part' || doc_id // 50 || '.json' AS source_file FROM documents")
 def json_arrays_of_a_folder(spark, sf_dir):
-    at, by = folder(spark, "arrays"), {}
-    for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():  # 25 rows by definition
-        by.setdefault(r["n_regionkey"], []).append({"n_nationkey": r["n_nationkey"], "n_name": r["n_name"]})
-    for region, rows in by.items():
-        writers.report(rows, f"{at}/region{region}.json", spark)
-    writers.report("[{broken", f"{at}/broken.json", spark)
-    return readers.json_arrays(spark, at, "n_nationkey long, n_name string")
+    """Files of 50 ids each, every third with a malformed end."""
+    at, f = folder(spark, "arrays"), _files(spark, sf_dir, 50)
+    end = F.when(F.col("part") % 3 == 0, F.concat(F.rtrim(F.col("text"), F.lit("]")), F.lit(', {"doc_id": broken'))).otherwise(F.col("text"))
+    writers.files(f.select(F.concat(F.lit("part"), "part", F.lit(".json")).alias("name"), end.alias("text")), at)
+    return readers.json_arrays(spark, at, "doc_id long, text string, lang string")
+
 
+@query("SELECT 'part' || i // 50 || '.json' AS file_name, '{\"doc_id\": broken' AS text FROM (SELECT min(doc_id) AS i FROM documents GROUP BY doc_id // 50) WHERE i // 50 % 3 = 0")
+def malformed_records(spark, sf_dir):
+    at, f = folder(spark, "arrays"), _files(spark, sf_dir, 50)
+    end = F.when(F.col("part") % 3 == 0, F.concat(F.rtrim(F.col("text"), F.lit("]")), F.lit(', {"doc_id": broken'))).otherwise(F.col("text"))
+    writers.files(f.select(F.concat(F.lit("part"), "part", F.lit(".json")).alias("name"), end.alias("text")), at)
+    return readers.malformed(spark, at, "doc_id long, text string, lang string")
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+
+@query("SELECT doc_id, text, lang FROM documents")
 def json_of_any_layout(spark, sf_dir):
-    at, rows = folder(spark, "any"), [{"r_regionkey": r[0], "r_name": r[1]} for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()]
-    writers.report(rows[:2], f"{at}/a.json", spark)
-    writers.report("\n".join(f'{{"r_regionkey": {r["r_regionkey"]}, "r_name": "{r["r_name"]}"}}' for r in rows[2:4]) + "\nnot json}\n", f"{at}/b.json", spark)
-    writers.report(rows[4], f"{at}/c.json", spark)
-    return readers.json_any(spark, at, "r_regionkey long, r_name string")
+    """Arrays, lone objects over lines, and an object a line with malformed lines between."""
+    at, d = folder(spark, "any"), table(spark, sf_dir, "documents")
+    row = F.to_json(F.struct("doc_id", "text", "lang"), {"ignoreNullFields": "false"})
+    part = F.floor(F.col("doc_id") / 20)
+    lone = d.where(part % 3 == 0).select(F.concat(F.lit("one/"), "doc_id").alias("name"), F.concat(F.lit("{\n"), F.substring(row, F.lit(2), F.length(row))).alias("text"))
+    many = d.where(part % 3 != 0).groupBy(part.alias("part")).agg(F.collect_list(row).alias("rows"))
+    text = F.when(F.col("part") % 3 == 1, F.concat(F.lit(" ["), F.array_join("rows", " , "), F.lit("]"))).otherwise(F.array_join("rows", "\nnot json}\n\n"))
+    writers.files(lone.unionByName(many.select(F.concat(F.lit("many/"), "part").alias("name"), text.alias("text"))), at)
+    return readers.json_any(spark, at, "doc_id long, text string, lang string")
 
 
 @query("SELECT text, lang AS language FROM documents WHERE text <> '' AND lang IS NOT NULL")
@@ -109,13 +125,14 @@ def local_tasks(spark, sf_dir):
     return corpus.all_rows(readers.task(spark, at, "tc"), readers.task(spark, at, "sts").select("item_id", "text"))
 
 
-@query("""SELECT CAST(r_regionkey AS BIGINT) AS id, f AS file_name, CASE WHEN contains(f, 'klue_benchmark_results.json') THEN 'benchmark' WHEN contains(f, '_results.json') THEN 'task' WHEN contains(f, '_summary.json') THEN 'summary' ELSE 'other' END AS kind
-FROM (SELECT r_regionkey, list_extract(['klue_benchmark_results.json', 'x_results.json', 'y_summary.json', 'z.json'], CAST(r_regionkey % 4 + 1 AS INTEGER)) AS f FROM region)""")
+@query("""SELECT k AS id, f AS file_name, CASE WHEN contains(f, 'klue_benchmark_results.json') THEN 'benchmark' WHEN contains(f, '_results.json') THEN 'task' WHEN contains(f, '_summary.json') THEN 'summary' ELSE 'other' END AS kind
+FROM (SELECT s_suppkey AS k, list_extract(['klue_benchmark_results.json', 'x_results.json', 'y_summary.json', 'z.json'], CAST(s_suppkey % 4 + 1 AS INTEGER)) AS f FROM supplier) WHERE k % 10 <> 9""")
 def result_files(spark, sf_dir):
-    at, names = folder(spark, "results"), ["klue_benchmark_results.json", "x_results.json", "y_summary.json", "z.json"]
-    for r in table(spark, sf_dir, "region").collect():
-        writers.report({"id": r["r_regionkey"]}, f"{at}/run{r['r_regionkey']}/deep/{names[r['r_regionkey'] % 4]}", spark)
-    writers.report("{broken", f"{at}/run0/x_results.json", spark)
+    """A folder a supplier with a result of one of four kinds; each tenth is malformed."""
+    at, k = folder(spark, "results"), F.col("s_suppkey").cast("long")
+    names = F.array(*map(F.lit, ["klue_benchmark_results.json", "x_results.json", "y_summary.json", "z.json"]))
+    text = F.concat(F.lit('{\n "id": '), k.cast("string"), F.when(k % 10 == 9, "").otherwise("}"))
+    writers.files(table(spark, sf_dir, "supplier").select(F.concat(F.lit("run"), k.cast("string"), F.lit("/deep/"), F.get(names, (k % 4).cast("int"))).alias("name"), text.alias("text")), at)
     return readers.results(spark, at, "id long")
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import urllib.parse
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from . import records
+
 CORRUPT = "_corrupt_record"
 
 
@@ -30,21 +30,30 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: StructType |
     return _sound(spark.read.schema(_with_corrupt(schema, spark)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
 
+def _records(spark: SparkSession, path: str, schema: StructType | str, glob: str = "*", source: str | None = None) -> DataFrame:
+    own = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    records.register(spark)
+    df = spark.read.format("json_records").schema(StructType([*own.fields, *([StructField(records.NAME, StringType())] if source else [])])).option("glob", glob).load(path)
+    return df.withColumnRenamed(records.NAME, source) if source else df
+
+
 def json_arrays(spark: SparkSession, path: str, schema: StructType | str, source: str = "source_file") -> DataFrame:
-    """All JSON arrays (or lone objects) of a folder with the file's name; a malformed file is skipped."""
-    read = spark.read.schema(_with_corrupt(schema, spark)).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    return _sound(read.option("pathGlobFilter", "*.json").json(path).withColumn(source, F.col("_metadata.file_name")))
+    """The records of all JSON files of a folder with the file's name; what is malformed is left out."""
+    return _records(spark, path, schema, "*.json", source)
 
 
 def json_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Files of an array, a lone object over lines, or an object a line, each told by itself; malformed lines and files are skipped."""
-    v = F.trim("value")
-    found = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), v.alias("v")).where("v != ''")
-    told = found.groupBy("f").agg((F.bool_or(F.startswith("v", F.lit("{")) & F.endswith("v", F.lit("}"))) & ~F.bool_or(F.startswith("v", F.lit("[")))).alias("lines")).collect()  # a row a file
-    by = {kind: sorted(urllib.parse.unquote(r["f"]) for r in told if r["lines"] == kind) for kind in (True, False)}
-    read = spark.read.schema(_with_corrupt(schema, spark)).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT)
-    parts = [json_lines(spark, by[True], schema)] * bool(by[True]) + [_sound(read.json(by[False]))] * bool(by[False])
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    """Files of an array, a lone object over lines, or an object a line, each told by itself; malformed records are left out."""
+    return _records(spark, path, schema)
+
+
+def malformed(spark: SparkSession, path: str, schema: StructType | str, glob: str = "*.json") -> DataFrame:
+    """file_name, text of what the readers above leave out."""
+    own = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    more = [StructField(records.NAME, StringType()), StructField(records.CORRUPT, StringType())]
+    records.register(spark)
+    df = spark.read.format("json_records").schema(StructType([*own.fields, *more])).option("glob", glob).load(path)
+    return df.where(F.col(records.CORRUPT).isNotNull()).select(records.NAME, F.col(records.CORRUPT).alias("text"))
 
 
 def parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -78,10 +87,9 @@ def task(spark: SparkSession, folder: str, name: str, split: str = "validation")
 
 def results(spark: SparkSession, folder: str, schema: StructType | str, pattern: str = "*.json") -> DataFrame:
     """Result files of all levels of a folder, without malformed ones, with the file's name and the kind that its name shows."""
-    read = spark.read.schema(_with_corrupt(schema, spark)).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("columnNameOfCorruptRecord", CORRUPT)
-    name = F.col("_metadata.file_name")
+    name = F.col("file_name")
     kind = F.when(name.contains("klue_benchmark_results.json"), "benchmark").when(name.contains("_results.json"), "task").when(name.contains("_summary.json"), "summary").otherwise("other")
-    return _sound(read.json(folder).withColumns({"file_name": name, "kind": kind}))
+    return _records(spark, folder, schema, pattern, "file_name").withColumn("kind", kind)
 
 
 def details(df: DataFrame) -> DataFrame:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,27 @@ def report(rows: list[dict] | dict | str, path: str, spark: SparkSession | None
         out.close()
 
 
+def files(df: DataFrame, folder: str, name: str = "name", text: str = "text") -> int:
+    """A file in the folder for each row, with the text, under the row's name (which may have folders), written by the tasks that have the rows. A file is
+    renamed when it is whole; of equal names one stays. Gives the number of rows."""
+    store, path = fs.FileSystem.from_uri(folder)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for own, content in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
+                place = f"{path}/{own}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                new = f"{place.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(new) as out:
+                    out.write(content.encode())
+                store.move(new, place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    store.create_dir(path, recursive=True)
+    return df.select(F.col(name).cast("string").alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(work, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def profile(df: DataFrame, name: str) -> dict:
     """Rows, columns with types, and a first row of a split."""
     first = df.limit(1).collect()
