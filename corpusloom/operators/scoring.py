@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bloom
 
 def latest(df: DataFrame, key: list[str], pos: str) -> DataFrame:
     """The last row of each key, as a keyed store keeps it."""
@@ -75,15 +76,20 @@ def partition_ids(df: DataFrame, key: str = "id", ok: str = "is_correct") -> tup
     return df.where(F.col(ok)).select(key), df.where(~F.col(ok)).select(key)
 
 
-def unprocessed(wanted: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
-    """Resume: what has not been processed yet."""
-    return wanted.join(done.select(key).distinct(), key, "left_anti")
+def unprocessed(wanted: DataFrame, done: DataFrame, key: str = "id", words: DataFrame | None = None, bits: int = bloom.BITS) -> DataFrame:
+    """Resume: what has not been processed yet. With a Bloom filter of the done keys (of bloom.build, kept with them; it may have more keys, not fewer)
+    only rows whose key may be done are joined, all others are new without a shuffle."""
+    new, rest = (None, wanted) if words is None else bloom.split(wanted, key, words, bits)
+    left = rest.join(done.select(key).distinct(), key, "left_anti").select(*wanted.columns)
+    return left if new is None else new.unionByName(left)
 
 
-def unfinished(wanted: DataFrame, done: DataFrame, key: str, gold: str, completed: str) -> DataFrame:
-    """Unprocessed rows and such with fewer completed than wanted."""
+def unfinished(wanted: DataFrame, done: DataFrame, key: str, gold: str, completed: str, words: DataFrame | None = None, bits: int = bloom.BITS) -> DataFrame:
+    """Unprocessed rows and such with fewer completed than wanted; a Bloom filter as in unprocessed."""
+    new, rest = (None, wanted) if words is None else bloom.split(wanted, key, words, bits)
     n = done.groupBy(key).agg(F.max(completed).alias("__done"))
-    return wanted.join(n, key, "left").where(F.coalesce("__done", F.lit(-1)) < F.size(gold)).drop("__done")
+    left = rest.join(n, key, "left").where(F.coalesce("__done", F.lit(-1)) < F.size(gold)).select(*wanted.columns)
+    return left if new is None else new.where(F.size(gold) > -1).unionByName(left)
 
 
 def _mean(x: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, splice, tags, text, vectors
-from ..operators import attention, confidence, corpus, factors, klue, mixing, neighbours, representation, scoring
+from ..operators import attention, bloom, confidence, corpus, factors, klue, mixing, neighbours, representation, scoring
 from ..sources import readers, writers
 from ..storage import fresh as folder
 from . import inference, prompts
@@ -363,7 +363,8 @@ def numeric_metrics(spark, sf_dir):
 @query("SELECT o_orderkey AS id FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE coalesce(n, -1) < 3")
 def unfinished_items(spark, sf_dir):
     wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array(*map(F.lit, "abc")).alias("gold"))
-    return scoring.unfinished(wanted, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber"), "id", "gold", "l_linenumber").select("id")
+    done = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber")
+    return scoring.unfinished(wanted, done, "id", "gold", "l_linenumber", words=bloom.build(done, "id")).select("id")
 
 
 @query(f"""WITH {CORPUS} SELECT doc_id, list_filter([CASE WHEN o > k THEN 'Missing ' || (o - k) || ' closing tags' END, CASE WHEN k > o THEN 'Missing ' || (k - o) || ' opening tags' END,

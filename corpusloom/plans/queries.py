@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, splice, tags, text, vectors
-from ..operators import attention, confidence, corpus, factors, klue, mixing, neighbours, panels, representation, scoring
+from ..operators import attention, bloom, confidence, corpus, factors, klue, mixing, neighbours, panels, representation, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -441,7 +441,7 @@ def answer_agreement(spark, sf_dir):
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3)")
 def resume_unprocessed(spark, sf_dir):
     done = table(spark, sf_dir, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("id"))
-    return scoring.unprocessed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), done)
+    return scoring.unprocessed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), done, words=bloom.build(done, "id"))
 
 
 _MODELS = f"{ANSWERS}, m AS (SELECT model, round(100.0 * count(*) FILTER (is_correct) / count(*), 6) AS metric FROM a GROUP BY model)"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
 from corpusloom.plans import inference, queries
-from corpusloom.operators import attention, confidence, corpus, factors, mixing, neighbours, panels, quantiles, representation
+from corpusloom.operators import attention, bloom, confidence, corpus, factors, mixing, neighbours, panels, quantiles, representation, scoring
 
 POINTS = [0, 0.05, 0.25, 0.5, 0.9, 0.999, 1]
 
@@ -412,3 +412,20 @@ def test_calls_at_once_over_all_partitions(spark, tmp_path, at_once, in_all):
 
     got = [int(r["model_raw_output"]) for r in inference.run(prompts_frame(spark, 120), make, at_once=at_once, in_all=in_all).collect()]
     assert len(got) == 120 and max(got) <= in_all
+
+
+def test_resume_by_a_bloom_filter(spark, tmp_path):
+    """Most new rows are told without the join; none that is done is taken for new, whatever the filter's size."""
+    wanted = spark.range(50_000).select(F.when(F.col("id") % 1000 == 999, None).otherwise(F.col("id")).alias("id"), F.array(F.lit("a"), F.lit("b")).alias("gold"))
+    done = spark.range(0, 3000).select((F.col("id") * 2).alias("id"), (F.col("id") % 3).alias("n"))
+    want = sorted(r["id"] for r in scoring.unprocessed(wanted, done).where("id is not null").collect())
+    for bits in (64, 1 << 12, 1 << 18):
+        bloom.merged(bloom.build(done.where("id < 2000"), "id", bits), bloom.build(done.where("id >= 1000"), "id", bits)).write.parquet(f"{tmp_path}/{bits}")
+        words = spark.read.parquet(f"{tmp_path}/{bits}")
+        got = [r["id"] for r in scoring.unprocessed(wanted, done, words=words, bits=bits).collect()]
+        assert sorted(x for x in got if x is not None) == want and got.count(None) == 50
+        counts = lambda d: sorted((r["id"] or -1) for r in d.select("id").collect())
+        assert counts(scoring.unfinished(wanted, done, "id", "gold", "n", words, bits)) == counts(scoring.unfinished(wanted, done, "id", "gold", "n"))
+        joined = bloom.split(wanted, "id", words, bits)[1].count()
+        assert joined >= 3000 and (bits < 1 << 18 or joined < 3100)
+    assert bloom.build(done.limit(0), "id").count() == 0 and bloom.split(wanted, "id", bloom.build(done.limit(0), "id"))[1].count() == 0
