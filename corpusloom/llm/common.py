@@ -1,75 +1,19 @@
-"""Helpers shared by the operators of this subpackage: written tables, row keys, and blocks of Arrow rows."""
+"""Helpers shared by the operators of this subpackage: row keys and blocks of Arrow rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Shuffle files go when the write that needed them ends, not when the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..storage import Scratch, written  # noqa: F401  (for the operators)
+
 #: What a null doc_id counts as where rows are ordered by id: larger than all others.
 LAST = (1 << 63) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one
-    for a local master; other masters raise, as their executors would write to disks of their own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    For results, which stay until the folder is cleared; steps on the way belong to a Scratch."""
-    return _write(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
-
-
-def _write(df: DataFrame, path: str) -> DataFrame:
-    spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Written tables that go when the block ends; `free` drops one that is of no more use before."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.top = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self._delete(self.top)
-
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        return _write(df, f"{self.top}/{name}")
-
-    def free(self, name: str) -> None:
-        self._delete(f"{self.top}/{name}")
-
-    def _delete(self, path: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), so that other columns of any name are of no account."""
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import ROOM, angles, deal, matrix, scaled, unit
+from ..operators.cells import ROOM, angles, deal, matrix, scaled, unit
 from .common import Scratch, written
-from .components import components
+from ..operators.components import components
 
 COSINE, BLOCK, STRIP = 0.95, 4096, 512
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .common import Scratch, key_arrays, key_schema, keyed_texts, order_key, row_hash, rows_of, written
-from .components import components
+from ..operators.components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
-#: Members of a half-word's group from which on the group is dealt out by quarter-words too.
+#: Members of a half-word's group from which on the group is dealt out by quarter-words too. Which links are found doesn't depend on it.
 LARGE = 256
 
 

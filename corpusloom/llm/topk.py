@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cells import deal, distances, matrix
+from ..operators.cells import deal, distances, matrix
 from .common import Scratch, written
 from .embeddings import valid
 

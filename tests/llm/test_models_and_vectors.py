@@ -9,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import components, embeddings, language, queries, simhash, topk, toxicity, urls
+from corpusloom.llm import embeddings, language, queries, simhash, topk, toxicity, urls
+from corpusloom.operators.components import components
 
 
 def roots(nodes, links):
@@ -90,6 +91,44 @@ def test_near_copies(spark, block):
     assert {r["doc_id"] for r in out.collect()} == set(want.values())
 
 
+def templated(rng, n, every=0):
+    """Texts that share 300 of some 420 words (a Jaccard of 0.55: no links); each `every`-th has a copy with nine of its own words exchanged (some 0.8)."""
+    word = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 6))
+    base, texts = [word() for _ in range(300)], []
+    for i in range(n):
+        own = [word() for _ in range(120)]
+        texts.append(" ".join(base + own))
+        if every and i % every == 0:
+            at = set(rng.integers(0, 120, 9).tolist())
+            texts.append(" ".join(base + [word() if k in at else w for k, w in enumerate(own)]))
+    return texts
+
+
+def test_templated_texts_in_linear_rows(spark, monkeypatch):
+    """Crowded buckets of texts that don't link: what is written grows with their number, not with their pairs."""
+    rows = {}
+    original = simhash.Scratch.written
+    for n in (300, 1200):
+        written = {}
+        monkeypatch.setattr(simhash.Scratch, "written", lambda self, d, name, written=written: (out := original(self, d, name), written.update({name: out.count()}))[0])
+        df = spark.createDataFrame(list(enumerate(templated(np.random.default_rng(n), n))), "doc_id long, text string")
+        assert simhash.first_of_groups(df).count() >= 0.9 * n  # some are within 3 bits of SimHash
+        rows[n] = sum(written.values())
+        assert "prefixes" in written and written["links-prefixes"] == 0
+    assert rows[1200] < 4.6 * rows[300]
+
+
+@pytest.mark.parametrize("block", [64])
+def test_templated_texts_lose_no_links(spark, block):
+    """Against all pairs: texts of 0.8 or more among many failing pairs of one bucket."""
+    texts = templated(np.random.default_rng(7), 500, every=5)
+    texts += [texts[0], texts[0] + " more", texts[1].replace(" ", "  ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = groups_by_hand(texts)
+    assert len(set(want.values())) < len(texts) - 30
+    assert {r["doc_id"] for r in simhash.first_of_groups(df, block).collect()} == set(want.values())
+
+
 def test_simhash_query(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in queries.table(spark, sf_dir, "documents").collect()}
     fps = {i: fingerprint_by_hand(t) for i, t in docs.items()}
@@ -128,14 +167,14 @@ def test_components(spark):
     links = [*chain, *((int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2))), (500, 500), (700, 699), (699, 700)]
     df = spark.createDataFrame([*links, (None, 3)], "u long, v long")
     nodes = {x for a, b in links if a != b for x in (a, b)}
-    assert {r["node"]: r["root"] for r in components.components(df).collect()} == roots(nodes, [x for x in links if x[0] != x[1]])
-    assert components.components(df.limit(0)).count() == 0
+    assert {r["node"]: r["root"] for r in components(df).collect()} == roots(nodes, [x for x in links if x[0] != x[1]])
+    assert components(df.limit(0)).count() == 0
 
 
 def test_components_without_fixpoint(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
     with pytest.raises(RuntimeError):
-        components.components(df, most_rounds=1)
+        components(df, most_rounds=1)
 
 
 def vectors(spark, n=700, dim=24):
@@ -565,3 +604,13 @@ def test_pipeline_rows_without_id(spark, sf_dir, monkeypatch):
     profiles = language.fit(spark.createDataFrame([("the house fool you", "en")], "text string, lang string"))
     monkeypatch.setattr(language, "fit", lambda *a: profiles)
     assert kept(p.keep_languages(spark, docs, sf_dir)) == sorted([(None, "you fool!"), (None, "the house"), (1, "the house"), (2, "fool")], key=str)
+
+
+def test_toxicity_of_conflicting_labels(spark):
+    """An id with both labels counts as toxic, in whatever order its labels come; rows without an id are held out."""
+    docs = spark.createDataFrame([(i, f"the {'awful' if i % 2 else 'lovely'} thing number {chr(97 + i % 26)}{chr(97 + i // 26)}. it is {'awful' if i % 2 else 'lovely'}") for i in range(60)], "doc_id long, text string")
+    rows = [(i, i % 2) for i in range(60)] + [(i, 0) for i in range(1, 60, 2)]
+    told = [toxicity.fit(docs, spark.createDataFrame(r, "doc_id long, toxic int")) for r in (rows, rows[::-1])]
+    assert told[0].weights == told[1].weights and any(w.startswith("awful") for w in told[0].weights)
+    held = spark.createDataFrame([(None,), (1,)], "doc_id long").select(queries.held_out(5, 0)).collect()
+    assert held[0]["held_out"] is True and held[1]["held_out"] is not None
