@@ -27,7 +27,9 @@ LEAST = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
 #: which sets are left to the prefixes, not which are linked.
 SURE, FORESTS = 0.95, 4
 #: Counters of the rarity of shingles, whatever their number: shingles that share one count together.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
+#: Groups of each level of the tree that adds the counters up.
+LEVELS = (256, 16, 1)
 #: Members of a band's bucket that are compared in one task (on average).
 BLOCK = 256
 _RANDOM = np.random.default_rng(SEED)
@@ -172,8 +174,16 @@ def by_prefixes(whole: DataFrame, scratch: Scratch) -> DataFrame:
             counts += np.bincount((h % COUNTERS).astype("i8"), minlength=COUNTERS)
         yield pa.RecordBatch.from_arrays([pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["counts"])
 
-    counts = whole.select("shingles").mapInArrow(counted, "counts binary").rdd.map(lambda r: np.frombuffer(r["counts"], "<i8")).treeReduce(np.add, depth=3)
-    shared = whole.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo("u4").max).astype("u4"))  # of fixed size
+    def add(table: pa.Table) -> pa.Table:
+        counts = np.zeros(COUNTERS, "i8")
+        for raw in table["counts"]:
+            counts += np.frombuffer(raw.as_py(), "<i8")
+        return pa.table({"counts": pa.array([counts.astype("<i8").tobytes()], pa.binary()), "place": table["place"][:1]})
+
+    parts = whole.select("shingles").mapInArrow(counted, "counts binary").withColumn("place", F.spark_partition_id())
+    for groups in LEVELS:
+        parts = parts.withColumn("place", F.col("place") % groups).groupBy("place").applyInArrow(add, "counts binary, place int")
+    shared = whole.sparkSession.sparkContext.broadcast(np.minimum(np.frombuffer(parts.first()["counts"], "<i8"), np.iinfo("u4").max).astype("u4"))  # of fixed size
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
