@@ -22,6 +22,11 @@ def fold(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def held_out(n: int, r: int):
+    """Whether a row's remainder is r; a row without an id is held out, as nothing is learned from it."""
+    return F.coalesce(fold("doc_id", n) == r, F.lit(True)).alias("held_out")
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     told = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
@@ -65,13 +70,13 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language.fit(docs.where(fold("doc_id", 3) != 1))
-    return language.identify(docs, profiles).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, profiles).select("doc_id", held_out(3, 1), "lang_pred", "score")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0))
-    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return toxicity.score(docs, model).select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,9 +97,9 @@ class NoisyOr:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> NoisyOr:
     """The model from the whole texts and labels.toxic of at most `sample` documents of each class by order of a hash of the
-    id: a bounded fit. A document is taken if those before it have under `most_bytes`, whatever its own length. Null labels and
-    null texts teach nothing; without toxic documents no word is known, without clean ones all texts are toxic."""
-    toxic = labels.select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").dropDuplicates(["labelled"])
+    id: a bounded fit. A document is taken if those before it have under `most_bytes`, whatever its own length. An id with both labels counts as
+    toxic. Null labels and null texts teach nothing; of the features that pass the tests of train the FEATURES most telling ones are kept. Without toxic documents no word is known, without clean ones all texts are toxic."""
+    toxic = labels.select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("labelled").agg(F.max("toxic").alias("toxic"))
     number = {r["toxic"]: r["n"] for r in toxic.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     h = F.xxhash64("labelled")
     share = F.when(F.col("toxic") == 1, min(1.0, 2.5 * (sample + 50) / max(1, number.get(1, 0)))).otherwise(min(1.0, 2.5 * (sample + 50) / max(1, number.get(0, 0))))
