@@ -53,12 +53,16 @@ def drop_trailing(text: Column, marker: str = "대화 상태:") -> Column:
     return F.when(bare.endswith(marker), cut).otherwise(text)
 
 
-def tidy_translation(text: Column) -> Column:
-    """Each sentence once, no Latin runs of 20 letters or more, single blanks."""
-    once = F.array_distinct(F.filter(F.transform(F.split(text, r"\."), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != ""))
+def tidy_translation(text: Column, ascii_only: bool = False) -> Column:
+    """Each sentence once, no Latin runs of 20 letters or more, single blanks.
+
+    A run ends at a word's bound: beside letters of any script, or, with `ascii_only`, beside A-Z, a-z, 0-9 and _ alone (a run after é goes then); blanks are those of ASCII then, but at the ends."""
+    blank, start, end = (r"[ \t\n\f\r]", "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])") if ascii_only else (r"\s", r"\b", r"\b")
+    once = F.array_distinct(F.filter(F.transform(F.split(text, r"\."), lambda s: F.regexp_replace(s, rf"(?U)^{blank}+|{blank}+\z", "")), lambda s: s != ""))
     joined = F.array_join(once, ". ")
     joined = F.when((joined != "") & ~joined.endswith("."), F.concat(joined, F.lit("."))).otherwise(joined)
-    return squeeze(F.regexp_replace(joined, r"(?U)\b[A-Za-z]{20,}\b", ""))
+    bare = F.regexp_replace(joined, rf"(?U){start}[A-Za-z]{{20,}}{end}", "")
+    return F.regexp_replace(F.regexp_replace(bare, f"{blank}+", " "), r"^\p{Zs}+|\p{Zs}+\z", "") if ascii_only else squeeze(bare)
 
 
 def translation_facts(source: Column, target: Column) -> dict[str, Column]:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import extract, splice, tags, text, vectors
 from corpusloom.operators import attention, confidence, corpus, factors, klue, mixing, neighbours, panels, representation, scoring
-from corpusloom.plans import inference, prompts, tokenizers
+from corpusloom.plans import further, inference, prompts, queries, tokenizers  # noqa: F401
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import corpus as streaming
 
@@ -316,6 +317,18 @@ def test_pair_panels(spark):
     assert representation.centre_distances(df, "lang").first()["distance"] == pytest.approx(want, abs=2e-6)
 
 
+def test_tidy_translations_as_sql(spark, tmp_path):
+    """Long runs beside letters that aren't ASCII, and blanks beyond ASCII, as the SQL's patterns take them."""
+    run = "x" * 21
+    texts = [f"é{run} a", f"a {run}é b", f"가{run}", f"_{run} 1{run} {run}1", f"\u00a0a. \u00a0a.\x0b{run}. b\u2003 c \x0bd", "a \u0085. a", f"{run}\n.", "", ".", f"{run}{run}-{run}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, queries.QUERIES["tidy_translations"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(queries.SQL["tidy_translations"]).fetchall())
+    assert one(spark, f"é{run} a", text.tidy_translation) == f"é{run} a."
+
+
 def test_language_statistics(spark):
     rows = [(1, "en", 0.5, False), (1, "ko", 0.25, False), (2, "en", 1.0, False), (2, "ko", 9.0, True), (3, "en", None, True)]
     got = confidence.language_statistics(spark.createDataFrame(rows, "text_id int, lang string, m double, failed boolean"), "m").first().asDict()
