@@ -41,7 +41,7 @@ def near_pairs(masked: DataFrame) -> DataFrame:
 
     An edit flips two bits of the mask at most, so that one band of three stays as it is: words of one length meet by (length, band) and are
     taken at their first equal band. An inserted letter flips one bit exactly, so that two bands stay: words of lengths that differ by one
-    meet by both. As frequent letters crowd the bands, their groups are parted by a half of the word too, which the edit leaves alone:
+    meet by both. Each word has twelve keys, which Spark doesn't reckon when it sizes a table for a broadcast: it is told to merge. As frequent letters crowd the bands, their groups are parted by a half of the word too, which the edit leaves alone:
     for each band words meet once by the first and once by the second half (of the shorter word's length). The rest is checked within the join."""
     ones = (1 << BITS) - 1
     length = F.col("length")
@@ -66,7 +66,7 @@ def near_pairs(masked: DataFrame) -> DataFrame:
     first = F.floor(F.col("size") / 2).cast("int")
     once = (F.col("kind") % 2 == 0) | (F.substring(F.col("word"), F.lit(1), first) != F.substring(F.col("word2"), F.lit(1), first))
     fits = F.when(F.col("kind") < 6, (F.col("word") < F.col("word2")) & F.bit_count(flipped).isin(0, 2) & band).otherwise((F.bit_count(flipped) == 1) & once)
-    met = side(0, "").join(side(1, "2"), ["kind", "size", "bits", "half"]).where(fits & (F.levenshtein("word", "word2", 1) == 1))
+    met = side(0, "").join(side(1, "2").hint("merge"), ["kind", "size", "bits", "half"]).where(fits & (F.levenshtein("word", "word2", 1) == 1))
     return met.select("word", "n", "word2", "n2")
 
 
@@ -87,14 +87,14 @@ def variants(docs: DataFrame, slips: int = SLIPS, least_length: int = LEAST_LENG
         best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n2")).alias("less"), "word2")).alias("best"))
         best = best.select("word", "n_near", F.col("best.word2").alias("form"), (-F.col("best.less")).alias("form_n"))
         takes = F.col("form_n") >= ratio * F.col("n")
-        told = masked.select("word", "n").join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(takes, F.col("form")).alias("form"), F.when(takes, F.col("form_n")).alias("form_n"))
+        told = masked.select("word", "n").join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(takes, F.col("form")).alias("form"), F.when(takes, F.col("form_n")).alias("form_n"))
         told = scratch.written(told, "forms")
         roots, turn = told.where("form IS NOT NULL").select("word", F.col("form").alias("root")), 0
         while True:  # each turn doubles the steps taken
             ahead = roots.select(F.col("word").alias("via"), F.col("root").alias("on"))
-            moved = scratch.written(roots.join(ahead, F.col("root") == F.col("via"), "left").select("word", F.coalesce("on", "root").alias("root"), F.col("on").isNotNull().alias("moved")), f"roots{turn}")
+            moved = scratch.written(roots.join(ahead.hint("merge"), F.col("root") == F.col("via"), "left").select("word", F.coalesce("on", "root").alias("root"), F.col("on").isNotNull().alias("moved")), f"roots{turn}")
             roots, turn = moved.select("word", "root"), turn + 1
             if not moved.where("moved").limit(1).count():
                 break
-        out = told.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        out = told.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
         return written(out, "variants")

@@ -255,6 +255,14 @@ def test_spelling_of_crowded_bands(spark, alphabet):
     assert told(spelling.variants(df, slips=0, least_length=5, ratio=2)) == spelled_by_hand(docs, slips=0, least=5, ratio=2)
 
 
+def test_spelling_joins_without_broadcasts(spark, tmp_path):
+    """A small table of words has twelve rows a word in the join; Spark's estimate leaves these out."""
+    rows = [(f"word{i:05d}abc", 5) for i in range(2000)]
+    spelling._masked(spark.createDataFrame(rows, "word string, n long")).write.parquet(f"{tmp_path}/words")
+    met = spelling.near_pairs(spark.read.parquet(f"{tmp_path}/words"))
+    assert met.count() and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spelling_odd_rows(spark):
     texts = [*ODD, "colour " * 50 + "color " * 5 + "colours " * 300 + "COLOURSÀ x", "aaaaaa " * 6 + "aaaaaaa " * 60, "letter" * 20_000 + " " + ("w" * 5000 + " ") * 6]
     df = odd_documents(spark, texts)
