@@ -194,12 +194,12 @@ def purity_change(base: DataFrame, tuned: DataFrame, lang: str) -> DataFrame:
 
 
 def by_language(df: DataFrame, a: str = "base", b: str = "train", lang: str = "lang", k: int = 5) -> dict[str, dict[str, float | None]]:
-    """CKA (from two rows on), SVCCA (from three) and neighbour consistency (of at most k and one less than the rows) of each language; None under that.
+    """CKA (from two rows on), SVCCA (from three) and neighbour consistency (of at most k and one less than the rows) of each language; None under that, or for k = 0, which spares the search.
 
     One pass of factors and one search a model for all languages: vectors only meet those of their own."""
     told, rows = factors_by(df, a, b, lang), df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     side = lambda c: nearest(*[rows.select("idx", F.col(lang).cast("string").alias("by"), F.col(c).alias("v"))] * 2, k, by="by").select("idx", "other")
-    shared = side(a).join(side(b), ["idx", "other"]).join(rows.select("idx", F.col(lang).cast("string").alias("by")), "idx").groupBy("by").agg(F.count("*").alias("n")).collect()  # a row a language
+    shared = side(a).join(side(b), ["idx", "other"]).join(rows.select("idx", F.col(lang).cast("string").alias("by")), "idx").groupBy("by").agg(F.count("*").alias("n")).collect() if k else []  # a row a language
     common = {r["by"]: r["n"] for r in shared}
     out = {}
     for name, m in sorted(told.items(), key=lambda x: (x[0] is not None, x[0])):
@@ -209,7 +209,7 @@ def by_language(df: DataFrame, a: str = "base", b: str = "train", lang: str = "l
 
 
 def cross_language(df: DataFrame, columns: tuple[str, ...] = ("base", "train"), k: int = 5) -> dict[str, dict[str, float]]:
-    """For each model CKA, SVCCA and neighbour consistency between the languages: of a pair's EN rows against its KO rows."""
+    """For each model CKA, SVCCA and neighbour consistency (k = 0: none, without a search) between the languages: of a pair's EN rows against its KO rows."""
     both = pairs(df, list(columns))
     out = {}
     for c in columns:

@@ -150,6 +150,14 @@ def test_nearest_leaves_tiles_out(spark, monkeypatch):
     assert sum(met) < tiles * tiles / 3
 
 
+def test_cka_alone_needs_no_search(spark, monkeypatch):
+    monkeypatch.setattr(representation, "nearest", lambda *_, **__: pytest.fail("a search"))
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, "ek"[i % 2], rng.normal(size=3).tolist(), rng.normal(size=3).tolist()) for i in range(20)], "idx long, lang string, base array<double>, train array<double>")
+    assert {n: r["consistency"] for n, r in representation.by_language(df, k=0).items()} == {"e": None, "k": None}
+    assert all(r["consistency"] is None and r["cka"] > 0 for r in representation.cross_language(df, k=0).values())
+
+
 def test_nearest_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0, 0.0]), (5, [-1.0, 0.0]), (6, [2.0, 0.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "idx long, v array<double>, tile string")
