@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..storage import Scratch, written
+from .blocks import block_of, crossed, few_rows, packed
 from .confidence import r6
 from .factors import factors, factors_by
 from .neighbours import BLOCK, nearest
@@ -157,31 +159,39 @@ def clustering_agreement(df: DataFrame, a: str, b: str) -> dict[str, float]:
 def silhouette(df: DataFrame, cluster: str, column: str = "v", block: int = 1024) -> DataFrame:
     """Mean silhouette by Euclidean distance: (b - a) / max(a, b), a the mean distance to the row's own cluster, b to the nearest other; 0 for a row alone.
 
-    All pairs by nature: tiles of two blocks sum each row's distances by cluster, so that a tile gives a row for each row and cluster.
+    All pairs by nature: blocks meet by a cartesian product, and a task sums each row's distances by cluster over its part of the blocks.
     """
     n = max(1, -(-df.count() // block))
-    rows = df.select("idx", v.doubles(F.col(column)).alias("v"), F.col(cluster).cast("string").alias("c"), F.pmod(F.xxhash64("idx"), F.lit(n)).alias("own"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    both = rows.select(F.lit(0).alias("kind"), "idx", "v", "c", F.col("own").alias("x"), every.alias("y")).unionByName(rows.select(F.lit(1).alias("kind"), "idx", "v", "c", every.alias("x"), F.col("own").alias("y")))
-
-    def tile(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        kind, idx, c = t["kind"].to_numpy(), t["idx"].to_numpy(), np.array(t["c"].to_pylist())
-        x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(idx), -1)
-        a, b = np.nonzero(kind == 0)[0], np.nonzero(kind == 1)[0]
-        names, at = np.unique(c[b], return_inverse=True)
-        member = np.eye(len(names))[at]
-        out = [np.zeros((len(a), len(names)))]
-        sq = (x * x).sum(axis=1)
-        for s in range(0, len(a), 256):
-            p = a[s : s + 256]
-            d = np.sqrt(np.maximum(0, sq[p][:, None] + sq[b][None, :] - 2 * x[p] @ x[b].T))
-            d[idx[p][:, None] == idx[b][None, :]] = 0
-            out[0][s : s + 256] = d @ member
-        size = member.sum(axis=0).astype("i8")
-        return pa.table({"idx": np.repeat(idx[a], len(names)), "own": pa.array(np.repeat(c[a], len(names)).tolist(), pa.string()), "other": pa.array(np.tile(names, len(a)).tolist(), pa.string()), "d": out[0].ravel(), "n": np.tile(size, len(a))})
-
-    sums = both.groupBy("x", "y").applyInArrow(tile, "idx long, own string, other string, d double, n long").groupBy("idx", "own", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    rows = df.select(F.col("idx").cast("long").alias("key"), F.size("v").alias("dim"), v.doubles(F.col(column)).alias("v"), F.col(cluster).cast("string").alias("c"), F.pmod(F.xxhash64("idx"), F.lit(n)).alias("tile"))
+    names = ["idx", "own", "other", "d", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tile, a, b = batch.column("a_tile")[i].as_py(), block_of(batch, i, "a_"), block_of(batch, i, "b_")
+                key, labels, sums = held.setdefault(tile, (a["key"].copy(), batch.column("a_labels")[i].as_py(), {}))
+                found, at = np.unique(np.array(batch.column("b_labels")[i].as_py()), return_inverse=True)
+                member = np.eye(len(found))[at]
+                x, y = a["x"], b["x"]
+                d = np.zeros((len(x), len(found)))
+                for s in range(0, len(x), 256):
+                    p = x[s : s + 256]
+                    far = np.sqrt(np.maximum(0, (p * p).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * p @ y.T))
+                    if tile == batch.column("b_tile")[i].as_py():
+                        far[key[s : s + 256][:, None] == b["key"][None, :]] = 0
+                    d[s : s + 256] = far @ member
+                for name, column, size in zip(found.tolist(), d.T, member.sum(axis=0)):
+                    before, number = sums.get(name, (0, 0))
+                    sums[name] = before + column, number + int(size)
+        for key, labels, sums in held.values():
+            for name, (d, size) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(labels, pa.string()), pa.array([name] * len(key), pa.string()), pa.array(d), pa.array([size] * len(key), pa.int64())], names=names)
+
+    with Scratch(df.sparkSession) as scratch, few_rows(df.sparkSession):
+        tiles = scratch.written(packed(rows, "c"), "tiles")
+        sums = written(crossed(tiles, tiles).mapInArrow(run, "idx long, own string, other string, d double, n long"), "distances")
+    sums = sums.groupBy("idx", "own", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     same = F.col("own") == F.col("other")
     each = sums.groupBy("idx").agg(F.max(F.when(same, F.col("d") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("b"))
     return each.agg(r6(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))).alias("silhouette"))

@@ -150,6 +150,34 @@ def test_nearest_leaves_tiles_out(spark, monkeypatch):
     assert sum(met) < tiles * tiles / 3
 
 
+def test_pairs_of_tiles_copy_no_vectors(spark, monkeypatch):
+    """Without structure all tiles meet; what is written must not grow with their pairs."""
+    rows = []
+    original = neighbours.Scratch.written
+    monkeypatch.setattr(neighbours.Scratch, "written", lambda self, d, name: (out := original(self, d, name), rows.append(out.count()))[0])
+    x = np.random.default_rng(3).normal(size=(400, 16))
+    df = vectors_frame(spark, x)
+    got = {(r["i"], r["j"]) for r in neighbours.similar(df, 0.5, 20).collect()}
+    assert got == {(i, j) for i, j in np.argwhere(similarities(x, x) >= 0.5) if i < j}
+    neighbours.nearest(df, df, 2, 20).count()
+    neighbours.dbscan(df, 0.2, 2, 20).count()
+    assert len(rows) > 8 and max(rows) <= 400
+
+
+def test_silhouette_of_many_blocks(spark, monkeypatch):
+    met = []
+    original = representation.crossed
+    monkeypatch.setattr(representation, "crossed", lambda a, b: (out := original(a, b), met.append(out._jdf.queryExecution().executedPlan().toString()))[0])
+    x = np.random.default_rng(4).normal(size=(90, 6))
+    label = np.arange(90) % 3
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    a = [d[i][label == label[i]].sum() / 29 for i in range(90)]
+    b = [min(d[i][label == c].mean() for c in range(3) if c != label[i]) for i in range(90)]
+    df = vectors_frame(spark, x).withColumn("c", F.col("idx") % 3)
+    assert representation.silhouette(df, "c", block=9).first()[0] == pytest.approx(np.mean([(q - p) / max(p, q) for p, q in zip(a, b)]), abs=2e-6)
+    assert len(met) == 1 and "CartesianProduct" in met[0]
+
+
 def test_cka_alone_needs_no_search(spark, monkeypatch):
     monkeypatch.setattr(representation, "nearest", lambda *_, **__: pytest.fail("a search"))
     rng = np.random.default_rng(5)
