@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import bound
+
 #: The number and unit patterns that answers are read with, the order of the cascade, and the words that
 #: disqualify an isolated letter near them.
 NUMBER = r"([+-]?(?:\d{1,3}(?:,\d{3})*|\d+)(?:\.\d+)?)"
@@ -135,8 +137,9 @@ def _lines(text: Column) -> Column:
 
 
 def _groups(line: Column, pattern: str, groups: tuple[int, ...], names: tuple[str, ...]) -> Column:
-    got = [F.trim(F.regexp_extract(line, "(?U)" + pattern, g)).alias(n) for g, n in zip(groups, names)]
-    return F.when(line.rlike("(?U)" + pattern), F.struct(*got))
+    """The groups of the first match, of which the first isn't empty; null without one."""
+    got = [F.regexp_extract(line, "(?U)" + pattern, g) for g in groups]
+    return bound(got[0], lambda x: F.when(x != "", F.struct(*(F.trim(g).alias(n) for g, n in zip((x, *got[1:]), names)))))
 
 
 def dependencies(text: Column) -> Column:
@@ -162,12 +165,11 @@ def dialogue_intent(text: Column) -> Column:
 def dialogue_slots(text: Column) -> Column:
     """map of key: value or key = value lines but for intents; the last of a key counts."""
     names = ("key", "value")
-    ok = lambda g: F.when(~F.lower(g["key"]).isin("의도", "intent", "목적"), g)
+    ok = lambda g: bound(g, lambda x: F.when(~F.lower(x["key"]).isin("의도", "intent", "목적"), x))
     one = lambda s: F.coalesce(ok(_groups(s, r"(.+?)\s*:\s*(.+)", (1, 2), names)), ok(_groups(s, r"(.+?)\s*=\s*(.+)", (1, 2), names)))
     found = F.reverse(F.filter(F.transform(_lines(text), one), lambda x: x.isNotNull()))
-    keys = F.array_distinct(F.transform(found, lambda x: x["key"]))
-    latest = F.transform(keys, lambda k: F.try_element_at(F.filter(found, lambda x: x["key"] == k), F.lit(1))["value"])
-    return F.map_from_arrays(keys, latest)
+    latest = lambda f, keys: F.transform(keys, lambda k: F.try_element_at(F.filter(f, lambda x: x["key"] == k), F.lit(1))["value"])
+    return bound(found, lambda f: bound(F.array_distinct(F.transform(f, lambda x: x["key"])), lambda keys: F.map_from_arrays(keys, latest(f, keys))))
 
 
 def filtered(text: Column, pattern: str, group: int = 1, last: bool = False) -> Column:

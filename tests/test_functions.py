@@ -317,6 +317,13 @@ def test_pair_panels(spark):
     assert representation.centre_distances(df, "lang").first()["distance"] == pytest.approx(want, abs=2e-6)
 
 
+def test_dialogue_slots_read_lines_once(spark):
+    """Two patterns of two groups: four extractions, however often the slots are used."""
+    df = spark.createDataFrame([("area: a\nIntent: x\ntime = b\narea = c",)], "t string").select(extract.dialogue_slots(F.col("t")).alias("s"))
+    assert df.first()["s"] == {"area": "c", "time": "b"}
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 4
+
+
 def test_tidy_translations_as_sql(spark, tmp_path):
     """Long runs beside letters that aren't ASCII, and blanks beyond ASCII, as the SQL's patterns take them."""
     run = "x" * 21
