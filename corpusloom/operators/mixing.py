@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,8 @@ ROLES = {"gpt": "assistant", "Assistant": "assistant", "assistant": "assistant",
 FRAME = ("Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.\n\n### Instruction:\n", "\n\n### Input:\n", "\n\n### Response:")
 MARKS = {"system": "<|system|>\n", "user": "<|user|>\n", "assistant": "<|assistant|>\n"}
 MASK = -100
+#: Ids that an encoding task holds at once.
+IDS = 1 << 20
 
 
 def _turn(role: str, content) -> Column:
@@ -141,20 +144,27 @@ def joined(prompt: Column, completion: Column, end: str = "</s>") -> Column:
     return F.concat(prompt, F.when(prompt.rlike(r"\s$") | (prompt == "") | completion.rlike(blank), "").otherwise(" "), completion, F.lit(end))
 
 
+def _in_parts(frames: Iterator[pd.DataFrame], columns: list[str], make: Callable[..., tuple[list[int], list[int]]], most: int = IDS) -> Iterator[pd.DataFrame]:
+    """The frames encoded, in parts of about `most` ids (or one row): what a task holds follows neither the rows of a batch nor their lengths."""
+    for pdf in frames:
+        held, start, size = [], 0, 0
+        for at, x in enumerate(zip(*(pdf[c] for c in columns)), 1):
+            held.append(tuple(np.array(z, "i4") for z in make(*x)))
+            size += len(held[-1][0])
+            if size >= most or at == len(pdf):
+                out = pdf.iloc[start:at].drop(columns=columns)
+                for name, values in (("input_ids", [r[0] for r in held]), ("labels", [r[1] for r in held]), ("attention_mask", [np.ones(len(r[0]), "i4") for r in held])):
+                    out[name] = pd.Series(values, index=out.index, dtype=object)
+                yield out
+                held, start, size = [], at, 0
+
+
 def _encoded(df: DataFrame, columns: list[str], make: Callable[..., tuple[list[int], list[int]]]) -> DataFrame:
     """df with input_ids, labels and attention_mask in the place of `columns`; make gives ids and labels of their values."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [make(*x) for x in zip(*(pdf[c] for c in columns))]
-            out = pdf.drop(columns=columns).copy()
-            for name, values in (("input_ids", [r[0] for r in rows]), ("labels", [r[1] for r in rows]), ("attention_mask", [[1] * len(r[0]) for r in rows])):
-                out[name] = pd.Series(values, index=out.index, dtype=object)
-            yield out
-
     kept = [f for f in df.schema.fields if f.name not in columns]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "input_ids array<int>", "labels array<int>", "attention_mask array<int>"])
-    return df.select(*(f.name for f in kept), *columns).mapInPandas(run, schema)
+    return df.select(*(f.name for f in kept), *columns).mapInPandas(lambda frames: _in_parts(frames, columns, make), schema)
 
 
 def encode_pairs(df: DataFrame, tokenize: Callable[[str], list[int]], prompt: str = "prompt", completion: str = "completion", most: int = 2048, end: str = "</s>") -> DataFrame:

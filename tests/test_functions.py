@@ -6,6 +6,7 @@ import json
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +325,15 @@ def test_dialogue_slots_read_lines_once(spark):
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 4
 
 
+def test_encoding_in_parts():
+    make = lambda s: ([ord(c) for c in s], [mixing.MASK] * len(s))
+    frame = pd.DataFrame({"id": range(5), "t": ["aaaa", "b", "", "c" * 30, "dd"]})
+    parts = list(mixing._in_parts(iter([frame, frame.iloc[:0]]), ["t"], make, most=5))
+    assert [p["id"].tolist() for p in parts] == [[0, 1], [2, 3], [4]]
+    assert [len(x) for p in parts for x in p["input_ids"]] == [4, 1, 0, 30, 2] and all(x.dtype == np.int32 for p in parts for c in ("input_ids", "labels", "attention_mask") for x in p[c])
+    assert parts[0]["labels"][0].tolist() == [mixing.MASK] * 4
+
+
 def test_tidy_translations_as_sql(spark, tmp_path):
     """Long runs beside letters that aren't ASCII, and blanks beyond ASCII, as the SQL's patterns take them."""
     run = "x" * 21
